@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.mixing import mix_sources
+from marginalia.llm.simhash import edited_fingerprints
 from marginalia.llm.url_filters import filter_urls
 
 #: host, path, verdict of the production rules.
@@ -26,8 +28,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op4_mix_sources": op4_mix_sources}
+    found = [op1_url_filters, op4_mix_sources, op8_exact_dedup, op9_fingerprints]
+    return {f.__name__: f for f in found}
 
 
 _CASES = "\n".join(
@@ -71,5 +82,13 @@ SELECT *, md5('17:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || mix_cop
 """
 
 
+OP8_SQL = """
+WITH norm AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER g = 1 AS kept, sha256(t) AS text_sha256
+FROM norm WINDOW g AS (PARTITION BY t ORDER BY n DESC, doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_mix_sources": OP4_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_exact_dedup": OP8_SQL}
