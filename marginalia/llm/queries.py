@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.simhash import edited_fingerprints
+from marginalia.llm.token_file import token_offsets
 from marginalia.llm.url_filters import filter_urls
 
 #: host, path, verdict of the production rules.
@@ -36,8 +37,18 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_offsets(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op4_mix_sources, op8_exact_dedup, op9_fingerprints]
+    found = [op1_url_filters, op4_mix_sources, op8_exact_dedup, op9_fingerprints, op10_token_file]
     return {f.__name__: f for f in found}
 
 
