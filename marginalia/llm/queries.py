@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marginalia.llm.bpe_lexicon import encode_texts
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.simhash import edited_fingerprints
@@ -29,6 +31,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Count and digests of encoded and decoded texts."""
+    return encoded.select(
+        id_col, (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +61,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op4_mix_sources, op8_exact_dedup, op9_fingerprints, op10_token_file]
+    found = [op1_url_filters, op4_mix_sources, op7_bpe_codec, op8_exact_dedup, op9_fingerprints, op10_token_file]
     return {f.__name__: f for f in found}
 
 
