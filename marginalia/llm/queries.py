@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bpe_lexicon import encode_texts
 from marginalia.llm.exact_dedup import exact_duplicates
+from marginalia.llm.language_id import identify
 from marginalia.llm.mixing import mix_sources
+from marginalia.llm.quality import score_quality
 from marginalia.llm.simhash import edited_fingerprints
 from marginalia.llm.token_file import token_offsets
+from marginalia.llm.toxicity import score_toxicity
 from marginalia.llm.url_filters import filter_urls
 
 #: host, path, verdict of the production rules.
@@ -27,10 +30,22 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Count and digests of encoded and decoded texts."""
     return encoded.select(
@@ -61,7 +76,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op4_mix_sources, op7_bpe_codec, op8_exact_dedup, op9_fingerprints, op10_token_file]
+    found = [op1_url_filters, op2_language_id, op4_mix_sources, op5_toxicity, op6_quality, op7_bpe_codec, op8_exact_dedup, op9_fingerprints, op10_token_file]
     return {f.__name__: f for f in found}
 
 
