@@ -11,6 +11,7 @@ from marginalia.llm.bpe_lexicon import encode_texts
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.language_id import identify
 from marginalia.llm.mixing import mix_sources
+from marginalia.llm.ngram_join import similar_documents
 from marginalia.llm.quality import score_quality
 from marginalia.llm.simhash import edited_fingerprints
 from marginalia.llm.token_file import token_offsets
@@ -34,6 +35,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_language_id, op4_mix_sources, op5_toxicity, op6_quality, op7_bpe_codec, op8_exact_dedup, op9_fingerprints, op10_token_file]
+    found = [op1_url_filters, op2_language_id, op3_ngram_join, op4_mix_sources, op5_toxicity, op6_quality, op7_bpe_codec, op8_exact_dedup, op9_fingerprints, op10_token_file]
     return {f.__name__: f for f in found}
 
 
@@ -101,6 +106,22 @@ SELECT page_id, host, path,
 FROM parts
 """
 
+OP3_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded),
+shingles AS (SELECT doc_id, unnest(s) AS sh FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * c >= 85 * (len(p.s) + len(q.s) - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(y) AS component_id FROM sets JOIN reach ON x = doc_id GROUP BY doc_id, len(s)
+"""
+
 OP4_SQL = """
 WITH RECURSIVE sizes AS (
   SELECT source AS s, greatest(sum(coalesce(length(text), 0)), count(*)) AS size FROM documents GROUP BY source),
@@ -130,4 +151,4 @@ FROM norm WINDOW g AS (PARTITION BY t ORDER BY n DESC, doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_exact_dedup": OP8_SQL}
