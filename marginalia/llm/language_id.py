@@ -16,7 +16,9 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marginalia.llm.common import without
 from marginalia.llm.textkernel import LETTER, classes_of, code_points, pieces
 from marginalia.llm.training import balanced_ids, remainder, sigmoid
 
@@ -187,24 +189,36 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_
     return Model.fit(x, [langs[y] for y, *_ in found])
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of every document's whole text; the model travels with the task (about 200 KB for each output)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and lang_score of every whole text, in place of columns of these names.
+
+    The model travels with the task (about 50 KB for each output).
+    """
+    docs = without(docs, "lang_pred", "lang_score")
+    names = [*docs.columns, "lang_pred", "lang_score"]
+    at = docs.columns.index(next(c for c in docs.columns if c.lower() == text_col.lower()))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch[1].to_pylist()
+            texts = batch[at].cast(pa.large_string()).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if model is not None and texts:
                 out, lettered = model.outputs([t or "" for t in texts])
                 langs, scores = model.predict(out)
                 langs = [x if ok else UNKNOWN for x, ok in zip(langs, lettered, strict=True)]
                 scores = np.where(lettered, np.clip(scores, 0, 1), 1.0)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score of every document."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return annotate(own, model).select(F.col("id").alias(id_col), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> DataFrame:
