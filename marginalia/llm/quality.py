@@ -194,6 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], ["y", "parts"])
 
     sample = sorted((r["y"], [bytes(x) for x in r["parts"]]) for r in found.select("y", "text").mapInArrow(rows, "y int, parts array<binary>").limit(2 * most).collect())
+    if len({v for v, _ in sample}) < 2:
+        return float(sample[0][0]) if sample else 0.5
     bags = []
     for _, parts in sample:
         arrays = [np.frombuffer(x, np.uint8) for x in parts]
