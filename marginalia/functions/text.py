@@ -88,8 +88,10 @@ def significant_words(c: Column, limit: int = 6) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Phrases of n consecutive tokens."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Phrases of n consecutive tokens. Shifted slices are zipped, so that the tokens are made a few times, not once a phrase."""
+    count = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    shifted = [F.slice(tokens, F.lit(k + 1), count) for k in range(n)]
+    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z.getField(str(k)) for k in range(n)]))
 
 
 def numeric_display(num: Column, style: Column) -> Column:
