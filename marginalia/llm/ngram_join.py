@@ -4,7 +4,7 @@
    share get numbers above all others, by count; so the numeric order is a global order, rarest first.
 2. Documents with equal sets form one class. A class shows the first ``n - ceil(t n) + 1`` shingles of its set: two sets
    within the threshold share one of them at least, so classes that share none need not meet.
-3. Of the classes that show a shingle the most connected one leads; a group is a leader with all classes that show a
+3. Of the classes that show a shingle, and have a partner of like size there, the most connected one leads; a group is a leader with all classes that show a
    shingle it leads. Groups larger than GROUP shingles are cut into blocks.
 4. In a block the sets, most frequent shingles first, are a trie: sorted sequences whose common starts are nodes. One
    traversal carries all sets down as queries, adds up their overlap with a node once for all sets below it, and lets
@@ -25,6 +25,7 @@ from math import ceil
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from marginalia.llm.common import materialise
 from marginalia.llm.components import components
@@ -40,7 +41,7 @@ CELLS = 1 << 25
 #: Tokens of an edge between two looks at the bounds.
 EDGE = 64
 #: Ids up to this many are broadcast to the scan that makes sets; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 250_000
 TOP = np.uint64(1 << 63)
 
 
@@ -241,27 +242,40 @@ def shingled(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
     return _scan(texts, run, "__id bigint, n bigint, class binary, shown array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, order, words: int) -> DataFrame:
-    """class and its set (sorted numbers of the global order as bytes) of the wanted(__id, class)."""
-    ids = wanted.select(F.coalesce("__id", F.lit(-(2**63))).alias("__i")).distinct()
-    n = ids.count()
-    texts = docs.withColumn("__i", F.coalesce("__id", F.lit(-(2**63)))).join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "__i", "left_semi").select("__text")
+def _sets(texts: DataFrame, placed: DataFrame, classes: DataFrame, order, words: int) -> DataFrame:
+    """placed(key, class, label, asks) with the set of each class (sorted numbers of the global order as bytes).
+
+    One document of each class is read again and its set made once, for all of its keys; nothing but the rows of
+    the blocks is shuffled after that.
+    """
+    wanted = placed.groupBy("class").agg(F.collect_list(F.struct("key", "asks")).alias("to"), F.min("label").alias("label"))
+    wanted = materialise(wanted.join(classes.select("class", F.coalesce("__id", F.lit(-(2**63))).alias("__i")), "class"), "wanted")
+    n = wanted.count()
+    docs = texts.withColumn("__i", F.coalesce("__id", F.lit(-(2**63)))).join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "__i")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for s in shingle_sets(*buffers(batch["__text"]), words):
-                rows.append((_digest(s), order.value.place(s).tobytes()))
-                if len(rows) == 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows, strict=True)], ["class", "set"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows, strict=True)], ["class", "set"])
+            expected, low = batch["class"].to_pylist(), 0
+            held: list[tuple[int, bytes]] = []
+
+            def flush():
+                part = batch.take(pa.array([i for i, _ in held], pa.int64()))
+                return pa.RecordBatch.from_arrays([part["class"], part["to"], part["label"], pa.array([x for _, x in held], pa.binary())], ["class", "to", "label", "set"])
+
+            for i, s in enumerate(shingle_sets(*buffers(batch["__text"]), words)):
+                if _digest(s) == expected[i]:  # an id may repeat with another text
+                    held.append((i, order.value.place(s).tobytes()))
+                    low += len(s)
+                if low > GROUP:
+                    yield flush()
+                    held, low = [], 0
+            if held:
+                yield flush()
 
-    made = _scan(texts, run, "class binary, set binary")
-    return made.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    made = docs.select("__text", "class", "to", "label").mapInArrow(run, "class binary, to array<struct<key:string,asks:boolean>>, label binary, set binary")
+    return made.select("class", "label", "set", F.inline("to"))
 
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
@@ -308,29 +322,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # one showing of each class: copies of a set are dropped by id, by a broadcast while they are few
     copies = rows.filter("n > 0").select("__id", "class").join(classes.select("class", F.col("__id").alias("__least")), "class").filter("not (__id <=> __least)").select("__id", "class")
     n_copies = copies.count()
-    firsts = rows.filter("n > 0").join(F.broadcast(copies) if n_copies <= BROADCAST_IDS // 4 else copies, ["__id", "class"], "left_anti")
-    tokens = firsts.select("class", "n", F.explode("shown").alias("token")).repartition("token")
-    sharing = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = materialise(tokens.join(sharing, "token"), "shared-shingles")
+    firsts = rows.filter("n > 0").join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, ["__id", "class"], "left_anti")
+    # Of a linked pair, the first shingle in common stands early in the smaller set (a short way, "early") and in what the
+    # larger one shows, and their sizes are within the percentage; rows of a shingle without such a partner go.
+    early = F.col("at") < F.col("n") - F.ceil(F.lit(2.0) * percent * F.col("n") / (100 + percent) - 1e-9) + 1
+    tokens = firsts.select("class", "n", F.posexplode("shown").alias("at", "token")).select("class", "n", "token", early.alias("early"))
+    by_size = W.partitionBy("token").orderBy("n", "class")
+    ahead = F.lead("n").over(by_size)
+    behind = F.max(F.when(F.col("early"), F.col("n"))).over(by_size.rowsBetween(W.unboundedPreceding, -1))
+    marked = tokens.withColumn("ahead", ahead).withColumn("behind", behind)
+    near = (F.col("early") & (F.col("n") * 100 >= F.col("ahead") * percent)) | (F.col("behind") * 100 >= F.col("n") * percent)
+    kept = marked.filter(near).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("token")))
+    shared = materialise(kept.select("token", "class", "n", "c"), "shared-shingles")
 
     # the most connected class that shows a shingle leads it
     reach = shared.groupBy("class").agg(F.sum("c").alias("reach"))
     placed = shared.join(reach, "class").select("token", "class", "n", F.struct("reach", "class").alias("rank"))
     leads = placed.groupBy("token").agg(F.max("rank").alias("top")).select("token", F.col("top.class").alias("leader"))
-    members = placed.join(leads, "token").select("leader", "class", "n").distinct()
-    members = materialise(members, "members")
+    members = materialise(placed.join(leads, "token").select("leader", "class", "n").distinct(), "members")
     totals = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("blocks", F.ceil(F.col("total") / GROUP).cast("int"))
     members = members.join(totals.select("leader", "blocks"), "leader")
     members = materialise(members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "blocks")
-    wanted = members.select("class").distinct().join(classes, "class").select("__id", "class")
-    sets = materialise(_sets(texts, wanted, order, words), "sets")
 
     is_leader = F.col("class") == F.col("leader")
     every = F.when(is_leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     inside = members.select("leader", "class", F.explode(every).alias("block"))
     key = lambda *c: F.md5(F.concat_ws(":", F.hex("leader"), *c))
-    asked = inside.join(sets, "class").select(key("block").alias("key"), "class", "set", F.col("class").alias("label"), F.lit(True).alias("asks"))
-    links = materialise(_links(asked, percent), "links")
+    asked = inside.select(key("block").alias("key"), "class", F.col("class").alias("label"), F.lit(True).alias("asks"))
+    links = materialise(_links(_sets(texts, asked, classes, order, words), percent), "links")
     found = components(links)
 
     split = members.filter("blocks > 1")
@@ -339,14 +358,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         named = split.join(found.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         home = named.filter(is_leader).select("leader", F.col("label").alias("home"))
         named = materialise(named.join(home, "leader").withColumn("out", F.col("label") != F.col("home")), "split-members")
-        load = named.filter("out").join(sets.select("class", (F.octet_length("set") / 8).alias("m")), "class").groupBy("leader").agg(F.ceil(F.sum("m") / GROUP).cast("int").alias("rounds"))
+        load = named.filter("out").groupBy("leader").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("rounds"))
         named = named.join(load, "leader")
         turn = F.pmod(F.xxhash64("class", F.lit("turn")), F.col("rounds")).cast("int")
         queries = named.filter("out").withColumn("turn", turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
         answers = named.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("asks", F.lit(False))
         columns = [key("turn", "block").alias("key"), "class", "label", "asks"]
-        across = queries.select(*columns).unionByName(answers.select(*columns)).join(sets, "class")
-        links = materialise(links.unionByName(_links(across, percent)), "links")
+        across = queries.select(*columns).unionByName(answers.select(*columns)).groupBy("key", "class", "label").agg(F.max("asks").alias("asks"))
+        links = materialise(links.unionByName(_links(_sets(texts, across, classes, order, words), percent)), "links")
         found = components(links)
 
     named = materialise(rows.select("__id", "n", "class").join(found.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "labelled")
