@@ -24,10 +24,10 @@ from marginalia.llm.common import ASCII_SPACE, materialise
 
 #: Digests of a bucket, about; and the least number of buckets.
 BUCKET_DIGESTS, LEAST_BUCKETS = 100_000, 256
-#: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Rows of ids and digests up to this many (about 25 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 250_000
 #: Members of one group compared in one piece of the text join.
-GROUP_PIECE = 512
+GROUP_PIECE = 64
 
 
 # --- the filter
