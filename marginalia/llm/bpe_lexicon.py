@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import most_frequent
 from marginalia.llm.textkernel import LETTER, NUMBER, WHITE, HashTable, classes_of, code_points, mix, pieces, point_values, ragged, span_hashes
 
 #: Words compiled into the transducer: bounds what is broadcast (about 16 MB).
@@ -361,7 +362,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON) -> bytes:
     """The compiled transducer of the corpus' most frequent words; the driver gets at most words of them."""
     rules = Rules(path)
-    top = [bytes(r["word"]) for r in word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(words).collect()]
+    top = [bytes(w) for w in most_frequent(word_counts(docs, path, text_col), "word", "n", words)]
     return compile_words(top, [rules.merge(w) for w in top])
 
 
