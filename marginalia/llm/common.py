@@ -15,13 +15,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept.rsplit("/", 1)[0] if kept else "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marginalia-"))
+    return spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
