@@ -69,6 +69,7 @@ def split_references(blocks: DataFrame, key: str = "path") -> DataFrame:
     return blocks.withColumn("part", part)
 
 
+#: Column names of the event feed.
 EVENT_COLUMNS = {"OriginalPaperDOI": "link", "RetractionNature": "label", "RetractionDate": "event_date", "Record ID": "record_id", "RetractionDOI": "notice_doi"}
 
 
