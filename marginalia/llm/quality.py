@@ -28,7 +28,8 @@ TRAIN_DOCS, TRAIN_PASSAGES = 1600, 24
 BUCKETS, EMBED, HIDDEN, ATTEND = 4096, 12, 12, 8
 #: Bytes of text scored at once.
 CHUNK = 1 << 19
-EPOCHS, BATCH, RATE = 6, 64, 0.02
+#: SCALE brings mean embeddings to the range of the shares; DECAY keeps single trigrams from deciding.
+EPOCHS, BATCH, RATE, SCALE, DECAY = 8, 64, 0.02, 4, 1e-3
 
 _KINDS = np.zeros((256, 8), np.float32)
 _KINDS[65:91, 0] = 1  # upper case
@@ -92,7 +93,7 @@ def span_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 def stats_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     size = np.maximum(end - begin, 1)[:, None]
     shares = span_sums(_KINDS[data], begin, end) / size
-    return np.concatenate([shares, np.log1p(size) / 8, size / np.maximum(shares[:, 5:6] * size, 1) / 16, distinct[:, None]], 1).astype(np.float32)
+    return np.concatenate([shares, np.log1p(size) / 8, size / np.maximum(shares[:, 5:6] * size, 1) / 16, 4 * distinct[:, None]], 1).astype(np.float32)
 
 
 def fresh(seed: int = 5) -> dict[str, np.ndarray]:
@@ -131,7 +132,7 @@ def backward(p: dict, f: dict, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
 def fit(bags: list[list[tuple[np.ndarray, np.ndarray]]], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> dict:
     """Parameters from bags of passages (trigram buckets, stats), labels and the documents' weights."""
     p = fresh(seed)
-    adam, r = Adam(p, RATE, 1e-5), np.random.RandomState(seed)
+    adam, r = Adam(p, RATE, DECAY), np.random.RandomState(seed)
     for _ in range(epochs):
         order = r.permutation(len(bags))
         for low in range(0, len(order), BATCH):
@@ -143,10 +144,10 @@ def fit(bags: list[list[tuple[np.ndarray, np.ndarray]]], y: np.ndarray, weight:
             begin = np.cumsum(lengths) - lengths
             count = np.maximum(lengths, 1)[:, None]
             mean = span_sums(p["e"][grams], begin, begin + lengths) / count
-            f = forward(p, np.concatenate([mean * 8, np.stack([s for _, s in flat])], 1), np.concatenate([[0], np.cumsum(sizes)]))
+            f = forward(p, np.concatenate([mean * SCALE, np.stack([s for _, s in flat])], 1), np.concatenate([[0], np.cumsum(sizes)]))
             d = ((sigmoid(f["logit"]) - y[some]) * weight[some] / len(some)).astype(np.float32)
             grads, d_x = backward(p, f, d)
-            d_e = np.repeat(d_x[:, :EMBED] * 8 / count, lengths, axis=0)
+            d_e = np.repeat(d_x[:, :EMBED] * SCALE / count, lengths, axis=0)
             grads["e"] = np.stack([np.bincount(grams, weights=d_e[:, j], minlength=BUCKETS) for j in range(EMBED)], 1).astype(np.float32)
             adam.step(grads)
     return p
@@ -168,7 +169,7 @@ def score_batch(p: dict, column) -> np.ndarray:
             buckets = trigrams(ahead)[: len(part)]
             mean[i:j] = span_sums(p["e"][buckets], begin[i:j] - begin[i], end[i:j] - begin[i]) / np.maximum(end[i:j] - begin[i:j], 1)[:, None]
             stats[i:j] = stats_of(part, begin[i:j] - begin[i], end[i:j] - begin[i], distinct[i:j])
-        out[a:b] = sigmoid(forward(p, np.concatenate([mean * 8, stats], 1), bounds)["logit"])
+        out[a:b] = sigmoid(forward(p, np.concatenate([mean * SCALE, stats], 1), bounds)["logit"])
     return out
 
 

@@ -26,7 +26,8 @@ WINDOW, STEP = 32, 24
 TRAIN_DOCS, TRAIN_WINDOWS, VOCABULARY, LEAST_DOCS = 1600, 16, 8192, 4
 WORD, CHAR, HIDDEN, ATTEND, TRIGRAMS = 6, 10, 8, 8, 8192
 CHUNK = 1 << 19
-FIRST_EPOCHS, LAST_EPOCHS, BATCH, RATE = 2, 8, 256, 0.015
+#: DECAY keeps the words of single training documents from deciding.
+FIRST_EPOCHS, LAST_EPOCHS, BATCH, RATE, DECAY = 2, 8, 256, 0.015, 1e-3
 
 
 # --- inputs
@@ -226,7 +227,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray, seed: int = 9) -> Model:
     length = np.minimum(np.bincount(words.text, minlength=len(flat)), WINDOW)
     first = np.cumsum(np.bincount(words.text, minlength=len(flat))) - np.bincount(words.text, minlength=len(flat))
     gram_at = np.cumsum(n) - n
-    adam, r = Adam(model.p, RATE, 1e-6), np.random.RandomState(seed)
+    adam, r = Adam(model.p, RATE, DECAY), np.random.RandomState(seed)
     balance = np.array([0.5 / max((y == v).mean(), 1e-9) for v in (0, 1)])
 
     def learn(chosen: np.ndarray) -> None:
