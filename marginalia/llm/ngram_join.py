@@ -6,7 +6,8 @@
    within the threshold share one of them at least, so classes that share none need not meet.
 3. Of the classes that show a shingle, and have a partner of like size there, the most connected one leads; a group is a leader with all classes that show a
    shingle it leads. Groups larger than GROUP shingles are cut into blocks.
-4. In a block the sets, most frequent shingles first, are a trie: sorted sequences whose common starts are nodes. One
+4. A group in one block is screened: the lesser counts of two sets' bucket histograms, added up, bound their overlap.
+   In a block the sets, most frequent shingles first, are a trie: sorted sequences whose common starts are nodes. One
    traversal carries all sets down as queries, adds up their overlap with a node once for all sets below it, and lets
    go of a query where even the remaining lengths cannot reach the overlap that the threshold asks for.
 5. Links make components. Blocks of one group are then joined across, for those members only that are not in their
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.llm.common import materialise
+from marginalia.llm.common import materialise, most_frequent
 from marginalia.llm.components import components
 from marginalia.llm.textkernel import HashTable, ascii_words, buffers, byte_values, mix, pieces, ragged, span_hashes
 
@@ -100,6 +101,40 @@ def shown(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+# --- the screen
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in a power of two of buckets, about eight in each; halving the buckets adds neighbours."""
+    bits = max(4, int(len(s) - 1).bit_length() - 3) if len(s) else 4
+    at = (mix(s) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(sizes: np.ndarray, histograms: list[bytes], percent: int) -> np.ndarray:
+    """Which sets have a partner that their histograms allow: no overlap exceeds the sum of the lesser counts."""
+    n, keep = len(sizes), np.zeros(len(sizes), bool)
+    width = np.array([len(h) for h in histograms])
+    rows = [np.frombuffer(h, np.uint8) for h in histograms]
+    full = np.array([bool((r == 255).any()) for r in rows])
+    for w in np.unique(width).tolist():
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        others = np.concatenate([own, wider])
+        table = np.stack([rows[i].astype(np.int16) if width[i] == w else rows[i].astype(np.int16).reshape(-1, 2).sum(1) for i in others])
+        order = np.argsort(sizes[others], kind="stable")
+        others, table = others[order], table[order]
+        reach = np.searchsorted(sizes[others] * percent, sizes[own] * 100, "right")
+        place = np.empty(n, np.int64)
+        place[others] = np.arange(len(others))
+        for i, end in zip(own.tolist(), reach.tolist(), strict=True):
+            a = place[i] + 1
+            if a < end:
+                most = np.minimum(table[a - 1], table[a:end]).sum(1, dtype=np.int64)
+                near = (most >= least_overlap(sizes[others[a:end]], sizes[i], percent)) | full[others[a:end]] | full[i]
+                if near.any():
+                    keep[i] = True
+                    keep[others[a:end][near]] = True
+    return keep
+
+
 # --- the trie
 def trie_links(sets: list[np.ndarray], percent: int, labels: np.ndarray, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) between sets (numbers of the global order, sorted) that connect different labels.
@@ -207,8 +242,7 @@ def common_shingles(texts: DataFrame, words: int, most: int = COMMON) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(list(more), pa.int64()), pa.array(list(more.values()), pa.int64())], ["s", "n"])
 
     found = _scan(texts.select("__text"), count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COMMON)
-    rows = found.orderBy(F.desc("n"), "s").limit(most).collect()
-    return np.array([r["s"] for r in reversed(rows)], np.uint64)
+    return np.array(most_frequent(found, "s", "n", most)[::-1], np.uint64)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -216,7 +250,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def shingled(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """__id, n, class (digest of the set) and the shown shingles of every document."""
+    """__id, n, class (digest of the set), its histogram and the shown shingles of every document."""
 
     def run(batches):
         import pyarrow as pa
@@ -226,20 +260,21 @@ def shingled(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
             ids = batch["__id"]
 
             def flush(low, rows):
-                n, digests, firsts = zip(*rows, strict=True)
+                n, digests, counts, firsts = zip(*rows, strict=True)
                 off = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
                 shown_ = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64), pa.int64()))
-                return pa.RecordBatch.from_arrays([ids.slice(low, len(rows)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), shown_], ["__id", "n", "class", "shown"])
+                return pa.RecordBatch.from_arrays([ids.slice(low, len(rows)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), shown_], ["__id", "n", "class", "counts", "shown"])
 
             for s in shingle_sets(*buffers(batch["__text"]), words):
-                rows.append((len(s), _digest(s), order.value.place(s)[: shown(len(s), percent)] if len(s) else s))
+                placed = order.value.place(s)
+                rows.append((len(s), _digest(s), histogram(s), placed[: shown(len(s), percent)] if len(s) else s))
                 if len(rows) == 2000:
                     yield flush(low, rows)
                     low, rows = low + len(rows), []
             if rows:
                 yield flush(low, rows)
 
-    return _scan(texts, run, "__id bigint, n bigint, class binary, shown array<bigint>")
+    return _scan(texts, run, "__id bigint, n bigint, class binary, counts binary, shown array<bigint>")
 
 
 def _sets(texts: DataFrame, placed: DataFrame, classes: DataFrame, order, words: int) -> DataFrame:
@@ -278,6 +313,33 @@ def _sets(texts: DataFrame, placed: DataFrame, classes: DataFrame, order, words:
     return made.select("class", "label", "set", F.inline("to"))
 
 
+def _screened(rows: DataFrame, percent: int) -> DataFrame:
+    """key and class of the rows(key, class, n, counts) that have a partner of their key that the histograms allow."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def solve():
+            if len(held) > 1:
+                ok = may_link(np.array([n for _, n, _ in held], np.int64), [c for *_, c in held], percent)
+                if ok.any():
+                    return pa.RecordBatch.from_arrays([pa.array([key] * int(ok.sum()), pa.string()), pa.array([h[0] for h, k in zip(held, ok, strict=True) if k], pa.binary())], ["key", "class"])
+
+        for batch in batches:
+            for k, *row in zip(*(batch[c].to_pylist() for c in ("key", "class", "n", "counts")), strict=True):
+                if k != key:
+                    if (out := solve()) is not None:
+                        yield out
+                    key, held = k, []
+                held.append(row)
+        if (out := solve()) is not None:
+            yield out
+
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "class", "n", "counts").mapInArrow(run, "key string, class binary")
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """Links u, v found in blocks of rows(key, class, set, label, asks); rows of a key come together, one key at a time is held."""
 
@@ -318,7 +380,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     order = docs.sparkSession.sparkContext.broadcast(Order(common_shingles(texts, words)))
     rows = materialise(shingled(texts, order, words, percent), "shingled")
-    classes = materialise(rows.filter("n > 0").groupBy("class").agg(F.min("__id").alias("__id"), F.max("n").alias("n")), "set-classes")
+    classes = materialise(rows.filter("n > 0").groupBy("class").agg(F.min("__id").alias("__id"), F.max("n").alias("n"), F.first("counts").alias("counts")), "set-classes")
     # one showing of each class: copies of a set are dropped by id, by a broadcast while they are few
     copies = rows.filter("n > 0").select("__id", "class").join(classes.select("class", F.col("__id").alias("__least")), "class").filter("not (__id <=> __least)").select("__id", "class")
     n_copies = copies.count()
@@ -346,9 +408,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     is_leader = F.col("class") == F.col("leader")
     every = F.when(is_leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    inside = members.select("leader", "class", F.explode(every).alias("block"))
+    inside = members.select("leader", "class", "blocks", F.explode(every).alias("block"))
     key = lambda *c: F.md5(F.concat_ws(":", F.hex("leader"), *c))
-    asked = inside.select(key("block").alias("key"), "class", F.col("class").alias("label"), F.lit(True).alias("asks"))
+    # a group in one block is screened by histograms first, so that only sets with a likely partner are made; the members of
+    # a group in several blocks may find theirs in another one and stay
+    whole = members.filter("blocks = 1").select(key("block").alias("key"), "class").join(classes.select("class", "n", "counts"), "class")
+    asked = _screened(whole, percent).unionByName(inside.filter("blocks > 1").select(key("block").alias("key"), "class"))
+    asked = asked.select("key", "class", F.col("class").alias("label"), F.lit(True).alias("asks"))
     links = materialise(_links(_sets(texts, asked, classes, order, words), percent), "links")
     found = components(links)
 
