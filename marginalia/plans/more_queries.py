@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.operators import access as A
 from marginalia.operators import references as R
+from marginalia.operators import review as V
 from marginalia.plans.registry import DERIVED, query
 
 DERIVED |= {
@@ -175,3 +176,65 @@ def safe_numbers(t):
 def payment_market(t):
     m = T.country_market(F.when(F.col("c_nationkey") % 3 == 0, "gh").otherwise("fr"))
     return t.customer.select("c_custkey", m["market"].alias("market"), m["currency"].alias("currency"))
+
+
+# --- review
+@query("""SELECT doc_id, ref_idx, CASE WHEN doc_id % 2 = 0 THEN title ELSE '' END AS title, status FROM {verification} QUALIFY doc_id % 2 = 0 OR row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) <= least(10, greatest(1, ceil(count(*) OVER (PARTITION BY doc_id) * 0.25::DOUBLE)))""")
+def entitled_rows(t):
+    out = V.entitled(t.verification.select("doc_id", "ref_idx", "title", "status"), F.col("doc_id") % 2 == 0, ["title"], "doc_id", ["ref_idx"])
+    return out.na.fill("", ["title"])
+
+
+@query("""SELECT r.doc_id, count(*) AS "references", count(*) FILTER (status IS NULL) AS unchecked, count(*) FILTER (status NOT IN ('verified', 'likely')) AS needs_work FROM {refs} r LEFT JOIN (SELECT * FROM {verification} WHERE attempted) v ON v.doc_id = r.doc_id AND v.ref_idx = r.ref_idx GROUP BY 1""")
+def reference_audit(t):
+    return V.reference_audit(t.refs, t.verification.filter("attempted"))
+
+
+@query("""SELECT doc_id, CASE WHEN r >= 50 THEN 'Recent sources are well represented.' ELSE 'Raise the share of recent sources from ' || round(r)::INT || ' to 50 percent.' END AS advice FROM (SELECT doc_id, avg(CASE WHEN 1980 - year <= 5 AND year <= 1980 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS r FROM {verification} GROUP BY 1)""")
+def recommendations(t):
+    r = t.verification.groupBy("doc_id").agg((F.avg(F.when((F.lit(1980) - F.col("year") <= 5) & (F.col("year") <= 1980), 1.0).otherwise(0.0)) * 100).alias("r"))
+    return r.select("doc_id", V.recommendation(F.col("r")).alias("advice"))
+
+
+_SUPPORT = "CASE ref_idx % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'insufficient' WHEN 2 THEN 'related' ELSE 'strong' END"
+
+
+@query(f"""SELECT doc_id, count(*) FILTER (s = 'insufficient') AS serious, (count(*) FILTER (s = 'weak') + count(*) FILTER (status <> 'verified')) AS moderate, count(*) FILTER (s = 'related') AS minor FROM (SELECT *, {_SUPPORT} AS s FROM {{verification}}) GROUP BY 1""")
+def claim_counts(t):
+    return V.claim_counts(t.verification.withColumn("support", F.expr(_SUPPORT)))
+
+
+@query("""SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:180], ' ') AS text FROM {benchmark}""")
+def text_from_positions(t):
+    index = t.benchmark.select(F.col("item_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return V.text_of_positions(index.repartition(3))
+
+
+@query("""SELECT doc_id, substr(text, greatest(instr(text, 'by Smith') - 20, 1), 8 + least(instr(text, 'by Smith') - 1, 20) + 40) AS context FROM {cite_texts} WHERE instr(text, 'by Smith') > 0""")
+def citation_context(t):
+    return t.cite_texts.select("doc_id", V.context(F.col("text"), F.lit("by Smith")).alias("context")).filter("context is not null")
+
+
+@query("""SELECT doc_id, ref_idx, rank, suggestion FROM (SELECT v.doc_id, v.ref_idx, CASE WHEN c.cand_id IS NULL THEN 0 ELSE row_number() OVER w END AS rank, coalesce(c.cand_id::VARCHAR, 'manual_search') AS suggestion, row_number() OVER w AS rn FROM (SELECT * FROM {verification} WHERE status = 'not_found') v
+  LEFT JOIN (SELECT p_partkey AS cand_id, p_name AS title, 1970 + p_size AS year FROM {part} WHERE p_partkey % 9 = 0 AND p_name NOT LIKE 'small%') c ON c.title = v.title WINDOW w AS (PARTITION BY v.doc_id, v.ref_idx ORDER BY abs(v.year - c.year), c.cand_id)) WHERE rn <= 3""")
+def recovery_rows(t):
+    catalog = t.part.filter("p_partkey % 9 = 0 and p_name not like 'small%'").select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"), (F.lit(1970) + F.col("p_size")).alias("year"))
+    return V.recovery_rows(t.verification.filter("status = 'not_found'").select("doc_id", "ref_idx", "title", "year"), catalog)
+
+
+@query("""SELECT doc_id, CASE status WHEN 'verified' THEN 'verified' WHEN 'likely' THEN 'verified_with_metadata_differences' WHEN 'not_found' THEN 'not_found' WHEN 'offline' THEN 'lookup_failed' ELSE 'possible_match_human_review' END AS status, count(*) AS n FROM {verification} GROUP BY 1, 2""")
+def canonical_statuses(t):
+    return t.verification.groupBy("doc_id", V.canonical_status(F.concat(F.lit(" "), F.upper("status"))).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def identity_gate(t):
+    f = t.fields.filter("doc_id % 10 = 1")
+    p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t2"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a2"), (F.lit(1971) + F.col("p_size")).alias("y2"))
+    j = f.join(p, F.col("k") == F.col("ref_idx"))
+    return j.select("doc_id", "ref_idx", V.identity_gate(F.col("title"), F.col("t2"), F.col("author"), F.col("a2"), F.col("year"), F.col("y2")).alias("same"))
+
+
+@query()
+def query_plans(t):
+    return t.fields.select("doc_id", "ref_idx", V.query_plan(F.col("title"), F.col("author"), F.col("year"), F.col("journal")).alias("queries"))
