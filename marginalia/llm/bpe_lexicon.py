@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import most_frequent
-from marginalia.llm.textkernel import LETTER, NUMBER, WHITE, HashTable, classes_of, code_points, mix, pieces, point_values, ragged, span_hashes
+from marginalia.llm.textkernel import LETTER, NUMBER, WHITE, HashTable, classes_of, code_points, mix, pieces, point_values, ragged, slices, span_hashes
 
 #: Words compiled into the transducer: bounds what is broadcast (about 16 MB).
 LEXICON = 1 << 16
 #: A partition reports words that it met so often at least.
 LEAST_COUNT = 3
 #: Words a counting worker holds before it lets go of those met once.
-COUNTED = 1 << 19
+COUNTED = 1 << 17
 #: Merged words that a worker keeps.
-CACHE = 1 << 20
+CACHE = 1 << 18
 #: The contractions of the word pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -336,7 +336,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
         import pyarrow as pa
 
         rules, counts, spelt = Rules(path), Counter(), {}
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole)):
             texts = [rules.normal(t or "") for t in batch[0].to_pylist()]
             for a, b in pieces(np.array([len(t) for t in texts], np.int64)):
                 points, off = code_points(texts[a:b])
@@ -378,7 +378,7 @@ def encode_texts(docs: DataFrame, path: str, compiled: bytes | None = None, id_c
         import pyarrow as pa
 
         enc = _encoder(path, shared.value, mark)
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole)):
             ids, texts = batch[0], [t or "" for t in batch[1].to_pylist()]
             for a, b, tokens, bounds in enc.encode(texts):
                 raw = [tokens[bounds[i] : bounds[i + 1]] for i in range(b - a)]

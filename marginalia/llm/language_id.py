@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.common import without
-from marginalia.llm.textkernel import LETTER, classes_of, code_points, pieces
+from marginalia.llm.textkernel import LETTER, classes_of, code_points, pieces, slices
 from marginalia.llm.training import balanced_ids, remainder, sigmoid
 
 #: Documents that the classifier is fitted on, at most: the bound of its sample.
@@ -201,7 +201,7 @@ def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole)):
             texts = batch[at].cast(pa.large_string()).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if model is not None and texts:

@@ -74,6 +74,15 @@ def pieces(sizes: np.ndarray, most: int = PIECE):
         low = high
 
 
+def slices(batch, rows: int = 512):
+    """A record batch in slices of few rows, so that Python strings exist for one slice at a time; spare memory goes back after it."""
+    import pyarrow as pa
+
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; null counts as empty."""
     import pyarrow as pa
