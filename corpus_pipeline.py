@@ -26,6 +26,20 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Rows of an Arrow batch: executors hold a few batches of whole texts beside their heap, so they are kept small.
+BATCH_ROWS = 1000
+
+
+def bounded(stage):
+    """A stage whose Arrow batches are small, whatever the session had."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; a null lang is filled with the prediction."""
     found = annotate(docs.select(*COLUMNS), train(docs))
@@ -63,7 +77,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digests(encoded, "doc_id", "token_ids")
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix), ("bpe_codec", tokenise)]
+STAGES = [(name, bounded(f)) for name, f in (("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix), ("bpe_codec", tokenise))]
 
 #: SQL cannot express the trained language model, so the pipeline is tested stage by stage against brute force.
 ORACLE_SQL = None
