@@ -229,7 +229,7 @@ def canonical_statuses(t):
 
 @query()
 def identity_gate(t):
-    f = t.fields.filter("doc_id % 10 = 1")
+    f = t.fields
     p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t2"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a2"), (F.lit(1971) + F.col("p_size")).alias("y2"))
     j = f.join(p, F.col("k") == F.col("ref_idx"))
     return j.select("doc_id", "ref_idx", V.identity_gate(F.col("title"), F.col("t2"), F.col("author"), F.col("a2"), F.col("year"), F.col("y2")).alias("same"))

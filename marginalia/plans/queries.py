@@ -471,22 +471,24 @@ def repeated_lines(t):
 def _catalog(t):
     p = t.part
     return p.select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("author"), (F.lit(1970) + F.col("p_size")).alias("year"), F.col("p_type").alias("journal"),
-        F.concat(F.lit("10.1000/"), (F.col("p_partkey") % 700).cast("string")).alias("doi"), F.when(F.col("p_partkey") % 2 == 0, "alpha").otherwise("beta").alias("source")).filter("cand_id % 5 <> 0")
+        F.concat(F.lit("10.1000/"), (F.col("p_partkey") % 700).cast("string")).alias("doi"), F.when(F.col("p_partkey") % 2 == 0, "alpha").otherwise("beta").alias("source"))
 
 
-def _scored(t):
-    refs = t.fields.filter("doc_id % 10 = 1").select(F.concat_ws(":", "doc_id", "ref_idx").alias("ref_key"), "title", "author", "year", "journal", "doi").withColumn("doi", F.when(F.crc32("ref_key") % 3 == 0, F.col("doi")))
-    return S.classified(S.scored(refs, _catalog(t), S.blocked(refs, _catalog(t))))
+def _resolved(t, pick):
+    refs = t.fields.select(F.concat_ws(":", "doc_id", "ref_idx").alias("ref_key"), "title", "author", "year", "journal", "doi").withColumn("doi", F.when(F.crc32("ref_key") % 3 == 0, F.col("doi")))
+    keyed, catalog = S.keyed_works(refs), _catalog(t)
+    works = S.works(keyed)
+    return S.spread(pick(S.classified(S.scored(works, catalog, S.blocked(works, catalog)))), keyed)
 
 
 @query()
 def best_candidate(t):
-    return S.best_candidates(_scored(t)).select("ref_key", "cand_id", "score", "status", S.quality_label(F.col("score")).alias("quality"))
+    return _resolved(t, S.best_candidates).select("ref_key", "cand_id", "score", "status", S.quality_label(F.col("score")).alias("quality"))
 
 
 @query()
 def alternative_candidates(t):
-    return S.alternatives(_scored(t)).select("ref_key", "rank", "cand_id", "score")
+    return _resolved(t, S.alternatives).select("ref_key", "rank", "cand_id", "score")
 
 
 @query("""WITH c AS (SELECT p_partkey AS cand_id, p_partkey % 83 AS score, CASE WHEN p_partkey % 4 = 0 THEN '10.1000/' || (p_partkey % 100) ELSE substr(lower(p_name), 1, 120) || '|' || (1970 + p_size) END AS key, CASE WHEN p_partkey % 2 = 0 THEN 'alpha' ELSE 'beta' END AS source FROM {part})
