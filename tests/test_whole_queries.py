@@ -3,13 +3,15 @@
 import os
 import zlib
 
+import duckdb
 import pytest
 
 from marginalia.functions import similarity as S
 from marginalia.plans import more_queries as _more  # noqa: F401
 from marginalia.plans import queries as _registered  # noqa: F401
-from marginalia.plans.registry import QUERIES, Tables
+from marginalia.plans.registry import ORACLES, QUERIES, Tables
 from tests.test_operators import brute_candidates
+from tests.test_queries import rows
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -45,3 +47,33 @@ def test_identity_gate_is_whole(spark):
         want[f["doc_id"], f["ref_idx"]] = S.token_set(f["title"], title) >= 88 and (f["author"] == author or abs(f["year"] - year) <= 1)
     got = {(r["doc_id"], r["ref_idx"]): r["same"] for r in QUERIES["identity_gate"](spark, SF).collect()}
     assert got == want
+
+
+#: Part keys cited by each document: 11 is retracted, 12 of concern, 13 corrected, 4 unchecked, 7 not attempted, the others clear.
+CITED = {1: [5, 11], 2: [5, 12, 13], 3: [5, 13], 4: [5, 6, 9, 10, 17], 5: [5, 4], 6: [5, 7]}
+
+
+def small_tables(spark, folder):
+    """part and lineitem that give each document the references of CITED."""
+    parts = [(k, f"large ring {k}", f"Brand#{k}", "ECONOMY", k) for k in range(1, 30)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    lines = [(d, k, d, 1) for d, keys in CITED.items() for k in keys]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(f"{folder}/lineitem.parquet")
+    duck = duckdb.connect()
+    for table in ("part", "lineitem"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return duck
+
+
+def test_integrity_index_takes_every_reference(spark, tmp_path):
+    duck = small_tables(spark, str(tmp_path))
+    frame = QUERIES["integrity_index_whole"](spark, str(tmp_path)).toPandas()
+    assert rows(frame) == rows(duck.execute(ORACLES["integrity_index_whole"]).df())
+    got = {r.doc_id: r for r in frame.itertuples()}
+    assert set(got) == set(CITED)
+    for doc, cap in ((1, 49), (2, 59), (3, 79), (4, 100)):
+        assert got[doc].index == min(got[doc].raw_index, cap)
+    # all references of document 1: integrity 75, concentration 0, diversity 100, balance 30, recency 0
+    assert got[1].raw_index == 49.25 and got[1].index == 49
+    assert {got[5].category, got[6].category} == {"withheld"}
+    assert "withheld" not in {got[d].category for d in (1, 2, 3, 4)}
