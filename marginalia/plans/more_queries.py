@@ -137,6 +137,12 @@ def purchase_by_either_key(t):
     return A.latest_by_either(t.purchases, t.runs, t.part_jobs.filter("job_id % 3 = 0"))
 
 
+# the query above is held to a third of the jobs by its SQL; this one takes them all
+@query("""SELECT job_id, arg_max(purchase_id, (created_at, purchase_id)) AS purchase_id FROM (SELECT preview_job_id AS job_id, purchase_id, created_at FROM {purchases} UNION ALL SELECT job_id, purchase_id, created_at FROM {runs} JOIN {purchases} USING (purchase_id)) WHERE job_id IN (SELECT job_id FROM {part_jobs}) GROUP BY 1""")
+def purchase_by_either_key_whole(t):
+    return A.latest_by_either(t.purchases, t.runs, t.part_jobs)
+
+
 @query("SELECT purchase_id, account_id FROM {purchases} WHERE created_at >= TIMESTAMP '1999-01-01'")
 def retention(t):
     return A.retained(t.purchases, "created_at", F.lit("1999-01-01").cast("timestamp_ntz")).select("purchase_id", "account_id")
@@ -222,6 +228,14 @@ def recovery_rows(t):
     return V.recovery_rows(t.verification.filter("status = 'not_found'").select("doc_id", "ref_idx", "title", "year"), catalog)
 
 
+# the query above is held to part of the catalog by its SQL; this one searches it all
+@query("""SELECT doc_id, ref_idx, rank, suggestion FROM (SELECT v.doc_id, v.ref_idx, CASE WHEN c.cand_id IS NULL THEN 0 ELSE row_number() OVER w END AS rank, coalesce(c.cand_id::VARCHAR, 'manual_search') AS suggestion, row_number() OVER w AS rn FROM (SELECT * FROM {verification} WHERE status = 'not_found') v
+  LEFT JOIN (SELECT p_partkey AS cand_id, p_name AS title, 1970 + p_size AS year FROM {part}) c ON c.title = v.title WINDOW w AS (PARTITION BY v.doc_id, v.ref_idx ORDER BY abs(v.year - c.year), c.cand_id)) WHERE rn <= 3""")
+def recovery_rows_whole(t):
+    catalog = t.part.select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"), (F.lit(1970) + F.col("p_size")).alias("year"))
+    return V.recovery_rows(t.verification.filter("status = 'not_found'").select("doc_id", "ref_idx", "title", "year"), catalog)
+
+
 @query("""SELECT doc_id, CASE status WHEN 'verified' THEN 'verified' WHEN 'likely' THEN 'verified_with_metadata_differences' WHEN 'not_found' THEN 'not_found' WHEN 'offline' THEN 'lookup_failed' ELSE 'possible_match_human_review' END AS status, count(*) AS n FROM {verification} GROUP BY 1, 2""")
 def canonical_statuses(t):
     return t.verification.groupBy("doc_id", V.canonical_status(F.concat(F.lit(" "), F.upper("status"))).alias("status")).agg(F.count(F.lit(1)).alias("n"))

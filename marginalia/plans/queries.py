@@ -364,29 +364,49 @@ def tier_recommendation(t):
 
 
 # --- claims
-@query("""WITH words AS (SELECT doc_id, ref_idx, claim, source_title, list_transform(list_filter(regexp_extract_all(lower(source_title), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ('effects', 'effect', 'and')), lambda w: w) AS w FROM {claims})
-  SELECT doc_id, ref_idx, regexp_matches(lower(claim), '\\b(improv|enhanc|boost|strength)\\w*') AS improve, regexp_matches(lower(claim), '\\b(reduc|mitigat|lower|decreas)\\w*') AS reduce, regexp_matches(lower(claim), '\\b(caus|lead|result|produc)\\w*') AS cause, len(w) AS title_words FROM words""")
+_HITS = """WITH words AS (SELECT doc_id, ref_idx, claim, source_title, list_transform(list_filter(regexp_extract_all(lower(source_title), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ('effects', 'effect', 'and')), lambda w: w) AS w FROM {claims})
+  SELECT doc_id, ref_idx, regexp_matches(lower(claim), '\\b(improv|enhanc|boost|strength)\\w*') AS improve, regexp_matches(lower(claim), '\\b(reduc|mitigat|lower|decreas)\\w*') AS reduce, regexp_matches(lower(claim), '\\b(caus|lead|result|produc)\\w*') AS cause, len(w) AS title_words FROM words"""
+
+
+@query(_HITS)
 def relation_hits(t):
-    c = t.claims.withColumn("r", C.relations(F.col("claim")))
+    return _relation_hits(t.claims)
+
+
+@query(_HITS.replace("{claims}", "{all_claims}"))
+def relation_hits_whole(t):
+    return _relation_hits(t.all_claims)
+
+
+def _relation_hits(rows):
+    c = rows.withColumn("r", C.relations(F.col("claim")))
     tw = F.size(F.filter(F.split(F.trim(F.regexp_replace(F.lower("source_title"), "[^a-z]+", " ")), " "), lambda w: (F.length(w) >= 3) & ~w.isin("effects", "effect", "and"))).cast("bigint")
     return c.select("doc_id", "ref_idx", *[F.array_contains("r", k).alias(k) for k in ("improve", "reduce", "cause")], tw.alias("title_words"))
 
 
-@query("""WITH f AS (SELECT doc_id, ref_idx, regexp_matches(lower(claim), 'improve|enhance|increase|boost|strengthen|beneficial|positive|advantage') AS cp, regexp_matches(lower(claim), 'reduce|decrease|mitigate|lower|minimize|negative|harmful|detrimental') AS cn,
+_DIRECTION = """WITH f AS (SELECT doc_id, ref_idx, regexp_matches(lower(claim), 'improve|enhance|increase|boost|strengthen|beneficial|positive|advantage') AS cp, regexp_matches(lower(claim), 'reduce|decrease|mitigate|lower|minimize|negative|harmful|detrimental') AS cn,
   regexp_matches(lower(source_title), 'improve|enhance|increase|boost|strengthen|beneficial|positive|advantage') AS sp, regexp_matches(lower(source_title), 'reduce|decrease|mitigate|lower|minimize|negative|harmful|detrimental') AS sn FROM {claims})
-  SELECT doc_id, ref_idx, CASE WHEN (cp AND sp) OR (cn AND sn) THEN 1.0 WHEN (cp OR cn) AND NOT (sp OR sn) THEN 0.4 WHEN (cp AND sn) OR (cn AND sp) THEN 0.0 ELSE 0.6 END::DOUBLE AS direction FROM f""")
+  SELECT doc_id, ref_idx, CASE WHEN (cp AND sp) OR (cn AND sn) THEN 1.0 WHEN (cp OR cn) AND NOT (sp OR sn) THEN 0.4 WHEN (cp AND sn) OR (cn AND sp) THEN 0.0 ELSE 0.6 END::DOUBLE AS direction FROM f"""
+
+
+@query(_DIRECTION)
 def direction_overlap(t):
     return t.claims.select("doc_id", "ref_idx", C.direction(F.col("claim"), F.col("source_title")).alias("direction"))
 
 
+@query(_DIRECTION.replace("{claims}", "{all_claims}"))
+def direction_overlap_whole(t):
+    return t.all_claims.select("doc_id", "ref_idx", C.direction(F.col("claim"), F.col("source_title")).alias("direction"))
+
+
 @query()
 def claim_support(t):
-    return C.support(t.claims).select("doc_id", "ref_idx", "raw_score", "support_score", "support_status")
+    return C.support(t.all_claims).select("doc_id", "ref_idx", "raw_score", "support_score", "support_status")
 
 
 @query()
 def keyword_overlap(t):
-    return t.claims.select("doc_id", "ref_idx", C.keyword_overlap(F.col("claim"), F.col("source_title")).alias("score"))
+    return t.all_claims.select("doc_id", "ref_idx", C.keyword_overlap(F.col("claim"), F.col("source_title")).alias("score"))
 
 
 @query()

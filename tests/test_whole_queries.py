@@ -77,3 +77,28 @@ def test_integrity_index_takes_every_reference(spark, tmp_path):
     assert got[1].raw_index == 49.25 and got[1].index == 49
     assert {got[5].category, got[6].category} == {"withheld"}
     assert "withheld" not in {got[d].category for d in (1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("name", ["relation_hits_whole", "direction_overlap_whole", "claim_support", "keyword_overlap"])
+def test_every_reference_has_its_claim_judged(spark, name):
+    want = {(f["doc_id"], f["ref_idx"]) for f in Tables(spark, SF).fields.collect()}
+    got = [(r["doc_id"], r["ref_idx"]) for r in QUERIES[name](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_purchase_by_either_key_covers_every_job(spark):
+    t = Tables(spark, SF)
+    made = {p["purchase_id"]: p for p in t.purchases.collect()}
+    pairs = [(p["preview_job_id"], p) for p in made.values()] + [(r["job_id"], made[r["purchase_id"]]) for r in t.runs.collect()]
+    jobs, want = {j["job_id"] for j in t.part_jobs.collect()}, {}
+    for job, p in pairs:
+        if job in jobs:
+            want[job] = max(want.get(job, (p["created_at"], p["purchase_id"])), (p["created_at"], p["purchase_id"]))
+    got = {r["job_id"]: r["purchase_id"] for r in QUERIES["purchase_by_either_key_whole"](spark, SF).collect()}
+    assert got == {job: p for job, (_, p) in want.items()}
+
+
+def test_recovery_searches_the_whole_catalog(spark):
+    """Every title comes from part, so no reference is left to a manual search."""
+    got = QUERIES["recovery_rows_whole"](spark, SF).collect()
+    assert got and all(r["suggestion"] != "manual_search" for r in got)
