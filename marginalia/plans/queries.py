@@ -411,8 +411,7 @@ def keyword_overlap(t):
 
 @query()
 def citation_needed(t):
-    pages = t.benchmark.select(F.col("item_id"), F.concat(F.lit("Previous studies show that most factors matter. "), F.col("text"), F.lit(" Research shows 12 percent effect of use.")).alias("text"))
-    return C.citation_needed(pages, "item_id", "text")
+    return C.citation_needed(t.documents, "doc_id", "text")
 
 
 _SENT = r"""SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?]) ([A-Z0-9(])', '\1␞\2', 'g'), '␞')) AS s FROM {documents}"""

@@ -1,12 +1,15 @@
 """Registered queries without SQL against brute force over whole tables: no row is left out by its id."""
 
 import os
+import random
+import re
 import zlib
 
 import duckdb
 import pytest
 
 from marginalia.functions import similarity as S
+from marginalia.operators import claims as C
 from marginalia.plans import more_queries as _more  # noqa: F401
 from marginalia.plans import queries as _registered  # noqa: F401
 from marginalia.plans.registry import ORACLES, QUERIES, Tables
@@ -102,3 +105,30 @@ def test_recovery_searches_the_whole_catalog(spark):
     """Every title comes from part, so no reference is left to a manual search."""
     got = QUERIES["recovery_rows_whole"](spark, SF).collect()
     assert got and all(r["suggestion"] != "manual_search" for r in got)
+
+
+def brute_needed(text):
+    """sent_idx -> score of a document's sentences that need a citation, the first of equal ones."""
+    found, seen = {}, set()
+    marked = re.sub(r"([.!?]) ([A-Z0-9(])", "\\1\n\\2", re.sub(r"\s+", " ", text, flags=re.A))
+    for i, sentence in enumerate(marked.split("\n")):
+        low = sentence.strip().lower()
+        score = 0.15 + sum(w for w, pattern in C.NEEDED if re.search(pattern, low, re.A))
+        if re.search(r"\[[0-9]+\]|\((19|20)[0-9][0-9]\)|doi:\s*10\.", sentence):
+            score = 0.0
+        if round(min(score, 0.95), 2) >= 0.55 and low not in seen:
+            found[i] = round(min(score, 0.95), 2)
+            seen.add(low)
+    return found
+
+
+def test_citation_needed_scans_documents(spark, tmp_path):
+    rng = random.Random(3)
+    kinds = ("Plain words stand here.", "Previous studies show that most factors matter.", "Research shows a 12 percent effect of use!", "Research shows a 12 percent effect of use [4].", "Trust is defined as a widely used factor.", "It is known that trust affects 3 % of users?")
+    texts = {d: " ".join(rng.choice(kinds) + (f" Item {rng.randrange(9)} impacts many." if rng.random() < 0.3 else "") for _ in range(n)) for d, n in enumerate((0, 1, 5, 60, 400))}
+    texts[9] = "Plain words stand here. " * 5_000 + "Earlier studies suggest that use leads to 5 percent growth."
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, i): score for d, text in texts.items() for i, score in brute_needed(text).items()}
+    assert (9, 5_000) in want
+    got = {(r["doc_id"], r["sent_idx"]): r["score"] for r in QUERIES["citation_needed"](spark, str(tmp_path)).collect()}
+    assert got == want
