@@ -3,8 +3,9 @@
 Words of the whole corpus are counted, the most frequent ones are encoded once by exact merges and compiled into a
 minimal automaton that shares prefixes and suffixes: every transition carries the number of words it skips,
 so the sum along a word's path is its number, which leads to its ids. The compiled arrays are one byte
-string of bounded size that each worker memory-maps; all words of a piece of text walk it side by side.
-Words that it does not hold are merged by rank, through a bounded cache.
+string of bounded size, broadcast; the workers of an executor memory-map its one file of it, and all words of a piece
+of text walk it side by side. Words that it does not hold are merged by rank (long ones with a heap), through a bounded
+cache that compares the bytes of every word it finds.
 
 Defined results: null text counts as empty and has no ids. Special tokens' strings in a text become their ids, as
 the tokenizers library has it. Every row gets a row; ids may be null or repeat, columns beside id and text
@@ -13,28 +14,36 @@ are not read. An empty table gives no rows. Which words are compiled changes spe
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
+import pickle
 import re
-import tempfile
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.serializers import pickle_protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import most_frequent
-from marginalia.llm.textkernel import LETTER, NUMBER, WHITE, HashTable, classes_of, code_points, mix, pieces, point_values, ragged, slices, span_hashes
+from marginalia.llm.textkernel import LETTER, NUMBER, WHITE, SpanCache, classes_of, code_points, mix, pieces, ragged, slices, spare, span_hashes, utf8_places
 
 #: Words compiled into the transducer: bounds what is broadcast (about 16 MB).
 LEXICON = 1 << 16
-#: A partition reports words that it met so often at least.
+#: A worker reports words that it met so often at least.
 LEAST_COUNT = 3
-#: Words a counting worker holds before it lets go of those met once.
+#: Distinct words that a counting worker holds before it reports its sums so far and starts anew.
 COUNTED = 1 << 17
+#: Words of more bytes have no place in the transducer.
+LONGEST = 256
 #: Merged words that a worker keeps.
-CACHE = 1 << 18
+CACHE = 1 << 17
+#: Words of more bytes are merged with a heap.
+LONG_WORD = 48
 #: The contractions of the word pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -72,6 +81,8 @@ class Rules:
         """Ids of a word by exact merges in the order of rank."""
         parts = [self.letter[b] for b in word]
         parts[-1] += self.end
+        if len(parts) > LONG_WORD:
+            return [self.vocab[p] for p in self._merge_long(parts) if p in self.vocab]
         ranks = self.ranks
         while len(parts) > 1:
             best, at = None, -1
@@ -84,6 +95,27 @@ class Rules:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.vocab[p] for p in parts if p in self.vocab]
 
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same merges with a heap of pairs by rank and place over a linked list of the parts."""
+        ranks, n = self.ranks, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= n or parts[j] != right:  # merged meanwhile
+                continue
+            parts[i], parts[j], k = left + right, "", after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (r := ranks.get((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
+            if (h := before[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h, parts[h], parts[i]))
+        return [p for p in parts if p]
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -175,24 +207,42 @@ def compile_words(words: list[bytes], ids: list[list[int]]) -> bytes:
     counts = np.array([len(ids[i]) for i in order], np.int64)
     flat = np.array([x for i in order for x in ids[i]], np.int32)
     head = np.array([root, len(edges), size, len(words), len(flat)], np.int64)
-    return b"".join(a.tobytes() for a in (head, table, target, skipped, np.array(final, np.uint8), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), flat))
+    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    # wide numbers first, so that all stand at multiples of their width
+    return b" " * PAD + MAGIC + b"".join(a.tobytes() for a in (head, table, bounds, target, skipped, flat, np.array(final, np.uint8)))
 
 
-class Lexicon:
-    """A compiled transducer over a memory-mapped file of this worker; the name goes at once, the map stays."""
+#: The compiled form starts with this; spaces ahead of it bring it to a multiple of eight in a pickled file.
+MAGIC = b"lexicon1"
+PAD = -pickle.dumps(bytes(1 << 17), pickle_protocol).index(bytes(1 << 17)) % 8
+
 
-    def __init__(self, data: bytes):
-        fd, path = tempfile.mkstemp(suffix=".lexicon")
-        with os.fdopen(fd, "wb") as f:
-            f.write(data)
+def mapped(shared) -> np.ndarray:
+    """The bytes of a broadcast compiled form: the executor's file of the broadcast, memory-mapped by all of its workers.
+
+    Where there is no such file (an encrypted broadcast), the worker's own copy.
+    """
+    path = getattr(shared, "_path", None)
+    if path and os.path.exists(path):
         raw = np.memmap(path, np.uint8, "r")
-        os.unlink(path)
+        if MAGIC in raw[:256].tobytes():
+            return raw
+    return np.frombuffer(shared.value, np.uint8)
+
+
+class Lexicon:
+    """A compiled transducer over bytes, which may be a memory-mapped file."""
+
+    def __init__(self, data: bytes | np.ndarray):
+        raw = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else np.asarray(data)
+        at = raw[:256].tobytes().index(MAGIC) + len(MAGIC)
+        raw = raw[at:]
+        raw = raw.copy() if raw.ctypes.data % 8 else raw
         root, states, size, n, flat = raw[:40].view(np.int64).tolist()
         self.root, self.size, at = root, size, 40
-        for name, kind, length in (("table", np.int64, size), ("target", np.int32, size), ("skip", np.int32, size), ("final", np.uint8, states), ("bounds", np.int64, n + 1), ("ids", np.int32, flat)):
+        for name, kind, length in (("table", np.int64, size), ("bounds", np.int64, n + 1), ("target", np.int32, size), ("skip", np.int32, size), ("ids", np.int32, flat), ("final", np.uint8, states)):
             width = np.dtype(kind).itemsize * length
-            part = raw[at : at + width]
-            setattr(self, name, np.frombuffer(part, kind))
+            setattr(self, name, raw[at : at + width].view(kind))
             at += width
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -222,67 +272,35 @@ class Lexicon:
 
 
 class Encoder:
-    """Rules, lexicon and the cache of merged words of one worker."""
+    """Rules, lexicon and the cache of merged words of one task."""
 
-    def __init__(self, path: str, compiled: bytes):
+    def __init__(self, path: str, compiled: bytes | np.ndarray):
         self.rules, self.lexicon = Rules(path), Lexicon(compiled)
-        self._clear()
+        self.cache = SpanCache(CACHE)
         self.library = None
 
-    def _clear(self) -> None:
-        self.table, self.n, self.used = HashTable(16), 0, 0
-        self.first, self.counts, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        got = [self.rules.merge(w) for w in words]
-        counts = np.array([len(g) for g in got], np.int64)
-        flat = np.array([x for g in got for x in g], np.int32)
-        for name, need in (("first", self.n + len(words)), ("counts", self.n + len(words)), ("ids", self.used + len(flat))):
-            old = getattr(self, name)
-            if need > len(old):
-                new = np.zeros(max(need, 2 * len(old)), old.dtype)
-                new[: len(old)] = old
-                setattr(self, name, new)
-        self.first[self.n : self.n + len(words)] = self.used + np.cumsum(counts) - counts
-        self.counts[self.n : self.n + len(words)] = counts
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.table.put(keys, np.arange(self.n, self.n + len(words)))
-        self.n, self.used = self.n + len(words), self.used + len(flat)
-
     def _piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of normal texts joined, and each text's bounds in them."""
         points, off = code_points(texts)
         starts, ends = word_spans(points, off)
-        joined = "".join(texts)
-        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
         if len(data) == len(points):
             b_starts, b_ends = starts, ends
         else:
-            place = np.zeros(len(points) + 1, np.int64)
-            np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000), out=place[1:])
+            place = utf8_places(points)
             b_starts, b_ends = place[starts], place[ends]
         number = self.lexicon.find(data, b_starts, b_ends)
-        known = number >= 0
+        known, rare = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
         counts, first = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         first[known] = self.lexicon.bounds[number[known]]
         counts[known] = self.lexicon.bounds[number[known] + 1] - first[known]
-        rare = np.flatnonzero(~known)
         if len(rare):
-            if self.n > CACHE:
-                self._clear()
-            keys = span_hashes(point_values(points), starts[rare], ends[rare])
-            at = self.table.get(keys)
-            miss = np.flatnonzero(at < 0)
-            if len(miss):
-                new, one = np.unique(keys[miss], return_index=True)
-                one = rare[miss[one]]
-                raw = data.tobytes()
-                self._learn([raw[s:e] for s, e in zip(b_starts[one].tolist(), b_ends[one].tolist(), strict=True)], new)
-                at[miss] = self.table.get(keys[miss])
-            first[rare], counts[rare] = self.first[at], self.counts[at]
+            s, e = b_starts[rare], b_ends[rare]
+            found = self.cache.find(data, s, e, lambda new: [np.array(self.rules.merge(data[a:b].tobytes()), np.int32) for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            first[rare], counts[rare] = self.cache.first[found], self.cache.first[found + 1] - self.cache.first[found]
         ids = np.zeros(int(counts.sum()), np.int32)
         place = np.cumsum(counts) - counts
-        for own, source in ((np.flatnonzero(known), self.lexicon.ids), (rare, self.ids)):
+        for own, source in ((known, self.lexicon.ids), (rare, self.cache.ids)):
             ids[ragged(place[own], counts[own])] = source[ragged(first[own], counts[own])]
         return ids, np.concatenate([place, [len(ids)]])[np.searchsorted(starts, off, "left")]
 
@@ -317,43 +335,39 @@ class Encoder:
             low = stop + 1
 
 
-_kept: dict[tuple, Encoder] = {}
-
-
-def _encoder(path: str, data: bytes, mark: str) -> Encoder:
-    """The worker's encoder for this lexicon; an older one goes."""
-    if (path, mark) not in _kept:
-        _kept.clear()
-        _kept[path, mark] = Encoder(path, data)
-    return _kept[path, mark]
-
-
 # --- on Spark
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """word (UTF-8), n: counts over all documents, of words met LEAST_COUNT times in a partition at least."""
+    """word (UTF-8), n: counts over all documents, of words that a worker met LEAST_COUNT times at least since its last report."""
 
     def count(batches):
-        import pyarrow as pa
+        rules, counts = Rules(path), Counter()
+
+        def emit():
+            kept = [(w, c) for w, c in counts.items() if c >= LEAST_COUNT]
+            for low in range(0, len(kept), 50_000):
+                words, ns = zip(*kept[low : low + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64())], ["word", "n"])
+            counts.clear()
 
-        rules, counts, spelt = Rules(path), Counter(), {}
         for batch in (b for whole in batches for b in slices(whole)):
             texts = [rules.normal(t or "") for t in batch[0].to_pylist()]
             for a, b in pieces(np.array([len(t) for t in texts], np.int64)):
                 points, off = code_points(texts[a:b])
                 starts, ends = word_spans(points, off)
-                keys, first, n = np.unique(span_hashes(point_values(points), starts, ends), return_index=True, return_counts=True)
-                joined = "".join(texts[a:b])
-                for k, f, c in zip(keys.tolist(), first.tolist(), n.tolist(), strict=True):
-                    if k not in spelt:
-                        spelt[k] = joined[starts[f] : ends[f]]
-                    counts[k] += c
+                raw = "".join(texts[a:b]).encode("utf-8", "surrogatepass")
+                data = np.frombuffer(raw, np.uint8)
+                if len(data) != len(points):
+                    place = utf8_places(points)
+                    starts, ends = place[starts], place[ends]
+                short = np.flatnonzero(ends - starts <= LONGEST)
+                starts, ends = starts[short], ends[short]
+                _, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
+                for s, e, c in zip(starts[first].tolist(), ends[first].tolist(), n.tolist(), strict=True):
+                    counts[raw[s:e]] += c
             if len(counts) > COUNTED:
-                counts = Counter({k: c for k, c in counts.items() if c > 1})
-                spelt = {k: spelt[k] for k in counts}
-        kept = [(spelt[k].encode("utf-8", "surrogatepass"), c) for k, c in counts.items() if c >= LEAST_COUNT]
-        for low in range(0, len(kept), 50_000):
-            words, ns = zip(*kept[low : low + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64())], ["word", "n"])
+                yield from emit()
+        yield from emit()
+        spare()
 
     found = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "word binary, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -362,22 +376,18 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON) -> bytes:
     """The compiled transducer of the corpus' most frequent words; the driver gets at most words of them."""
     rules = Rules(path)
-    top = [bytes(w) for w in most_frequent(word_counts(docs, path, text_col), "word", "n", words)]
+    top = [bytes(w) for w, _ in most_frequent(word_counts(docs, path, text_col), "word", "n", words)]
     return compile_words(top, [rules.merge(w) for w in top])
 
 
 def encode_texts(docs: DataFrame, path: str, compiled: bytes | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """id, token_ids (binary: little-endian unsigned 32-bit ids), decoded (the decoded text), one row per document."""
-    import hashlib
-
     compiled = build_lexicon(docs, path, text_col) if compiled is None else compiled
-    mark, shared = hashlib.md5(compiled).hexdigest(), docs.sparkSession.sparkContext.broadcast(compiled)
+    shared = docs.sparkSession.sparkContext.broadcast(compiled)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import pyarrow as pa
-
-        enc = _encoder(path, shared.value, mark)
+        enc = Encoder(path, mapped(shared))
         for batch in (b for whole in batches for b in slices(whole)):
             ids, texts = batch[0], [t or "" for t in batch[1].to_pylist()]
             for a, b, tokens, bounds in enc.encode(texts):
@@ -386,6 +396,8 @@ def encode_texts(docs: DataFrame, path: str, compiled: bytes | None = None, id_c
                 if decode:
                     columns.append(pa.array([enc.rules.decode(r.tolist()) for r in raw], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "token_ids", "decoded"][: len(columns)])
+        del enc
+        spare()
 
     schema = f"id {kind}, token_ids binary" + ", decoded string" * decode
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -394,18 +406,10 @@ def encode_texts(docs: DataFrame, path: str, compiled: bytes | None = None, id_c
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
     """encoded with a column of decoded texts; null ids give null."""
 
-    @F.pandas_udf("string")
-    def text(ids):
-        rules = _rules(path)
-        return ids.map(lambda b: None if b is None else rules.decode(np.frombuffer(b, "<u4").tolist()))
+    @F.arrow_udf("string")
+    def text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rules = Rules(path)
+        for ids in parts:
+            yield pa.array([None if b is None else rules.decode(np.frombuffer(b, "<u4").tolist()) for b in ids.to_pylist()], pa.string())
 
     return encoded.withColumn(to, text(ids_col))
-
-
-_read: dict[str, Rules] = {}
-
-
-def _rules(path: str) -> Rules:
-    if path not in _read:
-        _read[path] = Rules(path)
-    return _read[path]

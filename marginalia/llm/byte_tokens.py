@@ -10,10 +10,10 @@ import os
 
 import numpy as np
 
-from marginalia.llm.textkernel import LETTER, OTHER, WHITE, HashTable, classes_of, code_points, pieces, point_values, ragged, span_hashes
+from marginalia.llm.textkernel import LETTER, WHITE, SpanCache, classes_of, code_points, pieces, utf8_places
 
 #: Distinct pre-tokens that a worker keeps.
-CACHE = 1 << 20
+CACHE = 1 << 18
 #: The contractions of the byte-level pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _APOSTROPHE, _BLANK = 0x27, 0x20
@@ -54,7 +54,7 @@ def token_bounds(points: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np
 
 
 class ByteTokens:
-    """Encoder of one tokenizer file; keep one per worker."""
+    """Encoder of one tokenizer file, with a cache; keep one per worker."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,63 +65,36 @@ class ByteTokens:
         self.byte_len = np.zeros(self.lib.get_vocab_size() + 1, np.int64)
         for token, i in self.lib.get_vocab(with_added_tokens=False).items():
             self.byte_len[i] = len(token)
-        self._clear()
+        self.cache = SpanCache(CACHE)
 
-    def _clear(self) -> None:
-        self.table = HashTable(16)
-        self.starts, self.counts, self.ids = (np.zeros(1 << 12, np.int64) for _ in range(3))
-        self.n = self.used = 0
-
-    def _learn(self, words: list[str], keys: np.ndarray) -> None:
-        """Encode unseen pre-tokens; those of a blank and letters are encoded in one string."""
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of unseen pre-tokens; those of a blank and letters are encoded in one string."""
         plain = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1 and w[1:].isalpha()]
         odd = np.setdiff1d(np.arange(len(words)), plain)
         got: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
         for low in range(0, len(plain), 4096):
             some = plain[low : low + 4096]
-            ids = np.array(self.lib.encode("".join(words[i] for i in some), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.lib.encode("".join(words[i] for i in some), add_special_tokens=False).ids, np.int32)
             ends = np.cumsum([len(words[i].encode()) for i in some])
             at = np.searchsorted(np.cumsum(self.byte_len[ids]), ends, "left") + 1
             for i, part in zip(some, np.split(ids, at[:-1]), strict=True):
                 got[i] = part
         if len(odd):
             for i, e in zip(odd, self.lib.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
-                got[i] = np.array(e.ids, np.int64)
-        counts = np.array([len(g) for g in got], np.int64)
-        flat = np.concatenate(got)
-        for name, need in (("starts", self.n + len(words)), ("counts", self.n + len(words)), ("ids", self.used + len(flat))):
-            old = getattr(self, name)
-            if need > len(old):
-                new = np.zeros(max(need, 2 * len(old)), np.int64)
-                new[: len(old)] = old
-                setattr(self, name, new)
-        self.starts[self.n : self.n + len(words)] = self.used + np.cumsum(counts) - counts
-        self.counts[self.n : self.n + len(words)] = counts
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.table.put(keys, np.arange(self.n, self.n + len(words)))
-        self.n += len(words)
-        self.used += len(flat)
+                got[i] = np.array(e.ids, np.int32)
+        return got
 
     def _piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, off = code_points(texts)
         kinds = classes_of(points)
         starts = token_bounds(points, off, kinds)
-        ends = np.append(starts[1:], len(points))
-        keys = span_hashes(point_values(points), starts, ends)
-        if self.n > CACHE:
-            self._clear()
-        at = self.table.get(keys)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            new, first = np.unique(keys[miss], return_index=True)
-            first = miss[first]
-            joined = "".join(texts)
-            self._learn([joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], new)
-            at[miss] = self.table.get(keys[miss])
-        counts = self.counts[at]
-        ids = self.ids[ragged(self.starts[at], counts)]
-        ahead = np.concatenate([[0], np.cumsum(counts)])
-        return ids, ahead[np.searchsorted(starts, off, "left")]
+        ends = np.append(starts[1:], len(points)) if len(starts) else starts
+        joined = "".join(texts)
+        data = np.frombuffer(joined.encode(), np.uint8)
+        place = np.arange(len(points) + 1) if len(data) == len(points) else utf8_places(points)
+        found = self.cache.find(data, place[starts], place[ends], lambda new: self._learn([joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
+        ids, counts = self.cache.gather(found)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, off, "left")]
 
     def _odd(self, text: str) -> bool:
         if any(s in text for s in self.specials):

@@ -1,33 +1,33 @@
 """Exact deduplication against immutable snapshots, screened by static binary-fuse filters.
 
-A snapshot is a Parquet table of distinct digests with their group facts, dealt into buckets, and for
+A snapshot is a Parquet table of distinct digests with their group facts, in a folder for each bucket of digests, and for
 each bucket a static 3-wise binary-fuse filter of 8-bit fingerprints (about 9 bits a digest, false positives 1/256,
-no false negatives). A new batch is grouped by digest on its own; its distinct digests meet only the filter of
-their bucket; negatives are new, positives join the snapshot's exact digests. In the end every document
-of a group of several is compared with the text of the one that stays, byte by byte.
+no false negatives). A new batch is grouped by digest on its own; its distinct digests meet only the filters of
+their bucket; negatives are new and become the batch's own snapshot, positives join the exact digests of their
+buckets and are kept beside them as increments. No snapshot is written twice; facts and increments meet once, at the
+end. Then the texts of every group of several are compared byte by byte.
 
 Defined results: null text counts as empty, and empty texts are equal. Texts are equal when identical after deleting
 all characters of ``[\\x20\\x09-\\x0D]``. Of equal texts the one with the most code points stays, then the smallest id,
-null ids last; repeated rows give a row each, and exactly one row of a group is kept. Columns beside id and
-text are not read. An empty table gives no rows.
+null ids last; repeated rows give a row each, and exactly one row of a group is kept. Ids are integers (an id of another
+type is an error). Columns beside id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import ASCII_SPACE, materialise
+from marginalia.llm.common import ASCII_SPACE, discard, materialise, materialise_by, split_join
 
 #: Digests of a bucket, about; and the least number of buckets.
-BUCKET_DIGESTS, LEAST_BUCKETS = 100_000, 256
-#: Rows of ids and digests up to this many (about 25 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 250_000
-#: Members of one group compared in one piece of the text join.
-GROUP_PIECE = 64
+BUCKET_DIGESTS, LEAST_BUCKETS = 250_000, 16
+#: Ids up to this many (under 10 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
 
 
 # --- the filter
@@ -91,7 +91,7 @@ def in_filter(keys: np.ndarray, seed: int, segment: int, segments: int, table: b
 # --- snapshots and batches
 @dataclass
 class Snapshot:
-    """groups(digest, bucket, key, size, best) and filters(bucket, seed, segment, segments, data), both in the shared folder."""
+    """groups(__digest, __size, __best, __key, __bucket) in a folder for each bucket, and filters(__bucket, ...); never changed."""
 
     groups: DataFrame
     filters: DataFrame
@@ -126,89 +126,122 @@ def _keyed(groups: DataFrame, buckets: int) -> DataFrame:
 
 
 def snapshot(groups: DataFrame) -> Snapshot:
-    """An immutable snapshot of distinct digests: the exact table and a filter for each bucket."""
-    groups = materialise(groups, "snapshot-groups")
+    """An immutable snapshot of distinct digests: the exact table and a filter for each bucket. groups: materialised."""
     buckets = max(LEAST_BUCKETS, groups.count() // BUCKET_DIGESTS)
+    held = materialise_by(_keyed(groups, buckets), "snapshot-groups", "__bucket")
 
-    def build(pdf):
-        import pandas as pd
+    def build(table):
+        import pyarrow as pa
 
-        seed, segment, segments, data = build_filter(np.unique(pdf["__key"].to_numpy().astype(np.uint64)))
-        return pd.DataFrame({"__bucket": [int(pdf["__bucket"].iloc[0])], "__seed": [seed], "__segment": [segment], "__segments": [segments], "__data": [data]})
+        seed, segment, segments, data = build_filter(np.unique(table["__key"].to_numpy().astype(np.uint64)))
+        return pa.table({"__bucket": pa.array(table["__bucket"][:1].to_pylist(), pa.int32()), "__seed": [seed], "__segment": pa.array([segment], pa.int32()), "__segments": pa.array([segments], pa.int32()), "__data": [data]})
 
     schema = "__bucket int, __seed bigint, __segment int, __segments int, __data binary"
-    filters = _keyed(groups, buckets).select("__bucket", "__key").groupBy("__bucket").applyInPandas(build, schema)
-    return Snapshot(groups, materialise(filters, "snapshot-filters"), buckets)
+    filters = held.select("__bucket", "__key").groupBy("__bucket").applyInArrow(build, schema)
+    return Snapshot(held, materialise(filters, "snapshot-filters"), buckets)
 
 
 def screen(groups: DataFrame, snap: Snapshot) -> DataFrame:
-    """Digests of groups that the snapshot's filters let through: all that it has, and 1 in 256 of the others."""
+    """__bucket and __digest of groups that the snapshot's filters let through: all that it has, and 1 in 256 of the others.
 
-    def ask(pdf, filters):
-        if not len(filters) or not len(pdf):
-            return pdf[[]].assign(__digest=[])[["__digest"]] if not len(pdf) else pdf.iloc[:0][["__digest"]]
-        f = filters.iloc[0]
-        hit = in_filter(pdf["__key"].to_numpy().astype(np.uint64), int(f["__seed"]), int(f["__segment"]), int(f["__segments"]), f["__data"])
-        return pdf.loc[hit, ["__digest"]]
+    A bucket's incoming digests are cut into pieces of about BUCKET_DIGESTS, each beside a copy of the filter.
+    """
+    pieces = max(1, -(-groups.count() // (snap.buckets * BUCKET_DIGESTS)))
+
+    def ask(incoming, filters):
+        import pyarrow as pa
 
-    incoming = _keyed(groups, snap.buckets).select("__bucket", "__key", "__digest")
-    return incoming.groupBy("__bucket").cogroup(snap.filters.groupBy("__bucket")).applyInPandas(ask, "__digest binary")
+        if filters.num_rows and incoming.num_rows:
+            f = filters.to_pylist()[0]
+            hit = in_filter(incoming["__key"].to_numpy().astype(np.uint64), f["__seed"], f["__segment"], f["__segments"], f["__data"])
+        else:
+            hit = np.zeros(incoming.num_rows, bool)
+        return incoming.select(["__bucket", "__digest"]).filter(pa.array(hit))
 
+    incoming = _keyed(groups, snap.buckets).select("__bucket", "__key", "__digest", F.pmod(F.hash("__digest"), F.lit(pieces)).alias("__piece"))
+    filters = snap.filters.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return incoming.groupBy("__bucket", "__piece").cogroup(filters.groupBy("__bucket", "__piece")).applyInArrow(ask, "__bucket int, __digest binary")
 
-def merge(snap: Snapshot, groups: DataFrame) -> DataFrame:
-    """The snapshot's groups and a batch's, each digest once: what the filters let through joins the exact digests."""
-    groups = materialise(groups, "batch-groups")
+
+def matches(groups: DataFrame, snap: Snapshot) -> DataFrame:
+    """The groups whose digest the snapshot has: what the filters let through joins the exact digests of its bucket."""
     maybe = materialise(screen(groups, snap), "batch-positives")
-    both = groups.join(maybe, "__digest", "left_semi").join(snap.groups.select("__digest", F.col("__size").alias("__was"), F.col("__best").alias("__old")), "__digest")
-    matched = materialise(both.select("__digest", (F.col("__size") + F.col("__was")).alias("__size"), F.greatest("__best", "__old").alias("__best")), "batch-matches")
-    names = ["__digest", "__size", "__best"]
-    kept = snap.groups.join(matched.select("__digest"), "__digest", "left_anti").select(*names)
-    new = groups.join(matched.select("__digest"), "__digest", "left_anti").select(*names)
-    return kept.unionByName(new).unionByName(matched.select(*names))
+    found = materialise(groups.join(maybe.join(snap.groups.select("__bucket", "__digest"), ["__bucket", "__digest"]).select("__digest"), "__digest", "left_semi"), "batch-matches")
+    discard(maybe)
+    return found
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame, key: str, how: str, n: int) -> DataFrame:
-    """docs joined with a table of ids: broadcast when it is short, else shuffled."""
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
+def stacked(batches: list[DataFrame]) -> DataFrame:
+    """Each digest of the batches once, with its size and best document: a stack of snapshots, one for each batch's new digests."""
+    names = ["__digest", "__size", "__best"]
+    snaps: list[Snapshot] = []
+    news, again = [], []
+    for k, rows in enumerate(batches):
+        groups = materialise(grouped(rows), "batch-groups")
+        met = [matches(groups, s) for s in snaps]
+        new = groups
+        for m in met:
+            new = new.join(m.select("__digest"), "__digest", "left_anti")
+        if k < len(batches) - 1:
+            new = materialise(new, "batch-new") if met else new
+            snaps.append(snapshot(new))
+        news.append(new.select(*names))
+        again += [m.select(*names) for m in met]
+    facts = reduce(DataFrame.unionByName, news)
+    if not again:
+        return facts
+    # new digests stand as they are; those that later batches held again take their increments
+    more = reduce(DataFrame.unionByName, again).groupBy("__digest").agg(F.sum("__size").alias("__more"), F.max("__best").alias("__other"))
+    size, best = F.col("__size") + F.coalesce("__more", F.lit(0)), F.greatest("__best", F.coalesce("__other", "__best"))
+    return facts.join(more, "__digest", "left").select("__digest", size.alias("__size"), best.alias("__best"))
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, key, how: str) -> DataFrame:
+    """docs joined with a materialised table of ids: broadcast when it is short, else shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """__id, __row, __n, __digest, __size, __best, __kept of every document, after byte checks; materialised.
 
-    The table arrives as batches (dealt by a hash of the id): the first becomes a snapshot, each later one is
-    screened against it and merged into the next snapshot.
+    The table arrives as batches (dealt by a hash of the id): each is screened against the snapshots before it, and what
+    is new becomes the next snapshot.
     """
     rows = materialise(digested(docs, id_col, text_col), "digests")
     batch = F.pmod(F.crc32(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")), F.lit(batches))
-    groups = grouped(rows.filter(batch == 0))
-    for b in range(1, batches):
-        groups = merge(snapshot(groups), grouped(rows.filter(batch == b)))
-    joined = rows.join(groups, "__digest").withColumn("__of", F.lit(0))
+    groups = materialise(stacked([rows.filter(batch == b) for b in range(batches)]), "groups")
+    joined = split_join(rows, groups.withColumn("__held", F.col("__size")), "__digest", "__held", rows.count()).withColumn("__of", F.lit(0))
     joined = materialise(joined.withColumn("__kept", (F.col("__best.row") == -F.col("__row"))), "classes")
     wrong = _unequal(docs, joined, id_col, text_col)
     if not wrong.isEmpty():  # two texts of one digest: their text itself parts them
-        joined = _parted(joined, wrong)
+        joined = _parted(docs, joined, wrong, id_col, text_col)
+    discard(rows, groups)
     return joined
 
 
+def _key(column):
+    return F.coalesce(column.cast("bigint"), F.lit(-(2**63)))
+
+
 def _unequal(docs: DataFrame, joined: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__id, __digest, __text of documents whose normalised text differs from that of the document that stays.
+    """Digests whose documents differ in their normalised text.
 
-    Only groups of several are read again. The text that stays is copied once for every GROUP_PIECE members,
-    so that a group of any size is compared in pieces of bounded size.
+    Only documents of groups of several are read again, found by id. A group's least and greatest text are compared;
+    every task sends one pair of them for a group, however many members it holds.
     """
-    several = joined.filter("__size > 1").select("__id", "__digest", "__size", "__kept", F.pmod(F.xxhash64("__row"), F.ceil(F.col("__size") / GROUP_PIECE)).cast("int").alias("__piece"))
-    texts = _by_ids(docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__i"), normal(F.col(text_col)).alias("__text")), several.withColumn("__i", F.coalesce(F.col("__id").cast("string"), F.lit(""))), "__i", "inner", several.count())
-    texts = texts.filter(F.unhex(F.sha2("__text", 256)) == F.col("__digest"))  # ids may repeat with other texts
-    pieces = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__size") / GROUP_PIECE) - 1).cast("int")))
-    stays = texts.filter("__kept").select("__digest", pieces.alias("__piece"), F.col("__text").alias("__stays")).dropDuplicates(["__digest", "__piece"])
-    return texts.join(stays, ["__digest", "__piece"]).filter(F.col("__text") != F.col("__stays")).select("__id", "__digest", "__text").distinct()
+    several = materialise(joined.filter("__size > 1").select(_key(F.col("__id")).alias("__i")), "several")
+    texts = _by_ids(docs.select(_key(F.col(id_col)).alias("__i"), normal(F.col(text_col)).alias("__text")), several, "__i", "left_semi")
+    ends = texts.groupBy(F.unhex(F.sha2("__text", 256)).alias("__digest")).agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"))
+    wrong = materialise(ends.filter("__low <> __high").select("__digest"), "collisions")
+    discard(several)
+    return wrong
 
 
-def _parted(joined: DataFrame, wrong: DataFrame) -> DataFrame:
+def _parted(docs: DataFrame, joined: DataFrame, wrong: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Groups of a digest shared by different texts, parted by text."""
-    wrong = materialise(wrong, "collisions").withColumnRenamed("__digest", "__d").withColumnRenamed("__id", "__i")
-    marked = joined.drop("__size", "__best", "__kept", "__of").join(wrong, (F.col("__digest") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left").drop("__d", "__i")
+    texts = docs.select(F.col(id_col).alias("__i"), normal(F.col(text_col)).alias("__text")).withColumn("__d", F.unhex(F.sha2("__text", 256)))
+    texts = texts.join(wrong.withColumnRenamed("__digest", "__d"), "__d", "left_semi").distinct()
+    marked = joined.drop("__size", "__best", "__kept", "__of").join(texts, (F.col("__digest") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i")), "left").drop("__d", "__i")
     marked = materialise(marked, "parted")
     groups = marked.groupBy("__digest", F.coalesce("__text", F.lit("")).alias("__of")).agg(F.count(F.lit(1)).alias("__size"), _best().alias("__best"))
     out = marked.withColumn("__of", F.coalesce("__text", F.lit(""))).drop("__text").join(groups, ["__digest", "__of"])
@@ -225,19 +258,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """docs, all columns, without the documents that an equal one stays for.
 
-    Dropped rows are taken out by id and digest, by a broadcast while they are few; should ids repeat, rows equal
-    in id and digest are reduced to one.
+    Dropped rows are taken out by id. Where ids repeat, the digest joins the id, and rows equal in both are reduced to one.
     """
     found = classes(docs, id_col, text_col, batches)
-    dropped = found.filter(~F.col("__kept")).select(F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__i"), F.col("__digest").alias("__d"))
-    stays = found.filter("__kept").select(F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__i"), F.col("__digest").alias("__d"))
-    twice = dropped.join(stays, ["__i", "__d"], "left_semi").distinct()  # a repeated row: the same id and text as the one that stays
-    columns, rows = docs.columns, docs.withColumn("__i", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    n_dropped, n_twice = dropped.count(), twice.count()
-    gone = dropped if not n_twice else dropped.join(twice, ["__i", "__d"], "left_anti")
-    rows = rows.withColumn("__d", F.unhex(F.sha2(normal(F.col(text_col)), 256)))
-    rows = _by_ids(rows, gone.distinct(), ["__i", "__d"], "left_anti", n_dropped)
-    if n_twice:
-        again = _by_ids(rows, twice, ["__i", "__d"], "left_semi", n_twice).dropDuplicates(["__i", "__d"])
-        rows = _by_ids(rows, twice, ["__i", "__d"], "left_anti", n_twice).unionByName(again)
-    return rows.select(*columns)
+    key = _key(F.col(id_col))
+    if found.groupBy("__id").count().filter("count > 1").isEmpty():
+        gone = materialise(found.filter(~F.col("__kept")).select(_key(F.col("__id")).alias("__i")), "dropped")
+        return _by_ids(docs.withColumn("__i", key), gone, "__i", "left_anti").select(*docs.columns)
+    named = found.select(_key(F.col("__id")).alias("__i"), F.col("__digest").alias("__d"), "__kept")
+    dropped, stays = named.filter(~F.col("__kept")).drop("__kept").distinct(), named.filter("__kept").drop("__kept")
+    twice = materialise(dropped.join(stays, ["__i", "__d"], "left_semi"), "repeated")  # the same id and text as the one that stays
+    gone = materialise(dropped.join(twice, ["__i", "__d"], "left_anti"), "dropped")
+    rows = docs.withColumn("__i", key).withColumn("__d", F.unhex(F.sha2(normal(F.col(text_col)), 256)))
+    rows = _by_ids(rows, gone, ["__i", "__d"], "left_anti")
+    again = _by_ids(rows, twice, ["__i", "__d"], "left_semi").dropDuplicates(["__i", "__d"])
+    return _by_ids(rows, twice, ["__i", "__d"], "left_anti").unionByName(again).select(*docs.columns)

@@ -86,7 +86,8 @@ def mix_sources(
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
         joined = keyed.join(salted, (keyed["__salt"] == salted["__salt"]) & keyed["__s"].eqNullSafe(salted["__s"]))
-    draw = lambda i: F.size(F.filter(F.col("__cdf"), lambda c: c <= _uniform(seed, F.col(id_col), i)))
+    # the number is bound once: inside the inner function it would be hashed again for each entry
+    draw = lambda i: F.transform(F.array(_uniform(seed, F.col(id_col), i)), lambda u: F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))[0]
     one = draw(F.lit(1))
     many = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda a, i: a + draw(i))
     count = F.when(F.col("__draws") == 1, one).otherwise(many)

@@ -1,7 +1,8 @@
 """N-gram Jaccard join over tries of globally ordered shingle sets.
 
-1. Every document becomes the set of its distinct word shingles, 63-bit hashes. Shingles that many documents
-   share get numbers above all others, by count; so the numeric order is a global order, rarest first.
+1. Every document becomes the set of its distinct word shingles, 63-bit hashes under a random key of the run, so that no
+   text can be made to collide with another. Shingles that many documents share get numbers above all others,
+   by count; so the numeric order is a global order, rarest first.
 2. Documents with equal sets form one class. A class shows the first ``n - ceil(t n) + 1`` shingles of its set: two sets
    within the threshold share one of them at least, so classes that share none need not meet.
 3. Of the classes that show a shingle, and have a partner of like size there, the most connected one leads; a group is a leader with all classes that show a
@@ -21,16 +22,16 @@ id in it, null if all are null. Columns beside id and text are not read. An empt
 from __future__ import annotations
 
 import hashlib
-from math import ceil
+import secrets
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.llm.common import materialise, most_frequent
+from marginalia.llm.common import discard, hot_rows, materialise, most_frequent, split_join
 from marginalia.llm.components import components
-from marginalia.llm.textkernel import HashTable, ascii_words, buffers, byte_values, mix, pieces, ragged, span_hashes
+from marginalia.llm.textkernel import HashTable, ascii_words, buffers, mix, pieces, spare, span_hashes
 
 #: Shingles with a place of their own in the global order, at most (16 bytes each, broadcast); all others follow their
 #: hash. The number changes how many sets meet, never which are linked.
@@ -41,17 +42,21 @@ GROUP = 1 << 20
 CELLS = 1 << 25
 #: Tokens of an edge between two looks at the bounds.
 EDGE = 64
-#: Ids up to this many are broadcast to the scan that makes sets; more are joined by a shuffle.
-BROADCAST_IDS = 250_000
+#: Shingles that a counting worker holds at once.
+COUNTED = 1 << 21
+#: Classes of a group that are screened against each other; larger groups go to the trie as they are.
+SCREENED = 4096
+#: Ids, and keys listed beside them, up to this many (about 10 MB) are broadcast to a scan; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
 TOP = np.uint64(1 << 63)
 
 
 # --- sets
-def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int):
-    """Yields the sorted distinct 63-bit shingle hashes of each text raw[off[i]:off[i+1]]."""
+def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int, key: int = 0):
+    """Yields the sorted distinct 63-bit shingle hashes, under a key, of each text raw[off[i]:off[i+1]]."""
     for a, b in pieces(np.diff(off)):
         data, starts, ends, text = ascii_words(raw, off[a : b + 1])
-        tokens = span_hashes(byte_values(data), starts, ends)
+        tokens = span_hashes(data, starts, ends, key)
         counts = np.bincount(text, minlength=b - a) if len(text) else np.zeros(b - a, np.int64)
         h = np.zeros(max(len(tokens) - words + 1, 0), np.uint64)
         with np.errstate(over="ignore"):
@@ -70,16 +75,20 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int):
 
 
 class Order:
-    """The global order: common shingles, given from the rarest to the most frequent, come after all others."""
+    """The global order: common shingles, given from the rarest to the most frequent, come after all others. key: of the hashes."""
 
-    def __init__(self, common: np.ndarray):
-        self.common, self.table = common, None
+    def __init__(self, common: np.ndarray, key: int):
+        self.common, self.key, self.table = common, key, None
 
     def __getstate__(self):
-        return self.common
+        return self.common, self.key
 
     def __setstate__(self, state):
-        self.__init__(state)
+        self.__init__(*state)
+
+    def sets(self, column, words: int):
+        """Shingle sets of an Arrow column of texts."""
+        return shingle_sets(*buffers(column), words, self.key)
 
     def place(self, shingles: np.ndarray) -> np.ndarray:
         """Shingles as numbers of the global order, sorted."""
@@ -116,9 +125,10 @@ def may_link(sizes: np.ndarray, histograms: list[bytes], percent: int) -> np.nda
     rows = [np.frombuffer(h, np.uint8) for h in histograms]
     full = np.array([bool((r == 255).any()) for r in rows])
     for w in np.unique(width).tolist():
-        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        own = np.flatnonzero(width == w)
+        wider = np.flatnonzero((width > w) & (sizes * percent <= 100 * sizes[own].max()))
         others = np.concatenate([own, wider])
-        table = np.stack([rows[i].astype(np.int16) if width[i] == w else rows[i].astype(np.int16).reshape(-1, 2).sum(1) for i in others])
+        table = np.stack([rows[i].astype(np.int32).reshape(w, -1).sum(1) for i in others])
         order = np.argsort(sizes[others], kind="stable")
         others, table = others[order], table[order]
         reach = np.searchsorted(sizes[others] * percent, sizes[own] * 100, "right")
@@ -211,38 +221,36 @@ def _scan(docs: DataFrame, function, schema: str) -> DataFrame:
     return docs.mapInArrow(function, schema)
 
 
-def common_shingles(texts: DataFrame, words: int, most: int = COMMON) -> np.ndarray:
-    """The corpus' most frequent shingles, from the rarest to the most frequent; counts cover every document.
+def common_shingles(texts: DataFrame, words: int, key: int, most: int = COMMON) -> list[tuple[int, int]]:
+    """The corpus' most frequent shingles with their counts, from the most frequent on; counts cover every document.
 
-    A task reports shingles that several of its documents hold; the driver gets at most most of the sums.
+    A worker reports shingles that it met in several of the documents it holds at once; the driver gets at most most of
+    the sums.
     """
 
     def count(batches):
         import pyarrow as pa
 
-        held, more = [], {}
+        held, size = [], 0
 
-        def squeeze():
-            if held:
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                for k, c in zip(keys[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                    more[k] = more.get(k, 0) + c
+        def emit():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], ["s", "n"])
 
-        size = 0
         for batch in batches:
-            for s in shingle_sets(*buffers(batch["__text"]), words):
+            for s in shingle_sets(*buffers(batch["__text"]), words, key):
                 held.append(s)
                 size += len(s)
-                if size > 4 * GROUP:
-                    squeeze()
+                if size > COUNTED:
+                    yield emit()
                     size = 0
-        squeeze()
-        if more:
-            yield pa.RecordBatch.from_arrays([pa.array(list(more), pa.int64()), pa.array(list(more.values()), pa.int64())], ["s", "n"])
+        if held:
+            yield emit()
+        spare()
 
     found = _scan(texts.select("__text"), count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COMMON)
-    return np.array(most_frequent(found, "s", "n", most)[::-1], np.uint64)
+    return most_frequent(found, "s", "n", most)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -265,14 +273,17 @@ def shingled(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
                 shown_ = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64), pa.int64()))
                 return pa.RecordBatch.from_arrays([ids.slice(low, len(rows)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), shown_], ["__id", "n", "class", "counts", "shown"])
 
-            for s in shingle_sets(*buffers(batch["__text"]), words):
+            size = 0
+            for s in order.value.sets(batch["__text"], words):
                 placed = order.value.place(s)
                 rows.append((len(s), _digest(s), histogram(s), placed[: shown(len(s), percent)] if len(s) else s))
-                if len(rows) == 2000:
+                size += len(s)
+                if len(rows) == 2000 or size > GROUP:
                     yield flush(low, rows)
-                    low, rows = low + len(rows), []
+                    low, rows, size = low + len(rows), [], 0
             if rows:
                 yield flush(low, rows)
+        spare()
 
     return _scan(texts, run, "__id bigint, n bigint, class binary, counts binary, shown array<bigint>")
 
@@ -285,7 +296,7 @@ def _sets(texts: DataFrame, placed: DataFrame, classes: DataFrame, order, words:
     """
     wanted = placed.groupBy("class").agg(F.collect_list(F.struct("key", "asks")).alias("to"), F.min("label").alias("label"))
     wanted = materialise(wanted.join(classes.select("class", F.coalesce("__id", F.lit(-(2**63))).alias("__i")), "class"), "wanted")
-    n = wanted.count()
+    n = wanted.agg(F.coalesce(F.sum(F.size("to")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     docs = texts.withColumn("__i", F.coalesce("__id", F.lit(-(2**63)))).join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "__i")
 
     def run(batches):
@@ -299,7 +310,7 @@ def _sets(texts: DataFrame, placed: DataFrame, classes: DataFrame, order, words:
                 part = batch.take(pa.array([i for i, _ in held], pa.int64()))
                 return pa.RecordBatch.from_arrays([part["class"], part["to"], part["label"], pa.array([x for _, x in held], pa.binary())], ["class", "to", "label", "set"])
 
-            for i, s in enumerate(shingle_sets(*buffers(batch["__text"]), words)):
+            for i, s in enumerate(order.value.sets(batch["__text"], words)):
                 if _digest(s) == expected[i]:  # an id may repeat with another text
                     held.append((i, order.value.place(s).tobytes()))
                     low += len(s)
@@ -308,6 +319,7 @@ def _sets(texts: DataFrame, placed: DataFrame, classes: DataFrame, order, words:
                     held, low = [], 0
             if held:
                 yield flush()
+        spare()
 
     made = docs.select("__text", "class", "to", "label").mapInArrow(run, "class binary, to array<struct<key:string,asks:boolean>>, label binary, set binary")
     return made.select("class", "label", "set", F.inline("to"))
@@ -375,45 +387,83 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.select("key", "class", "set", "label", "asks").mapInArrow(run, "u binary, v binary")
 
 
+def _with_partners(tokens: DataFrame, percent: int) -> DataFrame:
+    """token, class, n, c (rows of the token that stay) of tokens(class, n, token, early) with a partner of like size."""
+    by_size = W.partitionBy("token").orderBy("n", "class")
+    ahead = F.lead("n").over(by_size)
+    behind = F.max(F.when(F.col("early"), F.col("n"))).over(by_size.rowsBetween(W.unboundedPreceding, -1))
+    marked = tokens.withColumn("ahead", ahead).withColumn("behind", behind)
+    near = (F.col("early") & (F.col("n") * 100 >= F.col("ahead") * percent)) | (F.col("behind") * 100 >= F.col("n") * percent)
+    return marked.filter(near).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("token"))).select("token", "class", "n", "c")
+
+
+def _with_partners_hot(tokens: DataFrame, percent: int) -> DataFrame:
+    """The same for hot tokens, of which there are few: sizes are summed up first, so no task gets all rows of a token.
+
+    Rows of equal size are partners of each other here, whatever their order.
+    """
+    sizes = tokens.groupBy("token", "n").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("early").cast("bigint")).alias("e"))
+    by_size = W.partitionBy("token").orderBy("n")
+    behind = F.max(F.when(F.col("e") > 0, F.col("n"))).over(by_size.rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.withColumn("ahead", F.lead("n").over(by_size)).withColumn("behind", behind)
+    up = F.coalesce((F.col("k") > 1) | (F.col("n") * 100 >= F.col("ahead") * percent), F.lit(False))
+    down = F.coalesce(F.col("behind") * 100 >= F.col("n") * percent, F.lit(False))
+    # rows of this size that stay: early ones for what is ahead, all for what is behind, and for another early one of their size
+    early_stays = up | down | (F.col("e") > 1)
+    late_stays = down | (F.col("e") > 0)
+    stay = F.when(early_stays, F.col("e")).otherwise(0) + F.when(late_stays, F.col("k") - F.col("e")).otherwise(0)
+    sizes = materialise(sizes.select("token", "n", early_stays.alias("es"), late_stays.alias("ls"), F.sum(stay).over(W.partitionBy("token")).alias("c")), "hot-sizes")
+    facts = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    return tokens.join(facts, ["token", "n"]).filter(F.when(F.col("early"), F.col("es")).otherwise(F.col("ls"))).select("token", "class", "n", "c")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable by links of Jaccard percent / 100 or more)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    order = docs.sparkSession.sparkContext.broadcast(Order(common_shingles(texts, words)))
+    key_ = secrets.randbits(64)
+    common = common_shingles(texts, words, key_)
+    order = docs.sparkSession.sparkContext.broadcast(Order(np.array([s for s, _ in common[::-1]], np.uint64), key_))
     rows = materialise(shingled(texts, order, words, percent), "shingled")
-    classes = materialise(rows.filter("n > 0").groupBy("class").agg(F.min("__id").alias("__id"), F.max("n").alias("n"), F.first("counts").alias("counts")), "set-classes")
+    total = rows.count()
+    classes = materialise(rows.filter("n > 0").groupBy("class").agg(F.min("__id").alias("__id"), F.max("n").alias("n"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies")), "set-classes")
     # one showing of each class: copies of a set are dropped by id, by a broadcast while they are few
-    copies = rows.filter("n > 0").select("__id", "class").join(classes.select("class", F.col("__id").alias("__least")), "class").filter("not (__id <=> __least)").select("__id", "class")
-    n_copies = copies.count()
-    firsts = rows.filter("n > 0").join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, ["__id", "class"], "left_anti")
+    least = classes.filter("copies > 1").select("class", F.col("__id").alias("__least"), "copies")
+    copies = materialise(split_join(rows.filter("n > 0").select("__id", "class"), least, "class", "copies", total).filter("not (__id <=> __least)").select("__id", "class"), "copies")
+    firsts = rows.filter("n > 0").join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["__id", "class"], "left_anti")
     # Of a linked pair, the first shingle in common stands early in the smaller set (a short way, "early") and in what the
     # larger one shows, and their sizes are within the percentage; rows of a shingle without such a partner go.
     early = F.col("at") < F.col("n") - F.ceil(F.lit(2.0) * percent * F.col("n") / (100 + percent) - 1e-9) + 1
     tokens = firsts.select("class", "n", F.posexplode("shown").alias("at", "token")).select("class", "n", "token", early.alias("early"))
-    by_size = W.partitionBy("token").orderBy("n", "class")
-    ahead = F.lead("n").over(by_size)
-    behind = F.max(F.when(F.col("early"), F.col("n"))).over(by_size.rowsBetween(W.unboundedPreceding, -1))
-    marked = tokens.withColumn("ahead", ahead).withColumn("behind", behind)
-    near = (F.col("early") & (F.col("n") * 100 >= F.col("ahead") * percent)) | (F.col("behind") * 100 >= F.col("n") * percent)
-    kept = marked.filter(near).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("token")))
-    shared = materialise(kept.select("token", "class", "n", "c"), "shared-shingles")
+    hot = sum(n >= hot_rows(total) for _, n in common)
+    # a shingle's place in the order tells whether it is hot: numbers from 2**63 on, negative as signed ones, are common
+    is_hot = (F.col("token") < 0) & (F.col("token") >= F.lit(len(common) - hot - 2**63))
+    shared = _with_partners(tokens.filter(~is_hot) if hot else tokens, percent)
+    if hot:
+        shared = shared.unionByName(_with_partners_hot(tokens.filter(is_hot), percent))
+    shared = materialise(shared, "shared-shingles")
+    discard(copies)
 
     # the most connected class that shows a shingle leads it
     reach = shared.groupBy("class").agg(F.sum("c").alias("reach"))
-    placed = shared.join(reach, "class").select("token", "class", "n", F.struct("reach", "class").alias("rank"))
-    leads = placed.groupBy("token").agg(F.max("rank").alias("top")).select("token", F.col("top.class").alias("leader"))
-    members = materialise(placed.join(leads, "token").select("leader", "class", "n").distinct(), "members")
+    placed = materialise(shared.join(reach, "class").select("token", "class", "n", F.struct("reach", "class").alias("rank")), "placed-shingles")
+    discard(shared)
+    leads = placed.groupBy("token").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("k")).select("token", F.col("top.class").alias("leader"), "k")
+    members = materialise(split_join(placed, leads, "token", "k", placed.count()).select("leader", "class", "n").distinct(), "members")
+    discard(placed)
     totals = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("blocks", F.ceil(F.col("total") / GROUP).cast("int"))
-    members = members.join(totals.select("leader", "blocks"), "leader")
+    totals = totals.select("leader", "blocks", (F.col("k") <= SCREENED).alias("screened"), "k")
+    members = split_join(members, totals, "leader", "k", members.count())
     members = materialise(members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "blocks")
 
     is_leader = F.col("class") == F.col("leader")
     every = F.when(is_leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    inside = members.select("leader", "class", "blocks", F.explode(every).alias("block"))
+    inside = members.select("leader", "class", "blocks", "screened", F.explode(every).alias("block"))
     key = lambda *c: F.md5(F.concat_ws(":", F.hex("leader"), *c))
-    # a group in one block is screened by histograms first, so that only sets with a likely partner are made; the members of
-    # a group in several blocks may find theirs in another one and stay
-    whole = members.filter("blocks = 1").select(key("block").alias("key"), "class").join(classes.select("class", "n", "counts"), "class")
-    asked = _screened(whole, percent).unionByName(inside.filter("blocks > 1").select(key("block").alias("key"), "class"))
+    # a small group in one block is screened by histograms first, so that only sets with a likely partner are made; the
+    # members of a group in several blocks may find theirs in another one and stay
+    screened = (F.col("blocks") == 1) & F.col("screened")
+    whole = members.filter(screened).select(key("block").alias("key"), "class").join(classes.select("class", "n", "counts"), "class")
+    asked = _screened(whole, percent).unionByName(inside.filter(~screened).select(key("block").alias("key"), "class"))
     asked = asked.select("key", "class", F.col("class").alias("label"), F.lit(True).alias("asks"))
     links = materialise(_links(_sets(texts, asked, classes, order, words), percent), "links")
     found = components(links)
@@ -422,10 +472,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not split.isEmpty():
         found = materialise(found, "components")
         named = split.join(found.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        # every leader here has more than GROUP shingles below it, so these tables are short
         home = named.filter(is_leader).select("leader", F.col("label").alias("home"))
-        named = materialise(named.join(home, "leader").withColumn("out", F.col("label") != F.col("home")), "split-members")
+        named = materialise(named.join(F.broadcast(home), "leader").withColumn("out", F.col("label") != F.col("home")), "split-members")
         load = named.filter("out").groupBy("leader").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("rounds"))
-        named = named.join(load, "leader")
+        named = named.join(F.broadcast(load), "leader")
         turn = F.pmod(F.xxhash64("class", F.lit("turn")), F.col("rounds")).cast("int")
         queries = named.filter("out").withColumn("turn", turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
         answers = named.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("asks", F.lit(False))
@@ -434,7 +485,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         links = materialise(links.unionByName(_links(_sets(texts, across, classes, order, words), percent)), "links")
         found = components(links)
 
-    named = materialise(rows.select("__id", "n", "class").join(found.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "labelled")
-    least = named.filter("n > 0").groupBy("label").agg(F.min("__id").alias("component_id"))
-    whole = named.filter("n > 0").join(least, "label").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return whole.unionByName(named.filter("n = 0").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.col("__id").alias("component_id")))
+    # class by class first: the label, the least id of all classes of the label; then once for every row
+    named = classes.select("class", "__id", "copies").join(found.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = materialise(named, "labelled")
+    least = named.groupBy("label").agg(F.min("__id").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    owned = materialise(split_join(named, least, "label", "k", named.count()).select("class", "component_id", "copies"), "class-components")
+    order.destroy()
+    discard(members, links, named, classes)
+    whole = split_join(rows.filter("n > 0").select("__id", "n", "class"), owned, "class", "copies", total).select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return whole.unionByName(rows.filter("n = 0").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.col("__id").alias("component_id")))

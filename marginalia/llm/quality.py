@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.textkernel import ascii_words, buffers, byte_values, mix, pieces, span_hashes
+from marginalia.llm.textkernel import ascii_words, buffers, mix, pieces, spare, span_hashes
 from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainder, sigmoid
 
 #: Words of a passage.
@@ -66,7 +66,7 @@ def passages(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     distinct = np.ones(len(begin), np.float32)
     if len(starts):
         home = bounds[text] + rank // PASSAGE
-        marks = mix(home.astype(np.uint64)) ^ span_hashes(byte_values(lower), starts, ends)
+        marks = mix(home.astype(np.uint64)) ^ span_hashes(lower, starts, ends)
         _, first = np.unique(marks, return_index=True)
         all_words = np.bincount(home, minlength=len(begin))
         distinct = (np.bincount(home[first], minlength=len(begin)) / np.maximum(all_words, 1)).astype(np.float32)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe_lexicon import encode_texts
+from marginalia.llm.common import materialise
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.language_id import identify
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.ngram_join import similar_documents
 from marginalia.llm.quality import score_quality
-from marginalia.llm.simhash import edited_fingerprints
+from marginalia.llm.simhash import edited_fingerprints, near_counts
 from marginalia.llm.token_file import token_offsets
 from marginalia.llm.toxicity import score_toxicity
 from marginalia.llm.url_filters import filter_urls
@@ -67,7 +68,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints of all documents; near_documents: for ids divisible by 50, the documents within Hamming radius 3."""
+    prints = materialise(edited_fingerprints(table(spark, sf_dir, "documents")), "prints")
+    return near_counts(prints, F.col("doc_id") % 50 == 0)
 
 
 def tokenizer_path(name: str) -> str:

@@ -5,31 +5,14 @@ Everything works on whole texts in pieces of bounded size, so memory does not fo
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import unicodedata
 
 import numpy as np
 
 #: Code points (or bytes) handled at once; a single longer text makes a piece of its own.
-PIECE = 1 << 20
-
-_rng = np.random.RandomState(20240229)
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE_VALUES = (_rng.randint(1, 1 << 31, 256).astype(np.uint64) << np.uint64(32)) | _rng.randint(1, 1 << 31, 256).astype(np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each; kept for the next call."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
+PIECE = 1 << 18
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit numbers."""
@@ -41,26 +24,65 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], equal for equal spans wherever they stand. values: uint64, not 0."""
-    n = len(values)
-    up, down = _power_tables(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * up[:n], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Spans of more bytes are hashed by BLAKE2b.
+LONG = 64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
 
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The little-endian 64-bit number that starts at each byte (zeros beyond the end), and one more at the end."""
+    padded = np.concatenate([raw, np.zeros(9, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
 
-def byte_values(raw: np.ndarray) -> np.ndarray:
-    return _BYTE_VALUES[raw]
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes raw[start:end], equal for equal spans wherever they stand.
 
-def point_values(points: np.ndarray) -> np.ndarray:
-    """Hash values of code points."""
+    Eight bytes at a time are mixed into a state. Who does not know the key cannot make two spans collide, so callers that
+    decide by hashes alone take a random one; the others compare the bytes of spans that a hash brings together.
+    """
+    n = ends - starts
+    at, salt = lanes(raw), np.uint64(key & (1 << 64) - 1)
     with np.errstate(over="ignore"):
-        x = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
+        h = mix((at[starts] & _FIRST[np.minimum(n, 8)]) ^ mix(n.astype(np.uint64) + salt))
+        some, done = np.flatnonzero((n > 8) & (n <= LONG)), 8
+        while len(some):
+            lane = at[starts[some] + done] & _FIRST[np.minimum(n[some] - done, 8)]
+            h[some] = mix((h[some] + salt) * _ODD ^ lane)
+            done += 8
+            some = some[n[some] > done]
+    secret = int(salt).to_bytes(8, "little")
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return h
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes a[a_start:a_end] and b[b_start:b_end] are the same, pair by pair."""
+    n = a_ends - a_starts
+    same = n == b_ends - b_starts
+    left, right, some, done = lanes(a), lanes(b), np.flatnonzero(same & (n <= LONG)), 0
+    while len(some):
+        differs = (left[a_starts[some] + done] ^ right[b_starts[some] + done]) & _FIRST[np.minimum(n[some] - done, 8)] != 0
+        same[some[differs]] = False
+        done += 8
+        some = some[~differs & (n[some] > done)]
+    for i in np.flatnonzero(same & (n > LONG)).tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_ends[i]], b[b_starts[i] : b_ends[i]])
+    return same
+
+
+def spare() -> None:
+    """Hand memory that a task no longer needs back to the system: workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(sizes: np.ndarray, most: int = PIECE):
@@ -75,12 +97,9 @@ def pieces(sizes: np.ndarray, most: int = PIECE):
 
 
 def slices(batch, rows: int = 512):
-    """A record batch in slices of few rows, so that Python strings exist for one slice at a time; spare memory goes back after it."""
-    import pyarrow as pa
-
+    """A record batch in slices of few rows, so that Python strings exist for one slice at a time."""
     for low in range(0, batch.num_rows, rows):
         yield batch.slice(low, rows)
-    pa.default_memory_pool().release_unused()
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +223,72 @@ class HashTable:
             at[left] = (at[left] + 1) & mask
 
 
+def utf8_places(points: np.ndarray) -> np.ndarray:
+    """Byte offset of each code point in UTF-8, and the end."""
+    place = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000), out=place[1:])
+    return place
+
+
+def _longer(a: np.ndarray, need: int) -> np.ndarray:
+    """a, or a copy with room for need entries at least."""
+    if need <= len(a):
+        return a
+    new = np.zeros(max(need, 2 * len(a)), a.dtype)
+    new[: len(a)] = a
+    return new
+
+
+class SpanCache:
+    """Token ids of byte spans met before: found by hash, confirmed by their bytes, bounded in entries and bytes.
+
+    ids[first[i]:first[i + 1]] are the ids of entry i, text[at[i]:at[i + 1]] its bytes.
+    """
+
+    def __init__(self, entries: int, size: int = 1 << 24):
+        self.entries, self.size = entries, size
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.n = HashTable(16), 0
+        self.first, self.at = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.text = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.uint8)
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, got: list) -> np.ndarray:
+        """Entry numbers of new spans with their ids."""
+        k, n = len(starts), self.n
+        sizes, counts = ends - starts, np.array([len(g) for g in got], np.int64)
+        self.first, self.at = _longer(self.first, n + k + 1), _longer(self.at, n + k + 1)
+        self.first[n + 1 : n + k + 1], self.at[n + 1 : n + k + 1] = self.first[n] + np.cumsum(counts), self.at[n] + np.cumsum(sizes)
+        self.ids, self.text = _longer(self.ids, int(self.first[n + k])), _longer(self.text, int(self.at[n + k]))
+        self.ids[self.first[n] : self.first[n + k]] = np.concatenate(got)
+        self.text[self.at[n] : self.at[n + k]] = data[ragged(starts, sizes)]
+        self.n = n + k
+        return np.arange(n, n + k)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
+        """Entry numbers of the spans data[start:end]; encode(spans by number) gives the ids of those not met before."""
+        if self.n > self.entries or self.at[self.n] > self.size:
+            self.clear()
+        keys = span_hashes(data, starts, ends)
+        found = self.table.get(keys)
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            new, one = np.unique(keys[miss], return_index=True)
+            one = miss[one]
+            self.table.put(new, self._add(data, starts[one], ends[one], encode(one)))
+            found[miss] = self.table.get(keys[miss])
+        other = np.flatnonzero(~equal_spans(data, starts, ends, self.text, self.at[found], self.at[found + 1]))
+        if len(other):  # spans that only share a hash get entries that no hash leads to
+            found[other] = self._add(data, starts[other], ends[other], encode(other))
+        return found
+
+    def gather(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries one after the other, and how many each has."""
+        counts = self.first[found + 1] - self.first[found]
+        return self.ids[ragged(self.first[found], counts)], counts
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each span, one span after the other."""
     total = int(counts.sum())

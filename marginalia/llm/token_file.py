@@ -23,10 +23,11 @@ from pyspark.sql.window import Window as W
 
 from marginalia.llm import simple8b
 from marginalia.llm.common import materialise, partitions, shared_dir
+from marginalia.llm.textkernel import spare
 
 MAGIC, VERSION = b"MGS8", 1
 #: Files for each shuffle partition: so many ranges of ids are cut, each written as a file.
-RANGES = 4
+RANGES = 2
 
 
 def file_system(uri: str):
@@ -103,14 +104,14 @@ def read_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
         held = held[need:]
 
 
-def _ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__range, __id, __text: ids cut at quantiles; one range holds neighbours only."""
+def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """__range, __id, __text: ids cut at quantiles, one range holds neighbours only; and the number of ranges."""
     n = partitions(docs.sparkSession) * RANGES
     base = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     cuts = base.select(F.col("__id").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)
     bounds = sorted({int(c) for c in cuts})
     part = F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b <= F.col("__id"))) if bounds else F.lit(0)
-    return base.withColumn("__range", F.when(F.col("__id").isNull(), F.lit(0)).otherwise(part).cast("int"))
+    return base.withColumn("__range", F.when(F.col("__id").isNull(), F.lit(0)).otherwise(part).cast("int")), len(bounds) + 1
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -153,20 +154,23 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_
                     ended[keep] = tokens
                     out.add(ids[a + low : a + high], counts, ended)
         finish()
+        spare()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["range", "path", "n_docs", "n_ids"])
 
-    rows = _ranges(docs, id_col, text_col).repartition("__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_first(), "__text")
+    rows, n = _ranges(docs, id_col, text_col)
+    rows = rows.repartitionById(n, "__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_first(), "__text")
     return materialise(rows.mapInArrow(write, "range int, path string, n_docs bigint, n_ids bigint"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder_uri: str, id_col: str = "doc_id") -> DataFrame:
-    """id, start, n_tokens, ids_crc32 of every document of the files, from the files alone.
+    """id, start, n_tokens, ids_crc32 of every document of the files, from the files alone; one task reads each file.
 
     The offsets of the files are a running sum over one row for each file.
     """
-    order = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    placed = files.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("bigint")).select("path", "start")
+    order = W.orderBy("range")
+    before = F.coalesce(F.sum("n_ids").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    placed = files.select("path", before.alias("start"), (F.row_number().over(order) - 1).alias("task"))
 
     def read(batches):
         import pyarrow as pa
@@ -182,7 +186,7 @@ def read_token_files(files: DataFrame, folder_uri: str, id_col: str = "doc_id")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("path").mapInArrow(read, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.repartitionById(max(files.count(), 1), "task").mapInArrow(read, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_offsets(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.textkernel import HashTable, ascii_words, buffers, byte_values, pieces, ragged, span_hashes
+from marginalia.llm.textkernel import HashTable, ascii_words, buffers, pieces, ragged, spare, span_hashes
 from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainder, sigmoid
 
 WINDOW, STEP = 32, 24
@@ -41,7 +41,7 @@ class Words:
         for _ in range(3):
             starts = starts + (edge[starts] & (starts < ends - 1)) if len(starts) else starts
             ends = ends - (edge[ends - 1] & (starts < ends - 1)) if len(ends) else ends
-        keys = span_hashes(byte_values(self.data), starts, ends)
+        keys = span_hashes(self.data, starts, ends)
         self.keys, first, self.form = np.unique(keys, return_index=True, return_inverse=True)
         self.starts, self.ends = starts[first], ends[first]
 

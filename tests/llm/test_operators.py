@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_lexicon, byte_tokens, exact_dedup, language_id, mixing, ngram_join, quality, simhash, simple8b, token_file, toxicity, url_filters
+from marginalia.llm import bpe_lexicon, byte_tokens, common, exact_dedup, language_id, mixing, ngram_join, quality, simhash, simple8b, textkernel, token_file, toxicity, url_filters
 from marginalia.llm.components import components
 from marginalia.llm.queries import URL_RULES, digests, tokenizer_path
 
@@ -123,7 +123,10 @@ def squeezed(t):
 
 
 @pytest.mark.parametrize("batches", [1, 2, 3])
-def test_exact_dedup(spark, batches):
+def test_exact_dedup(spark, monkeypatch, batches):
+    if batches > 1:
+        monkeypatch.setattr(common, "LEAST_HOT", 3)
+        monkeypatch.setattr(common, "SMALL", 0)
     values = texts(150, 5) + ["a b c", "abc", " a b  c", "a b c"] * 3
     got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(frame(spark, values), batches=batches).collect()}
     groups: dict[str, list[int]] = {}
@@ -144,6 +147,15 @@ def test_dedup_keeps_one_of_repeated_rows(spark):
     assert len(rows) == 9 and sum(r["kept"] for r in rows) == 5
 
 
+def test_digests_shared_by_different_texts(spark, monkeypatch):
+    """Were two texts to share a digest, their bytes would part them."""
+    whole = F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: whole(F.substring(F.col(c) if isinstance(c, str) else c, 1, 1), n))
+    docs = spark.createDataFrame([(1, "ab"), (2, "a b"), (3, "ac"), (4, "b"), (5, "a  c")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (5, 2, False), 4: (4, 1, True), 5: (5, 2, True)}
+
+
 # --- SimHash
 def fingerprint(t):
     import xxhash
@@ -171,6 +183,16 @@ def test_simhash(spark):
         assert r["near_edited"] == 1 - (a ^ b).bit_count() / 64 and r["near_next"] == 1 - (a ^ c).bit_count() / 64
 
 
+@pytest.mark.parametrize("keys", [0, 100_000])
+def test_near_documents(spark, monkeypatch, keys):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", keys)
+    values = texts(150, 16)
+    prints = simhash.edited_fingerprints(frame(spark, values)).cache()
+    own = {r["doc_id"]: int(r["fingerprint"], 16) for r in prints.collect()}
+    got = {r["doc_id"]: r["near_documents"] for r in simhash.near_counts(prints, F.col("doc_id") % 10 == 0, radius=6, blocks=8).collect()}
+    assert got == {i: sum((p ^ q).bit_count() <= 6 for q in own.values()) if i % 10 == 0 else None for i, p in own.items()}
+
+
 def test_simhash_edges(spark):
     one = spark.createDataFrame([(7, "only text")], "doc_id bigint, text string")
     assert simhash.edited_fingerprints(one).first()["near_next"] == 1.0
@@ -208,15 +230,29 @@ def brute_components(values, k, percent):
     return {i: (len(sets[i]), label[i]) for i in range(len(values))}
 
 
-@pytest.mark.parametrize("k, percent, group, ids", [(4, 85, 1 << 20, 250_000), (5, 80, 60, 250_000), (3, 60, 40, 0)])
-def test_ngram_join(spark, monkeypatch, k, percent, group, ids):
+@pytest.mark.parametrize("k, percent, group, ids, hot", [(4, 85, 1 << 20, 250_000, False), (5, 80, 60, 250_000, True), (3, 60, 40, 0, True), (3, 30, 1 << 20, 250_000, True)])
+def test_ngram_join(spark, monkeypatch, k, percent, group, ids, hot):
     monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", ids)
-    values = texts(140, 9)
+    if hot:
+        monkeypatch.setattr(common, "LEAST_HOT", 3)
+        monkeypatch.setattr(common, "SMALL", 0)
+        monkeypatch.setattr(ngram_join, "LEAST_COMMON", 2)
+    x, y = alike(1024)
+    values = texts(140, 9) + [f"{x} or that {w} is not {x}" for w in (x, y)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(frame(spark, values), words=k, percent=percent).collect()}
     assert got == brute_components(values, k, percent)
 
 
+def test_screen_folds_histograms_of_any_width():
+    r = np.random.default_rng(3)
+    big = np.unique(r.integers(0, 1 << 62, 310).astype(np.uint64))
+    small = big[:120]
+    sizes = np.array([120, 310])
+    assert ngram_join.may_link(sizes, [ngram_join.histogram(small), ngram_join.histogram(big)], 30).all()
+    assert not ngram_join.may_link(sizes, [ngram_join.histogram(small), ngram_join.histogram(big)], 60).any()
+
+
 def test_ngram_join_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (9, "a b c d e f"), (9, "other words stand here now"), (2, None)], "doc_id bigint, text string")
     rows = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(docs).collect())
@@ -283,6 +319,39 @@ def byte_bpe():
     return Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
 
 
+def alike(n):
+    """Two words of n letters that any polynomial hash modulo 2**64 confuses: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+LONG_WORDS = [" ".join(alike(1024)), " ".join(alike(2048)), alike(1024)[0], "x " + alike(1024)[1], "é".join(alike(600))]
+
+
+def test_keyed_hashes_and_byte_comparison():
+    words = [b"", b"a", b"a\0", b"12345678", b"123456789", *[w.encode() for w in alike(1024)], b"q" * 65, b"q" * 64]
+    ends = np.cumsum([len(w) for w in words])
+    starts, data = ends - [len(w) for w in words], np.frombuffer(b"".join(words), np.uint8)
+    for key in (0, 7, (1 << 64) - 1):
+        h = textkernel.span_hashes(data, starts, ends, key)
+        assert len(set(h.tolist())) == len(words)
+        moved = np.concatenate([np.zeros(3, np.uint8), data])
+        assert (textkernel.span_hashes(moved, starts + 3, ends + 3, key) == h).all()
+    a, b = (g.ravel() for g in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    assert (textkernel.equal_spans(data, starts[a], ends[a], data, starts[b], ends[b]) == (a == b)).all()
+
+
+def test_cache_tells_spans_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(textkernel, "span_hashes", lambda raw, s, e, key=0: np.full(len(s), 5 << 60, np.uint64))
+    cache, words = textkernel.SpanCache(100), [b"one", b"two", b"one", b"three", b"two"]
+    ends = np.cumsum([len(w) for w in words])
+    starts, data = ends - [len(w) for w in words], np.frombuffer(b"".join(words), np.uint8)
+    for _ in range(2):
+        found = cache.find(data, starts, ends, lambda new: [np.array(list(words[i]), np.int32) for i in new])
+        ids, counts = cache.gather(found)
+        assert bytes(ids.tolist()) == b"".join(words) and counts.tolist() == [len(w) for w in words]
+
+
 def random_texts(n, seed):
     r = random.Random(seed)
     alphabet = list("ab'sdtrevmlS  \n\t!?.,12９é中ǅ  ̀_ÉßΣσİſ")
@@ -290,7 +359,7 @@ def random_texts(n, seed):
 
 
 def test_byte_tokens_match_the_library(byte_bpe):
-    values = random_texts(5000, 6)
+    values = random_texts(5000, 6) + LONG_WORDS + ["z" * 200_000]
     enc, got = byte_tokens.ByteTokens(tokenizer_path("byte_bpe_50k.json")), {}
     for a, b, ids, bounds in enc.encode(values):
         got |= {i: ids[bounds[i - a] : bounds[i - a + 1]].tolist() for i in range(a, b)}
@@ -328,7 +397,7 @@ def test_word_bpe_matches_the_library():
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    lib, rules, values = Tokenizer.from_file(path), bpe_lexicon.Rules(path), random_texts(5000, 8)
+    lib, rules, values = Tokenizer.from_file(path), bpe_lexicon.Rules(path), random_texts(5000, 8) + LONG_WORDS + ["ab" * 100_000, "é" * 50_000]
     for words in ([], [b"a", b"ab", b"tre"]):
         enc, got = bpe_lexicon.Encoder(path, bpe_lexicon.compile_words(words, [rules.merge(w) for w in words])), {}
         for a, b, ids, bounds in enc.encode(values):
