@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import most_frequent
-from marginalia.llm.textkernel import LETTER, NUMBER, WHITE, SpanCache, classes_of, code_points, mix, pieces, ragged, slices, spare, span_hashes, utf8_places
+from marginalia.llm.textkernel import LETTER, NUMBER, WHITE, HashTable, SpanCache, classes_of, code_points, mix, pieces, ragged, slices, spare, span_hashes, utf8_places
 
 #: Words compiled into the transducer: bounds what is broadcast (about 16 MB).
 LEXICON = 1 << 16
@@ -41,7 +41,7 @@ COUNTED = 1 << 17
 #: Words of more bytes have no place in the transducer.
 LONGEST = 256
 #: Merged words that a worker keeps.
-CACHE = 1 << 17
+CACHE = 1 << 18
 #: Words of more bytes are merged with a heap.
 LONG_WORD = 48
 #: The contractions of the word pattern.
@@ -71,6 +71,71 @@ class Rules:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self._number()
+
+    def _number(self) -> None:
+        """The merges as numbers: a string's id, or one beyond all ids where the vocabulary lacks it."""
+        number = dict(self.vocab)
+        self.known = max(number.values()) + 1
+        of = lambda t: number.setdefault(t, self.known + len(number))
+        self.inner = np.array([of(self.letter[b]) for b in range(256)], np.int64)
+        self.final = np.array([of(self.letter[b] + self.end) for b in range(256)], np.int64)
+        pairs = np.array([(of(a) << 32 | of(b), r, of(a + b)) for (a, b), r in self.ranks.items()], np.int64).reshape(-1, 3)
+        self.pairs = HashTable(18)
+        self.pairs.put(mix(pairs[:, 0].astype(np.uint64)), np.arange(len(pairs)))
+        self.rank, self.merged = np.append(pairs[:, 1], 1 << 40), np.append(pairs[:, 2], -1)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Number of the merge of two symbols, -1 (which has the highest rank) for none; symbol -1 stands beside every word."""
+        keys = mix((left << 32 | right).astype(np.uint64))
+        return np.where((left >= 0) & (right >= 0), self.pairs.get(keys.ravel()).reshape(keys.shape), -1)
+
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words data[start:end] (some of them, by number) in a new order, their ids joined in it, and how many each has.
+
+        Words of like length are merged side by side: in each round every word merges its pair of the least rank, the
+        leftmost of these, and looks up the two pairs that this makes.
+        """
+        order, parts, counts, size = [], [], [], ends[some] - starts[some]
+        for low, high in ((0, 6), (6, 10), (10, 18), (18, LONG_WORD)):
+            own = some[(size > low) & (size <= high)]
+            for k in range(0, len(own), 1 << 14):
+                self._side_by_side(data, starts, ends, own[k : k + (1 << 14)], order, parts, counts)
+        for i in some[size > LONG_WORD].tolist():
+            ids = self.merge(data[starts[i] : ends[i]].tobytes())
+            order.append(np.array([i]))
+            parts.append(np.array(ids, np.int32))
+            counts.append(np.array([len(ids)]))
+        return np.concatenate(order), np.concatenate(parts), np.concatenate(counts)
+
+    def _side_by_side(self, data, starts, ends, own, order, parts, counts) -> None:
+        n = ends[own] - starts[own]
+        width = int(n.max())
+        inside = np.arange(width) < n[:, None]
+        symbols = np.where(inside, self.inner[data[np.where(inside, starts[own][:, None] + np.arange(width), 0)]], -1)
+        symbols[np.arange(len(own)), n - 1] = self.final[data[ends[own] - 1]]
+        found = self._pair(symbols[:, :-1], symbols[:, 1:])
+        while True:
+            ranks = self.rank[found]
+            at = ranks.argmin(1) if width > 1 else np.zeros(len(own), np.int64)
+            on = ranks[np.arange(len(own)), at] < 1 << 40 if width > 1 else np.zeros(len(own), bool)
+            if not on.all():
+                done = symbols[~on]
+                real = (done >= 0) & (done < self.known)
+                order.append(own[~on])
+                parts.append(done[real].astype(np.int32))
+                counts.append(real.sum(1))
+                own, symbols, found, at = own[on], symbols[on], found[on], at[on]
+            if not len(own):
+                return
+            rows, width = np.arange(len(own)), width - 1
+            symbols[rows, at] = self.merged[found[rows, at]]
+            keep = np.arange(width) + (np.arange(width) > at[:, None])  # all but the symbol that was merged into its left one
+            symbols = np.take_along_axis(symbols, keep, 1)
+            found = np.take_along_axis(found, keep[:, : width - 1], 1) if width > 1 else found[:, :0]
+            for j in (at - 1, at):
+                real = np.flatnonzero((j >= 0) & (j < width - 1))
+                found[real, j[real]] = self._pair(symbols[real, j[real]], symbols[real, j[real] + 1])
 
     def normal(self, text: str) -> str:
         """Composed and lower-cased, each code point by itself."""
@@ -116,6 +181,18 @@ class Rules:
                 heapq.heappush(heap, (r, h, parts[h], parts[i]))
         return [p for p in parts if p]
 
+    def ids_of(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word."""
+        if not words:
+            return []
+        ends = np.cumsum([len(w) for w in words])
+        starts = ends - [len(w) for w in words]
+        order, flat, counts = self.merge_all(np.frombuffer(b"".join(words), np.uint8), starts, ends, np.arange(len(words)))
+        out: list[list[int]] = [[]] * len(words)
+        for i, ids in zip(order.tolist(), np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+            out[i] = ids.tolist()
+        return out
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -296,7 +373,7 @@ class Encoder:
         counts[known] = self.lexicon.bounds[number[known] + 1] - first[known]
         if len(rare):
             s, e = b_starts[rare], b_ends[rare]
-            found = self.cache.find(data, s, e, lambda new: [np.array(self.rules.merge(data[a:b].tobytes()), np.int32) for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            found = self.cache.find(data, s, e, lambda new: self.rules.merge_all(data, s, e, new))
             first[rare], counts[rare] = self.cache.first[found], self.cache.first[found + 1] - self.cache.first[found]
         ids = np.zeros(int(counts.sum()), np.int32)
         place = np.cumsum(counts) - counts
@@ -377,7 +454,7 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int
     """The compiled transducer of the corpus' most frequent words; the driver gets at most words of them."""
     rules = Rules(path)
     top = [bytes(w) for w, _ in most_frequent(word_counts(docs, path, text_col), "word", "n", words)]
-    return compile_words(top, [rules.merge(w) for w in top])
+    return compile_words(top, rules.ids_of(top))
 
 
 def encode_texts(docs: DataFrame, path: str, compiled: bytes | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from marginalia.llm.textkernel import LETTER, WHITE, SpanCache, classes_of, code_points, pieces, utf8_places
 
 #: Distinct pre-tokens that a worker keeps.
-CACHE = 1 << 18
+CACHE = 1 << 19
 #: The contractions of the byte-level pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _APOSTROPHE, _BLANK = 0x27, 0x20
@@ -67,22 +67,21 @@ class ByteTokens:
             self.byte_len[i] = len(token)
         self.cache = SpanCache(CACHE)
 
-    def _learn(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of unseen pre-tokens; those of a blank and letters are encoded in one string."""
-        plain = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1 and w[1:].isalpha()]
-        odd = np.setdiff1d(np.arange(len(words)), plain)
-        got: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
-        for low in range(0, len(plain), 4096):
-            some = plain[low : low + 4096]
-            ids = np.array(self.lib.encode("".join(words[i] for i in some), add_special_tokens=False).ids, np.int32)
-            ends = np.cumsum([len(words[i].encode()) for i in some])
-            at = np.searchsorted(np.cumsum(self.byte_len[ids]), ends, "left") + 1
-            for i, part in zip(some, np.split(ids, at[:-1]), strict=True):
-                got[i] = part
-        if len(odd):
-            for i, e in zip(odd, self.lib.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
-                got[i] = np.array(e.ids, np.int32)
-        return got
+    def _learn(self, new: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unseen pre-tokens (by number) in a new order, their ids, and how many each has: those of a blank and letters come first, encoded in strings of many."""
+        plain = np.array([w[0] == " " and len(w) > 1 and w[1:].isalpha() for w in words], bool)
+        easy, odd = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        parts, counts = [], []
+        for low in range(0, len(easy), 4096):
+            some = [words[i] for i in easy[low : low + 4096]]
+            ids = np.array(self.lib.encode("".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.cumsum([len(w.encode()) for w in some])
+            parts.append(ids)
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.byte_len[ids]), ends, "left") + 1, prepend=0))
+        for e in self.lib.encode_batch([words[i] for i in odd], add_special_tokens=False) if odd else ():
+            parts.append(np.array(e.ids, np.int32))
+            counts.append(np.array([len(e.ids)]))
+        return new[easy + odd], np.concatenate(parts), np.concatenate(counts)
 
     def _piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, off = code_points(texts)
@@ -92,7 +91,7 @@ class ByteTokens:
         joined = "".join(texts)
         data = np.frombuffer(joined.encode(), np.uint8)
         place = np.arange(len(points) + 1) if len(data) == len(points) else utf8_places(points)
-        found = self.cache.find(data, place[starts], place[ends], lambda new: self._learn([joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
+        found = self.cache.find(data, place[starts], place[ends], lambda new: self._learn(new, [joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
         ids, counts = self.cache.gather(found)
         return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, off, "left")]
 

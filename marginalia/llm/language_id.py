@@ -1,6 +1,8 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines in it.
 
 Features are shares of hashed letter 1- to 3-grams of the whole text (lower-cased; everything but letters is a gap).
+The score is the share of the votes won times the share of the text's letters that the sample has, so a foreign script
+scores low.
 Families come from a fixed table of language codes; a code it does not have is a family of its own. One linear SVM for each
 family against the others chooses the family; one for each pair of its languages votes within it.
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.common import without
-from marginalia.llm.textkernel import LETTER, classes_of, code_points, pieces, slices
+from marginalia.llm.textkernel import LETTER, classes_of, code_points, pieces, slices, spare
 from marginalia.llm.training import balanced_ids, remainder, sigmoid
 
 #: Documents that the classifier is fitted on, at most: the bound of its sample.
@@ -43,8 +45,8 @@ def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of lower-cased texts joined (one row per order), and each text's bounds in them."""
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of lower-cased texts joined (one row per order), each text's bounds in them, and their letters (32: a gap)."""
     points, off = code_points(texts)
     letters = np.where(classes_of(points) == LETTER, points, 32).astype(np.uint32) if len(points) else points
     gap = np.zeros(len(letters), bool)
@@ -60,7 +62,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h + ahead + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
             out[k] = (h & np.uint64(BUCKETS - 1)).astype(np.int64) + k * BUCKETS
-    return out, off
+    return out, off, x
 
 
 def _spans_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -91,24 +93,29 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12, seed
 
 
 class Model:
-    """Linear outputs: one for each family (none when there is one family), then one for each pair of languages of a family."""
+    """Linear outputs: one for each family (none when there is one family), then one for each pair of languages of a family.
 
-    def __init__(self, langs: list[str], weights: np.ndarray):
-        self.langs, self.weights = langs, weights.astype(np.float32)
+    letters: the code points of letters that the sample has. chance: the least score that a text of these letters can
+    have, whatever the outputs: even families, even votes.
+    """
+
+    def __init__(self, langs: list[str], weights: np.ndarray, letters: np.ndarray):
+        self.langs, self.weights, self.letters = langs, weights.astype(np.float32), letters
         self.families = sorted({family_of(x) for x in langs})
         self.members = {f: [x for x in langs if family_of(x) == f] for f in self.families}
         self.pairs = [(f, a, b) for f in self.families for a, b in combinations(self.members[f], 2)]
+        self.chance = (0.5 if self.pairs else 1.0) / max(len(self.families), 1)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: list[str]) -> Model:
+    def fit(cls, x: np.ndarray, y: list[str], letters: np.ndarray) -> Model:
         langs = sorted(set(y))
-        model, y = cls(langs, np.zeros((x.shape[1] + 1, 0))), np.array(y)
+        model, y = cls(langs, np.zeros((x.shape[1] + 1, 0)), letters), np.array(y)
         of = np.array([family_of(v) for v in y])
         columns = [fit_svm(x, np.where(of == f, 1, -1)) for f in model.families] if len(model.families) > 1 else []
         for _, a, b in model.pairs:
             own = (y == a) | (y == b)
             columns.append(fit_svm(x[own], np.where(y[own] == a, 1, -1)))
-        return cls(langs, np.stack(columns, 1) if columns else np.zeros((x.shape[1] + 1, 0)))
+        return cls(langs, np.stack(columns, 1) if columns else np.zeros((x.shape[1] + 1, 0)), letters)
 
     def predict(self, out: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score for each row of linear outputs."""
@@ -134,19 +141,20 @@ class Model:
         return langs, scores
 
     def outputs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Linear outputs of whole texts, and whether each has a letter."""
+        """Linear outputs of whole texts, and the share of their letters that the sample has (-1 without a letter)."""
         lowered = [t.lower() for t in texts]
-        out, any_letter = np.zeros((len(texts), self.weights.shape[1])), np.zeros(len(texts), bool)
+        out, known = np.zeros((len(texts), self.weights.shape[1])), np.full(len(texts), -1.0)
         for a, b in pieces(np.array([len(t) for t in lowered], np.int64)):
-            hashed, off = grams(lowered[a:b])
+            hashed, off, x = grams(lowered[a:b])
             total = np.zeros((b - a, self.weights.shape[1]))
             for k in range(ORDERS):
                 total += _spans_sum(self.weights[hashed[k]], off)
             out[a:b] = SCALE * total / np.maximum(np.diff(off), 1)[:, None] + self.weights[-1]
-            points, bounds = code_points(lowered[a:b])
-            letters = np.concatenate([[0], np.cumsum(classes_of(points) == LETTER)]) if len(points) else np.zeros(1, np.int64)
-            any_letter[a:b] = np.diff(letters[bounds]) > 0
-        return out, any_letter
+            letter = x != 32
+            ours = letter & (self.letters[np.minimum(np.searchsorted(self.letters, x), len(self.letters) - 1)] == x) if len(self.letters) else letter
+            n, m = (np.diff(np.concatenate([[0], np.cumsum(v)])[off]) for v in (letter, ours))
+            known[a:b] = np.where(n > 0, m / np.maximum(n, 1), -1.0)
+        return out, known
 
 
 #: Shares of n-grams are small; this brings them to the range that the SVMs expect.
@@ -157,7 +165,7 @@ def features(texts: list[str]) -> np.ndarray:
     """Dense features of whole texts."""
     out = np.zeros((len(texts), ORDERS * BUCKETS), np.float32)
     for i, t in enumerate(texts):
-        hashed, off = grams([t.lower()])
+        hashed, off, _ = grams([t.lower()])
         if off[-1]:
             out[i] = SCALE * np.bincount(hashed.ravel(), minlength=ORDERS * BUCKETS) / off[-1]
     return out
@@ -180,13 +188,15 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_
             for y, t in zip(batch["y"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 x = features([t or ""])[0]
                 at = np.flatnonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([x[at].tobytes()])], ["y", "at", "x"])
+                own = np.unique(grams([(t or "").lower()])[2]).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([x[at].tobytes()]), pa.array([own.tobytes()])], ["y", "at", "x", "letters"])
 
-    found = sorted((r["y"], bytes(r["at"]), bytes(r["x"])) for r in sample.mapInArrow(rows, "y int, at binary, x binary").limit(2 * most).collect())
+    found = sorted((r["y"], bytes(r["at"]), bytes(r["x"]), bytes(r["letters"])) for r in sample.mapInArrow(rows, "y int, at binary, x binary, letters binary").limit(2 * most).collect())
+    letters = np.unique(np.concatenate([np.frombuffer(r[3], np.uint32) for r in found])).astype(np.uint64) if found else np.zeros(0, np.uint64)
     x = np.zeros((len(found), ORDERS * BUCKETS), np.float32)
-    for i, (_, at, v) in enumerate(found):
+    for i, (_, at, v, _) in enumerate(found):
         x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float32)
-    return Model.fit(x, [langs[y] for y, *_ in found])
+    return Model.fit(x, [langs[y] for y, *_ in found], letters[letters != 32])
 
 
 def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -205,11 +215,12 @@ def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             texts = batch[at].cast(pa.large_string()).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if model is not None and texts:
-                out, lettered = model.outputs([t or "" for t in texts])
+                out, known = model.outputs([t or "" for t in texts])
                 langs, scores = model.predict(out)
-                langs = [x if ok else UNKNOWN for x, ok in zip(langs, lettered, strict=True)]
-                scores = np.where(lettered, np.clip(scores, 0, 1), 1.0)
+                langs = [x if k >= 0 else UNKNOWN for x, k in zip(langs, known, strict=True)]
+                scores = np.where(known >= 0, np.clip(scores * known, 0, 1), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+        spare()
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return docs.mapInArrow(run, schema)

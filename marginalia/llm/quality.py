@@ -6,10 +6,9 @@ passages, and the weighted representation of the whole document is scored.
 
 Defined results: null text counts as empty; a text without words is one empty passage and gets a score like any other.
 Training uses at most TRAIN_DOCS documents with non-null labels, as many of each label as there are up to half of them, and of
-each at most TRAIN_PASSAGES passages, spread evenly; scores always cover every passage. Without labels, or with one
-label only, every score is that label's share (0.5 without any). The score estimates the label's probability in
-the corpus, so the balanced sample is weighted back by the counts of all held-in labels. Null or repeated ids keep
-a row each; columns beside id and text are not read. An empty table gives no rows.
+each at most TRAIN_PASSAGES passages of PASSAGE_BYTES bytes, spread evenly; scores always cover every passage. With one
+label only every score is that label (0 or 1), without any it is 0.5. The balanced sample is weighted half way back (by
+the square root) to the counts of all held-in labels. Null or repeated ids keep a row each; columns beside id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainde
 #: Words of a passage.
 PASSAGE = 48
 #: Bounds of the training sample.
-TRAIN_DOCS, TRAIN_PASSAGES = 1600, 24
+TRAIN_DOCS, TRAIN_PASSAGES, PASSAGE_BYTES = 1600, 24, 8192
 BUCKETS, EMBED, HIDDEN, ATTEND = 4096, 12, 12, 8
 #: Bytes of text scored at once.
 CHUNK = 1 << 19
@@ -69,14 +68,19 @@ def passages(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         marks = mix(home.astype(np.uint64)) ^ span_hashes(lower, starts, ends)
         _, first = np.unique(marks, return_index=True)
         all_words = np.bincount(home, minlength=len(begin))
-        distinct = (np.bincount(home[first], minlength=len(begin)) / np.maximum(all_words, 1)).astype(np.float32)
+        distinct = np.where(all_words > 0, np.bincount(home[first], minlength=len(begin)) / np.maximum(all_words, 1), 1).astype(np.float32)
     return begin, end, bounds, distinct
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram that starts at each byte (zeros beyond the end)."""
-    padded = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint32)
-    h = (padded[:-2] * np.uint32(0x01000193) ^ padded[1:-1]) * np.uint32(0x01000193) ^ padded[2:]
+def trigrams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bucket of the trigram that starts at each byte, zeros beyond the end of its span; the spans lie one after the other."""
+    first = data.astype(np.uint32)
+    second, third = np.zeros_like(first), np.zeros_like(first)
+    second[:-1], third[:-2] = first[1:], first[2:]
+    last = end[end > begin] - 1
+    second[last], third[last] = 0, 0
+    third[end[end > begin + 1] - 2] = 0
+    h = (first * np.uint32(0x01000193) ^ second) * np.uint32(0x01000193) ^ third
     h = h * np.uint32(0x9E3779B1)
     return (h >> np.uint32(20)).astype(np.int64)
 
@@ -165,8 +169,7 @@ def score_batch(p: dict, column) -> np.ndarray:
         stats = np.zeros((len(begin), STATS), np.float32)
         for i, j in pieces(end - begin, CHUNK):
             part = data[begin[i] : end[j - 1]]
-            ahead = data[begin[i] : end[j - 1] + 2]
-            buckets = trigrams(ahead)[: len(part)]
+            buckets = trigrams(part, begin[i:j] - begin[i], end[i:j] - begin[i])
             mean[i:j] = span_sums(p["e"][buckets], begin[i:j] - begin[i], end[i:j] - begin[i]) / np.maximum(end[i:j] - begin[i:j], 1)[:, None]
             stats[i:j] = stats_of(part, begin[i:j] - begin[i], end[i:j] - begin[i], distinct[i:j])
         out[a:b] = sigmoid(forward(p, np.concatenate([mean * SCALE, stats], 1), bounds)["logit"])
@@ -191,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 data = raw[off[i] : off[i + 1]]
                 begin, end, *_ = passages(raw, off[i : i + 2])
                 use = np.unique(np.linspace(0, len(begin) - 1, min(len(begin), TRAIN_PASSAGES)).astype(int))
-                parts = [data[begin[j] : end[j]].tobytes() for j in use]
+                parts = [data[begin[j] : end[j]][:PASSAGE_BYTES].tobytes() for j in use]
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], ["y", "parts"])
 
     sample = sorted((r["y"], [bytes(x) for x in r["parts"]]) for r in found.select("y", "text").mapInArrow(rows, "y int, parts array<binary>").limit(2 * most).collect())
@@ -200,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     bags = []
     for _, parts in sample:
         arrays = [np.frombuffer(x, np.uint8) for x in parts]
-        bags.append([(trigrams(a), stats_of(a, np.array([0]), np.array([len(a)]), passages(a, np.array([0, len(a)]))[3][:1])[0]) for a in arrays])
+        bags.append([(trigrams(a, np.array([0]), np.array([len(a)])), stats_of(a, np.array([0]), np.array([len(a)]), passages(a, np.array([0, len(a)]))[3][:1])[0]) for a in arrays])
     y = np.array([v for v, _ in sample], np.float32)
     share = {v: (y == v).mean() for v in (0, 1)}
     total = sum(counts.values())
@@ -219,6 +222,7 @@ def scores(docs: DataFrame, params: dict | float, id_col: str = "doc_id", text_c
         for batch in batches:
             got = np.full(batch.num_rows, params) if isinstance(params, float) else score_batch(params, batch[1])
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(got, pa.float64())], ["id", "score"])
+        spare()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 

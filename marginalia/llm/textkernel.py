@@ -254,20 +254,23 @@ class SpanCache:
         self.first, self.at = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.text = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.uint8)
 
-    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, got: list) -> np.ndarray:
-        """Entry numbers of new spans with their ids."""
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Entry numbers of new spans with their ids, joined, and how many each has."""
         k, n = len(starts), self.n
-        sizes, counts = ends - starts, np.array([len(g) for g in got], np.int64)
+        sizes = ends - starts
         self.first, self.at = _longer(self.first, n + k + 1), _longer(self.at, n + k + 1)
         self.first[n + 1 : n + k + 1], self.at[n + 1 : n + k + 1] = self.first[n] + np.cumsum(counts), self.at[n] + np.cumsum(sizes)
         self.ids, self.text = _longer(self.ids, int(self.first[n + k])), _longer(self.text, int(self.at[n + k]))
-        self.ids[self.first[n] : self.first[n + k]] = np.concatenate(got)
+        self.ids[self.first[n] : self.first[n + k]] = flat
         self.text[self.at[n] : self.at[n + k]] = data[ragged(starts, sizes)]
         self.n = n + k
         return np.arange(n, n + k)
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
-        """Entry numbers of the spans data[start:end]; encode(spans by number) gives the ids of those not met before."""
+        """Entry numbers of the spans data[start:end].
+
+        encode(spans by number) gives those not met before in an order of its own, their ids joined in it, and their counts.
+        """
         if self.n > self.entries or self.at[self.n] > self.size:
             self.clear()
         keys = span_hashes(data, starts, ends)
@@ -275,12 +278,13 @@ class SpanCache:
         miss = np.flatnonzero(found < 0)
         if len(miss):
             new, one = np.unique(keys[miss], return_index=True)
-            one = miss[one]
-            self.table.put(new, self._add(data, starts[one], ends[one], encode(one)))
+            order, flat, counts = encode(miss[one])
+            self.table.put(keys[order], self._add(data, starts[order], ends[order], flat, counts))
             found[miss] = self.table.get(keys[miss])
         other = np.flatnonzero(~equal_spans(data, starts, ends, self.text, self.at[found], self.at[found + 1]))
         if len(other):  # spans that only share a hash get entries that no hash leads to
-            found[other] = self._add(data, starts[other], ends[other], encode(other))
+            order, flat, counts = encode(other)
+            found[order] = self._add(data, starts[order], ends[order], flat, counts)
         return found
 
     def gather(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,15 +1,20 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
 A word's input joins an embedding of the word (of a bounded training vocabulary, else of none) and the mean embedding of
-its character trigrams with word ends. Two GRUs read a window of WINDOW words forwards and backwards, attention pools
-their states, a logistic output scores the window. All windows, each STEP words after the other, are
-scored; a document's score is its highest. Training learns all windows with their document's label first, and
-then, as a document is toxic if one of its windows is, only each document's highest window.
+its character n-grams (of 3 and 6 bytes, word ends marked). Two GRUs read a window of WINDOW words forwards and
+backwards, attention pools their states, a logistic output scores the window. All windows, each STEP words after the
+other, are scored; a document's score is its highest.
+
+Training: a document is toxic if one of its windows is, so after a few steps on all windows with their document's label
+only each document's highest window is learned. The sample's windows are first spread evenly over each document; then
+executors score every window of the sampled documents and hand back the highest. Words start from their smoothed log
+odds; words are left out at random so that characters count; the weights used are a running mean, stopped where the loss
+of a fifth of the sample, which is never learned, is least; the output's offset is where F1 on that fifth, at the
+labels' rate in the corpus, is greatest.
 
 Defined results: null text counts as empty; a text without words is one empty window. Training uses at most TRAIN_DOCS
-documents with non-null labels, evenly over the labels, and of each at most TRAIN_WINDOWS windows spread
-evenly. Without labels every score is 0; with one label only, that label. Null or repeated ids keep a row each;
-columns beside id and text are not read. An empty table gives no rows.
+documents with non-null labels, evenly over the labels. Without labels every score is 0; with one label only, that
+label. Null or repeated ids keep a row each; columns beside id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +27,16 @@ from marginalia.llm.textkernel import HashTable, ascii_words, buffers, pieces, r
 from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainder, sigmoid
 
 WINDOW, STEP = 32, 24
-#: Bounds of the training sample and of the vocabulary.
-TRAIN_DOCS, TRAIN_WINDOWS, VOCABULARY, LEAST_DOCS = 1600, 16, 8192, 4
-WORD, CHAR, HIDDEN, ATTEND, TRIGRAMS = 6, 10, 8, 8, 8192
+#: Bounds of the training sample (documents, windows of each, bytes of a window) and of the vocabulary.
+TRAIN_DOCS, TRAIN_WINDOWS, WINDOW_BYTES, VOCABULARY, LEAST_DOCS = 1600, 16, 4096, 8192, 3
+WORD, CHAR, HIDDEN, ATTEND, GRAM_BITS = 6, 10, 8, 8, 14
+#: Bytes of the character n-grams.
+ORDERS = (3, 6)
 CHUNK = 1 << 19
-#: DECAY keeps the words of single training documents from deciding.
-FIRST_EPOCHS, LAST_EPOCHS, BATCH, RATE, DECAY = 2, 8, 256, 0.015, 1e-3
+#: Steps on all windows, on the highest of the even ones, and on the highest of all; windows of a step.
+STEPS, BATCH, RATE, DECAY = (40, 60, 200), 256, 0.015, 1e-3
+#: Share of words left out of a step; weight of a label's rate (1: balanced, 0: as in the sample); pseudo-documents of the log odds.
+DROP, BALANCE, PRIOR = 0.3, 0.5, 2.0
 
 
 # --- inputs
@@ -45,17 +54,27 @@ class Words:
         self.keys, first, self.form = np.unique(keys, return_index=True, return_inverse=True)
         self.starts, self.ends = starts[first], ends[first]
 
-    def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Trigram buckets of all forms, with word ends, and the number of each form's."""
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """N-gram buckets of all forms with their ends marked, form by form, and how many each has."""
         n = self.ends - self.starts
-        at = ragged(self.starts, n)
-        begin = np.cumsum(n) - n
-        mid = self.data[at].astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
-        left, right = np.zeros_like(mid), np.zeros_like(mid)
-        left[1:], right[:-1] = mid[:-1], mid[1:]
-        left[begin], right[begin + n - 1] = 1, 2
-        h = ((left * np.uint32(0x01000193) ^ mid) * np.uint32(0x01000193) ^ right) * np.uint32(0x9E3779B1)
-        return (h >> np.uint32(32 - 13)).astype(np.int64), n
+        size = n + 2
+        begin = np.cumsum(size) - size
+        marked = np.zeros(int(size.sum()), np.uint32)
+        marked[begin], marked[begin + size - 1] = 1, 2
+        marked[ragged(begin + 1, n)] = self.data[ragged(self.starts, n)]
+        form = np.repeat(np.arange(len(n)), size)
+        last, at, h = (begin + size)[form], np.arange(len(marked)), np.zeros(len(marked), np.uint32)
+        buckets, forms = [], []
+        for k in range(1, max(ORDERS) + 1):
+            ahead = np.zeros(len(marked), np.uint32)
+            ahead[: max(len(marked) - k + 1, 0)] = marked[k - 1 :]
+            h = (h ^ ahead) * np.uint32(0x01000193) + np.uint32(k)
+            if k in ORDERS:
+                whole = at + k <= last
+                buckets.append((h[whole] * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS)).astype(np.int64))
+                forms.append(form[whole])
+        of = np.concatenate(forms)
+        return np.concatenate(buckets)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(n))
 
 
 _PUNCTUATION = np.zeros(256, np.int64)
@@ -76,7 +95,7 @@ def windows(words_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fresh(vocabulary: int, seed: int = 9) -> dict[str, np.ndarray]:
     r = np.random.RandomState(seed)
     normal = lambda *s, scale=1.0: (r.randn(*s) * scale).astype(np.float32)
-    p = {"ew": normal(vocabulary + 1, WORD, scale=0.1), "ec": normal(TRIGRAMS, CHAR, scale=0.2)}
+    p = {"ew": normal(vocabulary + 1, WORD, scale=0.1), "ec": normal(1 << GRAM_BITS, CHAR, scale=0.2)}
     for d in "fb":
         p |= {f"x{d}": normal(WORD + CHAR, 3 * HIDDEN, scale=0.4), f"b{d}": np.zeros(3 * HIDDEN, np.float32), f"h{d}": normal(HIDDEN, 3 * HIDDEN, scale=0.3)}
     return p | {"a": normal(2 * HIDDEN, ATTEND, scale=0.4), "v": normal(ATTEND, scale=0.4), "o": normal(2 * HIDDEN, scale=0.3), "c": np.zeros(1, np.float32)}
@@ -140,7 +159,7 @@ def score_windows(p: dict, project: dict, form: np.ndarray, first: np.ndarray, l
 
 
 def embed(p: dict, known: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Inputs of word forms: numbers in the vocabulary (0: none), their trigrams and how many."""
+    """Inputs of word forms: numbers in the vocabulary (0: none), their n-grams and how many."""
     begin = np.cumsum(n) - n
     mean = np.add.reduceat(p["ec"][grams], begin, axis=0) / n[:, None] if len(n) else np.zeros((0, CHAR), np.float32)
     return np.concatenate([p["ew"][known] * (known > 0)[:, None], mean], 1).astype(np.float32)
@@ -175,7 +194,7 @@ def gradients(p: dict, known: np.ndarray, grams: np.ndarray, n: np.ndarray, form
     g["ew"] = np.zeros_like(p["ew"])
     np.add.at(g["ew"], known, d_x[:, :WORD] * (known > 0)[:, None])
     spread = np.repeat(d_x[:, WORD:] / n[:, None], n, axis=0)
-    g["ec"] = np.stack([np.bincount(grams, weights=spread[:, j], minlength=TRIGRAMS) for j in range(CHAR)], 1).astype(np.float32)
+    g["ec"] = np.stack([np.bincount(grams, weights=spread[:, j], minlength=1 << GRAM_BITS) for j in range(CHAR)], 1).astype(np.float32)
     return loss, g
 
 
@@ -199,61 +218,151 @@ class Model:
 
     def prepare(self, raw: np.ndarray, off: np.ndarray):
         words = Words(raw, off)
-        return words, self.known(words.keys), *words.trigrams()
+        return words, self.known(words.keys), *words.grams()
 
-    def scores(self, raw: np.ndarray, off: np.ndarray, batch: int = 4096) -> np.ndarray:
-        """Highest window score of each text."""
+    def logits(self, raw: np.ndarray, off: np.ndarray, batch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all windows of the texts, and each text's bounds in them."""
         words, known, grams, n = self.prepare(raw, off)
         project = projected(self.p, embed(self.p, known, grams, n))
         first, length, bounds = windows(np.bincount(words.text, minlength=len(off) - 1) if len(words.text) else np.zeros(len(off) - 1, np.int64))
-        logits = np.concatenate([score_windows(self.p, project, words.form, first[i : i + batch], length[i : i + batch])[0] for i in range(0, len(first), batch)])
+        return np.concatenate([score_windows(self.p, project, words.form, first[i : i + batch], length[i : i + batch])[0] for i in range(0, len(first), batch)]), bounds
+
+    def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Highest window score of each text."""
+        logits, bounds = self.logits(raw, off)
         return sigmoid(np.maximum.reduceat(logits, bounds[:-1]).astype(np.float64))
 
 
-def fit(texts: list[list[bytes]], y: np.ndarray, seed: int = 9) -> Model:
-    """Train on documents given as windows of words, with their labels."""
-    sizes = np.array([len(t) for t in texts])
-    flat = [w for t in texts for w in t]
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    off = np.concatenate([[0], np.cumsum([len(w) for w in flat])]).astype(np.int64)
-    raw = np.frombuffer(b"".join(flat), np.uint8)
-    words = Words(raw, off)
-    pairs = np.unique(np.stack([words.form, doc[words.text]]), axis=1)[0] if len(words.form) else np.zeros(0, np.int64)
-    in_docs = np.bincount(pairs, minlength=len(words.keys))
-    often = np.flatnonzero(in_docs >= LEAST_DOCS)
-    often = often[np.argsort(-in_docs[often], kind="stable")[:VOCABULARY]]
-    model = Model(fresh(len(often), seed), words.keys[often])
-    known, (grams, n) = model.known(words.keys), words.trigrams()
-    length = np.minimum(np.bincount(words.text, minlength=len(flat)), WINDOW)
-    first = np.cumsum(np.bincount(words.text, minlength=len(flat))) - np.bincount(words.text, minlength=len(flat))
-    gram_at = np.cumsum(n) - n
-    adam, r = Adam(model.p, RATE, DECAY), np.random.RandomState(seed)
-    balance = np.array([0.5 / max((y == v).mean(), 1e-9) for v in (0, 1)])
-
-    def learn(chosen: np.ndarray) -> None:
-        at = ragged(first[chosen], length[chosen])
-        forms, form = np.unique(words.form[at], return_inverse=True)
-        start = np.cumsum(length[chosen]) - length[chosen]
-        label = y[doc[chosen]].astype(np.float32)
-        weight = balance[label.astype(int)] / len(chosen)
+class Sample:
+    """Documents as windows of words, with labels; held: documents that are scored but never learned."""
+
+    def __init__(self, texts: list[list[bytes]], y: np.ndarray, held: np.ndarray):
+        self.y, self.held = y, held
+        sizes, flat = np.array([len(t) for t in texts]), [w for t in texts for w in t]
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        off = np.concatenate([[0], np.cumsum([len(w) for w in flat])]).astype(np.int64)
+        self.words = Words(np.frombuffer(b"".join(flat), np.uint8), off)
+        self.grams, self.n = self.words.grams()
+        self.gram_at = np.cumsum(self.n) - self.n
+        per = np.bincount(self.words.text, minlength=len(flat))
+        self.first, self.length = np.cumsum(per) - per, np.minimum(per, WINDOW)
+
+    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the words that LEAST_DOCS documents have at least, and their smoothed log odds of label 1."""
+        pairs = np.unique(np.stack([self.words.form, self.doc[self.words.text]]), axis=1)
+        held_in = pairs[:, ~self.held[pairs[1]]]
+        docs = np.bincount(held_in[0], minlength=len(self.words.keys))
+        often = np.flatnonzero(docs >= LEAST_DOCS)
+        often = often[np.lexsort((self.words.keys[often], -docs[often]))[:VOCABULARY]]
+        toxic = np.bincount(held_in[0], weights=self.y[held_in[1]], minlength=len(self.words.keys))[often]
+        ones = float(self.y[~self.held].sum())
+        zeros = float((~self.held).sum()) - ones
+        odds = np.log((toxic + PRIOR) / (ones + 2 * PRIOR)) - np.log((docs[often] - toxic + PRIOR) / (zeros + 2 * PRIOR))
+        return self.words.keys[often], np.clip(odds, -3, 3) / 2
+
+    def known(self, model: Model) -> np.ndarray:
+        return model.known(self.words.keys)
+
+    def logits(self, p: dict, known: np.ndarray) -> np.ndarray:
+        project = projected(p, embed(p, known, self.grams, self.n))
+        return np.concatenate([score_windows(p, project, self.words.form, self.first[i : i + 4096], self.length[i : i + 4096])[0] for i in range(0, len(self.doc), 4096)])
+
+
+class Trainer:
+    """A model in training: its own weights, their running mean, and the best of these so far."""
+
+    def __init__(self, sample: Sample, seed: int = 9):
+        keys, odds = sample.vocabulary()
+        self.model = Model(fresh(len(keys), seed), keys)
+        self.model.p["ew"][1:, 0] = odds
+        self.mean = {k: v.copy() for k, v in self.model.p.items()}
+        self.adam, self.random, self.done = Adam(self.model.p, RATE, DECAY), np.random.RandomState(seed), 0
+        share = np.array([max(float((sample.y[~sample.held] == v).mean()), 1e-9) for v in (0, 1)])
+        self.balance = (0.5 / share) ** BALANCE
+
+    def learn(self, s: Sample, known: np.ndarray, chosen: np.ndarray) -> None:
+        """One step on some windows."""
+        at = ragged(s.first[chosen], s.length[chosen])
+        forms, form = np.unique(s.words.form[at], return_inverse=True)
+        label = s.y[s.doc[chosen]].astype(np.float32)
         if len(forms):
-            _, g = gradients(model.p, known[forms], grams[ragged(gram_at[forms], n[forms])], n[forms], form, start, length[chosen], label, weight)
-            adam.step(g)
-
-    for _ in range(FIRST_EPOCHS):
-        order = r.permutation(len(flat))
-        for low in range(0, len(order), BATCH):
-            learn(order[low : low + BATCH])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    for epoch in range(LAST_EPOCHS):
-        adam.rate = RATE if epoch < LAST_EPOCHS // 2 else RATE / 3
-        project = projected(model.p, embed(model.p, known, grams, n))
-        logits = np.concatenate([score_windows(model.p, project, words.form, first[i : i + 4096], length[i : i + 4096])[0] for i in range(0, len(flat), 4096)])
-        top = np.array([a + int(logits[a:b].argmax()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        order = top[r.permutation(len(top))]
-        for low in range(0, len(order), BATCH // 2):
-            learn(order[low : low + BATCH // 2])
-    return model
+            kept = known[forms] * (self.random.rand(len(forms)) >= DROP)
+            start = np.cumsum(s.length[chosen]) - s.length[chosen]
+            weight = self.balance[label.astype(int)] / len(chosen)
+            _, g = gradients(self.model.p, kept, s.grams[ragged(s.gram_at[forms], s.n[forms])], s.n[forms], form, start, s.length[chosen], label, weight)
+            self.adam.step(g)
+        self.done += 1
+        a = min(0.95, self.done / (self.done + 9))
+        for k, v in self.model.p.items():
+            self.mean[k] += (1 - a) * (v - self.mean[k])
+
+    def on_all(self, s: Sample, steps: int) -> None:
+        known, mine = s.known(self.model), np.flatnonzero(~s.held[s.doc])
+        while steps > 0:
+            order = self.random.permutation(mine)
+            for low in range(0, min(len(order), steps * BATCH), BATCH):
+                self.learn(s, known, order[low : low + BATCH])
+                steps -= 1
+
+    def on_highest(self, s: Sample, steps: int) -> tuple[dict, np.ndarray]:
+        """Best running mean by the loss of held documents, and the documents' logits with it."""
+        known, best, left = s.known(self.model), (np.inf, self.mean, np.zeros(0)), steps
+        while True:
+            logits = s.logits(self.mean, known)
+            top = np.maximum.reduceat(logits, s.bounds[:-1])
+            weight, p = self.balance[s.y[s.held]], sigmoid(top[s.held])
+            loss = float(-(weight * np.where(s.y[s.held] > 0, np.log(p + 1e-6), np.log(1 - p + 1e-6))).sum())
+            if loss < best[0] or not len(best[2]):
+                best = (loss, {k: v.copy() for k, v in self.mean.items()}, top)
+            if left <= 0:
+                return best[1], best[2]
+            self.adam.rate = RATE if left > steps * 0.4 else RATE / 4
+            highest = np.array([a + int(logits[a:b].argmax()) for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)])
+            order = self.random.permutation(highest[~s.held])
+            for low in range(0, len(order), BATCH // 2):
+                self.learn(s, known, order[low : low + BATCH // 2])
+                left -= 1
+
+
+def offset(top: np.ndarray, y: np.ndarray, rate: float) -> float:
+    """The logit where F1 is greatest when label 1 has this rate: the middle of the best cuts, 0 with too few documents."""
+    if min((y == 0).sum(), (y == 1).sum()) < 5:
+        return 0.0
+    weight = np.where(y == 1, rate / (y == 1).mean(), (1 - rate) / (y == 0).mean())
+    order = np.argsort(-top, kind="stable")
+    caught, flagged = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    f1 = 2 * caught / (flagged + (weight * y).sum())
+    sorted_ = top[order]
+    cuts = np.append((sorted_[1:] + sorted_[:-1]) / 2, sorted_[-1] - 1)
+    real = np.append(sorted_[1:] < sorted_[:-1], True)
+    return float(np.median(cuts[real & (f1 >= f1[real].max() - 1e-12)]))
+
+
+def fit(texts: list[list[bytes]], y: np.ndarray, rate: float | None = None, held: np.ndarray | None = None, again=None, seed: int = 9) -> Model:
+    """Train on documents given as windows of words, with their labels.
+
+    rate: label 1's rate in the corpus (that of the sample if None). held: documents to stop and cut by (a fifth of each
+    label if None). again(model): a second sample (texts, labels, held) of the highest of all windows, if given.
+    """
+    if held is None:
+        held, order = np.zeros(len(y), bool), np.random.RandomState(seed).permutation(len(y))
+        for v in (0, 1):
+            own = order[y[order] == v]
+            held[own[: len(own) // 5]] = True
+    if not held.any() or len(set(y[~held])) < 2:
+        held = np.zeros(len(y), bool)
+    sample = Sample(texts, y, held)
+    trainer = Trainer(sample, seed)
+    trainer.on_all(sample, STEPS[0])
+    best, top = trainer.on_highest(sample, STEPS[1])
+    if again is not None:
+        texts, y, held_ = again(Model(best, trainer.model.vocabulary))
+        sample = Sample(texts, y, held_ if held.any() and len(set(y[~held_])) == 2 else np.zeros(len(y), bool))
+    best, top = trainer.on_highest(sample, STEPS[2])
+    if sample.held.any():
+        best["c"] = best["c"] - np.float32(offset(top[sample.held], sample.y[sample.held], float(sample.y.mean()) if rate is None else rate))
+    return Model(best, trainer.model.vocabulary)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS, held_in=None) -> Model | float:
@@ -262,24 +371,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     chosen = balanced_ids(held, "y", most, id_col)
     if len({y for _, y in chosen}) < 2:
         return float(chosen[0][1]) if chosen else 0.0
+    rate = held.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
     found = labelled_texts(docs, chosen, id_col, text_col, docs.schema[id_col].dataType.simpleString())
+    found = found.select(F.xxhash64("__i").alias("id"), "y", "text")
 
-    def rows(batches):
-        import pyarrow as pa
+    def sample(model: Model | None) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+        """Windows of the sampled documents: spread evenly, or with a model the highest of all."""
 
-        for batch in batches:
-            raw, off = buffers(batch["text"])
-            for i, y in enumerate(batch["y"].to_pylist()):
-                data, starts, ends, _ = ascii_words(raw, off[i : i + 2])
-                first, length, _ = windows(np.array([len(starts)]))
-                use = np.unique(np.linspace(0, len(first) - 1, min(len(first), TRAIN_WINDOWS)).astype(int))
-                parts = [data[starts[first[j]] : ends[first[j] + length[j] - 1]].tobytes() if length[j] else b"" for j in use]
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], ["y", "parts"])
+        def rows(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                raw, off = buffers(batch["text"])
+                for i, (key, y) in enumerate(zip(batch["id"].to_pylist(), batch["y"].to_pylist(), strict=True)):
+                    data, starts, ends, _ = ascii_words(raw, off[i : i + 2])
+                    first, length, _ = windows(np.array([len(starts)]))
+                    if model is None:
+                        use = np.unique(np.linspace(0, len(first) - 1, min(len(first), TRAIN_WINDOWS)).astype(int))
+                    else:
+                        use = np.sort(np.argsort(-model.logits(raw, off[i : i + 2])[0], kind="stable")[:TRAIN_WINDOWS])
+                    parts = [data[starts[first[j]] : ends[first[j] + length[j] - 1]][:WINDOW_BYTES].tobytes() if length[j] else b"" for j in use]
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([y], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], ["id", "y", "parts"])
+
+        found_ = found.mapInArrow(rows, "id bigint, y int, parts array<binary>").limit(2 * most).collect()
+        got = sorted((r["id"], r["y"], [bytes(x) for x in r["parts"]]) for r in found_)
+        return [t for _, _, t in got], np.array([y for _, y, _ in got]), np.array([i % 5 == 0 for i, _, _ in got], bool)
 
-    sample = sorted((r["y"], [bytes(x) for x in r["parts"]]) for r in found.select("y", "text").mapInArrow(rows, "y int, parts array<binary>").limit(2 * most).collect())
-    if len({y for y, _ in sample}) < 2:
-        return float(sample[0][0]) if sample else 0.0
-    return fit([t for _, t in sample], np.array([y for y, _ in sample]))
+    texts, y, aside = sample(None)
+    if len(set(y)) < 2:
+        return float(y[0]) if len(y) else 0.0
+    return fit(texts, y, rate, aside, sample)
 
 
 def scores(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,6 +417,7 @@ def scores(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_c
                 for a, b in pieces(np.diff(off), CHUNK):
                     out[a:b] = model.scores(raw, off[a : b + 1])
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(out, pa.float64())], ["id", "score"])
+        spare()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Labels that a classifier may have.
+MOST_LABELS = 200
+
+
 def remainder(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -16,12 +20,15 @@ def remainder(id_col: str | Column, n: int) -> Column:
 def balanced_ids(rows: DataFrame, label: str, most: int, id_col: str) -> list[tuple]:
     """(id, label) of at most most rows, the labels as evenly as they come, chosen by a hash of the id.
 
-    Null ids and labels are left out. The driver gets the labels' counts and about most rows.
+    Null ids and labels are left out. The driver gets the counts of at most MOST_LABELS labels and about most rows; more
+    labels are an error, as one classifier cannot tell so many apart.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(label).alias("y")).na.drop()
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().limit(MOST_LABELS + 1).collect()}
     if not counts:
         return []
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
     each = max(1, most // len(counts))
     spread = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30))
     share = F.lit(0.0)

@@ -347,7 +347,7 @@ def test_cache_tells_spans_of_one_hash_apart(monkeypatch):
     ends = np.cumsum([len(w) for w in words])
     starts, data = ends - [len(w) for w in words], np.frombuffer(b"".join(words), np.uint8)
     for _ in range(2):
-        found = cache.find(data, starts, ends, lambda new: [np.array(list(words[i]), np.int32) for i in new])
+        found = cache.find(data, starts, ends, lambda new: (new, np.array([b for i in new for b in words[i]], np.int32), np.array([len(words[i]) for i in new])))
         ids, counts = cache.gather(found)
         assert bytes(ids.tolist()) == b"".join(words) and counts.tolist() == [len(w) for w in words]
 
@@ -404,6 +404,9 @@ def test_word_bpe_matches_the_library():
             got |= {i: ids[bounds[i - a] : bounds[i - a + 1]].tolist() for i in range(a, b)}
         want = lib.encode_batch(values, add_special_tokens=False)
         assert [got[i] for i in range(len(values))] == [e.ids for e in want]
+    r = random.Random(2)
+    words = [bytes(r.choice(b"aabcdest\xc3\xa9") for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    assert rules.ids_of(words) == [rules.merge(w) for w in words]
     assert [rules.decode(e.ids) for e in want] == [lib.decode(e.ids, skip_special_tokens=False) for e in want]
 
 
@@ -477,7 +480,7 @@ def test_toxicity(spark):
 
     rows = training_rows(bad, 2)
     docs, labels = labelled(spark, rows)
-    assert checked(toxicity.score_toxicity(docs, labels), rows, 0.5, 3) >= 0.9
+    assert checked(toxicity.score_toxicity(docs, labels), rows, 0.5, 3) >= 0.95
     assert {x["score"] for x in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
@@ -494,7 +497,7 @@ def test_gru_gradients():
     r = np.random.RandomState(0)
     p = {k: v.astype(np.float64) for k, v in toxicity.fresh(3, 4).items()}
     known, n = np.array([0, 1, 2, 3]), np.array([2, 1, 3, 2])
-    grams = r.randint(0, toxicity.TRIGRAMS, n.sum())
+    grams = r.randint(0, 1 << toxicity.GRAM_BITS, n.sum())
     form, first, length = np.array([0, 1, 2, 3, 1, 2]), np.array([0, 3]), np.array([3, 2])
     args = (known, grams, n, form, first, length, np.array([1.0, 0.0]), np.array([0.5, 0.5]))
     _, g = toxicity.gradients(p, *args)
@@ -509,6 +512,119 @@ def test_gru_gradients():
         assert abs((up - down) / (2 * step) - g[name][at]) < 2e-3
 
 
+def logistic(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def plain_toxicity(model, text):
+    """One document's score, word by word and window by window."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    words = [w.strip(b"".join(bytes([c]) for c in range(256) if toxicity._PUNCTUATION[c])) or w for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), text.encode()))]
+    starts = range(0, max(len(words) - (toxicity.WINDOW - toxicity.STEP), 1), toxicity.STEP)
+
+    def inputs(word):
+        known = int(model.known(textkernel.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)])))[0])
+        marked, found = [1, *word, 2], []
+        for k in toxicity.ORDERS:
+            for i in range(len(marked) - k + 1):
+                h = 0
+                for j in range(k):
+                    h = ((h ^ marked[i + j]) * 0x01000193 + j + 1) & 0xFFFFFFFF
+                found.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.GRAM_BITS))
+        return np.concatenate([p["ew"][known] * (known > 0), np.mean([p["ec"][g] for g in found], axis=0)])
+
+    def states(xs, d):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            a, g = x @ p[f"x{d}"] + p[f"b{d}"], h @ p[f"h{d}"]
+            n = toxicity.HIDDEN
+            r, z = logistic(a[:n] + g[:n]), logistic(a[n : 2 * n] + g[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * g[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    best = -np.inf
+    for s in starts:
+        xs = [inputs(w) for w in words[s : s + toxicity.WINDOW]]
+        rep = np.zeros(2 * toxicity.HIDDEN)
+        if xs:
+            hs = [np.concatenate(pair) for pair in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+            e = np.exp([np.tanh(h @ p["a"]) @ p["v"] for h in hs])
+            rep = sum(h * w for h, w in zip(hs, e / e.sum(), strict=True))
+        best = max(best, rep @ p["o"] + p["c"][0])
+    return logistic(best)
+
+
+def test_toxicity_against_a_plain_loop():
+    r = random.Random(3)
+    values = ["", "one", "(Two) words!", *[" ".join("".join(r.choice("abé!X") for _ in range(r.randint(1, 7))) for _ in range(n)) for n in (31, 32, 33, 90)]]
+    keys = textkernel.span_hashes(np.frombuffer(b"onewords", np.uint8), np.array([0, 3]), np.array([3, 8]))
+    model = toxicity.Model(toxicity.fresh(2), keys)
+    raw, off = np.frombuffer("".join(values).encode(), np.uint8), np.cumsum([0] + [len(v.encode()) for v in values])
+    assert np.allclose(model.scores(raw, off), [plain_toxicity(model, v) for v in values], atol=1e-4)
+
+
+def plain_quality(p, text):
+    """One document's score, passage by passage."""
+    raw, p = text.encode(), {k: v.astype(np.float64) for k, v in p.items()}
+    words = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+    begins = [0] + [words[i].start() for i in range(quality.PASSAGE, len(words), quality.PASSAGE)]
+    hidden, gates = [], []
+    for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(raw)], strict=True)):
+        part, ahead = raw[a:b], raw[a:b] + bytes(2)
+        size = max(len(part), 1)
+        mean = np.zeros(quality.EMBED)
+        for i in range(len(part)):
+            x, y, z = ahead[i : i + 3]
+            h = ((x * 0x01000193 & 0xFFFFFFFF ^ y) * 0x01000193 & 0xFFFFFFFF) ^ z
+            mean += p["e"][(h * 0x9E3779B1 & 0xFFFFFFFF) >> 20] / size
+        kinds = quality._KINDS[np.frombuffer(part, np.uint8)].sum(0) / size
+        own = [re.sub(b"[A-Z]", lambda m: m[0].lower(), w[0]) for w in words[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]]
+        stats = [*kinds, np.log1p(size) / 8, size / max(kinds[5] * size, 1) / 16, 4 * (len(set(own)) / len(own) if own else 1)]
+        h = np.tanh(np.concatenate([mean * quality.SCALE, stats]) @ p["w"] + p["b"])
+        hidden.append(h)
+        gates.append((np.tanh(h @ p["v"]) * logistic(h @ p["u"])) @ p["a"])
+    e = np.exp(np.array(gates) - max(gates))
+    return logistic(sum(h * w for h, w in zip(hidden, e / e.sum(), strict=True)) @ p["o"] + p["c"][0])
+
+
+def test_quality_against_a_plain_loop():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    values = ["", " one ", "  x", *[" ".join("".join(r.choice("abé!X9\n") for _ in range(r.randint(1, 7))) for _ in range(n)) for n in (47, 48, 49, 200)]]
+    p = quality.fresh(7)
+    assert np.allclose(quality.score_batch(p, pa.array(values)), [plain_quality(p, v) for v in values], atol=1e-4)
+
+
+def test_language_against_a_plain_loop():
+    r = np.random.RandomState(2)
+    langs = ["de", "en", "es", "fr", "nl"]
+    model = language_id.Model(langs, r.randn(language_id.ORDERS * language_id.BUCKETS + 1, 2 + 4), np.array(sorted(map(ord, "abcdeé")), np.uint64))
+    for text in ("abc éd Zz", "a", "x y", "Ab, 9 cd--e", "привет ab"):
+        letters = re.sub(r"[^a-zé\u0400-\u04ff]+", " ", text.lower())
+        found = []
+        for i in range(len(letters)):
+            h = 0
+            for k in range(language_id.ORDERS):
+                c = ord(letters[i + k]) if i + k < len(letters) else 32
+                h = (h + c + 1) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 31
+                found.append(h % language_id.BUCKETS + k * language_id.BUCKETS)
+        out = language_id.SCALE * sum(model.weights[g].astype(float) for g in found) / len(letters) + model.weights[-1]
+        got, known = model.outputs([text])
+        real = [c for c in letters if c != " "]
+        assert np.allclose(got[0], out, atol=1e-3) and known[0] == sum(c in "abcdeé" for c in real) / len(real)
+        family = model.families[int(out[:2].argmax())]
+        votes = Counter()
+        for (f, a, b), x in zip(model.pairs, out[2:], strict=True):
+            if f == family:
+                votes.update({a: logistic(2 * x), b: 1 - logistic(2 * x)})
+        best, n = max(votes, key=votes.get), len(model.members[family])
+        (lang,), (score,) = model.predict(got)
+        assert lang == best and abs(score - logistic(2 * abs(out[0] - out[1])) * votes[best] / (n - 1)) < 1e-3 and score >= model.chance
+
+
 def test_windows_cover_every_word():
     for n in range(0, 200):
         first, length, bounds = toxicity.windows(np.array([n, 3]))

@@ -1,10 +1,14 @@
 """The pipeline's stages against brute force, one by one."""
 
+import hashlib
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline as P
-from tests.llm.test_operators import EMPTY, LANG, brute_components, speech, squeezed
+import numpy as np
+from marginalia.llm.queries import tokenizer_path
+from tests.llm.test_operators import EMPTY, LANG, brute_components, mix_rows, speech, squeezed
 
 
 def documents(spark):
@@ -15,7 +19,7 @@ def documents(spark):
         rows.append((i, speech(lang, r, r.randint(10, 50)), lang, f"s{i % 3}", 1))
     rows += [(200 + i, rows[i][1].replace(" ", "  "), None, "s0", 1) for i in range(20)]
     rows += [(300 + i, rows[i][1] + " x", "en", None, 1) for i in range(20)]
-    rows += [(400, None, "en", "s1", 0), (401, "12 34", None, "s1", 5), (402, "", "de", None, 0)]
+    rows += [(400, None, "en", "s1", 0), (401, "12 34", None, "s1", 5), (402, "", "de", None, 0), (403, "совсем другие буквы", "en", "s2", 3), (404, "Ψ", None, "s2", 1)]
     return rows, spark.createDataFrame(rows, EMPTY).repartition(3)
 
 
@@ -39,11 +43,20 @@ def test_stages(spark):
 
     d = P.mix(spark, c, "")
     assert d.columns == P.COLUMNS
-    mixed = [x["doc_id"] for x in d.collect()]
-    assert set(mixed) <= {x["doc_id"] for x in c.collect()}
+    mixed = Counter(x["doc_id"] for x in d.collect())
+    kept_rows = c.collect()
+    assert mixed == mix_rows([(x["doc_id"], x["source"], x["text"]) for x in kept_rows], {}, 1.0)
 
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_path(P.TOKENIZER))
+    want = Counter()
+    for x in kept_rows:
+        ids = lib.encode(x["text"], add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        want[x["doc_id"], len(ids), raw, hashlib.sha256(raw).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] = mixed[x["doc_id"]]
     e = P.tokenise(spark, d, "").collect()
-    assert sorted(x["doc_id"] for x in e) == sorted(mixed) and all(len(x["token_ids"]) == 4 * x["n_tokens"] for x in e)
+    assert Counter((x["doc_id"], x["n_tokens"], bytes(x["token_ids"]), x["ids_sha256"], x["decoded_sha256"]) for x in e) == +want
 
 
 def test_near_dedup_with_repeated_ids(spark):
