@@ -19,8 +19,9 @@ from marginalia.llm.queries import digests, tokenizer_path
 from marginalia.llm.bpe_lexicon import encode_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose language is less certain than this are rejected, beside those without a letter.
-LEAST_SCORE = 0.25
+#: Documents are rejected without a letter, and when they score below this share of what even votes of the learned families
+#: and languages give to a text in their letters: no text in known letters goes, a text in a foreign script does.
+LEAST_CHANCE = 0.8
 #: Near copies: words of a shingle, and percent of shingles in common.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 TOKENIZER = "word_bpe_49k.json"
@@ -42,8 +43,10 @@ def bounded(stage):
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; a null lang is filled with the prediction."""
-    found = annotate(docs.select(*COLUMNS), train(docs))
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    model = train(docs)
+    least = LEAST_CHANCE * (model.chance if model else 0.0)
+    found = annotate(docs.select(*COLUMNS), model)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
