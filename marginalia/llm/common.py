@@ -72,7 +72,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 #: A key with more than 1 / HOT of a table's rows (and LEAST_HOT of them) is hot: there are at most HOT such keys.
 HOT, LEAST_HOT = 4096, 256
 #: Tables of fewer rows are joined without looking for hot keys.
-SMALL = 20_000
+SMALL = 4096
 
 
 def hot_rows(total: int) -> int:
