@@ -13,7 +13,7 @@ import numpy as np
 from marginalia.llm.textkernel import LETTER, WHITE, SpanCache, classes_of, code_points, pieces, utf8_places
 
 #: Distinct pre-tokens that a worker keeps.
-CACHE = 1 << 19
+CACHE = 1 << 20
 #: The contractions of the byte-level pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _APOSTROPHE, _BLANK = 0x27, 0x20
@@ -65,7 +65,7 @@ class ByteTokens:
         self.byte_len = np.zeros(self.lib.get_vocab_size() + 1, np.int64)
         for token, i in self.lib.get_vocab(with_added_tokens=False).items():
             self.byte_len[i] = len(token)
-        self.cache = SpanCache(CACHE)
+        self.cache = SpanCache(CACHE, 1 << 25)
 
     def _learn(self, new: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unseen pre-tokens (by number) in a new order, their ids, and how many each has: those of a blank and letters come first, encoded in strings of many."""
