@@ -24,8 +24,8 @@ BITS = 64
 LONGEST, LIGHT = 16, 3
 #: Rows of a bucket are neighbours by id; so many buckets for each shuffle partition.
 BUCKETS = 2
-#: Block keys of queries up to this many (about 6 MB) are broadcast; more meet the tables by a shuffle.
-BROADCAST_KEYS = 100_000
+#: Block keys of queries up to this many (about 1 MB) are broadcast; more meet the tables by a shuffle.
+BROADCAST_KEYS = 20_000
 
 
 def _votes(word):
