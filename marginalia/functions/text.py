@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +13,14 @@ from pyspark.sql import functions as F
 DASHES, QUOTES = "‐‑‒–—−", "‘’‚‛“”„‟"
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 #: Words without weight in titles and claims.
-STOPWORDS = (
-    "this that these those there their they them with from using used use study analysis method approach results table figure paper research journal review would could should might what "
-    "when where which while about into through during without between among within across article articles author authors evidence model models framework frameworks effect effects role roles "
-    "impact impacts relationship relationships factor factors based examines examined investigates investigated analyses data studies result finding findings conclusion conclusions discussion "
-    "section chapter appendix"
-).split()
+STOPWORDS = [
+    "this", "that", "these", "those", "there", "their", "they", "them", "with", "from", "using", "used", "use", "study", "analysis", "method",
+    "approach", "results", "table", "figure", "paper", "research", "journal", "review", "would", "could", "should", "might", "what", "when", "where",
+    "which", "while", "about", "into", "through", "during", "without", "between", "among", "within", "across", "article", "articles", "author",
+    "authors", "evidence", "model", "models", "framework", "frameworks", "effect", "effects", "role", "roles", "impact", "impacts", "relationship",
+    "relationships", "factor", "factors", "based", "examines", "examined", "investigates", "investigated", "analyses", "data", "studies", "result",
+    "finding", "findings", "conclusion", "conclusions", "discussion", "section", "chapter", "appendix",
+]
 
 
 def norm_space(c: Column) -> Column:
@@ -29,6 +35,47 @@ def norm_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9_\s\-:/]", " "), r"\s+", " "))
 
 
+#: The beginnings of a title that make it a publication notice; the longest forms first.
+NOTICES = ("editorial expression of concern", "expression of concern", "retraction and replacement", "retraction", "withdrawal", "correction", "corrigendum", "erratum", "reinstatement")
+
+
+def plain_metadata(c: Column) -> Column:
+    """Text of a metadata field without markup, its five basic entities resolved, space closed up."""
+    c = F.coalesce(c, F.lit(""))
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"\s+", " "))
+
+
+def notice_kind(title: Column) -> Column:
+    """Kind of publication notice that a title announces (``Retraction: ...``), null for the title of a work."""
+    kind = F.lower(F.regexp_extract(plain_metadata(title), rf"(?i)^\s*(?:notice\s+of\s+)?({'|'.join(NOTICES)})\s*[:.\-–—]", 1))
+    return F.when(kind.contains("concern"), "expression_of_concern").when(kind.isin("corrigendum", "erratum"), "correction").when(kind != "", F.replace(kind, F.lit(" "), F.lit("_")))
+
+
+def hmac_sha256(key: str, message: Column) -> Column:
+    """Keyed hash in hexadecimal; the key's two paddings are constants, so it stays in the JVM."""
+    padded = (hashlib.sha256(key.encode()).digest() if len(key.encode()) > 64 else key.encode()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in padded)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def unicode_words(c: Column) -> Column:
+    """Runs of letters, digits and underscores of any script, lower-cased."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+
+
+def strip_accents(c: Column) -> Column:
+    """Compatibility form without combining marks; no built-in function decomposes text."""
+
+    @F.arrow_udf("string")
+    def folded(texts: pa.Array) -> pa.Array:
+        plain = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+        return pa.array([t if t is None or t.isascii() else plain(t) for t in texts.to_pylist()], pa.string())
+
+    return folded(c)
+
+
 def lookup_text(c: Column) -> Column:
     """Text for equality joins: links and DOIs dropped, everything but letters and digits a blank."""
     c = F.regexp_replace(F.lower(c), r"https?://\S+", " ")

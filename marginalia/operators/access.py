@@ -8,14 +8,20 @@ from pyspark.sql.window import Window as W
 
 
 def valid(now: Column) -> Column:
-    """Paid or complimentary and not expired."""
-    return F.col("status").isin("paid", "complimentary") & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    """Paid or active and not expired."""
+    return F.col("status").isin("paid", "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+
+def kept_content() -> Column:
+    """Jobs whose content and result were not deleted."""
+    return ~F.coalesce("content_deleted", F.lit(False)) & ~F.coalesce("result_deleted", F.lit(False))
 
 
 def access(purchases: DataFrame, runs: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
-    """Runs of valid purchases whose job is complete."""
+    """Runs of valid purchases whose job is complete and still has its content."""
     ok = purchases.filter(valid(now)).select("purchase_id", "account_id")
-    return runs.join(ok, "purchase_id").join(jobs.filter("status = 'completed'").select("job_id"), "job_id").select("purchase_id", "account_id", "job_id")
+    done = jobs.filter((F.col("status") == "completed") & kept_content()).select("job_id")
+    return runs.join(ok, "purchase_id").join(done, "job_id").select("purchase_id", "account_id", "job_id")
 
 
 def latest_by_either(purchases: DataFrame, runs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -54,10 +60,10 @@ def trusted_lookup(refs: DataFrame, rows: DataFrame) -> DataFrame:
     return refs.join(best, "key", "left").select(*[refs[c] for c in refs.columns], F.coalesce("b.status", F.lit("unknown")).alias("status"))
 
 
-def page_estimates(sentences: DataFrame, per_page: int = 500) -> DataFrame:
-    """sentences(doc_id, sent_idx, words) with the words before and the page they stand on."""
-    before = F.coalesce(F.sum("words").over(W.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sentences.withColumn("page", (F.floor(before / per_page) + 1).cast("bigint"))
+def page_estimates(paragraphs: DataFrame, per_page: int = 500) -> DataFrame:
+    """paragraphs(doc_id, para_idx, words) with the page they stand on by the words of the paragraphs before."""
+    before = F.coalesce(F.sum("words").over(W.partitionBy("doc_id").orderBy("para_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return paragraphs.withColumn("page", (F.floor(before / per_page) + 1).cast("bigint"))
 
 
 def topic_profile(texts: DataFrame, id_col: str, text_col: str, limit: int = 24) -> DataFrame:

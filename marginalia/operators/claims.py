@@ -9,29 +9,29 @@ from marginalia.functions.text import STOPWORDS, sentences, word_count
 
 #: Concept of each word.
 CONCEPTS = {
-    "improve": "improves improve improved enhances enhance enhanced boosts boost strengthens strengthen optimises optimizes optimise optimize",
-    "reduce": "reduces reduce reduced mitigates mitigate lowers lower decreases decrease minimizes minimize",
-    "increase": "increases increase increased raises raise elevates elevate",
-    "adopt": "adoption adopted adopt implementation implement use usage uptake acceptance",
-    "performance": "performance productivity efficiency effectiveness outcome outcomes",
-    "transparency": "transparency accountability openness",
-    "trust": "trust credibility confidence",
-    "risk": "risk uncertainty exposure",
-    "error": "error errors mistake mistakes",
-    "corruption": "corruption fraud misconduct unethical",
-    "reliability": "reliability robustness stability consistency",
-    "positive": "positive beneficial advantageous favorable",
-    "negative": "negative harmful detrimental adverse",
+    "improve": ("improves", "improve", "improved", "enhances", "enhance", "enhanced", "boosts", "boost", "strengthens", "strengthen", "optimises", "optimizes", "optimise", "optimize"),
+    "reduce": ("reduces", "reduce", "reduced", "mitigates", "mitigate", "lowers", "lower", "decreases", "decrease", "minimizes", "minimize"),
+    "increase": ("increases", "increase", "increased", "raises", "raise", "elevates", "elevate"),
+    "adopt": ("adoption", "adopted", "adopt", "implementation", "implement", "use", "usage", "uptake", "acceptance"),
+    "performance": ("performance", "productivity", "efficiency", "effectiveness", "outcome", "outcomes"),
+    "transparency": ("transparency", "accountability", "openness"),
+    "trust": ("trust", "credibility", "confidence"),
+    "risk": ("risk", "uncertainty", "exposure"),
+    "error": ("error", "errors", "mistake", "mistakes"),
+    "corruption": ("corruption", "fraud", "misconduct", "unethical"),
+    "reliability": ("reliability", "robustness", "stability", "consistency"),
+    "positive": ("positive", "beneficial", "advantageous", "favorable"),
+    "negative": ("negative", "harmful", "detrimental", "adverse"),
 }
-#: Word beginnings of each relation.
+#: Patterns of each relation.
 RELATIONS = {
-    "improve": "improv|enhanc|boost|strength",
-    "reduce": "reduc|mitigat|lower|decreas",
-    "increase": "increas|rais|elevat",
-    "influence": "influenc|affect|impact",
-    "predict": "predict|determin|explain",
-    "associate": "associat|relat|link",
-    "cause": "caus|lead|result|produc",
+    "improve": (r"\bimprov\w*\b", r"\benhanc\w*\b", r"\bboost\w*\b", r"\bstrength\w*\b"),
+    "reduce": (r"\breduc\w*\b", r"\bmitigat\w*\b", r"\blower\w*\b", r"\bdecreas\w*\b"),
+    "increase": (r"\bincreas\w*\b", r"\brais\w*\b", r"\belevat\w*\b"),
+    "influence": (r"\binfluenc\w*\b", r"\baffect\w*\b", r"\bimpact\w*\b"),
+    "predict": (r"\bpredict\w*\b", r"\bdetermin\w*\b", r"\bexplain\w*\b"),
+    "associate": (r"\bassociat\w*\b", r"\brelat\w*\b", r"\blink\w*\b"),
+    "cause": (r"\bcaus\w*\b", r"\blead\w*\b", r"\bresult\w*\b", r"\bproduc\w*\b"),
 }
 #: Words of direction, tested as parts of words.
 POSITIVE = ("improve", "enhance", "increase", "boost", "strengthen", "beneficial", "positive", "advantage")
@@ -50,14 +50,14 @@ def simplify(claim: Column) -> Column:
 
 def concepts(text: Column) -> Column:
     """Distinct concepts of a text's words of three letters or more."""
-    table = F.create_map(*[F.lit(x) for concept, forms in CONCEPTS.items() for w in forms.split() for x in (w, concept)])
+    table = F.create_map(*[F.lit(x) for concept, forms in CONCEPTS.items() for w in forms for x in (w, concept)])
     tokens = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " "), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
     return F.array_distinct(F.transform(tokens, lambda w: F.coalesce(F.try_element_at(table, w), w)))
 
 
 def relations(text: Column) -> Column:
     low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(rf"\b({p})\w*\b"), F.lit(name)) for name, p in RELATIONS.items()]))
+    return F.array_compact(F.array(*[F.when(low.rlike("|".join(patterns)), F.lit(name)) for name, patterns in RELATIONS.items()]))
 
 
 def direction(claim: Column, source: Column) -> Column:
@@ -83,29 +83,104 @@ def support(claims: DataFrame) -> DataFrame:
     return out.drop("__c", "__s", "__o", "__r", "__ro")
 
 
+#: Words of a claim or title that the fallback score leaves out.
+FALLBACK_STOP = (
+    "this", "that", "with", "from", "using", "used", "study", "analysis",
+    "method", "approach", "results", "paper", "research", "journal", "review",
+    "effect", "effects", "relationship", "role", "model", "models", "findings",
+)
+
+
 def keyword_overlap(claim: Column, title: Column) -> Column:
-    """Fallback score 10 + 10 for each shared word, 40 at most, 0 without any."""
-    k = F.size(F.array_intersect(concepts(claim), concepts(title)))
+    """Fallback score 10 + 10 for each shared word of four letters or more, 40 at most, 0 without any."""
+    own = lambda c: F.array_except(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)), F.array(*[F.lit(w) for w in FALLBACK_STOP]))
+    k = F.size(F.array_intersect(own(claim), own(title)))
     return F.when(k > 0, F.least(F.lit(40), k * 10 + 10)).otherwise(0).cast("bigint")
 
 
-#: Families of patterns and their weights for a sentence that needs a citation.
+#: Families of patterns for a sentence that needs a citation, each with its weight; one hit of a family counts.
 NEEDED = (
-    (0.35, r"\b(previous studies|prior studies|earlier studies|studies show|studies have shown|research shows|research suggests|empirical evidence|the literature|scholars argue|authors argue)\b|\b(it is widely|it is generally|it is commonly|it is well established|it is known)\b"),
-    (0.25, r"\b(affects|influences|impacts|determines|predicts|drives|leads to|results in|contributes to|is associated with|is linked to|has a significant|significantly)\b|\b(effect of|impact of|relationship between|association between|determinants of|influence of|role of)\b"),
-    (0.22, r"\b(is defined as|are defined as|refers to|can be defined as|is conceptualised as|is conceptualized as|theory posits|theory suggests|framework assumes)\b"),
-    (0.18, r"\b[0-9]+(\.[0-9]+)?\s*(%|percent|per cent)|\b(coefficient|regression|correlation|sample size|respondents|odds ratio|confidence interval)\b"),
-    (0.14, r"\b(most|many|several|major|critical|central|important|increasingly|widely|commonly|generally|often|frequently)\b|\b(challenge|problem|barrier|driver|indicator|predictor|determinant|factor)\b"),
+    (0.35, (
+        r"\b(previous studies|prior studies|earlier studies|studies show|studies have shown|research shows|research suggests|empirical evidence|the literature|scholars argue|authors argue)\b",
+        r"\b(it is widely|it is generally|it is commonly|it is well established|it is known)\b",
+    )),
+    (0.25, (
+        r"\b(affects|influences|impacts|determines|predicts|drives|leads to|results in|contributes to|is associated with|is linked to|has a significant|significantly)\b",
+        r"\b(effect of|impact of|relationship between|association between|determinants of|influence of|role of)\b",
+    )),
+    (0.22, (
+        r"\b(is defined as|are defined as|refers to|can be defined as|is conceptualised as|is conceptualized as|theory posits|theory suggests|framework assumes)\b",
+    )),
+    (0.18, (
+        r"\b\d+(?:\.\d+)?\s*(?:%|percent|per cent)\b",
+        r"\b(p\s*[<=>]\s*0\.\d+|coefficient|regression|correlation|sample size|respondents|odds ratio|confidence interval)\b",
+    )),
+    (0.14, (
+        r"\b(most|many|several|major|critical|central|important|increasingly|widely|commonly|generally|often|frequently)\b",
+        r"\b(challenge|problem|barrier|driver|indicator|predictor|determinant|factor)\b",
+    )),
+    (0.08, (
+        r"\b(ghana|africa|sub-saharan|government|public sector|university|students|households|firms|banks|economy|inflation|procurement)\b",
+    )),
+)
+#: Forms of a citation that a sentence already has.
+CITES = (
+    r"\([^()]{0,220}\b(?:19|20)\d{2}[a-z]?\b[^()]{0,220}\)",
+    r"\b[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'\-]+(?:\s+et\s+al\.?)?(?:\s+(?:and|&)\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'\-]+)?\s*\(\s*(?:19|20)\d{2}[a-z]?\s*\)",
+    r"\b[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'\-]+(?:\s+et\s+al\.?)?(?:\s+(?:and|&)\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'\-]+)?\s*,\s*(?:19|20)\d{2}[a-z]?\b",
+    r"\[(?:\s*\d{1,3}\s*(?:[-,;–—]\s*\d{1,3}\s*)*)\]",
+    r"\(\s*\d{1,3}\s*(?:[-,;–—]\s*\d{1,3}\s*)*\)",
+    r"(?<=[A-Za-z\)\]])\s*[⁰¹²³⁴⁵⁶⁷⁸⁹]+(?:\s*[,;\-–—]\s*[⁰¹²³⁴⁵⁶⁷⁸⁹]+)*",
+)
+#: Beginnings of sentences that need no source, rests of reference lists, and words of a manuscript's own results.
+SKIP_STARTS = (
+    "table ", "figure ", "appendix ", "chapter ", "section ",
+    "source:", "note:", "notes:", "author's computation", "authors' computation",
+    "this chapter", "this study", "the study", "the researcher", "the objective",
+    "the purpose of this study", "the research question", "the hypothesis",
+    "in this study", "in this chapter", "the next section",
 )
+LIST_RESIDUE = r"\bdoi\b|https?://|retrieved from|journal of|vol\.|pp\."
+OWN_RESULTS = (
+    r"\b(table\s*\d+|as shown in table|the results? (?:show|indicate|reveal|demonstrate)|"
+    r"the findings? (?:show|indicate|reveal|suggest)|respondents?|mean score|standard deviation|"
+    r"coefficient|correlation|regression|p\s*[<=>]|r\s*=|r[²2]\s*=|beta|β|t-value|f-value)\b"
+)
+
+
+def cites(sentence: Column) -> Column:
+    """Whether a sentence has a citation in some form."""
+    found = F.lit(False)
+    for p in CITES:
+        found = found | sentence.rlike(p)
+    return found
+
+
+def low_value(sentence: Column) -> Column:
+    """Whether a sentence is no claim that wants a source: too short or long, a question, a heading, a list's rest, an own result, numbers."""
+    low = F.lower(sentence)
+    n_words = F.regexp_count(sentence, F.lit(r"[A-Za-zÀ-ÖØ-öø-ÿ']+"))
+    start = F.lit(False)
+    for s in SKIP_STARTS:
+        start = start | F.startswith(low, F.lit(s))
+    equation = sentence.rlike(r"\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[-+]?\d") | sentence.rlike(r"[=+*/^]\s*[-+]?\d+(?:\.\d+)?") | (sentence.contains("=") & (F.regexp_count(sentence, F.lit(r"\d")) >= 2))
+    density = F.regexp_count(sentence, F.lit(r"\b\d+(?:\.\d+)?\b")) / F.greatest(word_count(sentence), F.lit(1))
+    return (
+        (F.length(sentence) < 55) | (F.length(sentence) > 520) | (n_words < 9) | F.endswith(sentence, F.lit("?")) | start
+        | low.rlike(r"^(hypothesis|objective|research question)\s*\d*[:.]") | low.rlike(LIST_RESIDUE) | low.rlike(OWN_RESULTS) | equation | (density >= 0.22)
+    )
 
 
 def needed_score(sentence: Column) -> Column:
-    """0.15 and the weights of the families found, 0.95 at most; 0 for a sentence that cites."""
-    low, score = F.lower(sentence), F.lit(0.15)
-    for weight, pattern in NEEDED:
-        score = score + F.when(low.rlike(pattern), F.lit(weight)).otherwise(F.lit(0.0))
-    cites = sentence.rlike(r"\[[0-9]+\]|\((19|20)[0-9][0-9]\)|doi:\s*10\.")
-    return F.round(F.when(cites, F.lit(0.0)).otherwise(F.least(score, F.lit(0.95))), 2)
+    """0.15 and the weights of the families found, 0.95 at most; 0 for a sentence that cites or makes no claim."""
+    text = F.trim(F.regexp_replace(sentence, r"\s+", " "))
+    low, score = F.lower(text), F.lit(0.15)
+    for weight, patterns in NEEDED:
+        hit = low.rlike(patterns[0])
+        for p in patterns[1:]:
+            hit = hit | low.rlike(p)
+        score = score + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
+    return F.round(F.when(cites(text) | low_value(text), F.lit(0.0)).otherwise(F.least(score, F.lit(0.95))), 2)
 
 
 def citation_needed(texts: DataFrame, id_col: str, text_col: str, least: float = 0.55) -> DataFrame:

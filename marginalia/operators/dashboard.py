@@ -15,6 +15,75 @@ def list_length(v: Column, path: str) -> Column:
     return F.coalesce(F.size(F.try_variant_get(v, path, "array<variant>")).cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def whole_number(v: Column, *paths: str) -> Column:
+    """Of the first JSON path that is there, the number if it is made of digits only, else null."""
+    text = F.coalesce(*[F.try_variant_get(v, p, "string") for p in paths])
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
+
+
+def array_size(v: Column, path: str) -> Column:
+    """Length of a JSON list, null where there is none."""
+    return F.size(F.try_variant_get(v, path, "array<variant>")).cast("bigint")
+
+
+def is_object(v: Column, path: str) -> Column:
+    return F.coalesce(F.startswith(F.to_json(F.try_variant_get(v, path, "variant")), F.lit("{")), F.lit(False))
+
+
+#: Track operations of an accepted decision that counts as approved.
+TRACKED = ("replace", "delete", "insert_after", "append_reference", "insert_after_and_append_reference")
+
+
+def verification_metrics(jobs: DataFrame) -> DataFrame:
+    """Verification rows and the five states of each job's summary: a number at either place, else the length of the rows, else 0."""
+    v, zero = F.try_parse_json("result"), F.lit(0).cast("bigint")
+    rows = F.coalesce(whole_number(v, "$.online_verification.summary.total"), whole_number(v, "$.verification.total"), array_size(v, "$.online_verification.rows"), zero)
+    states = [F.coalesce(whole_number(v, f"$.online_verification.summary.{k}"), zero).alias(k) for k in ("verified", "likely", "needs_review", "not_found", "offline")]
+    return jobs.select("job_id", rows.alias("verification_rows"), *states)
+
+
+def work_metrics(jobs: DataFrame) -> DataFrame:
+    """Claims, recovery rows (both lists) and suggestions of each job."""
+    v, zero = F.try_parse_json("result"), F.lit(0).cast("bigint")
+    n = lambda p: F.coalesce(array_size(v, p), zero)
+    return jobs.select(
+        "job_id", n("$.claim_support").alias("claims"), (n("$.recovery.missing_recovery") + n("$.recovery.verification_recovery")).alias("recovery"),
+        F.coalesce(array_size(v, "$.suggestions"), array_size(v, "$.suggestions.citations"), zero).alias("suggestions"),
+    )
+
+
+def evidence_metrics(jobs: DataFrame) -> DataFrame:
+    """Totals of the evidence workspace of each job, from the first of three places, and whether there is one."""
+    v, zero = F.try_parse_json("result"), F.lit(0).cast("bigint")
+    at = lambda k, usage: F.coalesce(whole_number(v, f"$.evidence_resolution_workspace.counts.{k}", f"$.correction_plan.evidence_resolution_workspace.counts.{k}", f"$.feature_usage.{usage}"), zero)
+    there = is_object(v, "$.evidence_resolution_workspace") | is_object(v, "$.correction_plan.evidence_resolution_workspace")
+    analyses = F.when(there, F.lit(1).cast("bigint")).otherwise(F.coalesce(whole_number(v, "$.feature_usage.evidence_workspace_analyses"), zero))
+    return jobs.select("job_id", at("total", "evidence_issues_generated").alias("total"), at("pending", "evidence_issues_pending").alias("pending"), at("resolved", "evidence_issues_resolved").alias("resolved"), analyses.alias("analyses"))
+
+
+def tracked_approvals(jobs: DataFrame) -> DataFrame:
+    """Accepted decisions of each job whose operation is a tracked change, else the recorded number."""
+    v = F.try_parse_json("result")
+    entries = F.map_values(F.from_json(F.to_json(F.try_variant_get(v, "$.correction_decisions", "variant")), "map<string,struct<decision:string,track_operation:string>>"))
+    good = F.filter(entries, lambda e: (F.lower(F.coalesce(e["decision"], F.lit(""))) == "accepted") & F.lower(F.coalesce(e["track_operation"], F.lit(""))).isin(*TRACKED))
+    recorded = F.coalesce(whole_number(v, "$.feature_usage.tracked_approvals_current"), F.lit(0).cast("bigint"))
+    return jobs.select("job_id", F.when(is_object(v, "$.correction_decisions"), F.size(good).cast("bigint")).otherwise(recorded).alias("approvals"))
+
+
+def voice_flags(jobs: DataFrame) -> DataFrame:
+    """Writing review of each job: enabled, completed, signals and revisions, from the result or the recorded usage."""
+    v, zero, one = F.try_parse_json("result"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    usage = lambda k: F.coalesce(whole_number(v, f"$.feature_usage.{k}"), zero)
+    on = F.lower(F.coalesce(F.try_variant_get(v, "$.academic_voice_settings.enabled", "string"), F.lit("")))
+    keys = F.size(F.map_keys(F.from_json(F.to_json(F.try_variant_get(v, "$.academic_voice_revisions", "variant")), "map<string,string>"))).cast("bigint")
+    return jobs.select(
+        "job_id", F.when(on == "true", one).when(on == "false", zero).otherwise(usage("academic_voice_enabled_analyses")).alias("enabled"),
+        F.when(is_object(v, "$.academic_voice_review"), one).otherwise(usage("academic_voice_completed_analyses")).alias("completed"),
+        F.coalesce(array_size(v, "$.academic_voice_review.signals"), usage("academic_voice_signals")).alias("signals"),
+        F.when(is_object(v, "$.academic_voice_revisions"), keys).otherwise(usage("academic_voice_approved_revisions")).alias("revisions"),
+    )
+
+
 def job_metrics(jobs: DataFrame) -> DataFrame:
     """words, references (summary, else length of the raw list), index score and paid flag of each job."""
     v = F.try_parse_json("result")

@@ -45,17 +45,18 @@ def type_rank(kind: Column) -> Column:
 def fold_status(events: Column, is_notice: Column) -> Column:
     """Current status of an array of structs (type, date): sorted by (date or 9999, rank), then folded.
 
-    Retraction and withdrawal set retracted; a reinstatement ends any state; concern yields to neither a later
-    correction nor a retraction before it; a correction counts only when nothing graver stands.
+    A retraction sets retracted, a withdrawal withdrawn; a reinstatement ends any state; concern does not replace either of
+    the two; a correction counts only when nothing else stands.
     """
     ordered = F.array_sort(F.transform(events, lambda e: F.struct(F.coalesce(F.nullif(e["date"], F.lit("")), F.lit("9999")).alias("d"), type_rank(e["type"]).alias("r"), e["type"].alias("t"))))
 
     def step(state: Column, e: Column) -> Column:
         t = e["t"]
         return (
-            F.when(t.isin("retraction", "withdrawal"), "retracted")
+            F.when(t == "retraction", "retracted")
+            .when(t == "withdrawal", "withdrawn")
             .when(t == "reinstatement", "reinstated")
-            .when((t == "expression_of_concern") & (state != "retracted"), "expression_of_concern")
+            .when((t == "expression_of_concern") & ~state.isin("retracted", "withdrawn"), "expression_of_concern")
             .when((t == "correction") & (state == "clear"), "corrected")
             .otherwise(state)
         )
@@ -73,26 +74,60 @@ def publication_status(fields: DataFrame, index: DataFrame, notices: DataFrame)
 
 
 def publication_summary(rows: DataFrame) -> DataFrame:
-    """Counts by publication status of every document."""
+    """Current status per reference, counted by document: seven buckets, checked and unchecked rows, and whether all are checked."""
     s = F.col("publication_status")
-    kinds = ("retracted", "expression_of_concern", "corrected", "reinstated", "clear", "unchecked")
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(s == k).alias(k) for k in kinds], F.count_if(s != "unchecked").alias("checked"))
+    kinds = ("expression_of_concern", "corrected", "reinstated", "publication_notice")
+    other = (s == "clear") & (F.col("event_count") > 0)
+    known = s.isin("retracted", "withdrawn", "clear", *kinds)
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(s.isin("retracted", "withdrawn")).alias("retracted_or_withdrawn"), *[F.count_if(s == k).alias(k) for k in kinds],
+        F.count_if(other).alias("other_update"), F.count_if((s == "clear") & ~other).alias("no_recorded_event"), F.count_if(known).alias("checked"), F.count_if(~known).alias("unchecked"), F.every(known).alias("complete"),
+    )
+
+
+#: Names of a risk and its priority by publication status; the first that fits counts.
+STATUS_RISKS = (
+    (("retracted", "withdrawn"), "retracted_or_withdrawn", "critical"),
+    (("expression_of_concern",), "expression_of_concern", "critical"),
+    (("publication_notice",), "publication_notice", "optional"),
+    (("corrected",), "corrected_publication", "important"),
+    (("reinstated",), "reinstated_publication", "optional"),
+    (("unchecked",), "publication_status_unchecked", "important"),
+)
+#: Update types of a superseded record, types of sources that are not scholarly, link states that are fine.
+SUPERSEDED = ("correction", "corrigendum", "erratum", "update", "is-corrected-by", "is-superseded-by")
+NOT_SCHOLARLY = ("web", "webpage", "blog", "news", "social-media")
+LINK_FINE = ("200", "201", "202", "204")
 
 
-def source_risks(rows: DataFrame, current_year: int) -> DataFrame:
-    """doc_id, risk, priority, n: rules over verification rows(publication_status, status, year, doi), exploded and counted."""
+def source_risks(rows: DataFrame, current_year: int, review_list: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, risk, priority, n: every rule over verification rows, exploded and counted.
+
+    review_list: journal names (lower case) that the institution wants looked at. A row gets one risk of its publication
+    status at most; all other rules stand by themselves. A DOI counts as repeated from its second reference on.
+    """
+    text = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    doi = lambda c: F.replace(text(c), F.lit("https://doi.org/"), F.lit(""))
     rule = lambda cond, name, priority: F.when(cond, F.struct(F.lit(name).alias("risk"), F.lit(priority).alias("priority")))
-    first = F.min("ref_idx").over(W.partitionBy("doc_id", "doi"))
+    status, s = text("status"), text("publication_status")
+    by_status = F.lit(None)
+    for states, name, priority in reversed(STATUS_RISKS):
+        by_status = F.when(s.isin(*states), F.struct(F.lit(name).alias("risk"), F.lit(priority).alias("priority"))).otherwise(by_status)
+    by_status = F.coalesce(by_status, rule(F.col("event_count") > 0, "other_publication_update", "optional"))
+    found, own = doi("doi"), doi("ref_doi")
+    rows = rows.withColumn("__doi", F.coalesce(F.nullif(found, F.lit("")), F.nullif(own, F.lit(""))))
+    repeated = F.col("__doi").isNotNull() & (F.col("ref_idx") > F.min("ref_idx").over(W.partitionBy("doc_id", "__doi")))
     rules = F.array_compact(
         F.array(
-            rule(F.col("publication_status") == "retracted", "retracted_source", "critical"),
-            rule(F.col("publication_status") == "expression_of_concern", "expression_of_concern", "important"),
-            rule(F.col("publication_status") == "corrected", "corrected_source", "optional"),
-            rule(F.col("publication_status") == "unchecked", "status_unchecked", "optional"),
-            rule(F.col("status") == "not_found", "source_not_found", "important"),
-            rule(F.col("year") > current_year, "future_year", "important"),
-            rule(F.col("ref_idx") > F.col("first_idx"), "duplicate_doi", "optional"),
+            rule(status.isin("not_found", "unverified", "failed"), "metadata_not_found", "important"),
+            by_status,
+            rule(~s.isin("corrected", "reinstated", "publication_notice") & text("update_type").isin(*SUPERSEDED), "corrected_or_superseded", "important"),
+            rule(F.lit(current_year) - F.col("year") > 10, "older_source", "optional"),
+            rule(text("source_type").isin(*NOT_SCHOLARLY), "non_scholarly_source", "important"),
+            rule((own != "") & (found != "") & (own != found), "doi_mismatch", "critical"),
+            rule(repeated, "duplicate_publication_entry", "important"),
+            rule(F.trim(text("journal")).isin(*review_list) if review_list else F.lit(False), "journal_on_configured_review_list", "critical"),
+            rule((text("link_status") != "") & ~text("link_status").isin(*LINK_FINE), "reference_link_unavailable", "optional"),
         )
     )
-    marked = rows.withColumn("first_idx", first).select("doc_id", F.inline(rules))
-    return marked.groupBy("doc_id", "risk", "priority").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("__rules", rules).select("doc_id", F.inline("__rules")).groupBy("doc_id", "risk", "priority").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.functions.text import SUPERSCRIPTS, expand_numbers, ngrams, words
+from marginalia.functions.text import SUPERSCRIPTS, expand_numbers, hmac_sha256, ngrams, unicode_words
 
 #: Opening and closing of the numeric forms.
 FORMS = {"square": r"\[([0-9][0-9,;\s\-–]*)\]", "round": r"\(([0-9][0-9]?[0-9]?(?:\s*[,;\-–]\s*[0-9][0-9]?[0-9]?)*)\)"}
@@ -90,33 +90,45 @@ def nearby_captions(blocks: DataFrame, span: int = 2) -> DataFrame:
 
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the words of a text of twenty words or more, else null."""
-    w = words(text, 1)
+    w = unicode_words(text)
     return F.when(F.size(w) >= 20, F.sha2(F.array_join(w, " "), 256))
 
 
 def signature(text: Column, key: str, k: int = 128) -> Column:
-    """The k least keyed hashes of five-word shingles."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(ngrams(words(text, 1), 5), lambda g: F.substring(F.sha2(F.concat(F.lit(key), g), 256), 1, 24)))), 1, k)
+    """The k least keyed hashes of five-word shingles; null below twenty words."""
+    w = unicode_words(text)
+    return F.when(F.size(w) >= 20, F.slice(F.array_sort(F.array_distinct(F.transform(ngrams(w, 5), lambda g: F.substring(hmac_sha256(key, g), 1, 24)))), 1, k))
 
 
 def signatures_match(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
-    """pairs whose signatures share 0.6 of the smaller one and whose lengths are within 0.6 of each other."""
-    shared = F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
+    """pairs whose signatures share 0.6 of the larger one and whose lengths in words are within 0.6 of each other."""
+    shared = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
     ratio = F.least(na, nb) / F.greatest(F.col(na), F.col(nb), F.lit(1))
-    return pairs.withColumn("overlap", F.round(shared, 4)).withColumn("matches", (shared >= 0.6) & (ratio >= 0.6))
+    matches = F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & (F.least(na, nb) > 0) & (shared >= 0.6) & (ratio >= 0.6), F.lit(False))
+    return pairs.withColumn("overlap", F.coalesce(F.round(shared, 4), F.lit(0.0))).withColumn("matches", matches)
+
+
+def line_key(line: Column) -> Column:
+    """A line by which headers and footers of pages are known: numbers of up to four digits as #."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"\b[0-9]{1,4}\b", "#"), r"\s+", " "))
+
+
+def _edges(pages: DataFrame) -> DataFrame:
+    lines = F.filter(F.split("text", r"\n"), lambda x: F.trim(x) != "")
+    n = F.size("__l")
+    ends = F.concat(F.slice("__l", 1, 4), F.slice("__l", F.greatest(n - 3, F.lit(1)), 4))
+    return pages.withColumn("__l", lines).select("source", "page", F.explode(ends).alias("line"))
 
 
 def repeated_lines(pages: DataFrame, share: float = 0.45, least: int = 3) -> DataFrame:
-    """Lines (digits as #) that stand in at least share of the pages of a source, and in least pages."""
+    """Keys of 4 to 120 characters among the first and last four lines of the pages of a source, met as often as a share of its pages (least at least)."""
     total = pages.groupBy("source").agg(F.countDistinct("page").alias("pages"))
-    lines = pages.select("source", "page", F.explode(F.split("text", r"\n")).alias("line")).withColumn("line", F.trim(F.regexp_replace("line", "[0-9]+", "#"))).filter("line <> ''").distinct()
-    df = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(total, "source").filter(F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share)))
+    keys = _edges(pages).select("source", line_key(F.col("line")).alias("line")).filter((F.length("line") >= 4) & (F.length("line") <= 120))
+    df = keys.groupBy("source", "line").agg(F.count(F.lit(1)).alias("df"))
+    return df.join(total, "source").filter(F.col("pages") >= 3).filter(F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share)))
 
 
 def without_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Lines of pages that are not repeated."""
-    lines = pages.select("source", "page", F.posexplode(F.split("text", r"\n")).alias("idx", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "[0-9]+", "#")))
+    """Lines of pages whose key is not repeated, wherever they stand."""
+    lines = pages.select("source", "page", F.posexplode(F.split("text", r"\n")).alias("idx", "raw")).withColumn("line", line_key(F.col("raw")))
     return lines.join(repeated.select("source", "line"), ["source", "line"], "left_anti")
-
-

@@ -14,11 +14,14 @@ def preview(rows: DataFrame, group: list[str], order: list[str], fraction: float
     return rows.withColumn("__take", take).withColumn("__rn", F.row_number().over(part.orderBy(*order))).filter("__rn <= __take").drop("__rn", "__take")
 
 
-def round_robin(rows: DataFrame, scope: str, group: str, order: list[str], most: int = 10) -> DataFrame:
-    """A fair preview: groups of a scope take turns until most rows are shown."""
+def round_robin(rows: DataFrame, scope: str, group: str, order: list[str], fraction: float = 0.25, most: int = 10) -> DataFrame:
+    """A fair preview: groups of a scope take turns until a fraction of its rows, one at least and most at most, is shown."""
     turn = F.row_number().over(W.partitionBy(scope, group).orderBy(*order))
     place = F.row_number().over(W.partitionBy(scope).orderBy("turn", group))
-    return rows.withColumn("turn", turn).filter(F.col("turn") <= most).withColumn("place", place).filter(F.col("place") <= most)
+    total = F.count(F.lit(1)).over(W.partitionBy(scope))
+    budget = F.least(total, F.lit(most), F.greatest(F.lit(1), F.ceil(total * fraction)))
+    marked = rows.withColumn("turn", turn).withColumn("budget", budget).filter(F.col("turn") <= F.col("budget"))
+    return marked.withColumn("place", place).filter(F.col("place") <= F.col("budget"))
 
 
 def best_suggestions(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -29,7 +32,7 @@ def best_suggestions(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def suggestion_stats(rows: DataFrame) -> DataFrame:
     c = F.col("confidence")
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(c > 0.85).alias("high"), F.count_if((c > 0.6) & (c <= 0.85)).alias("medium"), F.count_if(c <= 0.6).alias("low"))
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(c >= 0.85).alias("high"), F.count_if((c >= 0.70) & (c < 0.85)).alias("medium"), F.count_if(c < 0.70).alias("low"))
 
 
 def correction_items(rows: DataFrame, missing: DataFrame, uncited: DataFrame) -> DataFrame:
@@ -61,17 +64,23 @@ def compare_revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 #: Name, words, references and citations that a tier allows.
-TIERS = (("article", 15_000, 100, 400), ("research_paper", 35_000, 200, 800), ("thesis", 75_000, 350, 1_400), ("phd", 120_000, 600, 2_400))
+TIERS = (("article", 15_000, 100, 300), ("research_paper", 35_000, 200, 700), ("thesis", 75_000, 350, 1_400), ("phd", 120_000, 600, 2_400))
 
 
 def recommended_tier(words: Column, references: Column, citations: Column) -> Column:
-    """The first tier whose limits all fit, else custom."""
-    out = F.lit("custom")
+    """The first tier whose limits all fit, else custom_large; a word count of 0 was not measured and fits any."""
+    out = F.lit("custom_large")
     for name, w, r, c in reversed(TIERS):
-        out = F.when((words <= w) & (references <= r) & (citations <= c), name).otherwise(out)
+        out = F.when(((words <= 0) | (words <= w)) & (references <= r) & (citations <= c), name).otherwise(out)
     return out
 
 
-def clearance(critical: Column, important: Column, pending: Column) -> Column:
-    """Decision of a certificate; an open critical item overrides the others."""
-    return F.when(critical > 0, "Revision Required").when(pending > 0, "Conditional Clearance").when(important == 0, "Full Clearance").when(important <= 2, "Clearance With Notes").otherwise("Conditional Clearance")
+def clearance(score: Column, critical: Column, moderate: Column, recency: Column, clean_list: Column) -> Column:
+    """Decision of a certificate. clean_list: no uncited and no missing references, and every open one verified with evidence."""
+    return (
+        F.when(clean_list & (recency >= 60), "Provisional clearance")
+        .when((score >= 85) & (critical == 0) & (moderate <= 5), "Clearance Recommended")
+        .when((score >= 70) & (critical <= 5), "Conditional Clearance")
+        .when((score >= 55) | (moderate > 0), "Limited Clearance")
+        .otherwise("Revision Required")
+    )

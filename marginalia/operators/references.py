@@ -32,11 +32,9 @@ def claim_like_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame
 
 
 def year_typos(cites: DataFrame, fields: DataFrame) -> DataFrame:
-    """Cited (doc_id, author, year) without a reference, beside references of the author whose year is one digit or one year off."""
-    missing = cites.select("doc_id", "author", "year").distinct().join(fields, ["doc_id", "author", "year"], "left_anti")
-    f = fields.select("doc_id", "author", F.col("year").alias("ref_year")).distinct()
-    near = (F.abs(F.col("year") - F.col("ref_year")) == 1) | (F.levenshtein(F.col("year").cast("string"), F.col("ref_year").cast("string")) == 1)
-    return missing.join(f, ["doc_id", "author"]).filter(near).groupBy("doc_id", "author", "year").agg(F.min("ref_year").alias("ref_year"), F.count(F.lit(1)).alias("n"))
+    """Cited (doc_id, author, year) without a reference whose author has exactly one year in the list: that year may be meant."""
+    years = fields.groupBy("doc_id", "author").agg(F.min("year").alias("ref_year"), F.max("year").alias("__last"), F.count(F.lit(1)).alias("n")).filter("ref_year = __last").drop("__last")
+    return cites.select("doc_id", "author", "year").distinct().join(years, ["doc_id", "author"]).filter("year <> ref_year")
 
 
 def mismatch(cite_author: Column, cite_year: Column, ref_author: Column, ref_year: Column) -> Column:
@@ -127,19 +125,37 @@ def issues(title: Column, author: Column, year: Column, doi: Column) -> Column:
 
 
 def messiness(text: Column) -> Column:
-    """0 to 100: penalties for missing year, missing end mark, doubled marks, odd spacing, shouting."""
+    """0 to 100: 30 without any mark, 20 for three spaces in a row, 15 without a name and initial, 20 without a year, 15 in capitals."""
+    name = text.rlike(r"[A-Z][a-z]+,\s+[A-Z]\.") | text.rlike(r"[A-Z][a-z]+\s+[A-Z]\.")
+    shouts = (F.upper(text) == text) & (F.lower(text) != text)
     p = (
-        F.when(~text.rlike("(19|20)[0-9][0-9]"), 30).otherwise(0) + F.when(~text.rlike("[.]$"), 10).otherwise(0) + F.when(text.rlike(r"[.,;]{2,}"), 20).otherwise(0)
-        + F.when(text.rlike(r"  +"), 10).otherwise(0) + F.when((F.length(text) > 0) & (F.upper(text) == text), 25).otherwise(0) + F.when(F.length(text) < 30, 20).otherwise(0)
+        F.when(text.rlike("[.,;:]"), 0).otherwise(30) + F.when(text.rlike(r"\s{3,}"), 20).otherwise(0) + F.when(name, 0).otherwise(15)
+        + F.when(text.rlike(r"\b(19|20)[0-9]{2}\b"), 0).otherwise(20) + F.when(shouts, 15).otherwise(0)
     )
-    return F.least(F.lit(100), p).cast("bigint")
+    return p.cast("bigint")
 
 
 def page_quality(text: Column) -> Column:
-    """0 to 100 for text read from a page: length and share of words, less for replacement marks and broken lines."""
-    w, n = word_count(text), F.greatest(F.length(text), F.lit(1))
-    score = F.least(F.lit(60.0), w * 0.2) + F.least(F.lit(40.0), F.regexp_count(text, F.lit("[A-Za-z]")) / n * 50) - F.regexp_count(text, F.lit("�")) * 5.0
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)) + 1e-9, 2)
+    """Worth of a page's text: length, words, years, author-year citations and DOIs, each up to a bound, less blanks and letters set apart."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    up = lambda c, bound: F.least(c, F.lit(bound))
+    cites = count(r"\([^)]{1,180}\b(?:19|20)[0-9]{2}[a-z]?\b[^)]{0,180}\)")
+    good = up(F.length(text) / 500.0, 10.0) + up(count(r"[A-Za-z0-9_]['A-Za-z0-9_-]*") / 100.0, 10.0) + up(count(r"\b(?:19|20)[0-9]{2}[a-z]?\b") * 0.5, 5.0) + up(cites * 1.0, 5.0) + up(count(r"\b10\.[0-9]{4,9}/\S+") * 1.5, 5.0)
+    bad = up(count(" ") * 0.5, 5.0) + up(count(r"\b[A-Za-z]\s+[A-Za-z]\s+[A-Za-z]\b") * 0.35, 6.0)
+    return F.when(F.length(text) == 0, 0.0).otherwise(F.round(F.greatest(good - bad, F.lit(0.0)) + 1e-9, 3))
+
+
+def best_pages(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, page, engine, rank, text): of the texts that several readers give a page, the worthiest; the first reader on a tie."""
+    best = F.max_by(F.struct("engine", "text"), F.struct("quality", -F.col("rank")))
+    return pages.withColumn("quality", page_quality(F.col("text"))).groupBy("doc_id", "page").agg(best.alias("b"), F.max("quality").alias("quality")).select("doc_id", "page", F.col("b.engine").alias("engine"), F.col("b.text").alias("text"), "quality")
+
+
+def column_order(boxes: DataFrame) -> DataFrame:
+    """boxes(doc_id, page, width, x0, y0, text) with their place in reading order: left column before right, then down, then across."""
+    side = F.when(F.col("x0") < F.when(F.coalesce("width", F.lit(0.0)) > 0, F.col("width") / 2).otherwise(300.0), 0).otherwise(1)
+    kept = boxes.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("col", side)
+    return kept.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "page").orderBy("col", "y0", "x0", "text")))
 
 
 def file_family(name: Column) -> Column:

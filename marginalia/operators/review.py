@@ -7,22 +7,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marginalia.functions.similarity import similarity
-from marginalia.functions.text import significant_words
+from marginalia.functions.text import significant_words, slug
 
 #: Names of a verification status by its canonical form; any other name needs review by a person.
 STATUS_NAMES = {
-    "verified": "verified matched exact_match",
-    "verified_with_metadata_differences": "likely verified_with_metadata_differences metadata_differences",
-    "not_found": "not_found missing no_match",
-    "lookup_failed": "offline lookup_failed timeout error",
-    "serious_identity_conflict": "identity_conflict serious_identity_conflict",
-    "valid_but_not_digitally_indexed": "valid_but_not_digitally_indexed manually_verified",
+    "verified": ("verified", "matched", "valid", "confirmed", "exact_match", "verified_exact"),
+    "verified_with_metadata_differences": ("likely", "verified_with_metadata_differences", "verified_with_differences", "metadata_difference", "metadata_differences", "metadata_mismatch"),
+    "valid_but_not_digitally_indexed": ("valid_not_indexed", "valid_but_not_indexed", "not_digitally_indexed", "valid_offline_source", "manual_valid", "valid_but_not_digitally_indexed"),
+    "possible_match_human_review": ("possible", "possible_match", "needs_review", "manual_review", "review_required", "source_needs_review", "ambiguous", "unverified", "possible_match_human_review"),
+    "not_found": ("not_found", "metadata_not_found", "no_match", "no_record", "unmatched"),
+    "lookup_failed": ("failed", "lookup_failed", "verification_failed", "offline", "error", "timeout", "timed_out", "unavailable", "service_unavailable", "unknown", ""),
+    "serious_identity_conflict": ("identity_conflict", "reference_identity_conflict", "serious_identity_conflict", "doi_title_conflict", "title_author_conflict"),
 }
+#: Names of a claim's support by its canonical form; any other name stays as it is.
+SUPPORT_NAMES = {
+    "direct_support": ("strong", "strong_support", "direct_support", "supported", "verified_support"),
+    "partial_support": ("moderate", "moderate_support", "related_evidence", "partial_support"),
+    "weak_or_unclear": ("weak", "weak_support", "weak_or_unclear", "unclear", "source_needs_review", "unverified", "failed"),
+    "mapping_incomplete": ("mapping_incomplete", "incomplete_mapping", "no_mapping", "no_source", "not_mapped", "unmapped", ""),
+    "insufficient_evidence": ("insufficient_evidence", "insufficient", "no_support", "unsupported", "contradicted", "contradictory"),
+}
+#: States of a lookup as the service reports them.
+LOOKUP_STATES = ("verified", "likely", "needs_review", "not_found", "offline")
+#: Group of a correction item by its category, where the status does not decide.
+EVIDENCE_GROUPS = {
+    "missing_reference": "missing_references",
+    "citation_needed": "unsupported_claims",
+    "reference_incomplete": "incomplete_metadata",
+    "reference_identity_conflict": "metadata_conflicts",
+    "uncited_reference": "uncited_references",
+    "source_risk": "source_safety",
+    "table_figure": "table_figure_integrity",
+    "reference_metadata": "other_corrections",
+    "reference_style": "other_corrections",
+    "citation_formatting": "other_corrections",
+    "citation_coach": "other_corrections",
+}
+
+
+def _named(table: dict[str, tuple], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for canonical, names in table.items() for n in names for x in (n, canonical)]), key)
 
 
 def canonical_status(status: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for canonical, names in STATUS_NAMES.items() for n in names.split() for x in (n, canonical)])
-    return F.coalesce(F.try_element_at(table, F.regexp_replace(F.lower(F.trim(status)), "[^a-z0-9]+", "_")), F.lit("possible_match_human_review"))
+    """Canonical form of a verification status."""
+    return F.coalesce(_named(STATUS_NAMES, slug(F.trim(F.coalesce(status, F.lit(""))))), F.lit("possible_match_human_review"))
+
+
+def canonical_support(status: Column) -> Column:
+    """Canonical form of a claim's support."""
+    key = slug(F.trim(F.coalesce(status, F.lit(""))))
+    return F.coalesce(_named(SUPPORT_NAMES, key), key)
+
+
+def lookup_state(status: Column) -> Column:
+    """A reported state, or needs_review for any other text."""
+    key = F.replace(F.lower(F.trim(F.coalesce(status, F.lit("")))), F.lit(" "), F.lit("_"))
+    return F.when(key.isin(*LOOKUP_STATES), key).otherwise("needs_review")
+
+
+def evidence_group(category: Column, status: Column) -> Column:
+    """Group of a correction item; null for categories that have none."""
+    v, c = canonical_status(status), canonical_support(status)
+    source = F.when(v == "not_found", "references_not_found").when(v == "lookup_failed", "verification_lookup_failed").otherwise("unresolved_verification")
+    claim = F.when(c == "mapping_incomplete", "incomplete_mappings").when(c == "weak_or_unclear", "weak_support").otherwise("unsupported_claims")
+    table = F.create_map(*[F.lit(x) for pair in EVIDENCE_GROUPS.items() for x in pair])
+    return F.when(category == "source_verification", source).when(category == "claim_support", claim).otherwise(F.try_element_at(table, category))
+
+
+def evidence_workspace(items: DataFrame) -> DataFrame:
+    """items(doc_id, item, category, status, decision) grouped: total, pending, resolved and the items of each group."""
+    named = items.withColumn("group", evidence_group(F.col("category"), F.col("status"))).filter("group is not null")
+    pending = F.coalesce(F.nullif(F.col("decision"), F.lit("")), F.lit("pending")) == "pending"
+    return named.groupBy("doc_id", "group").agg(F.count(F.lit(1)).alias("total"), F.count_if(pending).alias("pending"), F.count_if(~pending).alias("resolved"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
 
 
 def entitled(rows: DataFrame, paid: Column, hidden: list[str], scope: str, order: list[str], fraction: float = 0.25, most: int = 10) -> DataFrame:
@@ -39,22 +96,52 @@ def reference_audit(refs: DataFrame, rows: DataFrame) -> DataFrame:
     return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("references"), F.count_if(F.col("status").isNull()).alias("unchecked"), F.count_if(~F.col("status").isin("verified", "likely")).alias("needs_work"))
 
 
-def recommendation(recency: Column, needed: float = 50.0) -> Column:
-    """What to do about the share of recent sources."""
-    return F.when(recency >= needed, "Recent sources are well represented.").otherwise(F.concat(F.lit("Raise the share of recent sources from "), F.round(recency).cast("int").cast("string"), F.lit(" to "), F.lit(int(needed)).cast("string"), F.lit(" percent.")))
+def recommendation(recency: Column, total: Column, target: float = 70.0) -> Column:
+    """What to do about the share of recent sources: how many more would reach the target."""
+    percent = lambda c: F.bround(c, 0).cast("int").cast("string")
+    more = (F.bround(F.lit(target) / 100 * total, 0) - F.bround(recency / 100 * total, 0)).cast("int")
+    goal = str(round(target))
+    return (
+        F.when(total == 0, "No references available for analysis.")
+        .when(recency >= target, F.concat(F.lit("Recency is strong ("), percent(recency), F.lit("% ≤5 years). Maintain balance with foundational studies.")))
+        .when(more <= 0, F.concat(F.lit("Recency is acceptable ("), percent(recency), F.lit("% ≤5 years). Consider adding a few more recent sources.")))
+        .otherwise(F.concat(F.lit("Add approximately "), more.cast("string"), F.lit(" recent source(s) (≤5 years) to improve scholarly relevance (current: "), percent(recency), F.lit(f"%, target: {goal}%).")))
+    )
+
+
+def verification_advice(score: Column, total: Column) -> Column:
+    """What to do about the share of verified references."""
+    percent = F.bround(score, 0).cast("int").cast("string")
+    fifth = F.bround(total * 0.2, 0).cast("int").cast("string")
+    return (
+        F.when(score >= 80, "Verification rate is excellent. Continue maintaining high standards.")
+        .when(score >= 60, F.concat(F.lit("Verification rate is good ("), percent, F.lit("%). Consider verifying "), fifth, F.lit(" more reference(s) to reach 80%.")))
+        .when(score >= 40, F.concat(F.lit("Verification rate needs improvement ("), percent, F.lit("%). Run online verification for unverified references.")))
+        .otherwise(F.concat(F.lit("Low verification rate ("), percent, F.lit("%). Strongly recommend running online verification for all references.")))
+    )
+
+
+def diversity_advice(score: Column) -> Column:
+    """What to do about the spread of authors."""
+    percent = F.bround(score, 0).cast("int").cast("string")
+    return (
+        F.when(score >= 70, "Excellent author diversity. Citations are well-distributed.")
+        .when(score >= 50, F.concat(F.lit("Good author diversity ("), percent, F.lit("%). Consider citing from a broader range of research groups.")))
+        .otherwise(F.concat(F.lit("Limited author diversity ("), percent, F.lit("%). Citation concentration is high. Expand to include more varied sources.")))
+    )
 
 
-def claim_counts(rows: DataFrame) -> DataFrame:
-    """Serious, moderate and minor issues of claims; a weak claim of an unverified source counts as moderate twice."""
-    s, v = F.col("support"), F.col("status")
-    moderate = F.sum(F.when(s == "weak", 1).otherwise(0)) + F.sum(F.when(v != "verified", 1).otherwise(0))
-    return rows.groupBy("doc_id").agg(F.count_if(s == "insufficient").alias("serious"), moderate.alias("moderate"), F.count_if(s == "related").alias("minor"))
+def priorities(verification: Column, recency: Column, diversity: Column, balance: Column) -> Column:
+    """Areas to improve first, in this order; empty where there are none."""
+    areas = F.array_compact(F.array(F.when(verification < 60, "verification"), F.when(recency < 50, "recency"), F.when(diversity < 50, "diversity"), F.when(balance < 40, "temporal balance")))
+    return F.when(F.size(areas) == 0, "").otherwise(F.concat(F.lit("Focus on improving: "), F.array_join(areas, ", ")))
 
 
 def text_of_positions(index: DataFrame, most: int = 180) -> DataFrame:
-    """Text from an inverted index(id, word, pos): words by position, at most most of them; the bound is the report's."""
-    near = index.filter(F.col("pos") < most)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    """Text from an inverted index(id, word, pos): the first most words by position, whatever positions are missing."""
+    place = F.row_number().over(W.partitionBy("id").orderBy("pos", "word"))
+    near = index.withColumn("__k", place).filter(F.col("__k") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct("__k", "word")))
     return near.groupBy("id").agg(F.array_join(F.transform(ordered, lambda p: p["word"]), " ").alias("text"))
 
 

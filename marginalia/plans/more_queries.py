@@ -8,13 +8,31 @@ from marginalia.functions import text as T
 from marginalia.operators import access as A
 from marginalia.operators import references as R
 from marginalia.operators import review as V
+from marginalia.operators import commerce as CO
+from marginalia.operators import dashboard as D
+from marginalia.operators import extract as X
+from marginalia.operators import integrity as I
+from marginalia.plans.queries import _DIV, _SUM, _TEMP, YEAR, _padded
 from marginalia.plans.registry import DERIVED, query
 
 DERIVED |= {
-    "purchases": """SELECT o_orderkey AS purchase_id, o_custkey AS account_id, CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'P' THEN 'complimentary' ELSE 'pending' END AS status, o_orderdate AS created_at,
-        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INT) END AS expires_at, o_orderkey % 500 AS preview_job_id FROM {orders}""",
+    "purchases": """SELECT o_orderkey AS purchase_id, o_custkey AS account_id, CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'P' THEN 'active' ELSE 'pending' END AS status, o_orderdate AS created_at,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INT) END AS expires_at, o_orderkey % 500 AS preview_job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'paystack' ELSE 'stripe' END AS provider,
+        CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate ELSE NULL END AS confirmed_at, CASE WHEN o_orderkey % 4 = 1 THEN o_orderdate ELSE NULL END AS attempted_at FROM {orders}""",
     "runs": "SELECT DISTINCT l_orderkey AS purchase_id, l_partkey AS job_id FROM {lineitem} WHERE l_linenumber = 1",
-    "part_jobs": "SELECT p_partkey AS job_id, CASE WHEN p_size % 3 = 0 THEN 'completed' ELSE 'queued' END AS status FROM {part}",
+    "part_jobs": "SELECT p_partkey AS job_id, CASE WHEN p_size % 3 = 0 THEN 'completed' WHEN p_size % 3 = 1 THEN 'failed' ELSE 'queued' END AS status, p_size % 7 = 0 AS content_deleted, p_size % 11 = 0 AS result_deleted FROM {part}",
+    "accounts": "SELECT c_custkey AS account_id, concat('user', CAST(c_custkey AS STRING), '@example.org') AS email FROM {customer} WHERE c_nationkey <> 3",
+    "grants": """SELECT o_orderkey AS job_id, o_custkey AS account_id, 1 + o_orderkey % 4 AS cost, 1 + o_orderkey % 4 AS credits, o_orderdate AS created_at, o_orderdate + INTERVAL '14' DAY AS recheck_until, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('f', CAST(o_orderkey % 40 AS STRING)) END AS fingerprint,
+        CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey - 1 ELSE NULL END AS recheck_of, CASE WHEN o_orderkey % 6 = 0 THEN o_orderdate ELSE NULL END AS refunded_at FROM {orders} WHERE o_orderpriority <> '5-LOW'""",
+    "reports": "SELECT o_orderkey AS job_id, o_custkey AS account_id, o_orderdate AS created_at FROM {orders}",
+    "requests": """SELECT o_orderkey AS job_id, o_custkey AS account_id, 1 + o_orderkey % 4 AS cost, concat('f', CAST(o_orderkey % 40 AS STRING)) AS fingerprint, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 1 ELSE NULL END AS recheck_of FROM {orders}""",
+    "records": """SELECT o_orderkey AS job_id, o_orderkey % 3 = 0 AS paid, o_totalprice AS amount, o_orderkey % 60 AS references, o_orderkey % 90 AS citations, o_orderkey % 30 AS verified, o_orderkey % 7 AS not_found FROM {orders}""",
+    "uploads": "SELECT l_orderkey AS upload_id, l_shipdate AS ts, l_linenumber < 6 AS success, l_partkey % 50 AS references FROM {lineitem}",
+    "wide_jobs": """SELECT o_orderkey AS job_id, concat('{{"online_verification":{{"summary":{{', CASE WHEN o_orderkey % 4 = 0 THEN concat('"total":', CAST(o_orderkey % 70 AS STRING), ',') ELSE '' END, '"verified":', CAST(o_orderkey % 40 AS STRING), ',"likely":"', CAST(o_orderkey % 9 AS STRING), '","not_found":-1}},"rows":[1,2,3]}}',
+        CASE WHEN o_orderkey % 4 = 1 THEN ',"verification":{{"total":"12"}}' ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN ',"claim_support":[1,2]' ELSE ',"claim_support":7' END, ',"recovery":{{"missing_recovery":[1]', CASE WHEN o_orderkey % 2 = 0 THEN ',"verification_recovery":[1,2]' ELSE '' END, '}}',
+        CASE WHEN o_orderkey % 5 = 0 THEN ',"suggestions":[1,2,3,4]' ELSE ',"suggestions":{{"citations":[1]}}' END, CASE WHEN o_orderkey % 6 = 0 THEN concat(',"evidence_resolution_workspace":{{"counts":{{"total":', CAST(o_orderkey % 11 AS STRING), ',"pending":2}}}}') ELSE concat(',"feature_usage":{{"evidence_issues_generated":', CAST(o_orderkey % 13 AS STRING), ',"evidence_workspace_analyses":"3","tracked_approvals_current":4,"academic_voice_signals":6}}') END,
+        CASE WHEN o_orderkey % 7 = 0 THEN ',"correction_decisions":{{"a":{{"decision":"Accepted","track_operation":"replace"}},"b":{{"decision":"accepted","track_operation":"none"}},"c":{{"decision":"rejected","track_operation":"delete"}}}}' ELSE '' END,
+        CASE o_orderkey % 3 WHEN 0 THEN ',"academic_voice_settings":{{"enabled":true}},"academic_voice_review":{{"signals":[1,2]}},"academic_voice_revisions":{{"x":1,"y":2}}' WHEN 1 THEN ',"academic_voice_settings":{{"enabled":false}}' ELSE '' END, '}}') AS result FROM {orders}""",
     "ref_lines": """SELECT l_orderkey AS doc_id, l_linenumber AS idx, min(CASE WHEN l_linenumber = 2 AND l_orderkey % 2 = 0 THEN 'References' WHEN l_linenumber = 6 AND l_orderkey % 3 = 0 THEN 'Appendix A' WHEN l_partkey % 3 = 0 THEN concat('[', CAST(l_linenumber AS STRING), '] Some work.')
         WHEN l_partkey % 3 = 1 THEN concat(CAST(l_linenumber AS STRING), '. Other work.') ELSE 'Smith, J. (2020). Work.' END) AS text FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
 }
@@ -35,9 +53,11 @@ def claim_like_sentences(t):
     return R.claim_like_counts(t.documents, "doc_id", "text")
 
 
-@query(f"""SELECT doc_id, sent_idx, w::BIGINT AS words, (coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 + 1)::BIGINT AS page FROM (SELECT doc_id, sent_idx, {_WORDS} AS w FROM ({_SENT}))""")
+@query(r"""SELECT doc_id, para_idx, w::BIGINT AS words, (coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY para_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 + 1)::BIGINT AS page FROM (SELECT doc_id, unnest(range(0, len(l)))::INT AS para_idx, len(list_filter(string_split(trim(regexp_replace(unnest(l), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS w
+  FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 0) AS l FROM {documents}))""")
 def page_estimates(t):
-    return A.page_estimates(_sentences(t)).select("doc_id", "sent_idx", "words", "page")
+    p = t.documents.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("para_idx", "p")).withColumn("words", T.word_count(F.col("p")))
+    return A.page_estimates(p).select("doc_id", "para_idx", "words", "page")
 
 
 @query("""SELECT doc_id, term, n FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {documents}) WHERE length(term) >= 4 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) <= 24""")
@@ -62,8 +82,7 @@ def signature_overlap(t):
     return A.shared_hashes(hashed(t.benchmark, "item_id", "a_id"), hashed(t.documents, "doc_id", "b_id"))
 
 
-@query("""WITH m AS (SELECT DISTINCT doc_id, author, year FROM {ay_cites} c WHERE NOT EXISTS (SELECT 1 FROM {fields} f WHERE f.doc_id = c.doc_id AND f.author = c.author AND f.year = c.year))
-  SELECT m.doc_id, m.author, m.year, min(f.year) AS ref_year, count(*) AS n FROM m JOIN (SELECT DISTINCT doc_id, author, year FROM {fields}) f ON m.doc_id = f.doc_id AND m.author = f.author AND (abs(m.year - f.year) = 1 OR levenshtein(m.year::VARCHAR, f.year::VARCHAR) = 1) GROUP BY 1, 2, 3""")
+@query("""SELECT c.doc_id, c.author, c.year, ref_year, n FROM (SELECT DISTINCT doc_id, author, year FROM {ay_cites}) c JOIN (SELECT doc_id, author, min(year) AS ref_year, count(*) AS n FROM {fields} GROUP BY 1, 2 HAVING count(DISTINCT year) = 1) f ON f.doc_id = c.doc_id AND f.author = c.author WHERE c.year <> ref_year""")
 def year_typos(t):
     return R.year_typos(t.ay_cites, t.fields)
 
@@ -109,12 +128,18 @@ def reference_issues(t):
     return t.fields.select("doc_id", "ref_idx", F.array_join(out, ",").alias("issues"))
 
 
-@query(r"""SELECT doc_id, idx, least(100, CASE WHEN regexp_matches(text, '(19|20)[0-9][0-9]') THEN 0 ELSE 30 END + CASE WHEN text LIKE '%.' THEN 0 ELSE 10 END + CASE WHEN regexp_matches(text, '[.,;]{{2,}}') THEN 20 ELSE 0 END + CASE WHEN length(text) < 30 THEN 20 ELSE 0 END)::BIGINT AS messiness FROM {ref_lines}""")
+@query(r"""SELECT doc_id, idx, (CASE WHEN regexp_matches(text, '[.,;:]') THEN 0 ELSE 30 END + CASE WHEN regexp_matches(text, '\s{{3,}}') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Z][a-z]+,?\s+[A-Z]\.') THEN 0 ELSE 15 END + CASE WHEN regexp_matches(text, '\b(19|20)[0-9]{{2}}\b') THEN 0 ELSE 20 END
+  + CASE WHEN upper(text) = text AND lower(text) <> text THEN 15 ELSE 0 END)::BIGINT AS messiness FROM {ref_lines}""")
 def messiness(t):
     return t.ref_lines.select("doc_id", "idx", R.messiness(F.col("text")).alias("messiness"))
 
 
-@query(r"""SELECT doc_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, least(60.0::DOUBLE, len(list_filter(string_split(trim(regexp_replace(text, '[ \t\n\r\x0b\x0c]+', ' ', 'g')), ' '), lambda x: x <> '')) * 0.2::DOUBLE) + least(40.0::DOUBLE, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1)::DOUBLE * 50))) + 1e-9, 2) AS quality FROM {documents}""")
+_QUALITY = r"""CASE WHEN length(text) = 0 THEN 0.0 ELSE round(1e-9 + greatest(0.0, least(length(text) / 500.0::DOUBLE, 10.0) + least(len(regexp_extract_all(text, '[A-Za-z0-9_][''A-Za-z0-9_-]*')) / 100.0::DOUBLE, 10.0) + least(len(regexp_extract_all(text, '\b(?:19|20)[0-9]{{2}}[a-z]?\b')) * 0.5::DOUBLE, 5.0)
+  + least(len(regexp_extract_all(text, '\([^)]{{1,180}}\b(?:19|20)[0-9]{{2}}[a-z]?\b[^)]{{0,180}}\)')) * 1.0::DOUBLE, 5.0) + least(len(regexp_extract_all(text, '\b10\.[0-9]{{4,9}}/\S+')) * 1.5::DOUBLE, 5.0) - least(len(regexp_extract_all(text, ' ')) * 0.5::DOUBLE, 5.0)
+  - least(len(regexp_extract_all(text, '\b[A-Za-z]\s+[A-Za-z]\s+[A-Za-z]\b')) * 0.35::DOUBLE, 6.0)), 3) END"""
+
+
+@query(f"SELECT doc_id, {_QUALITY} AS quality FROM {{documents}}")
 def page_text_quality(t):
     return t.documents.select("doc_id", R.page_quality(F.col("text")).alias("quality"))
 
@@ -127,19 +152,13 @@ def mismatches(t):
     return j.select("doc_id", "pos", R.mismatch(F.col("author"), F.col("year"), F.col("f.author"), F.col("f.year")).alias("mismatch")).filter("mismatch is not null")
 
 
-@query("""SELECT r.purchase_id, account_id, r.job_id FROM {runs} r JOIN {purchases} p USING (purchase_id) JOIN {part_jobs} j USING (job_id) WHERE p.status IN ('paid', 'complimentary') AND (expires_at IS NULL OR expires_at > DATE '1997-01-01') AND j.status = 'completed'""")
+@query("""SELECT r.purchase_id, account_id, r.job_id FROM {runs} r JOIN {purchases} p USING (purchase_id) JOIN {part_jobs} j USING (job_id) WHERE p.status IN ('paid', 'active') AND (expires_at IS NULL OR expires_at > DATE '1997-01-01') AND j.status = 'completed' AND NOT content_deleted AND NOT result_deleted""")
 def access_join(t):
     return A.access(t.purchases, t.runs, t.part_jobs, F.lit("1997-01-01").cast("date"))
 
 
-@query("""SELECT job_id, arg_max(purchase_id, (created_at, purchase_id)) AS purchase_id FROM (SELECT preview_job_id AS job_id, purchase_id, created_at FROM {purchases} UNION ALL SELECT job_id, purchase_id, created_at FROM {runs} JOIN {purchases} USING (purchase_id)) WHERE job_id % 3 = 0 AND job_id IN (SELECT job_id FROM {part_jobs}) GROUP BY 1""")
-def purchase_by_either_key(t):
-    return A.latest_by_either(t.purchases, t.runs, t.part_jobs.filter("job_id % 3 = 0"))
-
-
-# the query above is held to a third of the jobs by its SQL; this one takes them all
 @query("""SELECT job_id, arg_max(purchase_id, (created_at, purchase_id)) AS purchase_id FROM (SELECT preview_job_id AS job_id, purchase_id, created_at FROM {purchases} UNION ALL SELECT job_id, purchase_id, created_at FROM {runs} JOIN {purchases} USING (purchase_id)) WHERE job_id IN (SELECT job_id FROM {part_jobs}) GROUP BY 1""")
-def purchase_by_either_key_whole(t):
+def purchase_by_either_key(t):
     return A.latest_by_either(t.purchases, t.runs, t.part_jobs)
 
 
@@ -160,9 +179,9 @@ def capped_signals(t):
     return A.capped_by_type(t.verification.select("doc_id", "status", "ref_idx"), "doc_id", "status", ["ref_idx"], 3, 8)
 
 
-@query("""SELECT f.doc_id, f.ref_idx, coalesce(b.status, 'unknown') AS status FROM {fields} f LEFT JOIN (SELECT doi, arg_min(status, (CASE WHEN status IN ('verified', 'likely') THEN 0 ELSE 1 END, ref_idx, status)) AS status FROM {verification} WHERE doc_id % 2 = 0 GROUP BY 1) b ON b.doi = f.doi""")
+@query("""SELECT f.doc_id, f.ref_idx, coalesce(b.status, 'unknown') AS status FROM {fields} f LEFT JOIN (SELECT doi, arg_min(status, (CASE WHEN status IN ('verified', 'likely') THEN 0 ELSE 1 END, ref_idx, status)) AS status FROM {verification} WHERE attempted GROUP BY 1) b ON b.doi = f.doi""")
 def trusted_lookup(t):
-    rows = t.verification.filter("doc_id % 2 = 0").withColumn("key", F.col("doi"))
+    rows = t.verification.filter("attempted").withColumn("key", F.col("doi"))
     return A.trusted_lookup(t.fields.select("doc_id", "ref_idx", F.col("doi").alias("key")), rows).drop("key")
 
 
@@ -196,24 +215,26 @@ def reference_audit(t):
     return V.reference_audit(t.refs, t.verification.filter("attempted"))
 
 
-@query("""SELECT doc_id, CASE WHEN r >= 50 THEN 'Recent sources are well represented.' ELSE 'Raise the share of recent sources from ' || round(r)::INT || ' to 50 percent.' END AS advice FROM (SELECT doc_id, avg(CASE WHEN 1980 - year <= 5 AND year <= 1980 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS r FROM {verification} GROUP BY 1)""")
-def recommendations(t):
-    r = t.verification.groupBy("doc_id").agg((F.avg(F.when((F.lit(1980) - F.col("year") <= 5) & (F.col("year") <= 1980), 1.0).otherwise(0.0)) * 100).alias("r"))
-    return r.select("doc_id", V.recommendation(F.col("r")).alias("advice"))
-
-
-_SUPPORT = "CASE ref_idx % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'insufficient' WHEN 2 THEN 'related' ELSE 'strong' END"
+_ADVICE = f"""SELECT s.doc_id, total, integrity, recency, balance, diversity FROM ({_SUM}) s JOIN ({_TEMP}) t ON t.doc_id = s.doc_id JOIN ({_DIV}) d ON d.doc_id = s.doc_id"""
 
 
-@query(f"""SELECT doc_id, count(*) FILTER (s = 'insufficient') AS serious, (count(*) FILTER (s = 'weak') + count(*) FILTER (status <> 'verified')) AS moderate, count(*) FILTER (s = 'related') AS minor FROM (SELECT *, {_SUPPORT} AS s FROM {{verification}}) GROUP BY 1""")
-def claim_counts(t):
-    return V.claim_counts(t.verification.withColumn("support", F.expr(_SUPPORT)))
+@query(f"""SELECT doc_id, CASE WHEN recency >= 70 THEN 'Recency is strong (' || p || '% ≤5 years). Maintain balance with foundational studies.' WHEN more <= 0 THEN 'Recency is acceptable (' || p || '% ≤5 years). Consider adding a few more recent sources.'
+  ELSE 'Add approximately ' || more || ' recent source(s) (≤5 years) to improve scholarly relevance (current: ' || p || '%, target: 70%).' END AS recency_advice,
+  CASE WHEN integrity >= 80 THEN 'Verification rate is excellent. Continue maintaining high standards.' WHEN integrity >= 60 THEN 'Verification rate is good (' || v || '%). Consider verifying ' || round_even(total * 0.2::DOUBLE, 0)::INT || ' more reference(s) to reach 80%.'
+  WHEN integrity >= 40 THEN 'Verification rate needs improvement (' || v || '%). Run online verification for unverified references.' ELSE 'Low verification rate (' || v || '%). Strongly recommend running online verification for all references.' END AS verification_advice,
+  CASE WHEN diversity >= 70 THEN 'Excellent author diversity. Citations are well-distributed.' WHEN diversity >= 50 THEN 'Good author diversity (' || e || '%). Consider citing from a broader range of research groups.' ELSE 'Limited author diversity (' || e || '%). Citation concentration is high. Expand to include more varied sources.' END AS diversity_advice,
+  CASE WHEN integrity >= 60 AND recency >= 50 AND diversity >= 50 AND balance >= 40 THEN '' ELSE 'Focus on improving: ' || array_to_string(list_filter([CASE WHEN integrity < 60 THEN 'verification' END, CASE WHEN recency < 50 THEN 'recency' END, CASE WHEN diversity < 50 THEN 'diversity' END, CASE WHEN balance < 40 THEN 'temporal balance' END], lambda x: x IS NOT NULL), ', ') END AS priority
+  FROM (SELECT *, round_even(recency, 0)::INT AS p, round_even(integrity, 0)::INT AS v, round_even(diversity, 0)::INT AS e, (round_even(0.7::DOUBLE * total, 0) - round_even(recency / 100 * total, 0))::INT AS more FROM ({_ADVICE}))""")
+def recommendations(t):
+    v = t.verification
+    j = I.verification_summary(v).select("doc_id", "total", "integrity").join(I.temporal(v, YEAR), "doc_id").join(I.concentration_and_diversity(v), "doc_id")
+    return j.select("doc_id", V.recommendation(F.col("recency"), F.col("total")).alias("recency_advice"), V.verification_advice(F.col("integrity"), F.col("total")).alias("verification_advice"), V.diversity_advice(F.col("diversity")).alias("diversity_advice"), V.priorities(F.col("integrity"), F.col("recency"), F.col("diversity"), F.col("balance")).alias("priority"))
 
 
-@query("""SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:180], ' ') AS text FROM {benchmark}""")
+@query("""SELECT doc_id AS id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:180], ' ') AS text FROM {documents} WHERE len(list_filter(string_split(text, ' '), lambda w: w <> '')) > 0""")
 def text_from_positions(t):
-    index = t.benchmark.select(F.col("item_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    return V.text_of_positions(index.repartition(3))
+    index = t.documents.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word")).filter("word <> ''")
+    return V.text_of_positions(index)
 
 
 @query("""SELECT doc_id, substr(text, greatest(instr(text, 'by Smith') - 20, 1), 8 + least(instr(text, 'by Smith') - 1, 20) + 40) AS context FROM {cite_texts} WHERE instr(text, 'by Smith') > 0""")
@@ -221,17 +242,9 @@ def citation_context(t):
     return t.cite_texts.select("doc_id", V.context(F.col("text"), F.lit("by Smith")).alias("context")).filter("context is not null")
 
 
-@query("""SELECT doc_id, ref_idx, rank, suggestion FROM (SELECT v.doc_id, v.ref_idx, CASE WHEN c.cand_id IS NULL THEN 0 ELSE row_number() OVER w END AS rank, coalesce(c.cand_id::VARCHAR, 'manual_search') AS suggestion, row_number() OVER w AS rn FROM (SELECT * FROM {verification} WHERE status = 'not_found') v
-  LEFT JOIN (SELECT p_partkey AS cand_id, p_name AS title, 1970 + p_size AS year FROM {part} WHERE p_partkey % 9 = 0 AND p_name NOT LIKE 'small%') c ON c.title = v.title WINDOW w AS (PARTITION BY v.doc_id, v.ref_idx ORDER BY abs(v.year - c.year), c.cand_id)) WHERE rn <= 3""")
-def recovery_rows(t):
-    catalog = t.part.filter("p_partkey % 9 = 0 and p_name not like 'small%'").select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"), (F.lit(1970) + F.col("p_size")).alias("year"))
-    return V.recovery_rows(t.verification.filter("status = 'not_found'").select("doc_id", "ref_idx", "title", "year"), catalog)
-
-
-# the query above is held to part of the catalog by its SQL; this one searches it all
 @query("""SELECT doc_id, ref_idx, rank, suggestion FROM (SELECT v.doc_id, v.ref_idx, CASE WHEN c.cand_id IS NULL THEN 0 ELSE row_number() OVER w END AS rank, coalesce(c.cand_id::VARCHAR, 'manual_search') AS suggestion, row_number() OVER w AS rn FROM (SELECT * FROM {verification} WHERE status = 'not_found') v
   LEFT JOIN (SELECT p_partkey AS cand_id, p_name AS title, 1970 + p_size AS year FROM {part}) c ON c.title = v.title WINDOW w AS (PARTITION BY v.doc_id, v.ref_idx ORDER BY abs(v.year - c.year), c.cand_id)) WHERE rn <= 3""")
-def recovery_rows_whole(t):
+def recovery_rows(t):
     catalog = t.part.select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"), (F.lit(1970) + F.col("p_size")).alias("year"))
     return V.recovery_rows(t.verification.filter("status = 'not_found'").select("doc_id", "ref_idx", "title", "year"), catalog)
 
@@ -244,7 +257,7 @@ def canonical_statuses(t):
 @query()
 def identity_gate(t):
     f = t.fields
-    p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t2"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a2"), (F.lit(1971) + F.col("p_size")).alias("y2"))
+    p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t2"), F.translate(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), "0123456789", "abcdefghij").alias("a2"), (F.lit(1971) + F.col("p_size")).alias("y2"))
     j = f.join(p, F.col("k") == F.col("ref_idx"))
     return j.select("doc_id", "ref_idx", V.identity_gate(F.col("title"), F.col("t2"), F.col("author"), F.col("a2"), F.col("year"), F.col("y2")).alias("same"))
 
@@ -252,3 +265,158 @@ def identity_gate(t):
 @query()
 def query_plans(t):
     return t.fields.select("doc_id", "ref_idx", V.query_plan(F.col("title"), F.col("author"), F.col("year"), F.col("journal")).alias("queries"))
+
+
+# --- commerce
+@query("SELECT o.purchase_id, o.account_id, email FROM {purchases} o JOIN {accounts} a USING (account_id)")
+def order_accounts(t):
+    return CO.with_account(t.purchases, t.accounts).select("purchase_id", "account_id", "email")
+
+
+@query("""SELECT r.account_id, r.job_id, coalesce(credits, -1) AS credits, refunded_at IS NOT NULL AS refunded FROM (SELECT * FROM {reports} QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY created_at DESC, job_id DESC) <= 100) r LEFT JOIN {grants} g USING (job_id)""")
+def report_links(t):
+    return CO.report_links(t.reports, t.grants).select("account_id", "job_id", F.coalesce("credits", F.lit(-1)).alias("credits"), F.col("refunded_at").isNotNull().alias("refunded"))
+
+
+@query("SELECT g.job_id FROM {grants} g JOIN {jobs} j USING (job_id) WHERE refunded_at IS NULL AND j.status IN ('failed', 'error')")
+def failed_grants(t):
+    return CO.failed_grants(t.grants, t.jobs)
+
+
+@query("""SELECT purchase_id, preview_job_id FROM {purchases} p JOIN {part_jobs} j ON j.job_id = p.preview_job_id WHERE p.provider = 'stripe' AND p.status IN ('paid', 'active') AND confirmed_at IS NULL AND j.status = 'completed' AND NOT content_deleted AND NOT result_deleted
+  AND (expires_at IS NULL OR expires_at > TIMESTAMP '1996-01-01') AND (attempted_at IS NULL OR attempted_at < TIMESTAMP '1996-01-01' - INTERVAL '5 minutes')""")
+def due_confirmations(t):
+    return CO.due_confirmations(t.purchases, t.part_jobs, F.lit("1996-01-01").cast("timestamp_ntz")).select("purchase_id", "preview_job_id")
+
+
+@query("SELECT r.purchase_id, r.job_id, coalesce(p.status, 'none') AS linked_status FROM {runs} r LEFT JOIN (SELECT * FROM {purchases} WHERE status <> 'pending') p USING (purchase_id)")
+def linked_status(t):
+    return CO.linked_status(t.runs, t.purchases.filter("status <> 'pending'")).na.fill("none", ["linked_status"])
+
+
+@query("SELECT job_id, status FROM {jobs} WHERE job_id IN (SELECT job_id FROM {grants})")
+def jobs_among(t):
+    return CO.among(t.jobs, t.grants, "job_id").select("job_id", "status")
+
+
+@query("""SELECT count(*) AS total_jobs, coalesce(sum(paid::INT), 0)::BIGINT AS paid_jobs, round(coalesce(sum(amount) FILTER (paid), 0.0)::DOUBLE, 2) AS revenue, sum("references")::BIGINT AS total_references, sum(citations)::BIGINT AS total_citations, sum(verified)::BIGINT AS total_verified, sum(not_found)::BIGINT AS total_not_found FROM {records}""")
+def commercial_totals(t):
+    return CO.commercial_totals(t.records).withColumn("revenue", F.col("revenue").cast("double"))
+
+
+@query("""SELECT count(*) AS total_uploads, count(*) FILTER (success) AS total_processed, count(*) FILTER (NOT success) AS total_failed, coalesce(sum("references"), 0)::BIGINT AS total_references FROM {uploads} WHERE ts::DATE >= DATE '1995-06-01'""")
+def upload_counters(t):
+    return CO.upload_counters(t.uploads, F.lit("1995-06-01").cast("date"))
+
+
+@query("""SELECT status, count(*) AS n FROM (SELECT lower(trim(coalesce(nullif(manual_decision, ''), nullif(update_type, ''), status))) AS status FROM {verification}) GROUP BY 1""")
+def first_status(t):
+    return CO.first_status(t.verification, ["manual_decision", "update_type", "status"])
+
+
+@query("""WITH live AS (SELECT * FROM {grants} WHERE refunded_at IS NULL), twins AS (SELECT account_id, fingerprint, arg_min(job_id, (created_at, job_id)) AS duplicate_of FROM live WHERE recheck_until > TIMESTAMP '1996-06-30' AND fingerprint <> '' GROUP BY 1, 2),
+  bal AS (SELECT account_id, sum(remaining)::BIGINT AS balance FROM {lots} WHERE available_at <= DATE '1996-06-30' AND (expires_at IS NULL OR expires_at > DATE '1996-06-30') GROUP BY 1),
+  q AS (SELECT r.account_id, r.job_id, r.cost, coalesce(balance, 0) AS balance, CASE WHEN o.account_id <> r.account_id THEN 'refused_other_account' WHEN o.account_id IS NOT NULL THEN 'already_unlocked' WHEN t.duplicate_of IS NOT NULL THEN 'duplicate'
+    WHEN r.recheck_of IS NOT NULL AND f.job_id IS NOT NULL AND u.recheck_of IS NULL AND r.cost <= f.cost THEN 'recheck' WHEN r.recheck_of IS NOT NULL THEN 'refused_recheck' ELSE 'credits' END AS kind
+    FROM {requests} r LEFT JOIN live o ON o.job_id = r.job_id LEFT JOIN twins t ON t.account_id = r.account_id AND t.fingerprint = r.fingerprint LEFT JOIN (SELECT * FROM live WHERE recheck_of IS NULL AND recheck_until > TIMESTAMP '1996-06-30') f ON f.job_id = r.recheck_of AND f.account_id = r.account_id
+    LEFT JOIN (SELECT DISTINCT recheck_of FROM live WHERE recheck_of IS NOT NULL) u ON u.recheck_of = r.recheck_of LEFT JOIN bal b ON b.account_id = r.account_id)
+  SELECT account_id, job_id, kind, CASE WHEN kind = 'credits' THEN cost ELSE 0 END::BIGINT AS price, balance, kind NOT LIKE 'refused%' AND (kind <> 'credits' OR balance >= cost) AS can_unlock FROM q""")
+def unlock_quotes(t):
+    from marginalia.operators import ledger as L
+
+    day = F.lit("1996-06-30")
+    return CO.quotes(t.requests, t.grants, L.balances(t.lots, day.cast("date")), day.cast("timestamp_ntz"))
+
+
+# --- dashboards over wider results
+_NUM = lambda *paths: "coalesce(" + ", ".join(f"result::JSON ->> '{p}'" for p in paths) + ")"
+_INT = lambda *paths: f"CASE WHEN regexp_matches({_NUM(*paths)}, '^[0-9]+$') THEN ({_NUM(*paths)})::BIGINT END"
+_LEN = lambda p: f"CASE WHEN json_type(result::JSON, '{p}') = 'ARRAY' THEN json_array_length(result::JSON, '{p}')::BIGINT END"
+_OBJ = lambda p: f"coalesce(json_type(result::JSON, '{p}') = 'OBJECT', false)"
+
+
+@query(f"""SELECT job_id, coalesce({_INT('$.online_verification.summary.total')}, {_INT('$.verification.total')}, {_LEN('$.online_verification.rows')}, 0) AS verification_rows, {', '.join(f"coalesce({_INT(f'$.online_verification.summary.{k}')}, 0) AS {k}" for k in ('verified', 'likely', 'needs_review', 'not_found', 'offline'))} FROM {{wide_jobs}}""")
+def verification_metrics(t):
+    return D.verification_metrics(t.wide_jobs)
+
+
+@query(f"""SELECT job_id, coalesce({_LEN('$.claim_support')}, 0) AS claims, coalesce({_LEN('$.recovery.missing_recovery')}, 0) + coalesce({_LEN('$.recovery.verification_recovery')}, 0) AS recovery, coalesce({_LEN('$.suggestions')}, {_LEN('$.suggestions.citations')}, 0) AS suggestions FROM {{wide_jobs}}""")
+def work_metrics(t):
+    return D.work_metrics(t.wide_jobs)
+
+
+_WORK = lambda k, u: f"coalesce({_INT(f'$.evidence_resolution_workspace.counts.{k}', f'$.correction_plan.evidence_resolution_workspace.counts.{k}', f'$.feature_usage.{u}')}, 0) AS {k}"
+
+
+@query(f"""SELECT job_id, {_WORK('total', 'evidence_issues_generated')}, {_WORK('pending', 'evidence_issues_pending')}, {_WORK('resolved', 'evidence_issues_resolved')}, CASE WHEN {_OBJ('$.evidence_resolution_workspace')} OR {_OBJ('$.correction_plan.evidence_resolution_workspace')} THEN 1 ELSE coalesce({_INT('$.feature_usage.evidence_workspace_analyses')}, 0) END::BIGINT AS analyses FROM {{wide_jobs}}""")
+def evidence_metrics(t):
+    return D.evidence_metrics(t.wide_jobs)
+
+
+@query(f"""SELECT job_id, CASE WHEN {_OBJ('$.correction_decisions')} THEN 1 ELSE coalesce({_INT('$.feature_usage.tracked_approvals_current')}, 0) END::BIGINT AS approvals FROM {{wide_jobs}}""")
+def tracked_approvals(t):
+    return D.tracked_approvals(t.wide_jobs)
+
+
+@query(f"""SELECT job_id, CASE result::JSON ->> '$.academic_voice_settings.enabled' WHEN 'true' THEN 1 ELSE 0 END::BIGINT AS enabled, {_OBJ('$.academic_voice_review')}::BIGINT AS completed, coalesce({_LEN('$.academic_voice_review.signals')}, {_INT('$.feature_usage.academic_voice_signals')}, 0) AS signals,
+  CASE WHEN {_OBJ('$.academic_voice_revisions')} THEN 2 ELSE 0 END::BIGINT AS revisions FROM {{wide_jobs}}""")
+def voice_flags(t):
+    return D.voice_flags(t.wide_jobs)
+
+
+# --- evidence workspace and normal forms
+_CATEGORY = "CASE ref_idx % 6 WHEN 0 THEN 'source_verification' WHEN 1 THEN 'claim_support' WHEN 2 THEN 'missing_reference' WHEN 3 THEN 'citation_formatting' WHEN 4 THEN 'unknown_kind' ELSE 'citation_needed' END"
+_GROUP = """CASE c WHEN 'source_verification' THEN CASE status WHEN 'not_found' THEN 'references_not_found' WHEN 'offline' THEN 'verification_lookup_failed' ELSE 'unresolved_verification' END WHEN 'claim_support' THEN 'unsupported_claims' WHEN 'missing_reference' THEN 'missing_references' WHEN 'citation_formatting' THEN 'other_corrections' WHEN 'citation_needed' THEN 'unsupported_claims' END"""
+
+
+@query(f"""SELECT doc_id, g AS "group", count(*) AS total, count(*) FILTER (manual_decision = '') AS pending, count(*) FILTER (manual_decision <> '') AS resolved, array_to_string(list_sort(list(ref_idx)), ',') AS items FROM (SELECT *, {_GROUP} AS g FROM (SELECT *, {_CATEGORY} AS c FROM {{verification}})) WHERE g IS NOT NULL GROUP BY 1, 2""")
+def evidence_workspace(t):
+    rows = t.verification.select("doc_id", F.col("ref_idx").alias("item"), F.expr(_CATEGORY).alias("category"), "status", F.col("manual_decision").alias("decision"))
+    return V.evidence_workspace(rows)
+
+
+@query("""SELECT doc_id, ref_idx, CASE support_status WHEN 'strong_support' THEN 'direct_support' WHEN 'related_evidence' THEN 'partial_support' ELSE support_status END AS support, CASE WHEN lower(source_type) = 'blog' OR source_type IS NULL THEN status ELSE 'needs_review' END AS lookup FROM {verification}""")
+def canonical_support(t):
+    reported = F.when(F.lower("source_type") == "journal-article", "some other state").otherwise(F.concat(F.lit(" "), F.upper(F.replace("status", F.lit("_"), F.lit(" ")))))
+    return t.verification.select("doc_id", "ref_idx", V.canonical_support(F.col("support_status")).alias("support"), V.lookup_state(reported).alias("lookup"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS folded FROM {documents}")
+def folded_text(t):
+    return t.documents.select("doc_id", T.strip_accents(F.col("text")).alias("folded"))
+
+
+@query("""SELECT page_id, sha256(lower(trim(url))) AS token FROM {pages}""")
+def hashed_keys(t):
+    return t.pages.select("page_id", F.sha2(F.lower(F.trim("url")), 256).alias("token"))
+
+
+@query("""SELECT job_id, strftime(created_at + INTERVAL '86400 seconds', '%Y-%m-%dT%H:%M:%S') AS deadline FROM {jobs}""")
+def deletion_deadlines(t):
+    return t.jobs.select("job_id", F.date_format(F.col("created_at") + F.expr("INTERVAL '86400' SECOND"), "yyyy-MM-dd'T'HH:mm:ss").alias("deadline"))
+
+
+@query(f"""SELECT doc_id, 1 AS page, CASE WHEN q1 > q0 THEN 'torn' ELSE 'whole' END AS engine FROM (SELECT doc_id, {_QUALITY} AS q0, {_QUALITY.replace('text', "regexp_replace(text, '([A-Za-z])', '\\1 ', 'g')")} AS q1 FROM {{documents}})""")
+def best_pages(t):
+    """Each text as two readers might give it: whole, and with its words torn apart."""
+    own = t.documents.select("doc_id", F.lit(1).alias("page"), F.lit("whole").alias("engine"), F.lit(0).alias("rank"), "text")
+    torn = own.withColumn("engine", F.lit("torn")).withColumn("rank", F.lit(1)).withColumn("text", F.regexp_replace("text", "([A-Za-z])", "$1 "))
+    return R.best_pages(own.unionByName(torn)).select("doc_id", "page", "engine")
+
+
+@query("""SELECT doc_id, place, text FROM (SELECT l_orderkey AS doc_id, 'b' || l_linenumber AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_quantity < 25 THEN 0 ELSE 1 END, l_extendedprice, l_quantity, l_linenumber) AS place FROM {lineitem})""")
+def column_order(t):
+    boxes = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(50.0).alias("width"), F.col("l_quantity").cast("double").alias("x0"), F.col("l_extendedprice").cast("double").alias("y0"), F.concat(F.lit("b"), F.col("l_linenumber").cast("string")).alias("text"))
+    return R.column_order(boxes).select("doc_id", "place", "text")
+
+
+@query(r"""WITH s AS (SELECT item_id AS a_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS h, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM {benchmark}) WHERE len(w) >= 20),
+  k AS (SELECT a_id, n, list_sort(list_transform(h, lambda g: substr(sha256(unhex('%s') || unhex(sha256(unhex('%s') || encode(g)))), 1, 24)))[1:128] AS g FROM s)
+  SELECT a.a_id AS a_id, b.a_id AS b_id, round(len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g))::DOUBLE, 4) AS overlap FROM k a JOIN k b ON a.a_id < b.a_id WHERE len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g))::DOUBLE >= 0.6 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.6""" % (_padded("key", 0x5C), _padded("key", 0x36)))
+def matching_signatures(t):
+    """Pairs of items whose signatures match: candidates share a hash, so no pair without one is looked at."""
+    s = t.benchmark.select(F.col("item_id").alias("id"), X.signature(F.col("text"), "key").alias("s"), F.size(T.unicode_words(F.col("text"))).alias("n")).filter("s is not null")
+    h = s.select("id", F.explode("s").alias("h"))
+    pairs = h.select(F.col("id").alias("a_id"), "h").join(h.select(F.col("id").alias("b_id"), "h"), "h").filter("a_id < b_id").select("a_id", "b_id").distinct()
+    full = pairs.join(s.select(F.col("id").alias("a_id"), F.col("s").alias("sa"), F.col("n").alias("na")), "a_id").join(s.select(F.col("id").alias("b_id"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b_id")
+    return X.signatures_match(full, "sa", "sb", "na", "nb").filter("matches").select("a_id", "b_id", "overlap")

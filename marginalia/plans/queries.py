@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions.similarity import similarity
+from marginalia.operators import certificate as CE
 from marginalia.operators import claims as C
 from marginalia.operators import dashboard as D
 from marginalia.operators import events as E
@@ -110,7 +111,7 @@ def event_index(t):
 
 
 _FOLD = f"""SELECT doi, list_reduce(list_prepend('clear', list(event_type ORDER BY coalesce(nullif(event_date, ''), '9999'), CASE event_type WHEN 'expression_of_concern' THEN 1 WHEN 'correction' THEN 2 WHEN 'retraction' THEN 3 WHEN 'withdrawal' THEN 3 WHEN 'reinstatement' THEN 4 ELSE 5 END, event_type)),
-  lambda s, t: CASE WHEN t IN ('retraction', 'withdrawal') THEN 'retracted' WHEN t = 'reinstatement' THEN 'reinstated' WHEN t = 'expression_of_concern' AND s <> 'retracted' THEN 'expression_of_concern' WHEN t = 'correction' AND s = 'clear' THEN 'corrected' ELSE s END) AS s,
+  lambda s, t: CASE WHEN t = 'retraction' THEN 'retracted' WHEN t = 'withdrawal' THEN 'withdrawn' WHEN t = 'reinstatement' THEN 'reinstated' WHEN t = 'expression_of_concern' AND s NOT IN ('retracted', 'withdrawn') THEN 'expression_of_concern' WHEN t = 'correction' AND s = 'clear' THEN 'corrected' ELSE s END) AS s,
   count(*) AS k FROM ({_INDEX}) GROUP BY 1"""
 
 
@@ -120,29 +121,36 @@ def publication_status(t):
     return E.publication_status(t.fields, E.event_index(t.raw_events), notices)
 
 
-@query("""SELECT doc_id, count(*) AS total, count(*) FILTER (publication_status = 'retracted') AS retracted, count(*) FILTER (publication_status = 'expression_of_concern') AS expression_of_concern,
-  count(*) FILTER (publication_status = 'corrected') AS corrected, count(*) FILTER (publication_status = 'reinstated') AS reinstated, count(*) FILTER (publication_status = 'clear') AS clear,
-  count(*) FILTER (publication_status = 'unchecked') AS unchecked, count(*) FILTER (publication_status <> 'unchecked') AS checked FROM {verification} GROUP BY 1""")
+@query("""SELECT doc_id, count(*) AS total, count(*) FILTER (publication_status IN ('retracted', 'withdrawn')) AS retracted_or_withdrawn, count(*) FILTER (publication_status = 'expression_of_concern') AS expression_of_concern,
+  count(*) FILTER (publication_status = 'corrected') AS corrected, count(*) FILTER (publication_status = 'reinstated') AS reinstated, count(*) FILTER (publication_status = 'publication_notice') AS publication_notice,
+  count(*) FILTER (publication_status = 'clear' AND event_count > 0) AS other_update, count(*) FILTER (publication_status = 'clear' AND event_count = 0) AS no_recorded_event, count(*) FILTER (publication_status <> 'unchecked') AS checked,
+  count(*) FILTER (publication_status = 'unchecked') AS unchecked, bool_and(publication_status <> 'unchecked') AS complete FROM {verification} GROUP BY 1""")
 def publication_summary(t):
     return E.publication_summary(t.verification)
 
 
-@query("""WITH v AS (SELECT *, min(ref_idx) OVER (PARTITION BY doc_id, doi) AS first_idx FROM {verification}),
-  risks AS (SELECT doc_id, 'retracted_source' AS risk, 'critical' AS priority FROM v WHERE publication_status = 'retracted' UNION ALL SELECT doc_id, 'expression_of_concern', 'important' FROM v WHERE publication_status = 'expression_of_concern'
-  UNION ALL SELECT doc_id, 'corrected_source', 'optional' FROM v WHERE publication_status = 'corrected' UNION ALL SELECT doc_id, 'status_unchecked', 'optional' FROM v WHERE publication_status = 'unchecked'
-  UNION ALL SELECT doc_id, 'source_not_found', 'important' FROM v WHERE status = 'not_found' UNION ALL SELECT doc_id, 'future_year', 'important' FROM v WHERE year > 2015 UNION ALL SELECT doc_id, 'duplicate_doi', 'optional' FROM v WHERE ref_idx > first_idx)
+@query(f"""WITH v AS (SELECT *, coalesce(lower(doi), replace(lower(ref_doi), 'https://doi.org/', '')) AS k, replace(lower(coalesce(ref_doi, '')), 'https://doi.org/', '') AS own FROM {{verification}}), w AS (SELECT *, min(ref_idx) OVER (PARTITION BY doc_id, k) AS first_idx FROM v),
+  risks AS (SELECT doc_id, 'metadata_not_found' AS risk, 'important' AS priority FROM w WHERE status = 'not_found'
+  UNION ALL SELECT doc_id, CASE WHEN publication_status IN ('retracted', 'withdrawn') THEN 'retracted_or_withdrawn' WHEN publication_status = 'expression_of_concern' THEN 'expression_of_concern' WHEN publication_status = 'publication_notice' THEN 'publication_notice'
+    WHEN publication_status = 'corrected' THEN 'corrected_publication' WHEN publication_status = 'reinstated' THEN 'reinstated_publication' WHEN publication_status = 'unchecked' THEN 'publication_status_unchecked' ELSE 'other_publication_update' END,
+    CASE WHEN publication_status IN ('retracted', 'withdrawn', 'expression_of_concern') THEN 'critical' WHEN publication_status IN ('corrected', 'unchecked') THEN 'important' ELSE 'optional' END FROM w WHERE publication_status <> 'clear' OR event_count > 0
+  UNION ALL SELECT doc_id, 'corrected_or_superseded', 'important' FROM w WHERE update_type = 'Erratum' AND publication_status NOT IN ('corrected', 'reinstated', 'publication_notice')
+  UNION ALL SELECT doc_id, 'older_source', 'optional' FROM w WHERE {YEAR} - year > 10 UNION ALL SELECT doc_id, 'non_scholarly_source', 'important' FROM w WHERE source_type = 'Blog' UNION ALL SELECT doc_id, 'doi_mismatch', 'critical' FROM w WHERE own <> '' AND own <> doi
+  UNION ALL SELECT doc_id, 'duplicate_publication_entry', 'important' FROM w WHERE ref_idx > first_idx UNION ALL SELECT doc_id, 'journal_on_configured_review_list', 'critical' FROM w WHERE lower(journal) IN ('economy', 'economy brushed steel')
+  UNION ALL SELECT doc_id, 'reference_link_unavailable', 'optional' FROM w WHERE link_status = '404')
   SELECT doc_id, risk, priority, count(*) AS n FROM risks GROUP BY ALL""")
 def source_risks(t):
-    return E.source_risks(t.verification, 2015)
+    return E.source_risks(t.verification, YEAR, ("economy", "economy brushed steel"))
 
 
 # --- integrity
 _SUM = """SELECT doc_id, count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'likely') AS likely, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'not_found') AS not_found,
-  count(*) FILTER (status = 'offline') AS offline, round(sum(CASE status WHEN 'verified' THEN 1.0::DOUBLE WHEN 'likely' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*) * 100, 2) AS integrity FROM {verification} GROUP BY 1"""
-_DIV = """SELECT doc_id, round((1.0::DOUBLE - least(1.0::DOUBLE, sum(c * c)::DOUBLE / (sum(c) * sum(c)) * 5)) * 100, 2) AS concentration,
-  round((ln(sum(c)::DOUBLE) - sum(c * ln(c::DOUBLE)) / sum(c)) / CASE WHEN count(*) > 1 THEN ln(count(*)::DOUBLE) ELSE 1.0 END * 100, 2) AS diversity FROM (SELECT doc_id, author, count(*) AS c FROM {verification} GROUP BY 1, 2) GROUP BY 1"""
-_TEMP = """SELECT doc_id, round(b, 4) AS balance, round(r, 4) AS recency, round(r * 0.6::DOUBLE + b * 0.4::DOUBLE, 4) AS quality FROM (SELECT doc_id, CASE WHEN count(DISTINCT year) < 2 THEN 50.0::DOUBLE ELSE least(1.0::DOUBLE, (max(year) - min(year)) / 20.0::DOUBLE) * 100 END AS b,
-  avg(CASE WHEN 2020 - year <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS r FROM {verification} GROUP BY 1)"""
+  count(*) FILTER (status = 'offline') AS offline, round(sum(CASE status WHEN 'verified' THEN 1.0::DOUBLE WHEN 'likely' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*) * 100 + 1e-9, 2) AS integrity FROM {verification} GROUP BY 1"""
+_DIV = """SELECT doc_id, coalesce(round((1.0::DOUBLE - least(1.0::DOUBLE, sum(c * c)::DOUBLE / (sum(c) * sum(c)) * 5)) * 100, 2), 100.0) AS concentration,
+  coalesce(round((ln(sum(c)::DOUBLE) - sum(c * ln(c::DOUBLE)) / sum(c)) / CASE WHEN count(*) > 1 THEN ln(count(*)::DOUBLE) ELSE 1.0 END * 100, 2), 0.0) AS diversity
+  FROM (SELECT doc_id, a, count(*) AS c FROM (SELECT doc_id, trim(unnest(string_split(author, ','))) AS a FROM {verification}) WHERE a <> '' GROUP BY 1, 2) GROUP BY 1"""
+_TEMP = """SELECT doc_id, b AS balance, r AS recency, round(r * 0.6::DOUBLE + b * 0.4::DOUBLE + 1e-9, 2) AS quality FROM (SELECT doc_id, round(1e-9 + CASE WHEN count(year) < 2 THEN 50.0::DOUBLE ELSE least(1.0::DOUBLE, (max(year) - min(year)) / 20.0::DOUBLE) * 100 END, 2) AS b,
+  round(avg(CASE WHEN 2020 - year <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 + 1e-9, 2) AS r FROM {verification} GROUP BY 1)"""
 
 
 @query(_SUM)
@@ -160,42 +168,37 @@ def temporal_quality(t):
     return I.temporal(t.verification, YEAR)
 
 
-@query(f"""SELECT doc_id, round(raw + 1e-9, 2) AS raw_index, i AS index, CASE WHEN i IS NULL THEN 'withheld' WHEN i >= 90 THEN 'exceptional' WHEN i >= 80 THEN 'strong' WHEN i >= 70 THEN 'good' WHEN i >= 60 THEN 'fair' WHEN i >= 50 THEN 'weak' ELSE 'poor' END AS category
-  FROM (SELECT *, CASE WHEN open THEN NULL ELSE round(1e-9 + least(raw, CASE WHEN ret THEN 49.0 WHEN con THEN 59.0 WHEN cor THEN 79.0 ELSE 100.0 END::DOUBLE), 2) END AS i FROM (SELECT s.doc_id, integrity * 0.35::DOUBLE + concentration * 0.2::DOUBLE + diversity * 0.2::DOUBLE + quality * 0.25::DOUBLE AS raw, ret, con, cor, open
-  FROM ({_SUM}) s JOIN ({_DIV}) d ON s.doc_id = d.doc_id JOIN ({_TEMP}) q ON q.doc_id = s.doc_id JOIN (SELECT doc_id, bool_or(publication_status = 'retracted') AS ret, bool_or(publication_status = 'expression_of_concern') AS con, bool_or(publication_status = 'corrected') AS cor,
-  bool_or(publication_status = 'unchecked' OR NOT attempted) AS open FROM {{verification}} WHERE ref_idx % 4 = 1 GROUP BY 1) f ON f.doc_id = s.doc_id))""".replace("{verification}", "(SELECT * FROM {verification} WHERE ref_idx % 4 = 1)").replace("FROM (SELECT * FROM {verification} WHERE ref_idx % 4 = 1) WHERE ref_idx % 4 = 1", "FROM {verification} WHERE ref_idx % 4 = 1"))
-def integrity_index(t):
-    return I.integrity_index(t.verification.filter("ref_idx % 4 = 1"), YEAR)
+_INTEGRITY = f"""SELECT doc_id, raw AS raw_index, CASE WHEN open THEN NULL ELSE least(raw, CASE WHEN ret THEN 49.0 WHEN con THEN 59.0 WHEN cor THEN 79.0 ELSE 100.0 END::DOUBLE) END AS index,
+  CASE WHEN open THEN 'Incomplete Integrity Coverage' WHEN ret THEN 'Critical Review' WHEN con THEN 'Review Required' WHEN cor THEN 'Qualified' WHEN rei THEN 'Verified with History' WHEN raw >= 90 THEN 'Excellent' WHEN raw >= 80 THEN 'Very Good' WHEN raw >= 70 THEN 'Good' WHEN raw >= 60 THEN 'Moderate' WHEN raw >= 50 THEN 'Weak' ELSE 'Poor' END AS category
+  FROM (SELECT s.doc_id, round(integrity * 0.35::DOUBLE + concentration * 0.2::DOUBLE + diversity * 0.2::DOUBLE + quality * 0.25::DOUBLE + 1e-9, 2) AS raw, ret, con, cor, rei, open FROM ({_SUM}) s JOIN ({_DIV}) d ON s.doc_id = d.doc_id JOIN ({_TEMP}) q ON q.doc_id = s.doc_id
+  JOIN (SELECT doc_id, bool_or(publication_status IN ('retracted', 'withdrawn')) AS ret, bool_or(publication_status = 'expression_of_concern') AS con, bool_or(publication_status = 'corrected') AS cor, bool_or(publication_status = 'reinstated') AS rei,
+  bool_or(publication_status = 'unchecked' OR status = 'offline' OR NOT attempted) AS open FROM {{verification}} GROUP BY 1) f ON f.doc_id = s.doc_id)"""
 
 
-# the query above is held to a quarter of the references by its SQL; this one takes them all
-@query(f"""SELECT doc_id, round(raw + 1e-9, 2) AS raw_index, i AS index, CASE WHEN i IS NULL THEN 'withheld' WHEN i >= 90 THEN 'exceptional' WHEN i >= 80 THEN 'strong' WHEN i >= 70 THEN 'good' WHEN i >= 60 THEN 'fair' WHEN i >= 50 THEN 'weak' ELSE 'poor' END AS category
-  FROM (SELECT *, CASE WHEN open THEN NULL ELSE round(1e-9 + least(raw, CASE WHEN ret THEN 49.0 WHEN con THEN 59.0 WHEN cor THEN 79.0 ELSE 100.0 END::DOUBLE), 2) END AS i FROM (SELECT s.doc_id, integrity * 0.35::DOUBLE + concentration * 0.2::DOUBLE + diversity * 0.2::DOUBLE + quality * 0.25::DOUBLE AS raw, ret, con, cor, open
-  FROM ({_SUM}) s JOIN ({_DIV}) d ON s.doc_id = d.doc_id JOIN ({_TEMP}) q ON q.doc_id = s.doc_id JOIN (SELECT doc_id, bool_or(publication_status = 'retracted') AS ret, bool_or(publication_status = 'expression_of_concern') AS con, bool_or(publication_status = 'corrected') AS cor,
-  bool_or(publication_status = 'unchecked' OR NOT attempted) AS open FROM {{verification}} GROUP BY 1) f ON f.doc_id = s.doc_id))""")
-def integrity_index_whole(t):
+@query(_INTEGRITY)
+def integrity_index(t):
     return I.integrity_index(t.verification, YEAR)
 
 
 @query("""SELECT e.doc_id, expected, coalesce(processed, 0) AS processed, coalesce(matched, 0) AS matched, greatest(expected - coalesce(processed, 0), 0) AS pending, (coalesce(processed, 0) * 100 // expected)::BIGINT AS percentage,
   CASE WHEN coalesce(processed, 0) >= expected THEN 'completed' ELSE 'incomplete' END AS state FROM (SELECT doc_id, count(*) AS expected FROM {refs} GROUP BY 1) e LEFT JOIN
-  (SELECT doc_id, count(*) FILTER (attempted) AS processed, count(*) FILTER (status IN ('verified', 'likely') AND attempted) AS matched FROM {verification} WHERE ref_idx % 3 <> 0 OR doc_id % 2 = 0 GROUP BY 1) d ON e.doc_id = d.doc_id""")
+  (SELECT doc_id, count(*) FILTER (attempted) AS processed, count(*) FILTER (status IN ('verified', 'likely') AND attempted) AS matched FROM {verification} WHERE status <> 'offline' GROUP BY 1) d ON e.doc_id = d.doc_id""")
 def coverage(t):
-    return I.coverage(t.refs, t.verification.filter("ref_idx % 3 <> 0 or doc_id % 2 = 0"))
+    return I.coverage(t.refs, t.verification.filter("status <> 'offline'"))
 
 
-@query("""SELECT r.doc_id, r.ref_idx, coalesce(status, 'offline') AS status, status IS NULL AS missing_result FROM {refs} r LEFT JOIN (SELECT * FROM {verification} WHERE ref_idx % 3 <> 0) v ON r.doc_id = v.doc_id AND r.ref_idx = v.ref_idx""")
+@query("""SELECT r.doc_id, r.ref_idx, coalesce(status, 'offline') AS status, status IS NULL AS missing_result FROM {refs} r LEFT JOIN (SELECT * FROM {verification} WHERE attempted) v ON r.doc_id = v.doc_id AND r.ref_idx = v.ref_idx""")
 def with_outcomes(t):
-    return I.with_outcomes(t.refs, t.verification.filter("ref_idx % 3 <> 0"))
+    return I.with_outcomes(t.refs, t.verification.filter("attempted"))
 
 
 @query("""WITH a AS (SELECT doc_id, num, pos, row_number() OVER (PARTITION BY doc_id, num ORDER BY pos) AS occurrence FROM (SELECT DISTINCT doc_id, num, pos FROM {cites})),
-  b AS (SELECT doc_id, num, pos AS other, row_number() OVER (PARTITION BY doc_id, num ORDER BY pos DESC) AS occurrence FROM (SELECT DISTINCT doc_id, num, pos FROM {cites} WHERE pos % 2 = 0))
+  b AS (SELECT doc_id, num, ref_idx AS other, row_number() OVER (PARTITION BY doc_id, num ORDER BY ref_idx) AS occurrence FROM {refs})
   SELECT a.doc_id, a.num, a.occurrence::INT AS occurrence, a.pos, coalesce(b.other, -1) AS other FROM a LEFT JOIN b USING (doc_id, num, occurrence)""")
 def occurrence_join(t):
     a = t.cites.select("doc_id", "num", "pos").distinct()
-    b = a.filter("pos % 2 = 0").withColumnRenamed("pos", "other")
-    return I.occurrence_join(a, b, ["doc_id", "num"], ["pos"], [F.col("other").desc()]).na.fill(-1, ["other"])
+    b = t.refs.withColumnRenamed("ref_idx", "other")
+    return I.occurrence_join(a, b, ["doc_id", "num"], ["pos"], ["other"]).na.fill(-1, ["other"])
 
 
 # --- ledger
@@ -232,10 +235,10 @@ def active_plan(t):
     return _dated(L.active_plan(t.plans, _day()))
 
 
-@query("""SELECT DISTINCT o_custkey AS account_id, o_orderpriority AS event FROM {orders} WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM (SELECT o_custkey AS a, o_orderpriority AS e FROM {orders} WHERE o_orderkey % 7 = 0) l WHERE l.a = o_custkey AND l.e = o_orderpriority)""")
+@query("""SELECT DISTINCT o_custkey AS account_id, o_orderpriority AS event FROM {orders} WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM (SELECT o_custkey AS a, o_orderpriority AS e FROM {orders} WHERE o_orderstatus = 'F') l WHERE l.a = o_custkey AND l.e = o_orderpriority)""")
 def insert_once(t):
-    rows = t.orders.select(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("event"), "o_orderkey")
-    return L.insert_once(rows.filter("o_orderkey % 7 = 0"), rows.filter("o_orderkey % 2 = 0").drop("o_orderkey"), ["account_id", "event"])
+    rows = t.orders.select(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("event"), "o_orderstatus")
+    return L.insert_once(rows.filter("o_orderstatus = 'F'"), rows.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), ["account_id", "event"])
 
 
 @query("""SELECT account_id, job_id, status FROM {jobs} QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY created_at DESC, job_id DESC) = 1""")
@@ -307,7 +310,7 @@ def preview_rows(t):
     return P.preview(t.verification, ["doc_id"], ["ref_idx"]).select("doc_id", "ref_idx")
 
 
-@query("""WITH a AS (SELECT doc_id, status, ref_idx, row_number() OVER (PARTITION BY doc_id, status ORDER BY ref_idx) AS turn FROM {verification}) SELECT doc_id, status, ref_idx FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn, status) <= 10""")
+@query("""WITH a AS (SELECT doc_id, status, ref_idx, row_number() OVER (PARTITION BY doc_id, status ORDER BY ref_idx) AS turn, count(*) OVER (PARTITION BY doc_id) AS n FROM {verification}) SELECT doc_id, status, ref_idx FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn, status) <= least(10, greatest(1, ceil(n * 0.25::DOUBLE)))""")
 def grouped_preview(t):
     return P.round_robin(t.verification, "doc_id", "status", ["ref_idx"]).select("doc_id", "status", "ref_idx")
 
@@ -318,7 +321,7 @@ def suggestion_priority(t):
     return P.best_suggestions(rows, ["original"]).drop("idx")
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (c > 0.85) AS high, count(*) FILTER (c > 0.6 AND c <= 0.85) AS medium, count(*) FILTER (c <= 0.6) AS low FROM (SELECT (l_partkey % 100) / 100.0::DOUBLE AS c FROM {lineitem})""")
+@query("""SELECT count(*) AS total, count(*) FILTER (c >= 0.85) AS high, count(*) FILTER (c >= 0.7 AND c < 0.85) AS medium, count(*) FILTER (c < 0.7) AS low FROM (SELECT (l_partkey % 100) / 100.0::DOUBLE AS c FROM {lineitem})""")
 def suggestion_stats(t):
     return P.suggestion_stats(t.lineitem.select((F.col("l_partkey") % 100 / 100.0).alias("confidence")))
 
@@ -352,13 +355,46 @@ def revision_comparison(t):
     return P.compare_revisions(before, before.withColumn("n", F.floor(F.col("n") / 2).cast("bigint")))
 
 
-@query(f"""SELECT doc_id, CASE WHEN critical > 0 THEN 'Revision Required' WHEN important > 40 THEN 'Conditional Clearance' WHEN important = 0 THEN 'Full Clearance' WHEN important <= 2 THEN 'Clearance With Notes' ELSE 'Conditional Clearance' END AS clearance FROM ({_READY})""")
+_VERIFIED = """SELECT *, FROM (SELECT doc_id, count(*) AS rows, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'likely') AS likely, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'not_found') AS not_found, count(*) FILTER (status = 'offline') AS offline,
+  count(*) FILTER (manual_decision = 'manual_verified') AS manual_verified, count(*) FILTER (manual_decision = 'manual_not_verified') AS manual_not_verified, count(*) FILTER (manual_decision = 'not_indexed_but_plausible') AS not_indexed_but_plausible, count(*) FILTER (manual_decision = 'keep_needs_review') AS keep_needs_review FROM {verification} GROUP BY 1)
+  JOIN (SELECT doc_id, count(*) FILTER (r) AS manual_required, count(*) FILTER (r AND c) AS manual_cleared, count(*) FILTER (r AND NOT c) AS manual_unresolved FROM (SELECT doc_id, title, bool_or(status IN ('needs_review', 'not_found', 'offline')) AS r, bool_or(manual_decision = 'manual_verified' AND evidence_url <> '') AS c FROM {verification} GROUP BY 1, 2) GROUP BY 1) USING (doc_id)""".replace("*, FROM", "* FROM")
+_CLAIMED = """SELECT doc_id, count(*) AS rows, count(*) FILTER (support_status = 'strong_support') AS strong_support, 0::BIGINT AS moderate_support, count(*) FILTER (support_status = 'related_evidence') AS related_evidence, count(*) FILTER (support_status = 'weak_or_unclear') AS weak_or_unclear,
+  count(*) FILTER (support_status = 'insufficient_evidence') AS insufficient_evidence, 0::BIGINT AS no_evidence_found, count(*) FILTER (support_status <> 'strong_support') + count(*) FILTER (status IN ('needs_review', 'not_found', 'offline')) AS issues, count(*) FILTER (support_status = 'insufficient_evidence') AS critical,
+  count(*) FILTER (support_status IN ('related_evidence', 'weak_or_unclear')) + count(*) FILTER (status IN ('needs_review', 'not_found', 'offline')) AS moderate FROM {verification} GROUP BY 1"""
+_NEEDS = """SELECT doc_id, count(*) AS rows, count(*) FILTER (lower(priority) IN ('high', 'critical')) AS high, count(*) FILTER (priority IS NULL) AS medium, count(*) FILTER (lower(priority) IN ('low', 'minor')) AS low FROM {verification} GROUP BY 1"""
+_LISTS = """SELECT doc_id, count(*) FILTER (c > 0 AND r = 0) AS missing, count(*) FILTER (c = 0 AND r > 0) AS uncited FROM (SELECT doc_id, num, sum(c) AS c, max(r) AS r FROM (SELECT doc_id, num, 1 AS c, 0 AS r FROM {cites} UNION ALL SELECT doc_id, num, 0, 1 FROM {refs}) GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _keyed_rows(t):
+    return t.verification.withColumn("key", F.col("title"))
+
+
+@query(_VERIFIED)
+def certificate_verification_counts(t):
+    return CE.verification_counts(_keyed_rows(t))
+
+
+@query(_CLAIMED)
+def claim_counts(t):
+    return CE.claim_counts(t.verification)
+
+
+@query(_NEEDS)
+def citation_needed_counts(t):
+    return CE.needed_counts(t.verification)
+
+
+@query(f"""SELECT doc_id, critical, moderate, minor, CASE WHEN uncited = 0 AND missing = 0 AND manual_unresolved = 0 AND recency >= 60 THEN 'Provisional clearance' WHEN raw_index >= 85 AND critical = 0 AND moderate <= 5 THEN 'Clearance Recommended' WHEN raw_index >= 70 AND critical <= 5 THEN 'Conditional Clearance'
+  WHEN raw_index >= 55 OR moderate > 0 THEN 'Limited Clearance' ELSE 'Revision Required' END AS clearance FROM (SELECT i.doc_id, raw_index, recency, uncited, missing, manual_unresolved, not_found + offline + manual_not_verified + missing + c.critical + high AS critical,
+  needs_review + not_indexed_but_plausible + keep_needs_review + c.moderate + medium AS moderate, likely + uncited + low AS minor FROM ({_INTEGRITY}) i JOIN ({_TEMP}) r ON r.doc_id = i.doc_id JOIN ({_LISTS}) l ON l.doc_id = i.doc_id JOIN ({_VERIFIED}) v ON v.doc_id = i.doc_id JOIN ({_CLAIMED}) c ON c.doc_id = i.doc_id JOIN ({_NEEDS}) n ON n.doc_id = i.doc_id)""")
 def certificate_clearance(t):
-    return P.readiness(_items(t)).select("doc_id", P.clearance(F.col("critical"), F.col("important"), F.greatest(F.col("important") - 40, F.lit(0))).alias("clearance"))
+    scores = I.integrity_index(t.verification, YEAR).select("doc_id", F.col("raw_index").alias("score")).join(I.temporal(t.verification, YEAR).select("doc_id", "recency"), "doc_id")
+    lists = R.match_summary(t.cites, t.refs).select("doc_id", "missing", "uncited")
+    return CE.certificates(scores, lists, _keyed_rows(t), t.verification, t.verification)
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 140000 <= 15000 AND o_custkey % 700 <= 100 AND o_custkey % 2500 <= 400 THEN 'article' WHEN o_orderkey % 140000 <= 35000 AND o_custkey % 700 <= 200 AND o_custkey % 2500 <= 800 THEN 'research_paper'
-  WHEN o_orderkey % 140000 <= 75000 AND o_custkey % 700 <= 350 AND o_custkey % 2500 <= 1400 THEN 'thesis' WHEN o_orderkey % 140000 <= 120000 AND o_custkey % 700 <= 600 AND o_custkey % 2500 <= 2400 THEN 'phd' ELSE 'custom' END AS tier FROM {orders}""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 140000 <= 15000 AND o_custkey % 700 <= 100 AND o_custkey % 2500 <= 300 THEN 'article' WHEN o_orderkey % 140000 <= 35000 AND o_custkey % 700 <= 200 AND o_custkey % 2500 <= 700 THEN 'research_paper'
+  WHEN o_orderkey % 140000 <= 75000 AND o_custkey % 700 <= 350 AND o_custkey % 2500 <= 1400 THEN 'thesis' WHEN o_orderkey % 140000 <= 120000 AND o_custkey % 700 <= 600 AND o_custkey % 2500 <= 2400 THEN 'phd' ELSE 'custom_large' END AS tier FROM {orders}""")
 def tier_recommendation(t):
     return t.orders.select("o_orderkey", P.recommended_tier(F.col("o_orderkey") % 140000, F.col("o_custkey") % 700, F.col("o_custkey") % 2500).alias("tier"))
 
@@ -373,11 +409,6 @@ def relation_hits(t):
     return _relation_hits(t.claims)
 
 
-@query(_HITS.replace("{claims}", "{all_claims}"))
-def relation_hits_whole(t):
-    return _relation_hits(t.all_claims)
-
-
 def _relation_hits(rows):
     c = rows.withColumn("r", C.relations(F.col("claim")))
     tw = F.size(F.filter(F.split(F.trim(F.regexp_replace(F.lower("source_title"), "[^a-z]+", " ")), " "), lambda w: (F.length(w) >= 3) & ~w.isin("effects", "effect", "and"))).cast("bigint")
@@ -394,19 +425,17 @@ def direction_overlap(t):
     return t.claims.select("doc_id", "ref_idx", C.direction(F.col("claim"), F.col("source_title")).alias("direction"))
 
 
-@query(_DIRECTION.replace("{claims}", "{all_claims}"))
-def direction_overlap_whole(t):
-    return t.all_claims.select("doc_id", "ref_idx", C.direction(F.col("claim"), F.col("source_title")).alias("direction"))
-
-
 @query()
 def claim_support(t):
-    return C.support(t.all_claims).select("doc_id", "ref_idx", "raw_score", "support_score", "support_status")
+    return C.support(t.claims).select("doc_id", "ref_idx", "raw_score", "support_score", "support_status")
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in C.FALLBACK_STOP)
+
+
+@query(f"""SELECT doc_id, ref_idx, CASE WHEN k > 0 THEN least(40, 10 + 10 * k) ELSE 0 END::BIGINT AS score FROM (SELECT doc_id, ref_idx, len(list_intersect(list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z]{{{{4,}}}}')), lambda w: w NOT IN ({_STOP})), list_distinct(regexp_extract_all(lower(source_title), '[a-z]{{{{4,}}}}')))) AS k FROM {{claims}})""")
 def keyword_overlap(t):
-    return t.all_claims.select("doc_id", "ref_idx", C.keyword_overlap(F.col("claim"), F.col("source_title")).alias("score"))
+    return t.claims.select("doc_id", "ref_idx", C.keyword_overlap(F.col("claim"), F.col("source_title")).alias("score"))
 
 
 @query()
@@ -479,32 +508,49 @@ def nearby_captions(t):
     return X.nearby_captions(t.blocks)
 
 
-@query(r"""SELECT doc_id, CASE WHEN len(w) >= 20 THEN sha256(array_to_string(w, ' ')) END AS fingerprint FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM {documents})""")
+@query(r"""SELECT doc_id, CASE WHEN len(w) >= 20 THEN sha256(array_to_string(w, ' ')) END AS fingerprint FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM {documents})""")
 def document_fingerprint(t):
     return t.documents.select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query(r"""SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(sha256('key' || array_to_string(w[i:i + 4], ' ')), 1, 24))))[1:128], ',') AS signature FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM {benchmark})""")
+def _padded(key: str, pad: int) -> str:
+    return "".join(f"{b ^ pad:02X}" for b in key.encode().ljust(64, b"\0"))
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(sha256(unhex('{_padded("key", 0x5C)}') || unhex(sha256(unhex('{_padded("key", 0x36)}') || encode(array_to_string(w[i:i + 4], ' '))))), 1, 24))))[1:128], ',') AS signature
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{{{L}}}}\p{{{{N}}}}_]+') AS w FROM {{documents}}) WHERE len(w) >= 20""")
 def shingle_signature(t):
-    return t.benchmark.select("item_id", F.array_join(X.signature(F.col("text"), "key"), ",").alias("signature"))
+    return t.documents.select("doc_id", F.array_join(X.signature(F.col("text"), "key"), ",").alias("signature")).filter("signature is not null")
 
 
-@query(r"""WITH l AS (SELECT DISTINCT source, doc_id AS page, trim(regexp_replace(unnest(string_split(text, chr(10))), '[0-9]+', '#', 'g')) AS line FROM {documents}), n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM {documents} GROUP BY 1)
-  SELECT l.source, line, count(*) AS df, any_value(pages) AS pages FROM l JOIN n USING (source) WHERE line <> '' GROUP BY 1, 2 HAVING count(*) >= greatest(3, floor(any_value(pages) * 0.05::DOUBLE))""")
+@query(r"""WITH l AS (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM {documents}), e AS (SELECT source, unnest(list_concat(l[1:4], l[greatest(len(l) - 3, 1):])) AS x FROM l),
+  k AS (SELECT source, trim(regexp_replace(regexp_replace(lower(trim(x)), '\b[0-9]{{1,4}}\b', '#', 'g'), '\s+', ' ', 'g')) AS line FROM e), n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM {documents} GROUP BY 1)
+  SELECT k.source, line, count(*) AS df, any_value(pages) AS pages FROM k JOIN n USING (source) WHERE length(line) >= 4 AND length(line) <= 120 AND pages >= 3 GROUP BY 1, 2 HAVING count(*) >= greatest(3, floor(any_value(pages) * 0.05::DOUBLE))""")
 def repeated_lines(t):
     return X.repeated_lines(t.documents.select("source", F.col("doc_id").alias("page"), "text"), share=0.05)
 
 
 # --- resolution
 def _catalog(t):
-    p = t.part
-    return p.select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("author"), (F.lit(1970) + F.col("p_size")).alias("year"), F.col("p_type").alias("journal"),
-        F.concat(F.lit("10.1000/"), (F.col("p_partkey") % 700).cast("string")).alias("doi"), F.when(F.col("p_partkey") % 2 == 0, "alpha").otherwise("beta").alias("source"))
+    """part as a catalog of works: every other entry of a scholarly source, some of books, some retracted."""
+    k = F.col("p_partkey")
+    name = F.translate(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), "0123456789", "abcdefghij")
+    return t.part.select(
+        k.alias("cand_id"), F.col("p_name").alias("title"), name.alias("author"), (F.lit(1970) + F.col("p_size")).alias("year"), F.col("p_type").alias("journal"), F.concat(F.lit("10.1000/"), (k % 700).cast("string")).alias("doi"),
+        F.col("p_size").cast("string").alias("volume"), F.lit("").alias("issue"), F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 9).cast("string")).alias("pages"),
+        F.when(k % 2 == 0, "crossref").when(k % 3 == 0, "open_library").otherwise("eric").alias("source"), F.when(k % 5 == 0, 2).otherwise(1).alias("agreement"), (k % 47 == 0).alias("is_retracted"),
+    )
+
+
+def _wanted(t):
+    """References as they are looked up: two in three give no DOI."""
+    refs = t.fields.join(t.part.select(F.col("p_partkey").alias("ref_idx"), F.col("p_size").alias("size")), "ref_idx")
+    refs = refs.select(F.concat_ws(":", "doc_id", "ref_idx").alias("ref_key"), "title", "author", "year", "journal", "doi", F.col("size").cast("string").alias("volume"), F.lit("").alias("issue"), F.concat(F.col("size").cast("string"), F.lit("-"), (F.col("size") + 5).cast("string")).alias("pages"))
+    return refs.withColumn("doi", F.when(F.crc32("ref_key") % 3 == 0, F.col("doi")))
 
 
 def _resolved(t, pick):
-    refs = t.fields.select(F.concat_ws(":", "doc_id", "ref_idx").alias("ref_key"), "title", "author", "year", "journal", "doi").withColumn("doi", F.when(F.crc32("ref_key") % 3 == 0, F.col("doi")))
-    keyed, catalog = S.keyed_works(refs), _catalog(t)
+    keyed, catalog = S.keyed_works(_wanted(t)), _catalog(t)
     works = S.works(keyed)
     return S.spread(pick(S.classified(S.scored(works, catalog, S.blocked(works, catalog)))), keyed)
 
@@ -514,6 +560,18 @@ def best_candidate(t):
     return _resolved(t, S.best_candidates).select("ref_key", "cand_id", "score", "status", S.quality_label(F.col("score")).alias("quality"))
 
 
+@query()
+def strong_enough(t):
+    return _resolved(t, S.strong_enough)
+
+
+@query()
+def strict_suggestions(t):
+    """The best-fitting candidate that may be suggested for each reference that is not verified."""
+    best = lambda rows: S.ranked(S.strict_pass(rows)).filter("strict_pass").groupBy("ref_key").agg(F.max(F.struct("fit_score", (-F.col("rank")).alias("r"), "cand_id")).alias("b"), F.max(F.col("status") == "verified").alias("verified"))
+    return _resolved(t, lambda rows: best(rows).filter("not verified").select("ref_key", F.col("b.cand_id").alias("cand_id"), F.col("b.fit_score").alias("fit_score")))
+
+
 @query()
 def alternative_candidates(t):
     return _resolved(t, S.alternatives).select("ref_key", "rank", "cand_id", "score")
@@ -543,7 +601,7 @@ def title_clusters(t):
 @query()
 def fuzzy_titles(t):
     a = t.part.select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
-    return a.select("p_partkey", *[F.round(similarity(m, F.lower("a"), F.lower("b")), 4).alias(m) for m in ("ratio", "token_sort", "token_set", "partial", "sequence")])
+    return a.select("p_partkey", *[F.round(similarity(m, F.lower("a"), F.lower("b")), 4).alias(m) for m in ("ratio", "token_sort", "token_set", "partial", "sequence", "title", "manual_title")])
 
 
 # --- functions
@@ -552,9 +610,13 @@ def strip_tags(t):
     return t.pages.select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ")).alias("text"))
 
 
-@query(r"""SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:6], ' ') AS words FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 4 AND w NOT IN ('this', 'that', 'these', 'those', 'there', 'their', 'they', 'them', 'with', 'from', 'using', 'used', 'study', 'what', 'when', 'where', 'which', 'while')) AS w FROM {benchmark})""")
+_WORDLESS = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM {{documents}})), d AS (SELECT doc_id, x, min(i) AS i FROM w WHERE length(x) >= 4 AND x NOT IN ({_WORDLESS}) GROUP BY 1, 2),
+  f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 6) SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i), '') AS words FROM (SELECT doc_id FROM {{documents}}) LEFT JOIN f USING (doc_id) GROUP BY 1""")
 def significant_words(t):
-    return t.benchmark.select("item_id", F.array_join(T.significant_words(F.col("text")), " ").alias("words"))
+    return t.documents.select("doc_id", F.array_join(T.significant_words(F.col("text")), " ").alias("words"))
 
 
 @query("""SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_role, length(text) AS chars, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS chars_so_far FROM {conversations}""")

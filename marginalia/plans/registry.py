@@ -17,13 +17,18 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 DERIVED = {
     "cites": "SELECT l_suppkey AS doc_id, CAST(l_partkey AS STRING) AS num, l_orderkey * 10 + l_linenumber AS pos FROM {lineitem} WHERE l_linenumber >= 2",
     "refs": "SELECT DISTINCT l_suppkey AS doc_id, l_partkey AS ref_idx, CAST(l_partkey AS STRING) AS num FROM {lineitem} WHERE l_linenumber <= 2",
-    "fields": """SELECT doc_id, ref_idx, p_name AS title, lower(replace(p_brand, '#', '')) AS author, 1970 + p_size AS year, p_type AS journal,
+    "fields": """SELECT doc_id, ref_idx, p_name AS title, translate(lower(replace(p_brand, '#', '')), '0123456789', 'abcdefghij') AS author, 1970 + p_size AS year, p_type AS journal,
         concat('10.1000/', CAST(ref_idx % 700 AS STRING)) AS doi FROM {refs} JOIN {part} ON p_partkey = ref_idx""",
-    "ay_cites": """SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS pos, lower(replace(p_brand, '#', '')) AS author, 1970 + p_size + CASE WHEN l_orderkey % 9 = 0 THEN 1 ELSE 0 END AS year
+    "ay_cites": """SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS pos, translate(lower(replace(p_brand, '#', '')), '0123456789', 'abcdefghij') AS author, 1970 + p_size + CASE WHEN l_orderkey % 9 = 0 THEN 1 ELSE 0 END AS year
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber >= 4""",
-    "verification": """SELECT doc_id, ref_idx, title, author, year, doi, ref_idx % 101 AS score,
+    "verification": """SELECT doc_id, ref_idx, title, CASE WHEN ref_idx % 4 = 0 THEN concat(author, ', co', translate(CAST(ref_idx % 9 AS STRING), '0123456789', 'abcdefghij')) ELSE author END AS author, year, journal, doi, ref_idx % 101 AS score,
+        CASE WHEN ref_idx % 17 = 0 THEN 'https://doi.org/10.1000/other' WHEN ref_idx % 3 = 0 THEN NULL ELSE doi END AS ref_doi, CASE ref_idx % 19 WHEN 0 THEN 'Blog' WHEN 1 THEN 'journal-article' ELSE NULL END AS source_type,
+        CASE ref_idx % 23 WHEN 0 THEN '404' WHEN 1 THEN '200' ELSE NULL END AS link_status, CASE WHEN ref_idx % 29 = 0 THEN 'Erratum' ELSE '' END AS update_type, CASE WHEN ref_idx % 8 = 0 THEN 1 ELSE 0 END AS event_count,
+        CASE ref_idx % 31 WHEN 0 THEN 'manual_verified' WHEN 1 THEN 'manual_not_verified' WHEN 2 THEN 'not_indexed_but_plausible' WHEN 3 THEN 'keep_needs_review' ELSE '' END AS manual_decision, CASE WHEN ref_idx % 2 = 0 THEN 'https://e.org/1' ELSE '' END AS evidence_url,
+        CASE ref_idx % 4 WHEN 0 THEN 'weak_or_unclear' WHEN 1 THEN 'insufficient_evidence' WHEN 2 THEN 'related_evidence' ELSE 'strong_support' END AS support_status,
+        CASE ref_idx % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'low' WHEN 2 THEN NULL WHEN 3 THEN 'critical' ELSE 'minor' END AS priority,
         CASE ref_idx % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'likely' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'not_found' ELSE 'offline' END AS status,
-        CASE ref_idx % 11 WHEN 0 THEN 'retracted' WHEN 1 THEN 'expression_of_concern' WHEN 2 THEN 'corrected' WHEN 3 THEN 'reinstated' WHEN 4 THEN 'unchecked' ELSE 'clear' END AS publication_status,
+        CASE ref_idx % 11 WHEN 0 THEN 'retracted' WHEN 1 THEN 'expression_of_concern' WHEN 2 THEN 'corrected' WHEN 3 THEN 'reinstated' WHEN 4 THEN 'unchecked' WHEN 9 THEN 'withdrawn' WHEN 10 THEN 'publication_notice' ELSE 'clear' END AS publication_status,
         ref_idx % 7 <> 0 AS attempted FROM {fields}""",
     "raw_events": """SELECT concat('https://doi.org/10.1000/', CAST(l_partkey % 700 AS STRING), '.') AS link, l_orderkey AS record_id,
         CASE l_orderkey % 6 WHEN 0 THEN 'Retraction' WHEN 1 THEN 'Expression_of_Concern' WHEN 2 THEN 'Corrigendum' WHEN 3 THEN 'Reinstatement' WHEN 4 THEN 'Withdrawal' ELSE 'New-Version Update' END AS label,
@@ -39,7 +44,7 @@ DERIVED = {
         CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 30 END AS credits, CASE o_orderstatus WHEN 'P' THEN 'pending' ELSE 'paid' END AS status FROM {orders}""",
     "claims": """SELECT doc_id, ref_idx, concat('Adoption ', CASE ref_idx % 5 WHEN 0 THEN 'improves' WHEN 1 THEN 'significantly reduces' WHEN 2 THEN 'may cause' WHEN 3 THEN 'raises' ELSE 'is linked to' END, ' ', title, ' productivity [', CAST(ref_idx AS STRING), ']') AS claim,
         concat(CASE ref_idx % 7 WHEN 0 THEN 'Improved ' WHEN 1 THEN 'Decreasing ' WHEN 2 THEN 'Effects of ' WHEN 3 THEN 'Uptake enhances ' WHEN 4 THEN 'Negative ' ELSE 'Acceptance and ' END, title, CASE WHEN ref_idx % 2 = 0 THEN ' performance' ELSE ' outcomes' END) AS source_title,
-        CASE ref_idx % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'likely' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'not_found' ELSE 'offline' END AS status FROM {fields} WHERE ref_idx % 3 = 0""",
+        CASE ref_idx % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'likely' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'not_found' ELSE 'offline' END AS status FROM {fields}""",
     "cite_texts": """SELECT l_orderkey AS doc_id, concat('As shown [', CAST(min(l_linenumber) AS STRING), ',', CAST(max(l_linenumber) AS STRING), '-', CAST(max(l_linenumber) + min(l_partkey) % 4 AS STRING), '] and (', CAST(max(l_suppkey) % 90 AS STRING),
         ', ', CAST(min(l_suppkey) % 90 AS STRING), ') by Smith', CAST(min(l_partkey) % 5 AS STRING), ' (', CAST(1990 + min(l_partkey) % 30 AS STRING), '). See Table ', CAST(min(l_linenumber) AS STRING), ' and doi:10.1000/x', CAST(min(l_partkey) AS STRING), '.') AS text
         FROM {lineitem} GROUP BY l_orderkey""",
@@ -47,9 +52,6 @@ DERIVED = {
         WHEN l_partkey % 4 = 2 THEN concat('As Table ', CAST(l_suppkey % 7 AS STRING), ' shows, it holds.') ELSE 'Plain body text.' END) AS text FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
 }
 
-#: claims holds a third of the references; this one holds them all.
-DERIVED["all_claims"] = DERIVED["claims"].removesuffix(" WHERE ref_idx % 3 = 0")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _PLACE = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")

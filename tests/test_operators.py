@@ -1,7 +1,7 @@
 """Small fixtures for operators whose rules are worth pinning down."""
 
 import collections
-import decimal
+import functools
 import io
 import itertools
 import random
@@ -18,7 +18,9 @@ from marginalia.operators import extract as X
 from marginalia.operators import integrity as I
 from marginalia.operators import ledger as L
 from marginalia.operators import plan as P
+from marginalia.operators import references as RF
 from marginalia.operators import resolve as R
+from marginalia.operators import review as V
 from marginalia.sources import readers
 
 CASES = [
@@ -32,6 +34,12 @@ CASES = [
     (["reinstatement", "correction"], False, "reinstated"),
     (["retraction", "expression_of_concern"], False, "retracted"),
     (["retraction"], True, "publication_notice"),
+    (["withdrawal"], False, "withdrawn"),
+    (["withdrawal", "expression_of_concern"], False, "withdrawn"),
+    (["withdrawal", "retraction"], False, "retracted"),
+    (["withdrawal", "reinstatement", "expression_of_concern"], False, "expression_of_concern"),
+    (["correction", "withdrawal"], False, "withdrawn"),
+    (["other_update"], False, "clear"),
 ]
 
 
@@ -96,8 +104,12 @@ def test_claim_support_gate(spark):
 
 
 def test_needed_score(spark):
-    row = spark.range(1).select(C.needed_score(F.lit("Previous studies show that most firms matter.")).alias("a"), C.needed_score(F.lit("Previous studies [3] show it.")).alias("b"), C.needed_score(F.lit("Hello there.")).alias("c")).first()
-    assert (row["a"], row["b"], row["c"]) == (0.64, 0.0, 0.15)
+    row = spark.range(1).select(C.needed_score(F.lit("Previous studies show that most firms matter to those who own a part of them.")).alias("a"),
+        C.needed_score(F.lit("Previous studies [3] show that most firms matter to those who own a part of them.")).alias("b"), C.needed_score(F.lit("Hello there.")).alias("c"),
+        C.needed_score(F.lit("Some people like to walk along the river in the early morning before the others wake up.")).alias("d"),
+        C.needed_score(F.lit("The results show that most firms matter to those who own a large part of them now.")).alias("e"),
+    ).first()
+    assert (row["a"], row["b"], row["c"], row["d"], row["e"]) == (0.72, 0.0, 0.0, 0.15, 0.0)
 
 
 def test_coverage_states(spark):
@@ -131,9 +143,10 @@ def test_title_clusters_join_the_first_seed(spark):
 
 
 def test_round_robin(spark):
-    rows = spark.createDataFrame([(1, g, i) for g, n in (("a", 9), ("b", 2), ("c", 1)) for i in range(n)], "s int, g string, i int")
-    got = sorted((r["g"], r["i"]) for r in P.round_robin(rows, "s", "g", ["i"], most=5).collect())
-    assert got == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)]
+    rows = spark.createDataFrame([(s, g, i) for s, k in ((1, 1), (2, 2), (3, 9)) for g, n in (("a", 9 * k), ("b", 2), ("c", 1)) for i in range(n)], "s int, g string, i int")
+    got = {s: sorted((r["g"], r["i"]) for r in P.round_robin(rows.filter(F.col("s") == s), "s", "g", ["i"]).collect()) for s in (1, 2, 3)}
+    # a quarter of 12, of 21 and of 84, which is more than ten
+    assert got[1] == [("a", 0), ("b", 0), ("c", 0)] and got[2] == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1), ("c", 0)] and len(got[3]) == 10
 
 
 def docx(paragraphs: list[str]) -> bytes:
@@ -159,35 +172,66 @@ def test_event_feed(spark, tmp_path):
     assert (row["record_id"], row["link"], row["label"], row["notice_doi"]) == ("7", "10.1/x", "Retraction", None)
 
 
+TRUSTED = ("crossref", "openalex", "datacite", "pubmed", "europepmc", "semantic_scholar")
+
+
+def layered_class(m):
+    """The classifiers, worked out from the survey's description for one pair."""
+    t, gap, journal = m["title"], m["gap"], m["journal"]
+    if m["retracted"]:
+        return "needs_review"
+    author = m["overlap"] >= 1 or m["authors"] >= 55 or not m["ref_author"] or not m["cand_author"]
+    if m["cand_doi"] and m["source"] in TRUSTED:
+        if t >= 68 and m["score"] >= 58 and (author or gap <= 4 or journal >= 55) or t >= 55 and (author or gap <= 4):
+            return "verified"
+    if m["source"] in ("google_books", "open_library") and (t >= 80 and author and (gap <= 8 or gap == 999) or t >= 72 and author):
+        return "verified"
+    if m["source"] == "eric" and (t >= 82 and (author or gap == 0 or journal >= 50) or t >= 70 and (author or gap <= 1)):
+        return "verified"
+    if m["ref_author"] and m["cand_author"] and m["overlap"] == 0:
+        return "verified" if t >= 96 and gap == 0 and journal >= 70 else "needs_review" if t >= 70 else "not_found"
+    good = (
+        t >= 92 and gap == 0 and (m["overlap"] >= 1 or m["authors"] >= 80 or not m["ref_author"]), t >= 96 and gap == 0 and journal >= 70, m["agreement"] >= 2 and t >= 90 and gap <= 1 and (m["overlap"] >= 1 or journal >= 70),
+        t >= 84 and gap <= 1 and (m["overlap"] >= 1 or m["authors"] >= 70 or journal >= 70), m["score"] >= 82 and t >= 82 and gap <= 1,
+    )
+    return "verified" if any(good) else "needs_review" if t >= 70 or m["score"] >= 55 else "not_found"
+
+
 def brute_candidates(refs, catalog):
     """ref_key -> [(cand_id, score, status)] in rank order, every reference against every catalog row."""
-    found, known = {}, {}
-    for key, title, author, year, journal, doi in refs:
+    found = {}
+    title, ratio, journal_of, authors_of = (functools.lru_cache(None)(f) for f in (S.title, S.ratio, S.token_set, S.authors))
+    for ref in refs:
         rows = []
-        for cand, c_title, c_author, c_year, c_journal, c_doi, _ in catalog:
-            same_doi, gap = doi is not None and doi == c_doi, abs(year - c_year)
-            shared = {w for w in title.split() if len(w) >= 4} & {w for w in c_title.split() if len(w) >= 4}
+        for c in catalog:
+            same_doi, gap = ref["doi"] is not None and ref["doi"] == c["doi"], abs(ref["year"] - c["year"])
+            shared = {w for w in ref["title"].split() if len(w) >= 4} & {w for w in c["title"].split() if len(w) >= 4}
             if not same_doi and not (shared and gap <= 1):
                 continue
-            if (title, c_title) not in known:
-                known[title, c_title] = S.token_set(title, c_title)
-            t = known[title, c_title]
-            score = t * 0.56 + 18 * (author == c_author) + {0: 12, 1: 6}.get(gap, 0) + 8 * (journal == c_journal) + 30 * same_doi
+            if ref["doi"] and not same_doi:
+                continue  # another record
+            a, b = ref["title"], c["title"]
+            t, journal, authors = title(a, b), int(journal_of(ref["journal"].lower(), c["journal"].lower())), authors_of(ref["author"], c["author"])
+            overlap = S.shared_authors(ref["author"], c["author"])
+            own, other = ({int(x) for x in p["pages"].split("-")} for p in (ref, c))
+            pages = bool(own & other)
+            score = t * 0.56 + authors * 0.18 + {0: 12, 1: 6}.get(gap, 0) + journal * 0.08 + 4 * (ref["volume"] == c["volume"]) + 3 * pages + min(6, (c["agreement"] - 1) * 3) + 30 * same_doi - 5 * c["is_retracted"]
+            score = float(min(100, round(round(score, 9))))
             if same_doi:
-                status = "needs_review" if t < 80 or author != c_author else "verified"
-            elif t >= 88 and gap <= 1 and (author == c_author or journal == c_journal):
-                status = "verified"
+                status = "needs_review" if ratio(a, b) < 80 or (ref["author"] and c["author"] and overlap == 0) else "verified"
             else:
-                status = "needs_review" if t >= 65 else "not_found"
-            score = float(decimal.Decimal(repr(min(score, 100.0))).quantize(decimal.Decimal("0.01"), decimal.ROUND_HALF_UP))
-            rows.append((-("not_found", "needs_review", "verified").index(status), -same_doi, -t, gap, -score, cand, score, status))
+                m = {"title": t, "gap": gap, "journal": journal, "overlap": overlap, "authors": authors, "score": score, "agreement": c["agreement"], "retracted": c["is_retracted"], "ref_author": ref["author"], "cand_author": c["author"], "cand_doi": c["doi"], "source": c["source"]}
+                status = layered_class(m)
+                if status == "verified" and not (ratio(a, b) >= 88 and gap <= 1 and (overlap or authors >= 70 or journal >= 70 and pages)):
+                    status = "needs_review"
+            rows.append((-("not_found", "needs_review", "verified").index(status), -same_doi, -t, gap, -overlap, -authors, -journal, -c["agreement"], -score, c["cand_id"], score, status))
         if rows:
-            found[key] = [(r[5], r[6], r[7]) for r in sorted(rows)]
+            found[ref["ref_key"]] = [(r[9], r[10], r[11]) for r in sorted(rows)]
     return found
 
 
-REF_SCHEMA = "ref_key string, title string, author string, year int, journal string, doi string"
-CATALOG_SCHEMA = "cand_id bigint, title string, author string, year int, journal string, doi string, source string"
+REF_SCHEMA = "ref_key string, title string, author string, year int, journal string, doi string, volume string, issue string, pages string"
+CATALOG_SCHEMA = "cand_id bigint, title string, author string, year int, journal string, doi string, volume string, issue string, pages string, source string, agreement int, is_retracted boolean"
 
 
 def test_best_candidate_with_common_words(spark):
@@ -196,14 +240,109 @@ def test_best_candidate_with_common_words(spark):
     first, second = ("large", "small", "cold"), ("ring", "plate")
 
     def work():
-        return f"{rng.choice(first)} {rng.choice(second)}", f"brand{rng.randrange(25)}", 1970 + rng.randrange(50), rng.choice(("ECONOMY", "LARGE"))
+        n = rng.randrange(50)
+        return f"{rng.choice(first)} {rng.choice(second)}", rng.choice(("adam", "boadu;adam", "o'neil", "")), 1970 + n, rng.choice(("ECONOMY", "LARGE TIN"))
+
+    def rest():
+        n = rng.randrange(50)
+        return str(n), "", f"{n}-{n + 5}"
 
-    catalog = [(i, *work(), f"10.1/{i % 500}", "alpha") for i in range(32_000)]
-    refs = [(f"r{i}", *work(), f"10.1/{rng.randrange(500)}" if i % 3 == 0 else None) for i in range(24)]
+    catalog = [(i, *work(), f"10.1/{i % 500}", *rest(), rng.choice(("crossref", "eric", "open_library", "core")), rng.choice((1, 1, 2, 4)), rng.random() < 0.02) for i in range(32_000)]
+    refs = [(f"r{i}", *work(), f"10.1/{rng.randrange(500)}" if i % 3 == 0 else None, *rest()) for i in range(24)]
     counts = collections.Counter(w for row in catalog for w in row[1].split())
     assert min(counts.values()) > 10_000
     r, c = spark.createDataFrame(refs, REF_SCHEMA), spark.createDataFrame(catalog, CATALOG_SCHEMA)
     rows = R.best_candidates(R.classified(R.scored(r, c, R.blocked(r, c)))).collect()
-    want = {k: v[0] for k, v in brute_candidates(refs, catalog).items()}
-    assert len(want) == len(refs)
+    named = lambda rows, schema: [dict(zip([x.split()[0] for x in schema.split(", ")], row, strict=True)) for row in rows]
+    want = {k: v[0] for k, v in brute_candidates(named(refs, REF_SCHEMA), named(catalog, CATALOG_SCHEMA)).items()}
     assert {x["ref_key"]: (x["cand_id"], x["score"], x["status"]) for x in rows} == want
+
+
+def test_publication_notice_is_another_record(spark):
+    refs = spark.createDataFrame([("a", "Retraction: large ring", "adam", 2000, "J", None, "", "", ""), ("b", "large ring", "adam", 2000, "J", None, "", "", "")], REF_SCHEMA)
+    catalog = spark.createDataFrame([(1, "large ring", "adam", 2000, "J", None, "", "", "", "crossref", 1, False), (2, "Retraction: Large ring", "adam", 2000, "J", None, "", "", "", "crossref", 1, False)], CATALOG_SCHEMA)
+    rows = R.classified(R.scored(refs, catalog, refs.crossJoin(catalog.select("cand_id")).select("ref_key", "cand_id"))).collect()
+    got = {(r["ref_key"], r["cand_id"]): (r["score"] > 0, r["status"]) for r in rows}
+    assert got == {("a", 1): (False, "not_found"), ("a", 2): (True, "verified"), ("b", 1): (True, "verified"), ("b", 2): (False, "not_found")}
+
+
+def test_hand_worked_rules(spark):
+    """Values worked out by hand from the rules' description, apart from the SQL."""
+    one = spark.range(1)
+    row = one.select(
+        I.category(F.lit(90.0)).alias("c90"), I.category(F.lit(69.9)).alias("c69"), I.category(F.lit(12.0)).alias("c12"),
+        P.recommended_tier(F.lit(0), F.lit(100), F.lit(300)).alias("t1"), P.recommended_tier(F.lit(15_001), F.lit(100), F.lit(300)).alias("t2"), P.recommended_tier(F.lit(10), F.lit(601), F.lit(3)).alias("t3"),
+        P.clearance(F.lit(10.0), F.lit(9), F.lit(9), F.lit(60.0), F.lit(True)).alias("k1"), P.clearance(F.lit(85.0), F.lit(0), F.lit(5), F.lit(0.0), F.lit(False)).alias("k2"), P.clearance(F.lit(85.0), F.lit(5), F.lit(6), F.lit(0.0), F.lit(False)).alias("k3"),
+        P.clearance(F.lit(54.0), F.lit(6), F.lit(1), F.lit(0.0), F.lit(False)).alias("k4"), P.clearance(F.lit(54.0), F.lit(6), F.lit(0), F.lit(0.0), F.lit(False)).alias("k5"),
+        R.quality_label(F.lit(82)).alias("q1"), R.quality_label(F.lit(54)).alias("q2"),
+        RF.messiness(F.lit("NO MARKS HERE")).alias("m1"), RF.messiness(F.lit("Smith, J. (2020). Work.")).alias("m2"), RF.messiness(F.lit("a   b")).alias("m3"),
+        C.keyword_overlap(F.lit("Trust in banks grows"), F.lit("banks and TRUST: a study")).alias("o"), V.recommendation(F.lit(50.0), F.lit(20)).alias("advice"), V.recommendation(F.lit(70.0), F.lit(20)).alias("strong"),
+        V.canonical_status(F.lit(" Timed Out ")).alias("s1"), V.canonical_status(F.lit("odd")).alias("s2"), V.canonical_support(F.lit("Contradicted")).alias("s3"), V.lookup_state(F.lit("Not Found")).alias("s4"),
+        V.evidence_group(F.lit("claim_support"), F.lit("no_source")).alias("g1"), V.evidence_group(F.lit("nothing"), F.lit("")).alias("g2"),
+    ).first()
+    assert (row["c90"], row["c69"], row["c12"]) == ("Excellent", "Moderate", "Poor")
+    assert (row["t1"], row["t2"], row["t3"]) == ("article", "research_paper", "custom_large")
+    assert (row["k1"], row["k2"], row["k3"], row["k4"], row["k5"]) == ("Provisional clearance", "Clearance Recommended", "Conditional Clearance", "Limited Clearance", "Revision Required")
+    assert (row["q1"], row["q2"]) == ("strong_candidate", "weak_candidate") and (row["m1"], row["m2"], row["m3"]) == (30 + 15 + 20 + 15, 0, 30 + 20 + 15 + 20) and row["o"] == 30
+    assert row["advice"] == "Add approximately 4 recent source(s) (≤5 years) to improve scholarly relevance (current: 50%, target: 70%)." and row["strong"].startswith("Recency is strong (70% ≤5 years)")
+    assert (row["s1"], row["s2"], row["s3"], row["s4"], row["g1"], row["g2"]) == ("lookup_failed", "possible_match_human_review", "insufficient_evidence", "not_found", "incomplete_mappings", None)
+
+
+def test_temporal_balance_counts_references(spark):
+    rows = spark.createDataFrame([(1, 2000)] * 5 + [(2, 2001), (3, 1990), (3, 2000), (4, None)], "doc_id int, year int")
+    got = {r["doc_id"]: (r["balance"], r["recency"]) for r in I.temporal(rows, 2004).collect()}
+    assert got == {1: (0.0, 100.0), 2: (50.0, 100.0), 3: (50.0, 50.0), 4: (50.0, 0.0)}
+
+
+def test_author_lists_are_cut_at_commas(spark):
+    rows = spark.createDataFrame([(1, "a, b"), (1, "a"), (2, None), (3, " , ")], "doc_id int, author string")
+    got = {r["doc_id"]: (r["concentration"], r["diversity"]) for r in I.concentration_and_diversity(rows).collect()}
+    assert got == {1: (0.0, 91.83), 2: (100.0, 0.0), 3: (100.0, 0.0)}
+
+
+def test_text_forms(spark):
+    import hashlib
+    import hmac
+    import unicodedata
+
+    texts = ["Retraction: Old work", "Notice of Corrigendum - x", "Editorial Expression of Concern: y", "On retraction", "<i>A</i> &amp; b", "Čeština ﬁn ½ é", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.notice_kind(F.col("t")).alias("kind"), T.plain_metadata(F.col("t")).alias("plain"), T.strip_accents(F.col("t")).alias("folded"), T.hmac_sha256("k" * 70, F.col("t")).alias("mac")).orderBy("i").collect()
+    assert [r["kind"] for r in rows] == ["retraction", "correction", "expression_of_concern", None, None, None, None] and rows[4]["plain"] == "A & b"
+    for t, r in zip(texts, rows, strict=True):
+        assert r["folded"] == (None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+        assert r["mac"] == (None if t is None else hmac.new(b"k" * 70, t.encode(), hashlib.sha256).hexdigest())
+
+
+def test_signatures(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:19])), (3, " ".join(words + words[:4])), (4, " ".join(words[:24] + ["x"] * 40))]
+    s = spark.createDataFrame(rows, "i int, t string").select("i", X.signature(F.col("t"), "key").alias("s"), F.size(T.unicode_words(F.col("t"))).alias("n"))
+    assert s.filter("i = 2").first()["s"] is None
+    own = s.filter("i = 1").select(F.col("s").alias("a"), F.col("n").alias("na"))
+    got = {r["i"]: r["matches"] for r in X.signatures_match(own.crossJoin(s.select("i", F.col("s").alias("b"), F.col("n").alias("nb"))), "a", "b", "na", "nb").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_source_risks_one_status_each(spark):
+    schema = "doc_id int, ref_idx int, status string, publication_status string, event_count int, update_type string, year int, source_type string, ref_doi string, doi string, journal string, link_status string"
+    rows = [
+        (1, 1, "verified", "withdrawn", 2, "Erratum", 2015, "Blog", "https://doi.org/10.1/A", "10.1/b", " Odd Journal", "404"),
+        (1, 2, "not_found", "clear", 1, "", 2000, None, None, "10.1/b", None, "200"),
+        (1, 3, "verified", "corrected", 0, "erratum", None, "journal-article", "", "", "", None),
+        (1, 4, "verified", "unchecked", 0, None, 2010, None, None, None, None, None),
+    ]
+    got = {(r["risk"], r["priority"]): r["n"] for r in E.source_risks(spark.createDataFrame(rows, schema), 2020, ("odd journal",)).collect()}
+    assert got == {
+        ("retracted_or_withdrawn", "critical"): 1, ("corrected_or_superseded", "important"): 1, ("non_scholarly_source", "important"): 1, ("doi_mismatch", "critical"): 1, ("journal_on_configured_review_list", "critical"): 1,
+        ("reference_link_unavailable", "optional"): 1, ("metadata_not_found", "important"): 1, ("other_publication_update", "optional"): 1, ("older_source", "optional"): 1, ("duplicate_publication_entry", "important"): 1,
+        ("corrected_publication", "important"): 1, ("publication_status_unchecked", "important"): 1,
+    }
+
+
+def test_repeated_page_lines(spark):
+    pages = [("s", p, f"Journal of X  page {p}\nbody {p} a\n" + "\n".join(f"line {chr(97 + p)}{k}x" for k in range(9)) + f"\n{p}") for p in range(4)]
+    df = spark.createDataFrame(pages, "source string, page int, text string")
+    got = {r["line"]: r["df"] for r in X.repeated_lines(df).collect()}
+    assert got == {"journal of x page #": 4, "body # a": 4}
+    kept = X.without_lines(df, X.repeated_lines(df)).filter("page = 1").select("raw").collect()
+    assert [r["raw"] for r in kept if r["raw"].startswith(("Journal", "body"))] == []
