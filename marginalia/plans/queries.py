@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions.similarity import similarity
+from marginalia.operators import author_year as AY
 from marginalia.operators import certificate as CE
 from marginalia.operators import claims as C
 from marginalia.operators import dashboard as D
@@ -99,6 +100,43 @@ def reference_to_intext(t):
     return R.reference_to_intext(t.cites, t.refs).na.fill(-1, ["ref_idx"])
 
 
+# --- author-year strings
+def _author_year(t):
+    return AY.parsed_citations(t.ay_strings), AY.parsed_references(t.ref_strings)
+
+
+@query()
+def author_year_edges(t):
+    """Every citation string with its reference by alias, ambiguity or likeness."""
+    return AY.reconcile(*_author_year(t)).na.fill(-1, ["ref_idx"])
+
+
+@query()
+def author_year_summary(t):
+    cites, refs = _author_year(t)
+    edges = AY.reconcile(cites, refs)
+    return AY.summary(edges, AY.reference_counts(edges, cites, refs))
+
+
+@query()
+def author_year_possible(t):
+    cites, refs = _author_year(t)
+    missing = cites.join(AY.reconcile(cites, refs).filter("flag = 'missing'").select("doc_id", "cite_idx"), ["doc_id", "cite_idx"], "left_semi")
+    return AY.possible_matches(missing, refs)
+
+
+@query()
+def author_year_extract(t):
+    """Citations in whole documents."""
+    return AY.extract(t.documents)
+
+
+@query("""SELECT doc_id, alias, coalesce(max(ref_idx) FILTER (prefer), min(ref_idx)) AS ref_idx FROM (SELECT doc_id, ref_idx, author || '|' || year AS alias, false AS prefer FROM {fields} UNION ALL SELECT doc_id, ref_idx, 'boadu|' || year, false FROM {fields} WHERE ref_idx % 3 = 0
+  UNION ALL SELECT doc_id, ref_idx, author || x || year, true FROM {fields}, (SELECT unnest(['+boadu|', '+etal|']) AS x) WHERE ref_idx % 3 = 0 UNION ALL SELECT doc_id, ref_idx, 'boadu+' || author || '|' || year, true FROM {fields} WHERE ref_idx % 3 = 0) GROUP BY 1, 2""")
+def author_year_aliases(t):
+    return AY.aliases(AY.parsed_references(t.ref_strings))
+
+
 # --- publication events
 _INDEX = """SELECT DISTINCT doi, event_type, event_date, record_id FROM (SELECT '10.1000/' || regexp_extract(link, '10[.]1000/([0-9]+)', 1) AS doi,
   CASE WHEN label = 'Reinstatement' THEN 'reinstatement' WHEN label = 'Expression_of_Concern' THEN 'expression_of_concern' WHEN label = 'Retraction' THEN 'retraction' WHEN label = 'Withdrawal' THEN 'withdrawal' WHEN label = 'Corrigendum' THEN 'correction' ELSE 'other_update' END AS event_type,

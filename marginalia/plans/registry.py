@@ -30,6 +30,8 @@ DERIVED = {
         CASE ref_idx % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'likely' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'not_found' ELSE 'offline' END AS status,
         CASE ref_idx % 11 WHEN 0 THEN 'retracted' WHEN 1 THEN 'expression_of_concern' WHEN 2 THEN 'corrected' WHEN 3 THEN 'reinstated' WHEN 4 THEN 'unchecked' WHEN 9 THEN 'withdrawn' WHEN 10 THEN 'publication_notice' ELSE 'clear' END AS publication_status,
         ref_idx % 7 <> 0 AS attempted FROM {fields}""",
+    "ay_strings": """SELECT DISTINCT doc_id, pos AS cite_idx, concat(upper(substr(author, 1, 1)), substr(author, 2), CASE pos % 4 WHEN 0 THEN ' et al., ' WHEN 1 THEN ' & Boadu, ' ELSE ', ' END, CAST(year AS STRING)) AS citation FROM {ay_cites}""",
+    "ref_strings": """SELECT doc_id, ref_idx, concat(upper(substr(author, 1, 1)), substr(author, 2), ', A.', CASE WHEN ref_idx % 3 = 0 THEN ', & Boadu, K.' ELSE '' END, ' (', CAST(year AS STRING), '). On the ', title, ' of today. ', journal, ', 3(1), 1-9.') AS reference FROM {fields}""",
     "raw_events": """SELECT concat('https://doi.org/10.1000/', CAST(l_partkey % 700 AS STRING), '.') AS link, l_orderkey AS record_id,
         CASE l_orderkey % 6 WHEN 0 THEN 'Retraction' WHEN 1 THEN 'Expression_of_Concern' WHEN 2 THEN 'Corrigendum' WHEN 3 THEN 'Reinstatement' WHEN 4 THEN 'Withdrawal' ELSE 'New-Version Update' END AS label,
         CAST(CAST(l_shipdate AS DATE) AS STRING) AS event_date FROM {lineitem} WHERE l_linenumber = 7 AND l_quantity <= 12""",
