@@ -453,7 +453,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON) -> bytes:
     """The compiled transducer of the corpus' most frequent words; the driver gets at most words of them."""
     rules = Rules(path)
-    top = [bytes(w) for w, _ in most_frequent(word_counts(docs, path, text_col), "word", "n", words)]
+    top, _ = most_frequent(word_counts(docs, path, text_col), "word", "n", words)
     return compile_words(top, rules.ids_of(top))
 
 

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import discard, materialise, split_join
 
 
+#: So many edges are joined without looking for hot centres: their plan would cost more than their rows.
+FEW = 100_000
+
+
 def _star(edges: DataFrame, total: int) -> DataFrame:
     """u and the least of u and its neighbours, beside every neighbour v of u; total: how many edges there are at most."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+    if total < FEW:
+        return edges.join(least, "u").select("u", "v", "m")
     return split_join(edges, least, "u", "k", total).select("u", "v", "m")
 
 

@@ -221,8 +221,8 @@ def _scan(docs: DataFrame, function, schema: str) -> DataFrame:
     return docs.mapInArrow(function, schema)
 
 
-def common_shingles(texts: DataFrame, words: int, key: int, most: int = COMMON) -> list[tuple[int, int]]:
-    """The corpus' most frequent shingles with their counts, from the most frequent on; counts cover every document.
+def common_shingles(texts: DataFrame, words: int, key: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The corpus' most frequent shingles, from the most frequent on, and their counts, which cover every document.
 
     A worker reports shingles that it met in several of the documents it holds at once; the driver gets at most most of
     the sums.
@@ -250,7 +250,8 @@ def common_shingles(texts: DataFrame, words: int, key: int, most: int = COMMON)
         spare()
 
     found = _scan(texts.select("__text"), count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COMMON)
-    return most_frequent(found, "s", "n", most)
+    shingles, counts = most_frequent(found, "s", "n", most)
+    return np.array(shingles, np.uint64), np.array(counts, np.int64)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -421,8 +422,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per document: id, n_shingles, component_id (least id reachable by links of Jaccard percent / 100 or more)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     key_ = secrets.randbits(64)
-    common = common_shingles(texts, words, key_)
-    order = docs.sparkSession.sparkContext.broadcast(Order(np.array([s for s, _ in common[::-1]], np.uint64), key_))
+    common, frequency = common_shingles(texts, words, key_)
+    order = docs.sparkSession.sparkContext.broadcast(Order(common[::-1].copy(), key_))
     rows = materialise(shingled(texts, order, words, percent), "shingled")
     total = rows.count()
     classes = materialise(rows.filter("n > 0").groupBy("class").agg(F.min("__id").alias("__id"), F.max("n").alias("n"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies")), "set-classes")
@@ -434,7 +435,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # larger one shows, and their sizes are within the percentage; rows of a shingle without such a partner go.
     early = F.col("at") < F.col("n") - F.ceil(F.lit(2.0) * percent * F.col("n") / (100 + percent) - 1e-9) + 1
     tokens = firsts.select("class", "n", F.posexplode("shown").alias("at", "token")).select("class", "n", "token", early.alias("early"))
-    hot = sum(n >= hot_rows(total) for _, n in common)
+    hot = int((frequency >= hot_rows(total)).sum())
     # a shingle's place in the order tells whether it is hot: numbers from 2**63 on, negative as signed ones, are common
     is_hot = (F.col("token") < 0) & (F.col("token") >= F.lit(len(common) - hot - 2**63))
     shared = _with_partners(tokens.filter(~is_hot) if hot else tokens, percent)

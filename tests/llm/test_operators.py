@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe_lexicon, byte_tokens, common, exact_dedup, language_id, mixing, ngram_join, quality, simhash, simple8b, textkernel, token_file, toxicity, url_filters
+from marginalia.llm import components as components_of
 from marginalia.llm.components import components
 from marginalia.llm.queries import URL_RULES, digests, tokenizer_path
 
@@ -238,6 +239,7 @@ def test_ngram_join(spark, monkeypatch, k, percent, group, ids, hot):
         monkeypatch.setattr(common, "LEAST_HOT", 3)
         monkeypatch.setattr(common, "SMALL", 0)
         monkeypatch.setattr(ngram_join, "LEAST_COMMON", 2)
+        monkeypatch.setattr(components_of, "FEW", 0)
     x, y = alike(1024)
     values = texts(140, 9) + [f"{x} or that {w} is not {x}" for w in (x, y)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(frame(spark, values), words=k, percent=percent).collect()}
