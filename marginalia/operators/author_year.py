@@ -6,6 +6,7 @@ A citation is counted once a document, however often its string stands there.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -217,15 +218,22 @@ def entries(text: str) -> list[str]:
 
 
 # --- on Spark
+@functools.lru_cache(1 << 16)
+def _remembered(function, text: str) -> dict | None:
+    """What a parser made of a text, kept by the worker: several branches of a plan parse the same texts."""
+    return function(text)
+
+
 def _parsed(function, fields: str, column: Column) -> Column:
-    """A parser of this module over a text column, as a struct (null where it finds nothing)."""
+    """A parser of this module over a text column, as a struct (null where it finds nothing); each distinct text of a batch is parsed once."""
     types = {"array<string>": pa.list_(pa.string()), "string": pa.string(), "boolean": pa.bool_()}
     kind = pa.struct([(name, types[t]) for name, t in (f.split(" ") for f in fields.split(", "))])
 
     @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>")
     def run(texts: pa.Array) -> pa.Array:
-        found = [None if t is None else function(t) for t in texts.to_pylist()]
-        return pa.array([None if x is None else {f.name: x[f.name] for f in kind} for x in found], kind)
+        coded = texts.cast(pa.string()).dictionary_encode()
+        found = [_remembered(function, t) for t in coded.dictionary.to_pylist()]
+        return pa.array([None if x is None else {f.name: x[f.name] for f in kind} for x in found], kind).take(coded.indices)
 
     return run(column)
 

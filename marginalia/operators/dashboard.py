@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +123,40 @@ def decisions(jobs: DataFrame) -> DataFrame:
     return d.select("job_id", F.explode("d").alias("item", "v")).select("job_id", "item", F.col("v.decision").alias("decision"))
 
 
+#: Keys whose values are decisions, wherever they stand.
+DECISION_KEYS = ("manual_decision", "manual_decision_label", "display_status", "decision")
+
+
+def decision_values(text: str | None) -> list[str]:
+    """Lower-cased values of the decision keys at any depth of a JSON text, in document order; what such a key holds is not searched further."""
+    try:
+        stack = [json.loads(text or "null")]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while stack:
+        at = stack.pop()
+        if isinstance(at, tuple):
+            out.append(str(at[0]).strip().lower())
+        elif isinstance(at, dict):
+            found = [(v,) if k in DECISION_KEYS else v for k, v in at.items() if v or k not in DECISION_KEYS]
+            stack += reversed(found)
+        elif isinstance(at, list):
+            stack += reversed(at)
+    return out
+
+
+def all_decisions(jobs: DataFrame) -> DataFrame:
+    """job_id, value, n of the decisions at any depth of every result; a result that is no JSON has none."""
+
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([decision_values(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    values = jobs.select("job_id", F.explode(found(F.col("result").cast("string"))).alias("value"))
+    return values.groupBy("job_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def window_totals(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.sum("words").alias("words"), F.sum("references").alias("references"), F.round(F.avg("score"), 4).alias("avg_score"), F.count_if("paid").alias("paid"))
 

@@ -18,6 +18,7 @@ from marginalia.operators import ledger as L
 from marginalia.operators import plan as P
 from marginalia.operators import reconcile as R
 from marginalia.operators import resolve as S
+from marginalia.operators import voice as VO
 from marginalia.plans.registry import Tables, query
 
 YEAR = 2020
@@ -327,6 +328,11 @@ def json_decisions(t):
     return D.decisions(t.jobs)
 
 
+@query("""SELECT job_id, result::JSON ->> ('$.decisions.' || item || '.decision') AS value, count(*) AS n FROM {jobs}, (SELECT unnest(['a', 'b']) AS item) WHERE result::JSON ->> '$.decisions' IS NOT NULL GROUP BY 1, 2""")
+def all_decisions(t):
+    return D.all_decisions(t.jobs)
+
+
 @query(f"""SELECT sum(words)::BIGINT AS words, sum("references")::BIGINT AS "references", round(avg(score), 4) AS avg_score, count(*) FILTER (paid) AS paid FROM ({_METRICS})""")
 def window_totals(t):
     return D.window_totals(D.job_metrics(t.jobs))
@@ -489,6 +495,12 @@ def voice_metrics(t):
     return C.length_metrics(t.documents, "doc_id", "text")
 
 
+@query()
+def voice_review(t):
+    """The whole writing review of every document."""
+    return VO.review(t.documents)
+
+
 @query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g')) <> ''))::BIGINT AS paragraphs, length(text) AS chars FROM {documents}""")
 def paragraph_counts(t):
     return t.documents.select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("bigint").alias("paragraphs"), F.length("text").cast("bigint").alias("chars"))
