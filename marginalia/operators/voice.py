@@ -42,21 +42,23 @@ def _sentences(clean: Column) -> Column:
 
 def non_prose(clean: Column) -> Column:
     """Whether a sentence or paragraph is front matter, a heading, a list, a reference, a result or mostly numbers."""
-    n, letters = F.greatest(_n_words(clean), F.lit(1)), F.greatest(F.regexp_count(clean, F.lit(r"\p{L}")), F.lit(1))
-    count = lambda p: F.regexp_count(clean, F.lit(p))
-    return (
-        clean.rlike(FRONT_MATTER) | ((n >= 12) & (count(r"\p{Lu}") / letters > 0.72)) | (clean.contains(":") & (count(";") >= 2))
-        | ((n < 45) & clean.rlike(r"\((?:19|20)\d{2}[a-z]?\)") & (count(r"\.") >= 2)) | F.lower(clean).rlike(RESULTS)
-        | clean.rlike(r"\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[-+]?\d") | (clean.contains("=") & (count(r"\d") >= 2)) | (count(r"\|") >= 3) | (count(r"\b\d+(?:\.\d+)?\b") / n >= 0.20)
-    )
+    n = F.greatest(_n_words(clean), F.lit(1))
+    length_of = lambda p: F.length(clean) - F.length(F.regexp_replace(clean, p, ""))
+    count = lambda c: F.length(clean) - F.length(F.replace(clean, F.lit(c), F.lit("")))
+    capitals = (n >= 12) & (length_of(r"\p{Lu}+") / F.greatest(length_of(r"\p{L}+"), F.lit(1)) > 0.72)
+    listed = clean.contains(":") & (count(";") >= 2)
+    entry = (n < 45) & (count(".") >= 2) & clean.rlike(r"\((?:19|20)\d{2}[a-z]?\)")
+    equation = clean.contains("=") & (clean.rlike(r"\d[^\d]*\d") | clean.rlike(r"\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[-+]?\d"))
+    numbers = clean.rlike(r"\d") & (F.regexp_count(clean, F.lit(r"\b\d+(?:\.\d+)?\b")) / n >= 0.20)
+    return listed | entry | equation | (count("|") >= 3) | numbers | capitals | clean.rlike(FRONT_MATTER) | F.lower(clean).rlike(RESULTS)
 
 
 def _variation(lengths: Column) -> Column:
-    """Coefficient of variation of an array of lengths, 0 below two of them."""
-    n = F.size(lengths)
-    mean = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda s, x: s + x) / n
-    spread = F.aggregate(lengths, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return F.when(n < 2, 0.0).otherwise(F.coalesce(F.sqrt(spread / n) / F.nullif(mean, F.lit(0.0)), F.lit(0.0)))
+    """Coefficient of variation of an array of lengths, 0 below two of them; from whole sums, so that one pass is enough."""
+    n, none = F.size(lengths).cast("bigint"), F.lit(0).cast("bigint")
+    total = F.aggregate(lengths, none, lambda s, x: s + x)
+    squares = F.aggregate(lengths, none, lambda s, x: s + x.cast("bigint") * x)
+    return F.when(n < 2, 0.0).otherwise(F.coalesce(F.sqrt(n * squares - total * total) / F.nullif(total, none), F.lit(0.0)))
 
 
 def review(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
