@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -50,6 +52,66 @@ def correction_items(rows: DataFrame, missing: DataFrame, uncited: DataFrame) ->
     return out.groupBy("doc_id", "category", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Priorities of claims by their canonical support, reasons that mark a guess, and kinds of fixes that have items of their own.
+CLAIM_PRIORITY = {"mapping_incomplete": "critical", "weak_or_unclear": "important", "insufficient_evidence": "critical"}
+GUESSES = ("may be a typo", "possible author-name variation", "unique reference year", "review before changing", "citation was not matched", "similar author")
+OWN_ITEMS = ("missing_reference", "uncited_reference")
+FIX_CATEGORIES = {"citations": "citation_formatting", "references": "reference_metadata"}
+REVIEW_NOTE = r"(?i)^(?:review\s+(?:the\s+)?reference\s+manually|manual\s+review\s+required|verify\s+(?:this\s+)?reference\s+manually|check\s+(?:the\s+)?publisher\s+record)\b"
+
+
+def claim_items(claims: DataFrame) -> DataFrame:
+    """doc_id, category, priority of claims(doc_id, support) whose canonical support asks for work."""
+    table = F.create_map(*[F.lit(x) for pair in CLAIM_PRIORITY.items() for x in pair])
+    return claims.select("doc_id", F.lit("claim_support").alias("category"), F.try_element_at(table, F.col("support")).alias("priority")).filter("priority is not null")
+
+
+def audit_items(audits: DataFrame) -> DataFrame:
+    """Items of audited references(doc_id, accepted, title_similarity, missing, needs_formatting); missing is an array of fields.
+
+    Metadata that was not accepted conflicts if its title is like the reference's at all, critically below 0.70. Apart from that a
+    reference is incomplete, or else out of style. Null means false, 0 or nothing missing.
+    """
+    like, incomplete = F.coalesce("title_similarity", F.lit(0.0)), F.coalesce(F.size("missing"), F.lit(0)) > 0
+    conflict = ~F.coalesce("accepted", F.lit(False)) & (like > 0)
+    item = lambda category, priority: F.struct(F.lit(category).alias("category"), priority.alias("priority"))
+    important = F.lit("important")
+    found = F.array(
+        F.when(conflict, item("reference_identity_conflict", F.when(like < 0.70, "critical").otherwise("important"))),
+        F.when(incomplete, item("reference_incomplete", important)).when(F.coalesce("needs_formatting", F.lit(False)), item("reference_style", important)),
+    )
+    return audits.select("doc_id", F.explode(F.array_compact(found)).alias("i")).select("doc_id", "i.*")
+
+
+def fix_items(fixes: DataFrame) -> DataFrame:
+    """Items of suggested fixes(doc_id, idx, kind, original, suggested, issue_type, fix_type, reason, confidence), kind citations or references.
+
+    A fix counts once for its category, original and suggestion, in any case and spacing, if it changes something, is sure to
+    0.80 and no guess, no note to review and no kind with items of its own; important from 0.85 on. Without either text it is none.
+    """
+    text = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    old, new, issue = F.lower(text("original")), F.lower(text("suggested")), F.lower(F.coalesce("issue_type", F.lit("")))
+    guess = F.lower(F.coalesce("reason", F.lit(""))).rlike("|".join(GUESSES))
+    own = issue.isin(*OWN_ITEMS) | F.endswith(issue, F.lit("_uncited_numbered_reference"))
+    review = text("suggested").rlike(REVIEW_NOTE) | F.coalesce(F.col("fix_type") == "review_required", F.lit(False))
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
+    category = F.try_element_at(F.create_map(*[F.lit(x) for pair in FIX_CATEGORIES.items() for x in pair]), F.col("kind"))
+    good = fixes.filter((old != "") & (new != "") & (old != new) & (sure >= 0.80) & ~guess & ~own & ~review).select("doc_id", category.alias("category"), old.alias("old"), new.alias("new"), sure.alias("sure"), F.coalesce("idx", F.lit(0)).alias("idx"))
+    first = good.filter("category is not null").groupBy("doc_id", "category", "old", "new").agg(F.min_by("sure", "idx").alias("sure"))
+    return first.select("doc_id", "category", F.when(F.col("sure") >= 0.85, "important").otherwise("optional").alias("priority"))
+
+
+def finding_items(findings: DataFrame) -> DataFrame:
+    """Items of findings on tables and figures(doc_id, finding, priority): those with an id, important where no priority is given."""
+    named = findings.filter(F.coalesce("finding", F.lit("")) != "")
+    return named.select("doc_id", F.lit("table_figure").alias("category"), F.coalesce(F.nullif("priority", F.lit("")), F.lit("important")).alias("priority"))
+
+
+def counted(*parts: DataFrame) -> DataFrame:
+    """Items of several kinds, counted by document, category and priority."""
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "category", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
 def readiness(items: DataFrame) -> DataFrame:
     """Critical, important and optional items of a document; ready without critical and with two important ones at most."""
     n = lambda p: F.coalesce(F.sum(F.when(F.col("priority") == p, F.col("n"))), F.lit(0)).cast("bigint")

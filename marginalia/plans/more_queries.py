@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.operators import access as A
 from marginalia.operators import references as R
+from marginalia.operators import plan as P
 from marginalia.operators import review as V
 from marginalia.operators import commerce as CO
 from marginalia.operators import dashboard as D
@@ -381,6 +382,18 @@ def canonical_support(t):
     return t.verification.select("doc_id", "ref_idx", V.canonical_support(F.col("support_status")).alias("support"), V.lookup_state(reported).alias("lookup"))
 
 
+@query("""SELECT doc_id, category, priority, count(*) AS n FROM (SELECT doc_id, 'claim_support' AS category, CASE support_status WHEN 'weak_or_unclear' THEN 'important' ELSE 'critical' END AS priority FROM {verification} WHERE support_status IN ('weak_or_unclear', 'insufficient_evidence')
+  UNION ALL SELECT doc_id, 'reference_identity_conflict', 'critical' FROM {verification} WHERE score BETWEEN 1 AND 49 UNION ALL SELECT doc_id, 'reference_incomplete', 'important' FROM {verification} WHERE ref_doi IS NULL
+  UNION ALL SELECT doc_id, 'reference_style', 'important' FROM {verification} WHERE ref_doi IS NOT NULL AND status = 'likely' UNION ALL SELECT doc_id, 'reference_metadata', CASE WHEN sure >= 85 THEN 'important' ELSE 'optional' END
+    FROM (SELECT doc_id, arg_min(score, ref_idx) AS sure FROM {verification} WHERE lower(ref_doi) <> lower(doi) AND score >= 80 GROUP BY doc_id, lower(ref_doi), lower(doi))) GROUP BY 1, 2, 3""")
+def plan_items(t):
+    """Items of claims, audits and suggested fixes of every document."""
+    v, empty = t.verification, F.lit("")
+    audits = v.select("doc_id", (F.col("score") >= 50).alias("accepted"), (F.col("score") / 100.0).alias("title_similarity"), F.array_compact(F.array(F.when(F.col("ref_doi").isNull(), "doi"))).alias("missing"), (F.col("status") == "likely").alias("needs_formatting"))
+    fixes = v.select("doc_id", F.col("ref_idx").alias("idx"), F.lit("references").alias("kind"), F.col("ref_doi").alias("original"), F.col("doi").alias("suggested"), empty.alias("issue_type"), empty.alias("fix_type"), empty.alias("reason"), (F.col("score") / 100.0).alias("confidence"))
+    return P.counted(P.claim_items(v.select("doc_id", V.canonical_support(F.col("support_status")).alias("support"))), P.audit_items(audits), P.fix_items(fixes))
+
+
 @query("SELECT doc_id, strip_accents(text) AS folded FROM {documents}")
 def folded_text(t):
     return t.documents.select("doc_id", T.strip_accents(F.col("text")).alias("folded"))

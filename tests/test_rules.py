@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import dashboard as D
+from marginalia.operators import plan as P
 from marginalia.operators import resolve as R
 from marginalia.operators import voice as V
 
@@ -164,3 +165,23 @@ def test_writing_review_of_whole_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in V.review(docs).collect()}
     assert got == {r["doc_id"]: plain_review(r["text"]) for r in docs.collect()}
+
+
+def test_kinds_of_plan_items(spark):
+    claims = P.claim_items(spark.createDataFrame([(1, "mapping_incomplete"), (1, "weak_or_unclear"), (1, "insufficient_evidence"), (1, "strong"), (1, None)], "doc_id int, support string"))
+    audits = [(1, True, 0.5, [], False), (1, False, 0.69, ["doi"], True), (2, False, 0.7, [], True), (2, None, None, None, None), (2, False, 0.0, ["year"], False)]
+    audited = P.audit_items(spark.createDataFrame(audits, "doc_id int, accepted boolean, title_similarity double, missing array<string>, needs_formatting boolean"))
+    fix = lambda i, kind, old, new, issue="", fix_type="", reason="", sure=0.9: (3, i, kind, old, new, issue, fix_type, reason, sure)
+    fixes = [
+        fix(0, "citations", "Adam 2010", "Adam, 2010"), fix(1, "citations", " adam  2010", "Adam,  2010", sure=0.8), fix(2, "references", "Adam 2010", "Adam, 2010", sure=0.84), fix(3, "citations", "A", "a"), fix(4, "citations", "b", "c", sure=0.79),
+        fix(5, "citations", "d", "e", reason="It MAY BE A TYPO."), fix(6, "citations", "f", "g", issue="Missing_Reference"), fix(7, "references", "h", "i", issue="ieee_uncited_numbered_reference"), fix(8, "references", "j", "Manual review required now"),
+        fix(9, "references", "k", "l", fix_type="review_required"), fix(10, "references", None, "m"), fix(11, "references", "n", "o", sure=None), fix(12, "other", "p", "q"),
+    ]
+    fixed = P.fix_items(spark.createDataFrame(fixes, "doc_id int, idx int, kind string, original string, suggested string, issue_type string, fix_type string, reason string, confidence double"))
+    figures = P.finding_items(spark.createDataFrame([(4, "t1", "optional"), (4, "t2", None), (4, "", "critical"), (4, None, None)], "doc_id int, finding string, priority string"))
+    got = {(r["doc_id"], r["category"], r["priority"]): r["n"] for r in P.counted(claims, audited, fixed, figures).collect()}
+    assert got == {
+        (1, "claim_support", "critical"): 2, (1, "claim_support", "important"): 1, (1, "reference_identity_conflict", "critical"): 1, (1, "reference_incomplete", "important"): 1,
+        (2, "reference_identity_conflict", "important"): 1, (2, "reference_style", "important"): 1, (2, "reference_incomplete", "important"): 1,
+        (3, "citation_formatting", "important"): 1, (3, "reference_metadata", "optional"): 1, (4, "table_figure", "optional"): 1, (4, "table_figure", "important"): 1,
+    }
