@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe_lexicon import encode_texts
+from marginalia.llm.collocations import collocations
 from marginalia.llm.common import materialise
 from marginalia.llm.exact_dedup import exact_duplicates
 from marginalia.llm.language_id import identify
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.ngram_join import similar_documents
 from marginalia.llm.quality import score_quality
+from marginalia.llm.quality_rules import RULES, STOP_WORDS, judge
+from marginalia.llm.ranked_search import ranked_documents
 from marginalia.llm.simhash import edited_fingerprints, near_counts
 from marginalia.llm.token_file import token_offsets
 from marginalia.llm.toxicity import score_toxicity
@@ -83,8 +86,20 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_offsets(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_language_id, op3_ngram_join, op4_mix_sources, op5_toxicity, op6_quality, op7_bpe_codec, op8_exact_dedup, op9_fingerprints, op10_token_file]
+    found = [op1_url_filters, op2_language_id, op3_ngram_join, op4_mix_sources, op5_toxicity, op6_quality, op7_bpe_codec, op8_exact_dedup, op9_fingerprints, op10_token_file, op11_quality_rules, op12_ranked_search, op13_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -153,5 +168,71 @@ FROM norm WINDOW g AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
 
+_MEASURES = {
+    "mean_word_chars": "word_chars / n_words", "symbols_per_word": "n_symbols / n_words", "stop_word_share": "n_stop_words / n_words", "duplicate_line_share": "n_dup_lines / n_lines",
+    "letter_word_share": "n_letter_words / n_words", "ellipsis_line_share": "n_ellipsis_lines / n_lines", "bullet_line_share": "n_bullet_lines / n_lines",
+}
+_WITHIN = " AND ".join(f"coalesce({_MEASURES[m]} {sign} {bound}, true)" for m, least, most in RULES for sign, bound in ((">=", least), ("<=", most)) if bound is not None)
+_STOP = ", ".join(f"'{w}', '{w[0].upper() + w[1:]}'" for w in STOP_WORDS)
+
+OP11_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+worded AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+windows AS (
+  SELECT r, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS x FROM worded WHERE len(w) > 8),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+covered AS (SELECT r, count(DISTINCT i + o)::BIGINT AS n FROM again, range(0, 8) v(o) GROUP BY r),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter_words, len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z'))) AS n_ellipsis_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines
+  FROM worded LEFT JOIN covered c USING (r)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_WITHIN} AS kept FROM based
+"""
+
+OP12_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT doc_id, len(w)::BIGINT AS n FROM tokens),
+corpus AS (SELECT count(*) FILTER (n > 0) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tokens) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (SELECT item_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM asked JOIN dfs USING (term), corpus),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM weights JOIN tfs USING (term) JOIN sizes USING (doc_id), corpus GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM worded, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 10),
+cuts AS (
+  SELECT lang, phrase, k, a, c, array_to_string(w[1:c], ' ') AS lp, array_to_string(w[c + 1:], ' ') AS rp FROM cand, (VALUES (1), (2)) v(c) WHERE c < k),
+scored AS (
+  SELECT t.lang, t.phrase, t.k, t.a, c, x.a AS l, y.a AS r, ((1000000::HUGEINT * t.a * t.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts t JOIN f x ON x.lang = t.lang AND x.phrase = lp JOIN f y ON y.lang = t.lang AND y.phrase = rp),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cand WHERE k = 3),
+covered AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+ranked AS (
+  SELECT p.*, row_number() OVER (PARTITION BY p.lang ORDER BY score DESC, a DESC, encode(p.phrase)) AS rank
+  FROM lowest p LEFT JOIN covered o ON o.lang = p.lang AND o.phrase = p.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_ngram_join": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op11_quality_rules": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_collocations": OP13_SQL}
