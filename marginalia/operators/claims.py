@@ -50,9 +50,15 @@ def simplify(claim: Column) -> Column:
 
 def concepts(text: Column) -> Column:
     """Distinct concepts of a text's words of three letters or more."""
-    table = F.create_map(*[F.lit(x) for concept, forms in CONCEPTS.items() for w in forms for x in (w, concept)])
+
+    def concept(w: Column) -> Column:
+        found = F
+        for name, forms in CONCEPTS.items():
+            found = found.when(w.isin(*forms), name)
+        return found.otherwise(w)
+
     tokens = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " "), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
-    return F.array_distinct(F.transform(tokens, lambda w: F.coalesce(F.try_element_at(table, w), w)))
+    return F.array_distinct(F.transform(tokens, concept))
 
 
 def relations(text: Column) -> Column:
@@ -66,21 +72,62 @@ def direction(claim: Column, source: Column) -> Column:
     return F.when((cp & sp) | (cn & sn), 1.0).when((cp | cn) & ~(sp | sn), 0.4).when((cp & sn) | (cn & sp), 0.0).otherwise(0.6)
 
 
-def support(claims: DataFrame) -> DataFrame:
-    """claims(claim, source_title, status, ...) with support_score and support_status; an untrusted source caps it at 49."""
-    c = claims.withColumn("__c", concepts(simplify(F.col("claim")))).withColumn("__s", concepts(F.col("source_title")))
-    c = c.withColumn("__o", F.size(F.array_intersect("__c", "__s"))).withColumn("__r", relations(F.col("claim"))).withColumn("__ro", F.size(F.array_intersect("__r", relations(F.col("source_title")))))
+#: Least score of each level of support.
+LEVELS = ((50, "strong_support"), (35, "moderate_support"), (20, "related_evidence"), (10, "weak_or_unclear"))
+#: Parts of a text that only stands for a claim that was not extracted.
+NO_CLAIM = (
+    "claim could not be extracted", "claim not extracted", "review the cited sentence manually",
+    "no manuscript claim was extracted", "citation searched:", "mapping was incomplete",
+)
+#: Levels that an untrusted source must not have, whatever the score, and the states of such a source.
+GATED = ("strong_support", "moderate_support", "related_evidence", "weak_or_unclear", "title_overlap_review_required")
+UNTRUSTED = ("likely", "needs_review", "not_found", "offline", "error", "failed", "unverified", "unknown", "", "none")
+
+
+def scored_claims(claims: DataFrame) -> DataFrame:
+    """claims(claim, source_title and, where there are any, source_abstract, source_concepts) with raw_score and raw_status.
+
+    The simplified claim is scored (the claim itself where nothing is left of it) against title, abstract and concepts: 40 for
+    concepts shared (of four at most), 25 for relations, 15 for direction, and credits for parts. Without a claim or title: 0.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    there = (text("claim") != "") & (text("source_title") != "")
+    simple = simplify(text("claim"))
+    parts = [F.nullif(text(c), F.lit("")) if c != "source_concepts" else F.nullif(F.array_join(c, " "), F.lit("")) for c in ("source_title", "source_abstract", "source_concepts") if c in claims.columns]
+    c = claims.withColumn("__claim", F.when(simple == "", text("claim")).otherwise(simple)).withColumn("__source", F.lower(F.concat_ws(" ", *parts)))
+    c = c.withColumns({"__c": concepts(F.col("__claim")), "__s": concepts(F.col("__source")), "__r": relations(F.col("__claim")), "__rs": relations(F.col("__source")), "__d": direction(F.col("__claim"), F.col("__source"))})
+    c = c.withColumns({"__o": F.size(F.array_intersect("__c", "__s")), "__ro": F.size(F.array_intersect("__r", "__rs"))})
     ratio = F.least(F.col("__o") / F.greatest(F.least(F.size("__c"), F.lit(4)), F.lit(1)), F.lit(1.0))
-    rel = F.coalesce(F.try_divide(F.col("__ro").cast("double"), F.size("__r").cast("double")), F.lit(0.0))
-    d = direction(F.col("claim"), F.col("source_title"))
+    related = F.coalesce(F.try_divide(F.col("__ro").cast("double"), F.size("__r").cast("double")), F.lit(0.0))
+    credit = lambda cond, points: F.when(cond, points).otherwise(0)
     one = F.col("__o") >= 1
-    score = ratio * 40 + rel * 25 + d * 15 + F.when(one, 15).otherwise(0) + F.when(one & (F.col("__ro") >= 1), 10).otherwise(0) + F.when(d >= 0.8, 10).otherwise(0) + F.when(F.col("__o") >= 2, 10).otherwise(0)
-    c = c.withColumn("raw_score", F.round(F.least(score, F.lit(100.0)), 1))
-    trusted = F.col("status") == "verified"
-    level = F.when(F.col("raw_score") >= 50, "strong").when(F.col("raw_score") >= 35, "moderate").when(F.col("raw_score") >= 20, "related").when(F.col("raw_score") >= 10, "weak").otherwise("insufficient")
-    gated = F.when(F.col("status").isin("likely", "needs_review"), "source_needs_review").otherwise("source_verification_unknown")
-    out = c.withColumn("support_score", F.when(trusted, F.col("raw_score")).otherwise(F.least(F.col("raw_score"), F.lit(49.0)))).withColumn("support_status", F.when(trusted, level).otherwise(gated))
-    return out.drop("__c", "__s", "__o", "__r", "__ro")
+    score = ratio * 40 + related * 25 + F.col("__d") * 15 + credit(one, 15) + credit(one & (F.col("__ro") >= 1), 10) + credit(F.col("__d") >= 0.8, 10) + credit(F.col("__o") >= 2, 10)
+    c = c.withColumn("raw_score", F.when(there, F.round(F.least(score, F.lit(100.0)), 1)).otherwise(0.0))
+    level = F
+    for least, name in LEVELS:
+        level = level.when(F.col("raw_score") >= least, name)
+    return c.withColumn("raw_status", level.otherwise("insufficient_evidence")).drop("__claim", "__source", "__c", "__s", "__r", "__rs", "__d", "__o", "__ro")
+
+
+def support(claims: DataFrame) -> DataFrame:
+    """claims(claim, source_title, status, ...) with raw_score, raw_status, support_score and support_status.
+
+    A claim that was not extracted has no score. A source that is not verified takes positive levels and scores of 50 down to
+    source_needs_review (source_verification_unknown where no state is known), 49 at most and whole; other rows stay as they are.
+    """
+    c = scored_claims(claims)
+    status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
+    claim = F.lower(F.trim(F.coalesce("claim", F.lit(""))))
+    missing = claim == ""
+    for phrase in NO_CLAIM:
+        missing = missing | claim.contains(phrase)
+    whole = F.floor("raw_score")
+    gated = status.isin(*UNTRUSTED) & (F.col("raw_status").isin(*GATED) | (whole >= 50))
+    unknown = status.isin("", "unknown", "none")
+    return c.withColumns({
+        "support_score": F.when(missing, 0.0).when(gated, F.least(whole, F.lit(49)).cast("double")).otherwise(F.col("raw_score")),
+        "support_status": F.when(missing, "claim_not_extracted").when(gated & unknown, "source_verification_unknown").when(gated, "source_needs_review").otherwise(F.col("raw_status")),
+    })
 
 
 #: Words of a claim or title that the fallback score leaves out.

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.functions.similarity import similarity
-from marginalia.functions.text import significant_words, slug
+from marginalia.functions.text import slug
 
 #: Names of a verification status by its canonical form; any other name needs review by a person.
 STATUS_NAMES = {
@@ -158,15 +157,3 @@ def recovery_rows(rows: DataFrame, catalog: DataFrame, most: int = 3) -> DataFra
     order = W.partitionBy("doc_id", "ref_idx").orderBy("gap", "cand_id")
     found = rows.join(c, F.col("title") == F.col("t"), "left").withColumn("gap", gap).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return found.select("doc_id", "ref_idx", F.when(F.col("cand_id").isNull(), 0).otherwise(F.col("rank")).cast("bigint").alias("rank"), F.coalesce(F.col("cand_id").cast("string"), F.lit("manual_search")).alias("suggestion"))
-
-
-def identity_gate(title: Column, other_title: Column, author: Column, other_author: Column, year: Column, other_year: Column) -> Column:
-    """Whether a found record may stand for a reference: a like title, and the author or the year."""
-    like = similarity("token_set", F.lower(title), F.lower(other_title))
-    return (like >= 88) & ((F.lower(author) == F.lower(other_author)) | (F.abs(year - other_year) <= 1))
-
-
-def query_plan(title: Column, author: Column, year: Column, journal: Column) -> Column:
-    """Search texts of a reference in the order they are tried."""
-    rich = F.array_join(significant_words(title, 8), " ")
-    return F.filter(F.array(F.concat_ws(" ", rich, author), F.concat_ws(" ", author, year.cast("string"), journal), rich), lambda q: F.length(F.trim(q)) > 0)

@@ -255,19 +255,6 @@ def canonical_statuses(t):
     return t.verification.groupBy("doc_id", V.canonical_status(F.concat(F.lit(" "), F.upper("status"))).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def identity_gate(t):
-    f = t.fields
-    p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t2"), F.translate(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), "0123456789", "abcdefghij").alias("a2"), (F.lit(1971) + F.col("p_size")).alias("y2"))
-    j = f.join(p, F.col("k") == F.col("ref_idx"))
-    return j.select("doc_id", "ref_idx", V.identity_gate(F.col("title"), F.col("t2"), F.col("author"), F.col("a2"), F.col("year"), F.col("y2")).alias("same"))
-
-
-@query()
-def query_plans(t):
-    return t.fields.select("doc_id", "ref_idx", V.query_plan(F.col("title"), F.col("author"), F.col("year"), F.col("journal")).alias("queries"))
-
-
 # --- commerce
 @query("SELECT o.purchase_id, o.account_id, email FROM {purchases} o JOIN {accounts} a USING (account_id)")
 def order_accounts(t):

@@ -469,9 +469,28 @@ def direction_overlap(t):
     return t.claims.select("doc_id", "ref_idx", C.direction(F.col("claim"), F.col("source_title")).alias("direction"))
 
 
-@query()
+_ANY = lambda words: "|".join(words)
+_CONCEPT = "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(w) for w in forms)}) THEN '{name}'" for name, forms in C.CONCEPTS.items()) + " ELSE x END"
+_CONCEPTS = lambda c: f"list_distinct(list_transform(list_filter(regexp_extract_all({c}, '[a-z]{{{{{{{{3,}}}}}}}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in sorted(T.STOPWORDS))})), lambda x: {_CONCEPT}))"
+_RELATIONS = lambda c: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({c}, '{_ANY(p)}') THEN '{name}' END" for name, p in C.RELATIONS.items()) + "], lambda x: x IS NOT NULL)"
+_CLAIM_SUPPORT = rf"""WITH a AS (SELECT doc_id, ref_idx, coalesce(claim, '') AS claim, coalesce(source_title, '') AS title, lower(trim(coalesce(status, ''))) AS st FROM {{{{claim_rows}}}}),
+  b AS (SELECT *, regexp_replace(regexp_replace(claim, '(?i)\b({C.FRAMING})\b', '', 'g'), '(?i)\b({C.HEDGES})\b', '', 'g') AS x FROM a),
+  c AS (SELECT *, trim(trim(regexp_replace(regexp_replace(regexp_replace(x, '\([^)]*\)', ' ', 'g'), '\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')), ' ,;:-') AS x2 FROM b),
+  d AS (SELECT *, lower(CASE WHEN x2 = '' THEN claim ELSE x2 END) AS k, lower(title) AS s FROM c),
+  e AS (SELECT *, {_CONCEPTS('k')} AS kc, {_CONCEPTS('s')} AS sc, {_RELATIONS('k')} AS kr, {_RELATIONS('s')} AS sr, regexp_matches(k, '{_ANY(C.POSITIVE)}') AS kp, regexp_matches(k, '{_ANY(C.NEGATIVE)}') AS kn, regexp_matches(s, '{_ANY(C.POSITIVE)}') AS sp, regexp_matches(s, '{_ANY(C.NEGATIVE)}') AS sn FROM d),
+  f AS (SELECT *, len(list_intersect(kc, sc)) AS o, len(list_intersect(kr, sr)) AS ro, CASE WHEN (kp AND sp) OR (kn AND sn) THEN 1.0 WHEN (kp OR kn) AND NOT (sp OR sn) THEN 0.4 WHEN (kp AND sn) OR (kn AND sp) THEN 0.0 ELSE 0.6 END::DOUBLE AS dir FROM e),
+  g AS (SELECT *, CASE WHEN claim = '' OR title = '' THEN 0.0 ELSE round(least(100.0, 40 * least(o / greatest(least(len(kc), 4), 1), 1.0) + CASE WHEN len(kr) = 0 THEN 0 ELSE 25 * ro / len(kr) END + 15 * dir + CASE WHEN o >= 1 THEN 15 ELSE 0 END
+    + CASE WHEN o >= 1 AND ro >= 1 THEN 10 ELSE 0 END + CASE WHEN dir >= 0.8 THEN 10 ELSE 0 END + CASE WHEN o >= 2 THEN 10 ELSE 0 END), 1) END::DOUBLE AS raw_score FROM f),
+  h AS (SELECT *, CASE WHEN raw_score >= 50 THEN 'strong_support' WHEN raw_score >= 35 THEN 'moderate_support' WHEN raw_score >= 20 THEN 'related_evidence' WHEN raw_score >= 10 THEN 'weak_or_unclear' ELSE 'insufficient_evidence' END AS raw_status,
+    trim(claim) = '' OR regexp_matches(lower(claim), '{_ANY(C.NO_CLAIM)}') AS nothing FROM g),
+  i AS (SELECT *, st IN ('likely', 'needs_review', 'not_found', 'offline', 'error', 'failed', 'unverified', 'unknown', '', 'none') AND (raw_score >= 10) AS gated FROM h)
+  SELECT doc_id, ref_idx, raw_score, raw_status, CASE WHEN nothing THEN 0.0 WHEN gated THEN least(floor(raw_score), 49) ELSE raw_score END::DOUBLE AS support_score,
+    CASE WHEN nothing THEN 'claim_not_extracted' WHEN gated AND st IN ('', 'unknown', 'none') THEN 'source_verification_unknown' WHEN gated THEN 'source_needs_review' ELSE raw_status END AS support_status FROM i"""
+
+
+@query(_CLAIM_SUPPORT.replace("{{", "{").replace("}}", "}"))
 def claim_support(t):
-    return C.support(t.claims).select("doc_id", "ref_idx", "raw_score", "support_score", "support_status")
+    return C.support(t.claim_rows).select("doc_id", "ref_idx", "raw_score", "raw_status", "support_score", "support_status")
 
 
 _STOP = ", ".join(f"'{w}'" for w in C.FALLBACK_STOP)

@@ -47,6 +47,10 @@ DERIVED = {
     "claims": """SELECT doc_id, ref_idx, concat('Adoption ', CASE ref_idx % 5 WHEN 0 THEN 'improves' WHEN 1 THEN 'significantly reduces' WHEN 2 THEN 'may cause' WHEN 3 THEN 'raises' ELSE 'is linked to' END, ' ', title, ' productivity [', CAST(ref_idx AS STRING), ']') AS claim,
         concat(CASE ref_idx % 7 WHEN 0 THEN 'Improved ' WHEN 1 THEN 'Decreasing ' WHEN 2 THEN 'Effects of ' WHEN 3 THEN 'Uptake enhances ' WHEN 4 THEN 'Negative ' ELSE 'Acceptance and ' END, title, CASE WHEN ref_idx % 2 = 0 THEN ' performance' ELSE ' outcomes' END) AS source_title,
         CASE ref_idx % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'likely' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'not_found' ELSE 'offline' END AS status FROM {fields}""",
+    "claim_rows": """SELECT doc_id, ref_idx, CASE ref_idx % 13 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('Results show that ', claim) WHEN 3 THEN concat('This study often (see [2])', '') WHEN 4 THEN concat(claim, ', which approximately lowers error and risk (Ama, 2020).') WHEN 5 THEN 'Zebras sing'
+        WHEN 6 THEN 'No manuscript claim was extracted; review the cited sentence manually.' WHEN 7 THEN concat('It was found that farmers produce ', source_title) ELSE claim END AS claim,
+        CASE ref_idx % 17 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Gravity waves' WHEN 3 THEN 'Product of results' WHEN 4 THEN concat(source_title, ' and reliable stability, raising trust') ELSE source_title END AS source_title,
+        CASE ref_idx % 11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Verified ' WHEN 3 THEN 'likely' WHEN 4 THEN 'needs_review' WHEN 5 THEN 'not_found' WHEN 6 THEN 'offline' WHEN 7 THEN 'unknown' WHEN 8 THEN 'retracted' WHEN 9 THEN 'error' ELSE 'verified' END AS status FROM {claims}""",
     "cite_texts": """SELECT l_orderkey AS doc_id, concat('As shown [', CAST(min(l_linenumber) AS STRING), ',', CAST(max(l_linenumber) AS STRING), '-', CAST(max(l_linenumber) + min(l_partkey) % 4 AS STRING), '] and (', CAST(max(l_suppkey) % 90 AS STRING),
         ', ', CAST(min(l_suppkey) % 90 AS STRING), ') by Smith', CAST(min(l_partkey) % 5 AS STRING), ' (', CAST(1990 + min(l_partkey) % 30 AS STRING), '). See Table ', CAST(min(l_linenumber) AS STRING), ' and doi:10.1000/x', CAST(min(l_partkey) AS STRING), '.') AS text
         FROM {lineitem} GROUP BY l_orderkey""",

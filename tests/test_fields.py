@@ -49,6 +49,17 @@ def test_fields_of_references(spark):
     assert (got[1]["authors"], got[1]["title"], got[1]["source"], got[1]["volume"], got[1]["issue"], got[1]["pages"]) == ("Kock, N", "Common bias", "Journal of Rings", "12", "4", "123–130")
     assert (got[2]["title"], got[2]["source"], got[2]["year"], got[2]["volume"], got[2]["issue"], got[2]["pages"]) == ("An intervention to decrease infections", "N Engl J Med", "2006", "355", "26", "2725-32")
     assert got[3]["confidence"] == got[4]["confidence"] == "low"
+    # (authors, year, title, source, volume, issue, pages, publisher, edition, doi, isbn, url, kind, confidence)
+    more = {
+        "Ama, K., & Boadu, J. K. (2019). On bias, again: a view of 2010. Journal of Rings and Plates, 3(1-2), e12.": ("Ama, K., & Boadu, J. K.", "2019", "On bias, again: a view of 2010", "Journal of Rings and Plates", "3", "1-2", "e12", "", "", "", "", "", "article", "high"),
+        "World Bank. (n.d.). Doing business.": ("World Bank.", "n.d.", "Doing business", "", "", "", "", "", "", "", "", "", "report", "medium"),
+        "(4) World Bank. 2015b. Doing business. Author. ISBN: 978-3-16-148410-0": ("World Bank", "2015b", "Doing business", "", "", "", "", "Author", "", "", "9783161484100", "", "book", "high"),
+        "Adu, K. (2020). A title. Rings, 7, 4 – 9. doi: 10.5555/a.b; https://a.org/x.": ("Adu, K.", "2020", "A title", "Rings", "7", "", "4 – 9", "", "", "10.5555/a.b", "", "https://a.org/x", "article", "high"),
+        "J. Monod, R. Yoshida. A thing of 1999. J Med. 2001; 12: 3-4.": ("J. Monod, R. Yoshida", "2001", "A thing of 1999", "J Med", "12", "", "3-4", "", "", "", "", "", "article", "high"),
+        "": ("",) * 12 + ("unknown", "low"),
+    }
+    names = ("authors", "year", "title", "source", "volume", "issue", "pages", "publisher", "edition", "doi", "isbn", "url", "kind", "confidence")
+    assert {t: tuple(D.parse_fields(t)[n] for n in names) for t in more} == more
     assert D.numeric_authors("J. Monod, R. Yoshida and K. Okeyoshi") == ["monod", "yoshida", "okeyoshi"] and D.numeric_authors("Pronovost P, Needham D, et al.") == ["pronovost", "needham"]
     assert D.numeric_entries("[1] One work 2001. [2] Two, see [7] too. [3] Three.") == ["[1] One work 2001.", "[2] Two, see [7] too.", "[3] Three."] and D.numeric_entries("no marks") == []
 

@@ -95,12 +95,32 @@ def test_similarity_column_keeps_nulls(spark):
 
 
 def test_claim_support_gate(spark):
-    claims = spark.createDataFrame(
-        [(1, "Adoption improves performance", "Uptake enhances productivity", "verified"), (2, "Adoption improves performance", "Uptake enhances productivity", "likely"), (3, "Adoption improves performance", "", "not_found")],
-        "i int, claim string, source_title string, status string",
-    )
+    """Scores and states worked out by hand."""
+    good = ("Adoption improves performance", "Uptake enhances productivity")
+    rows = [
+        (1, *good, "verified", 100.0, "strong_support"), (2, *good, "likely", 49.0, "source_needs_review"), (3, *good, "not_found", 49.0, "source_needs_review"), (4, *good, "offline", 49.0, "source_needs_review"),
+        (5, *good, None, 49.0, "source_verification_unknown"), (6, *good, " Unknown", 49.0, "source_verification_unknown"), (7, *good, "retracted", 100.0, "strong_support"),
+        # the framing is no relation: only the neutral direction counts
+        (8, "Results show that farmers sing.", "Product of results", "verified", 9.0, "insufficient_evidence"),
+        (9, "Zebras sing", "Gravity waves", "likely", 9.0, "insufficient_evidence"),
+        (10, good[0], None, "verified", 0.0, "insufficient_evidence"), (11, good[0], "", "likely", 0.0, "insufficient_evidence"), (12, "", good[1], "verified", 0.0, "claim_not_extracted"), (13, None, good[1], "likely", 0.0, "claim_not_extracted"),
+        (14, "Claim not extracted.", good[1], "verified", 0.0, "claim_not_extracted"),
+        # nothing is left of it, so it stands for itself: "show" is a concept of the claim, and no relation
+        (15, "We show that", "Show me", "verified", 40.0 + 9.0 + 15.0, "strong_support"),
+        # one concept of three, no relation in common, direction without a counterpart: 40 / 3 + 0.4 * 15 + 15
+        (16, "Trust lowers costs [3]", "Credibility", "needs_review", 34.0, "source_needs_review"),
+    ]
+    claims = spark.createDataFrame([r[:4] for r in rows], "i int, claim string, source_title string, status string")
     got = {r["i"]: (r["support_score"], r["support_status"]) for r in C.support(claims).collect()}
-    assert got[1] == (100.0, "strong") and got[2] == (49.0, "source_needs_review") and got[3][1] == "source_verification_unknown"
+    assert got == {r[0]: r[4:] for r in rows}
+    with_more = C.scored_claims(spark.createDataFrame([("Trust lowers costs", "On banks", "Costs fall.", ["credibility"])], "claim string, source_title string, source_abstract string, source_concepts array<string>")).first()
+    assert with_more["raw_score"] == round(40 * 2 / 3 + 6 + 15 + 10, 1)
+
+
+def test_every_support_state_has_a_name(spark):
+    states = [s for _, s in C.LEVELS] + ["insufficient_evidence", "source_needs_review"]
+    named = [spark.range(1).select(V.canonical_support(F.lit(s)).alias("s")).first()["s"] for s in states]
+    assert named == ["direct_support", "partial_support", "partial_support", "weak_or_unclear", "insufficient_evidence", "weak_or_unclear"]
 
 
 def test_needed_score(spark):
