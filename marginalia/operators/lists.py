@@ -75,20 +75,26 @@ def _numbered(lines: Column, marker: str) -> Column:
     return F.transform(F.slice(F.split(marked, _CUT), 2, 1 << 20), lambda e: F.trim(F.split(e, "\x1d")[0]))
 
 
-def by_block(lines: Column) -> Column:
-    """Entries after the first heading of a list (else after the first line past 0.6 of the text that looks like an entry), up to the heading that ends it."""
+def list_lines(docs: DataFrame, lines: str, to: str) -> DataFrame:
+    """docs with the lines after the first heading of a list (else from the first line past 0.6 of the text that looks like an entry), up to the heading that ends it."""
     n = F.size(lines)
     at = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    first = lambda found: F.array_min(F.transform(found, lambda p: p["i"]))
-    like = lambda x: x.rlike(r"^\[\d+\]\s+\p{Lu}") | (x.rlike(r"^\d{1,3}\.\s+\p{Lu}\p{Ll}")) | starts_entry(norm(x))
-    heading = first(F.filter(at, lambda p: p["x"].rlike(HEADINGS)))
-    start = F.coalesce(heading + 1, first(F.filter(at, lambda p: (p["i"] > n * 0.6) & like(p["x"]))))
-    end = F.coalesce(first(F.filter(at, lambda p: (p["i"] > start) & p["x"].rlike(END_HEADINGS))), n)
-    body = F.when(start.isNotNull(), F.slice(lines, start + 1, F.greatest(end - start, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    first = lambda test: F.get(F.transform(F.filter(at, test), lambda p: p["i"]), F.lit(0))
+    like = lambda x: x.rlike(r"^\[\d+\]\s+\p{Lu}") | x.rlike(r"^\d{1,3}\.\s+\p{Lu}\p{Ll}") | starts_entry(norm(x))
+    d = docs.withColumn("__heading", first(lambda p: p["x"].rlike(HEADINGS)))
+    d = d.withColumn("__start", F.when(F.col("__heading").isNotNull(), F.col("__heading") + 1).otherwise(first(lambda p: (p["i"] > n * 0.6) & like(p["x"]))))
+    d = d.withColumn("__end", F.coalesce(first(lambda p: (p["i"] > F.col("__start")) & p["x"].rlike(END_HEADINGS)), n))
+    body = F.when(F.col("__start").isNotNull(), F.slice(lines, F.col("__start") + 1, F.greatest(F.col("__end") - F.col("__start"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    return d.withColumn(to, body).drop("__heading", "__start", "__end")
+
+
+def by_block(body: str) -> Column:
+    """Entries of the lines of a list: by their markers where most have one, else cut as a running text."""
     votes = lambda p: F.size(F.filter(body, lambda x: x.rlike(p)))
     square, plain, people = votes(r"^\[\d+\]"), votes(r"^\d{1,3}[.)]\s"), votes(rf"^{_PERSON}")
     text = F.regexp_replace(F.array_join(F.filter(body, lambda x: x != ""), "\n"), r"(?<=\p{Ll})-\n(?=\p{Ll})", "")
-    return F.when((square > 0) & (square >= plain) & (square >= people), _numbered(body, r"^\[\d+\]")).when((plain > 0) & (plain >= people), _numbered(body, r"^\d{1,3}[.)]\s")).otherwise(cut_entries(text))
+    lines = F.col(body)
+    return F.when((square > 0) & (square >= plain) & (square >= people), _numbered(lines, r"^\[\d+\]")).when((plain > 0) & (plain >= people), _numbered(lines, r"^\d{1,3}[.)]\s")).otherwise(cut_entries(text))
 
 
 def by_pattern(text: Column) -> Column:
@@ -129,7 +135,7 @@ def reference_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n"), lambda x: F.trim(x))
     d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), lines.alias("__lines"))
     good = lambda c: F.filter(F.transform(c, norm), plausible)
-    d = d.withColumns({"__block": good(repaired(by_block(F.col("__lines")))), "__pattern": good(by_pattern(F.col("__text")))})
+    d = list_lines(d, "__lines", "__body").withColumn("__cut", by_block("__body")).withColumns({"__block": good(repaired(F.col("__cut"))), "__pattern": good(by_pattern(F.col("__text")))})
     d = d.withColumn("extractor", F.when(F.size("__block") >= ENOUGH, "block").when(F.size("__pattern") >= ENOUGH, "pattern").otherwise("tail"))
     found = F.when(F.col("extractor") == "block", F.col("__block")).when(F.col("extractor") == "pattern", F.col("__pattern")).otherwise(good(by_tail(F.col("__lines"))))
     rows = d.select(id_col, "extractor", F.posexplode(found).alias("place", "reference"))

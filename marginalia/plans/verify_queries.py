@@ -13,7 +13,7 @@ from marginalia.plans.registry import DERIVED, query
 
 DERIVED |= {
     "mentions": """SELECT doc_id, cite_idx, CASE cite_idx % 7 WHEN 0 THEN concat('[', CAST(1 + cite_idx % 90 AS STRING), ']') WHEN 1 THEN concat('(', citation, ')') WHEN 2 THEN concat(substr(citation, 2, 4), ', ', right(citation, 4)) WHEN 3 THEN concat(citation, '; Boadu, 1999')
-        WHEN 4 THEN concat(split_part(split_part(citation, ',', 1), ' ', 1), ',  ', right(citation, 4)) WHEN 5 THEN '(see above)' ELSE citation END AS citation, CASE WHEN cite_idx % 4 = 0 THEN 7 END AS default_ref FROM {ay_strings}""",
+        WHEN 4 THEN concat(split_part(split_part(citation, ',', 1), ' ', 1), ',  ', right(citation, 4)) WHEN 5 THEN '(see above)' ELSE citation END AS citation, CASE WHEN cite_idx % 4 = 0 THEN 7 END AS default_ref FROM (SELECT doc_id, cite_idx, min(citation) AS citation FROM {ay_strings} GROUP BY doc_id, cite_idx)""",
     "marked_refs": "SELECT doc_id, ref_idx, CASE WHEN ref_idx % 3 = 0 THEN concat('[', CAST(1 + ref_idx % 80 AS STRING), '] ', reference) WHEN ref_idx % 3 = 1 THEN concat(CAST(1 + ref_idx % 80 AS STRING), '. ', reference) ELSE reference END AS reference FROM {ref_strings}",
     "known_matches": "SELECT doc_id, cite_idx AS row_idx, citation, cite_idx % 50 AS ref_idx FROM {mentions} WHERE cite_idx % 14 < 2",
 }
