@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from marginalia.functions.tables import kept
 from marginalia.functions.text import SUPERSCRIPTS, expand_numbers, hmac_sha256, ngrams, unicode_words
 
 #: Opening and closing of the numeric forms.
@@ -48,44 +49,146 @@ def cluster_items(citation: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(citation, r"^[\[(]|[\])]$", ""), r"\s*;\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Forms of numbers, labels and captions of tables and figures, verbs that make a sentence of what looks like one, headings.
+NUMBER = r"(?:\d+(?:\.\d+)*[A-Z]?|[A-Z]\d*)"
+LABEL = rf"(?i)\b(Tables?|Figures?|Figs?\.)\s+({NUMBER})\b"
+LINK = rf"\s*(,|/|&|\band\b|[-–—])\s*({NUMBER})\b"
+CAPTION = rf"(?i)^\s*(Table|Figure|Fig\.)\s+({NUMBER})\s*(?:[.:–—-]\s*|\s+)(\S.*)$"
+PLAIN_CAPTION, BARE_CAPTION = r"(?i)^\s*(?:Table|Figure|Fig\.)\s+\S+\s*[.:–—-]", r"(?i)^\s*(?:Table|Figure|Fig\.)\s+(?:[A-Z]|\d+)(?:\.\d+)*\s*$"
+TITLE_VERBS = r"(?i)^(?:shows?|presents?|illustrates?|depicts?|reports?|summari[sz]es?|lists?|provides?|compares?|describes?|displays?|indicates?|demonstrates?)\b"
+SKIPPED_HEADING, SECTION_HEADING = r"(?i)^(?:list of tables|list of figures|table of contents|contents|references|bibliography)\b", r"(?i)^(?:chapter\s+\w+|\d+(?:\.\d+)*\s+\w+)"
+#: Links of a list of numbers that are read, numbers of a range at most, blocks around a table that its caption may have.
+MOST_LINKS, MOST_RANGE, AROUND = 30, 30, 2
+
+
 def section_blocks(blocks: DataFrame) -> DataFrame:
-    """blocks(doc_id, block_idx, text) with the running section: the last heading before or at a block."""
-    head = F.when(F.col("text").rlike("^[A-Z]+ [0-9]+$"), F.col("text"))
+    """blocks(doc_id, block_idx, text and, where there are any, style) with the running section: the last heading at or before a block.
+
+    A heading is a chapter or a numbered line of under 120 characters, or in a document with styles a block of a heading style;
+    before the first it is the document body.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    styled = F.when(F.col("style").rlike(r"(?i)^Heading\s*\d"), F.nullif(F.substring(text, 1, 160), F.lit(""))) if "style" in blocks.columns else F.lit(None)
+    head = F.coalesce(styled, F.when(text.rlike(SECTION_HEADING) & (F.length(text) < 120), text))
     order = W.partitionBy("doc_id").orderBy("block_idx").rowsBetween(W.unboundedPreceding, 0)
-    return blocks.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(order), F.lit("")))
+    return blocks.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(order), F.lit("Document body")))
+
+
+def _kind(label: Column) -> Column:
+    return F.when(F.lower(label).startswith("table"), "table").otherwise("figure")
+
+
+def marked_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks that are read, with section, styled (a caption style), near (a table or graphic within two blocks), is_caption, kind, number.
+
+    Lists of contents and references are left out, up to the next numbered heading. style, is_table and is_graphic may be absent.
+    """
+    has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in blocks.columns else F.lit(False)
+    b = section_blocks(blocks).withColumn("text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    b = b.withColumns({"item": has("is_table") | has("is_graphic"), "is_table": has("is_table"), "styled": F.coalesce(F.lower("style").contains("caption"), F.lit(False)) if "style" in blocks.columns else F.lit(False)})
+    order = W.partitionBy("doc_id").orderBy("block_idx")
+    stop = F.when(F.col("text").rlike(SKIPPED_HEADING) & (F.length("text") < 90), True).when(F.col("text").rlike(SECTION_HEADING) & (F.length("text") < 120), False)
+    b = b.withColumns({"skipped": F.coalesce(F.last(stop, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(False)), "near": F.max("item").over(order.rowsBetween(-AROUND, AROUND)), "place": F.row_number().over(order)})
+    title = F.regexp_extract("text", CAPTION, 3)
+    is_caption = (title != "") & ~title.rlike(TITLE_VERBS) & (F.col("styled") | F.col("near") | F.col("text").rlike(PLAIN_CAPTION))
+    b = b.filter(~F.col("skipped")).withColumn("is_caption", is_caption)
+    return b.withColumns({"kind": F.when(F.col("is_caption"), _kind(F.regexp_extract("text", CAPTION, 1))), "number": F.when(F.col("is_caption"), F.upper(F.regexp_extract("text", CAPTION, 2)))}).drop("skipped")
+
+
+def mentioned(text: Column) -> Column:
+    """Array of (kind, number) of the tables and figures that a text speaks of: lists and ranges too, as ``Tables 1 and 2`` or ``Figs. 2–4``."""
+    spans = F.regexp_extract_all(text, F.lit(rf"{LABEL}((?:{LINK}){{0,{MOST_LINKS}}})"), F.lit(0))
+    digits = lambda x: x.rlike(r"^\d+$")
+
+    def expanded(span: Column) -> Column:
+        tail = F.regexp_extract(span, rf"{LABEL}(.*)$", 3)
+        links = F.zip_with(F.regexp_extract_all(tail, F.lit(rf"(?i){LINK}"), F.lit(1)), F.regexp_extract_all(tail, F.lit(rf"(?i){LINK}"), F.lit(2)), lambda by, n: F.struct(by.alias("by"), n.alias("n")))
+
+        def step(done: Column, x: Column) -> Column:
+            last, by, n = F.element_at(done, -1), x["by"], x["n"]
+            low, high = last.try_cast("int"), n.try_cast("int")
+            run = by.isin("-", "–", "—") & digits(last) & digits(n)
+            more = F.when((low < high) & (high - low <= MOST_RANGE), F.transform(F.sequence(low + 1, F.greatest(high, low + 1)), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
+            return F.concat(done, F.when(run, more).otherwise(F.array(F.upper(n))))
+
+        numbers = F.aggregate(links, F.array(F.upper(F.regexp_extract(span, LABEL, 2))), step)
+        return F.transform(numbers, lambda n: F.struct(_kind(F.regexp_extract(span, LABEL, 1)).alias("kind"), n.alias("number")))
+
+    return F.flatten(F.transform(spans, expanded))
 
 
 def captions_and_callouts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, num, block_idx) of captions, and of callouts in other blocks."""
-    is_caption = F.col("text").rlike(r"^(Table|Figure) [0-9]+[.:]")
-    num = F.regexp_extract("text", r"(?:Table|Figure) ([0-9]+)", 1).try_cast("int")
-    caps = blocks.filter(is_caption).groupBy("doc_id", num.alias("num")).agg(F.min("block_idx").alias("block_idx"))
-    calls = blocks.filter(~is_caption & F.col("text").rlike(r"(Table|Figure) [0-9]+")).groupBy("doc_id", num.alias("num")).agg(F.min("block_idx").alias("block_idx"))
-    return caps, calls
+    """(doc_id, kind, number, block_idx, section) of captions, and of every mention in other blocks."""
+    return _split(marked_blocks(blocks))
+
+
+def _split(b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    caps = b.filter("is_caption").select("doc_id", "kind", "number", "block_idx", "section")
+    return caps, b.filter("not is_caption").select("doc_id", "block_idx", "section", F.inline(mentioned(F.col("text"))))
+
+
+def audit_findings(blocks: DataFrame) -> DataFrame:
+    """doc_id, block_idx, type, priority, kind, number, section of everything amiss with tables, figures and what is said of them.
+
+    Keys are kind and number, so Table 1 and Figure 1 are two; a mention whose number only the other kind has is a mismatch of labels.
+    """
+    return _findings(kept(marked_blocks(blocks)))
+
+
+def _findings(b: DataFrame) -> DataFrame:
+    """Findings of marked blocks that are written: they are read by nine rules."""
+    caps, calls = _split(b)
+    calls = kept(calls)
+    row = lambda df, kind, priority="important": df.select("doc_id", "block_idx", F.lit(kind).alias("type"), F.lit(priority).alias("priority"), "kind", "number", "section")
+    key = ["doc_id", "kind", "number"]
+    counted = caps.groupBy(*key).agg(F.count(F.lit(1)).alias("captions"))
+    first = calls.groupBy(*key).agg(F.min("block_idx").alias("first"))
+    c = caps.join(counted, key).join(first, key, "left")
+    other = counted.select("doc_id", F.when(F.col("kind") == "table", "figure").otherwise("table").alias("kind"), "number", F.lit(True).alias("other"))
+    lost = calls.join(counted, key, "left_anti").join(other, key, "left")
+    by_kind = W.partitionBy("doc_id", "kind").orderBy("block_idx")
+    steps = caps.filter(F.col("number").rlike(r"^\d+$")).withColumn("before", F.lag(F.col("number").cast("bigint")).over(by_kind))
+    jumps = steps.groupBy("doc_id", "kind").agg(F.max(F.col("number").cast("bigint") != F.col("before") + 1).alias("odd")).filter("odd").select("doc_id", F.lit(None).cast("bigint").alias("block_idx"), "kind", F.lit(None).cast("string").alias("number"), F.lit("Document body").alias("section"))
+    plain = b.filter("not is_caption").withColumns({"kind": F.lit(None).cast("string"), "number": F.lit(None).cast("string")})
+    order = W.partitionBy("doc_id").orderBy("place").rangeBetween(-AROUND, AROUND)
+    beside = b.withColumn("captioned", F.max(F.coalesce(F.col("is_caption") & (F.col("kind") == "table"), F.lit(False))).over(order))
+    bare = beside.filter("is_table and not captioned").withColumns({"kind": F.lit("table"), "number": F.lit(None).cast("string")})
+    found = [
+        row(c.filter("captions > 1"), "duplicate_number"), row(c.filter("first is null"), "unreferenced"), row(c.filter("first > block_idx"), "first_mention_after", "optional"), row(lost.filter("other"), "label_mismatch"),
+        row(lost.filter("other is null"), "missing_target"), row(jumps, "numbering_sequence"), row(bare, "missing_caption"), row(plain.filter(F.col("text").rlike(BARE_CAPTION) & (F.col("styled") | F.col("near"))), "missing_caption_title"),
+        row(plain.filter(F.col("styled") & ~F.col("text").rlike(LABEL.replace(r"(?i)\b", "(?i)^")) & (F.col("text") != "")), "missing_caption_number"),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def table_audit(blocks: DataFrame) -> DataFrame:
-    """Per document: captions, callouts, unreferenced captions, missing targets, captions mentioned only afterwards."""
-    caps, calls = captions_and_callouts(blocks)
-    both = caps.withColumnRenamed("block_idx", "cap").join(calls.withColumnRenamed("block_idx", "call"), ["doc_id", "num"], "full")
-    return both.groupBy("doc_id").agg(
-        F.count("cap").alias("captions"), F.count("call").alias("callouts"), F.count_if(F.col("call").isNull()).alias("unreferenced"), F.count_if(F.col("cap").isNull()).alias("missing_targets"),
-        F.count_if(F.col("call") > F.col("cap")).alias("late_mentions"),
-    )
+    """Per document: tables, figures, unreferenced captions, missing targets (mismatches of labels too), faults of numbers or captions, all findings."""
+    kinds = ("duplicate_number", "numbering_sequence", "missing_caption", "missing_caption_title", "missing_caption_number")
+    b = kept(marked_blocks(blocks))
+    counts = b.filter("is_caption").groupBy("doc_id").agg(F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "figure").alias("figures"))
+    t = F.col("type")
+    faults = _findings(b).groupBy("doc_id").agg(
+        F.count_if(t == "unreferenced").alias("unreferenced"), F.count_if(t.isin("missing_target", "label_mismatch")).alias("missing_targets"), F.count_if(t.isin(*kinds)).alias("numbering_or_caption"), F.count(F.lit(1)).alias("needs_review")
+    )
+    return blocks.select("doc_id").distinct().join(counts, "doc_id", "left").join(faults, "doc_id", "left").na.fill(0)
 
 
 def caption_gaps(blocks: DataFrame) -> DataFrame:
-    """Caption numbers that do not follow the one before."""
+    """Numbers of captions that do not follow the one before of their kind, in the document's order."""
     caps, _ = captions_and_callouts(blocks)
-    before = F.lag("num").over(W.partitionBy("doc_id").orderBy("num"))
-    return caps.withColumn("previous", before).filter(F.col("num") != F.col("previous") + 1).select("doc_id", "previous", "num")
+    num = F.col("number").cast("bigint")
+    steps = caps.filter(F.col("number").rlike(r"^\d+$")).withColumns({"num": num, "previous": F.lag(num).over(W.partitionBy("doc_id", "kind").orderBy("block_idx"))})
+    return steps.filter(F.col("num") != F.col("previous") + 1).select("doc_id", "kind", "block_idx", "previous", "num")
 
 
-def nearby_captions(blocks: DataFrame, span: int = 2) -> DataFrame:
-    """Plain blocks with the number of captions within span blocks: a window frame, not a band join."""
-    cap = F.col("text").rlike(r"^(Table|Figure) [0-9]+[.:]").cast("bigint")
-    near = F.sum(cap).over(W.partitionBy("doc_id").orderBy("block_idx").rangeBetween(-span, span))
-    return blocks.withColumn("near", near).filter(cap == 0).select("doc_id", "block_idx", F.col("near").alias("captions_near"))
+def nearby_captions(blocks: DataFrame, span: int = AROUND) -> DataFrame:
+    """Other blocks with the number of captions within span blocks: a window frame, not a band join."""
+    b = marked_blocks(blocks)
+    near = F.sum(F.col("is_caption").cast("bigint")).over(W.partitionBy("doc_id").orderBy("block_idx").rangeBetween(-span, span))
+    return b.withColumn("captions_near", near).filter("not is_caption").select("doc_id", "block_idx", "captions_near")
 
 
 def fingerprint(text: Column) -> Column:

@@ -50,7 +50,7 @@ DERIVED |= {
   clusters AS (SELECT doc_id, ref_idx, first_value(ref_idx) OVER (PARTITION BY doc_id, doi ORDER BY -length(title), ref_idx) AS canonical FROM {named_refs} QUALIFY count(*) OVER (PARTITION BY doc_id, doi) > 1),
   nothing AS (SELECT r.* FROM {named_refs} r LEFT JOIN times t USING (doc_id, ref_idx) LEFT JOIN clusters k USING (doc_id, ref_idx) LEFT JOIN times x ON x.doc_id = r.doc_id AND x.ref_idx = k.canonical WHERE t.times IS NULL AND x.times IS NULL),
   notes AS (SELECT n.doc_id, n.ref_idx, min(m.cite_idx) AS note_idx FROM nothing n JOIN missing m ON m.doc_id = n.doc_id AND m.year <> n.year AND (m.author = n.author OR (n.second IS NOT NULL AND m.second IS NOT NULL AND list_sort([n.author, n.second]) = list_sort([m.author, m.second]))) GROUP BY 1, 2)
-  SELECT doc_id, ref_idx, CASE WHEN note_idx IS NULL THEN 'uncited' ELSE 'cited_with_other_year' END AS state, note_idx FROM nothing LEFT JOIN notes USING (doc_id, ref_idx)""")
+  SELECT doc_id, ref_idx, CASE WHEN note_idx IS NULL THEN 'uncited' ELSE 'cited_with_other_year' END AS state, coalesce(note_idx, -1) AS note_idx FROM nothing LEFT JOIN notes USING (doc_id, ref_idx)""")
 def uncited_author_year(t):
     from pyspark.sql.window import Window as W
 
@@ -60,7 +60,7 @@ def uncited_author_year(t):
     times = r.join(c.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")), keys).select("doc_id", "ref_idx", "times")
     same = W.partitionBy("doc_id", "doi")
     clusters = r.withColumn("n", F.count(F.lit(1)).over(same)).filter("n > 1").withColumn("canonical", F.first("ref_idx").over(same.orderBy(-F.length("title"), "ref_idx"))).select("doc_id", "ref_idx", "canonical")
-    return FX.uncited(names(r).select("doc_id", "ref_idx", "names", "year"), times, clusters, names(c.join(r, keys, "left_anti")).select("doc_id", "cite_idx", "names", "year"))
+    return FX.uncited(names(r).select("doc_id", "ref_idx", "names", "year"), times, clusters, names(c.join(r, keys, "left_anti")).select("doc_id", "cite_idx", "names", "year")).withColumn("note_idx", F.coalesce("note_idx", F.lit(-1)))
 
 
 DERIVED |= {
@@ -118,7 +118,7 @@ SEED = 6
   m AS (SELECT pairs.doc_id, item_id, needle, para, section, before, p FROM pairs JOIN h ON h.doc_id = pairs.doc_id AND (contains(lower(p), needle) OR contains(needle, lower(p))) QUALIFY row_number() OVER (PARTITION BY pairs.doc_id, item_id ORDER BY para) = 1),
   z AS (SELECT doc_id, arg_max(section, para) AS lasts FROM h GROUP BY 1),
   f AS (SELECT *, list_transform(string_split(regexp_replace(p, '([.!?]) ', '\1␞', 'g'), '␞'), lambda x: lower(trim(x))) AS ss FROM m)
-  SELECT pairs.doc_id, pairs.item_id, (before // 500 + 1)::BIGINT AS page, coalesce(section, lasts) AS section, para + 1 AS paragraph, CASE WHEN p IS NOT NULL THEN greatest(coalesce(list_position(list_transform(ss, lambda x: contains(x, substr(f.needle, 1, 80)) OR contains(f.needle, substr(x, 1, 80))), true), 0), 1)::BIGINT END AS sentence
+  SELECT pairs.doc_id, pairs.item_id, coalesce(before // 500 + 1, 0)::BIGINT AS page, coalesce(section, lasts) AS section, coalesce(para + 1, 0) AS paragraph, CASE WHEN p IS NULL THEN 0 ELSE greatest(coalesce(list_position(list_transform(ss, lambda x: contains(x, substr(f.needle, 1, 80)) OR contains(f.needle, substr(x, 1, 80))), true), 0), 1)::BIGINT END AS sentence
   FROM pairs LEFT JOIN f USING (doc_id, item_id) LEFT JOIN z ON z.doc_id = pairs.doc_id""")
 def passage_places(t):
     """Where the passages of benchmark stand in documents that hold their seed: pages, sections, paragraphs and sentences."""
@@ -129,4 +129,4 @@ def passage_places(t):
     seeds = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - SEED + 1), lambda i: F.array_join(F.slice("w", i, SEED), " ")))).alias("seed"))
     pairs = seeds.join(items, "seed").select("doc_id", "item_id", "passage").distinct()
     docs = t.documents.select("doc_id", F.expr(_SPACED).alias("text")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return FX.located(pairs, docs)
+    return FX.located(pairs, docs).na.fill(0, ["page", "paragraph", "sentence"])

@@ -548,31 +548,58 @@ def identifiers(t):
     return t.cite_texts.select("doc_id", T.normal_doi(c).alias("doi"), T.first_year(c).alias("year"), T.slug(c).alias("slug"))
 
 
-@query()
+@query(r"""SELECT doc_id, num, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '[\[(]([0-9]+)[\])]', 1), flatten(list_transform(regexp_extract_all(text, '[\[(]([0-9]+(?:\s*,\s*[0-9]+)+)[\])]', 1), lambda x: regexp_split_to_array(x, '\s*,\s*')))))::INT AS num FROM {cite_texts}) GROUP BY ALL""")
 def vancouver_counts(t):
     return X.vancouver_counts(t.cite_texts)
 
 
-@query(r"""SELECT doc_id, block_idx, coalesce(last_value(CASE WHEN regexp_matches(text, '^[A-Z]+ [0-9]+$') THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING), '') AS section FROM {blocks}""")
+_MARKED = r"""b0 AS (SELECT * REPLACE (trim(regexp_replace(text, '\s+', ' ', 'g')) AS text) FROM {blocks}),
+  b1 AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)^(?:chapter\s+\w+|\d+(?:\.\d+)*\s+\w+)') AND length(text) < 120 THEN text END AS head, coalesce(style = 'Caption', false) AS styled, is_table OR is_graphic AS item FROM b0),
+  b2 AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING), 'Document body') AS section,
+    coalesce(last_value(CASE WHEN regexp_matches(text, '(?i)^(?:list of tables|list of figures|table of contents|contents|references|bibliography)\b') AND length(text) < 90 THEN true WHEN head IS NOT NULL THEN false END IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING), false) AS skipped,
+    bool_or(item) OVER (o ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near, row_number() OVER o AS place FROM b1 WINDOW o AS (PARTITION BY doc_id ORDER BY block_idx)),
+  b3 AS (SELECT *, regexp_extract(text, '(?i)^\s*(Table|Figure|Fig\.)\s+((?:\d+(?:\.\d+)*[A-Z]?|[A-Z]\d*))\s*(?:[.:–—-]\s*|\s+)(\S.*)$', ['label', 'num', 'title']) AS cap FROM b2 WHERE NOT skipped),
+  b AS (SELECT *, cap.title <> '' AND NOT regexp_matches(cap.title, '(?i)^(?:shows?|presents?|illustrates?|depicts?|reports?|summari[sz]es?|lists?|provides?|compares?|describes?|displays?|indicates?|demonstrates?)\b')
+    AND (styled OR near OR regexp_matches(text, '(?i)^\s*(?:Table|Figure|Fig\.)\s+\S+\s*[.:–—-]')) AS is_caption FROM b3),
+  caps AS (SELECT doc_id, block_idx, place, CASE WHEN lower(cap.label) LIKE 'table%' THEN 'table' ELSE 'figure' END AS kind, upper(cap.num) AS number FROM b WHERE is_caption),
+  spans AS (SELECT doc_id, block_idx, unnest(regexp_extract_all(text, '(?i)\b(?:Tables?|Figures?|Figs?\.)\s+(?:\d+(?:\.\d+)*[A-Z]?|[A-Z]\d*)\b(?:\s*(?:,|/|&|\band\b|[-–—])\s*(?:\d+(?:\.\d+)*[A-Z]?|[A-Z]\d*)\b)*')) AS span FROM b WHERE NOT is_caption),
+  parts AS (SELECT doc_id, block_idx, CASE WHEN lower(span) LIKE 'table%' THEN 'table' ELSE 'figure' END AS kind, list_concat([''], regexp_extract_all(rest, '(?i)\s*(,|/|&|\band\b|[-–—])\s*(?:\d+(?:\.\d+)*[A-Z]?|[A-Z]\d*)\b', 1)) AS by_, regexp_extract_all(rest, '(?i)\b(\d+(?:\.\d+)*[A-Z]?|[A-Z]\d*)\b', 1) AS ns
+    FROM (SELECT *, regexp_replace(span, '(?i)^(?:Tables?|Figures?|Figs?\.)\s+', '') AS rest FROM (SELECT *, span FROM spans)) ),
+  nums AS (SELECT doc_id, block_idx, kind, ns, by_ FROM parts),
+  calls AS (SELECT doc_id, block_idx, kind, unnest(flatten(list_transform(range(1, len(ns) + 1), lambda i: CASE WHEN i > 1 AND by_[i] IN ('-', '–', '—') AND regexp_matches(ns[i], '^\d+$') AND regexp_matches(ns[i - 1], '^\d+$')
+    THEN list_transform(CASE WHEN try_cast(ns[i] AS INT) - try_cast(ns[i - 1] AS INT) BETWEEN 1 AND 30 THEN range(try_cast(ns[i - 1] AS INT) + 1, try_cast(ns[i] AS INT) + 1) ELSE [] END, lambda j: j::VARCHAR) ELSE [upper(ns[i])] END))) AS number FROM nums)"""
+_FINDINGS = r"""found AS (SELECT doc_id, block_idx, 'duplicate_number' AS type, kind, number FROM caps QUALIFY count(*) OVER (PARTITION BY doc_id, kind, number) > 1
+  UNION ALL SELECT c.doc_id, c.block_idx, CASE WHEN min(m.block_idx) IS NULL THEN 'unreferenced' ELSE 'first_mention_after' END, c.kind, c.number FROM caps c LEFT JOIN calls m ON m.doc_id = c.doc_id AND m.kind = c.kind AND m.number = c.number GROUP BY ALL HAVING min(m.block_idx) IS NULL OR min(m.block_idx) > c.block_idx
+  UNION ALL SELECT doc_id, block_idx, CASE WHEN EXISTS (SELECT 1 FROM caps c WHERE c.doc_id = m.doc_id AND c.number = m.number) THEN 'label_mismatch' ELSE 'missing_target' END, kind, number FROM calls m WHERE NOT EXISTS (SELECT 1 FROM caps c WHERE c.doc_id = m.doc_id AND c.number = m.number AND c.kind = m.kind)
+  UNION ALL SELECT doc_id, NULL, 'numbering_sequence', kind, NULL FROM (SELECT *, number::BIGINT <> lag(number::BIGINT) OVER (PARTITION BY doc_id, kind ORDER BY block_idx) + 1 AS odd FROM caps WHERE regexp_matches(number, '^\d+$')) GROUP BY doc_id, kind HAVING bool_or(odd)
+  UNION ALL SELECT doc_id, block_idx, 'missing_caption', 'table', NULL FROM b WHERE is_table AND NOT EXISTS (SELECT 1 FROM caps c WHERE c.doc_id = b.doc_id AND c.kind = 'table' AND abs(c.place - b.place) <= 2)
+  UNION ALL SELECT doc_id, block_idx, 'missing_caption_title', NULL, NULL FROM b WHERE NOT is_caption AND (styled OR near) AND regexp_matches(text, '(?i)^\s*(?:Table|Figure|Fig\.)\s+(?:[A-Z]|\d+)(?:\.\d+)*\s*$')
+  UNION ALL SELECT doc_id, block_idx, 'missing_caption_number', NULL, NULL FROM b WHERE NOT is_caption AND styled AND text <> '' AND NOT regexp_matches(text, '(?i)^(Tables?|Figures?|Figs?\.)\s+(?:\d+(?:\.\d+)*[A-Z]?|[A-Z]\d*)\b'))"""
+
+
+@query(f"WITH {_MARKED} SELECT doc_id, block_idx, section FROM b2")
 def running_section(t):
-    return X.section_blocks(t.blocks).drop("text")
+    return X.section_blocks(t.blocks.drop("style")).select("doc_id", "block_idx", "section")
 
 
-_CAPS = r"""SELECT doc_id, regexp_extract(text, 'Table ([0-9]+)', 1)::INT AS num, min(block_idx) AS cap FROM {blocks} WHERE regexp_matches(text, '^(Table|Figure) [0-9]+[.:]') GROUP BY 1, 2"""
+@query(f"WITH {_MARKED}, {_FINDINGS} SELECT doc_id, coalesce(block_idx, -1)::BIGINT AS block_idx, type, kind, number FROM found")
+def table_findings(t):
+    return X.audit_findings(t.blocks).select("doc_id", F.coalesce("block_idx", F.lit(-1)).cast("bigint").alias("block_idx"), "type", "kind", "number")
 
 
-@query(f"""SELECT doc_id, count(cap) AS captions, count(call) AS callouts, count(*) FILTER (call IS NULL) AS unreferenced, count(*) FILTER (cap IS NULL) AS missing_targets, count(*) FILTER (call > cap) AS late_mentions FROM ({_CAPS}) a FULL JOIN
-  (SELECT doc_id, regexp_extract(text, 'Table ([0-9]+)', 1)::INT AS num, min(block_idx) AS call FROM {{blocks}} WHERE text LIKE 'As Table %' GROUP BY 1, 2) b USING (doc_id, num) GROUP BY 1""")
+@query(f"""WITH {_MARKED}, {_FINDINGS} SELECT doc_id, coalesce(tables, 0) AS tables, coalesce(figures, 0) AS figures, coalesce(unreferenced, 0) AS unreferenced, coalesce(missing_targets, 0) AS missing_targets, coalesce(numbering_or_caption, 0) AS numbering_or_caption, coalesce(needs_review, 0) AS needs_review FROM (SELECT DISTINCT doc_id FROM {{blocks}})
+  LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'figure') AS figures FROM caps GROUP BY 1) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) FILTER (type = 'unreferenced') AS unreferenced, count(*) FILTER (type IN ('missing_target', 'label_mismatch')) AS missing_targets, count(*) FILTER (type IN ('duplicate_number', 'numbering_sequence', 'missing_caption', 'missing_caption_title', 'missing_caption_number')) AS numbering_or_caption, count(*) AS needs_review FROM found GROUP BY 1) USING (doc_id)""")
 def table_audit(t):
     return X.table_audit(t.blocks)
 
 
-@query(f"""SELECT doc_id, previous, num FROM (SELECT doc_id, num, lag(num) OVER (PARTITION BY doc_id ORDER BY num) AS previous FROM ({_CAPS})) WHERE num <> previous + 1""")
+@query(rf"WITH {_MARKED} SELECT doc_id, kind, block_idx, previous, num FROM (SELECT *, number::BIGINT AS num, lag(number::BIGINT) OVER (PARTITION BY doc_id, kind ORDER BY block_idx) AS previous FROM caps WHERE regexp_matches(number, '^\d+$')) WHERE num <> previous + 1")
 def caption_gaps(t):
     return X.caption_gaps(t.blocks)
 
 
-@query(r"""SELECT doc_id, block_idx, (SELECT count(*) FROM {blocks} c WHERE c.doc_id = b.doc_id AND abs(c.block_idx - b.block_idx) <= 2 AND regexp_matches(c.text, '^(Table|Figure) [0-9]+[.:]')) AS captions_near FROM {blocks} b WHERE NOT regexp_matches(text, '^(Table|Figure) [0-9]+[.:]')""")
+@query(f"WITH {_MARKED} SELECT doc_id, block_idx, (SELECT count(*) FROM b c WHERE c.doc_id = b.doc_id AND abs(c.block_idx - b.block_idx) <= 2 AND c.is_caption) AS captions_near FROM b WHERE NOT is_caption")
 def nearby_captions(t):
     return X.nearby_captions(t.blocks)
 

@@ -54,8 +54,10 @@ DERIVED = {
     "cite_texts": """SELECT l_orderkey AS doc_id, concat('As shown [', CAST(min(l_linenumber) AS STRING), ',', CAST(max(l_linenumber) AS STRING), '-', CAST(max(l_linenumber) + min(l_partkey) % 4 AS STRING), '] and (', CAST(max(l_suppkey) % 90 AS STRING),
         ', ', CAST(min(l_suppkey) % 90 AS STRING), ') by Smith', CAST(min(l_partkey) % 5 AS STRING), ' (', CAST(1990 + min(l_partkey) % 30 AS STRING), '). See Table ', CAST(min(l_linenumber) AS STRING), ' and doi:10.1000/x', CAST(min(l_partkey) AS STRING), '.') AS text
         FROM {lineitem} GROUP BY l_orderkey""",
-    "blocks": """SELECT l_orderkey AS doc_id, l_linenumber AS block_idx, min(CASE WHEN l_partkey % 9 = 0 THEN concat('SECTION ', CAST(l_linenumber AS STRING)) WHEN l_partkey % 4 = 1 THEN concat('Table ', CAST(l_linenumber AS STRING), '. caption')
-        WHEN l_partkey % 4 = 2 THEN concat('As Table ', CAST(l_suppkey % 7 AS STRING), ' shows, it holds.') ELSE 'Plain body text.' END) AS text FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    "blocks": """SELECT doc_id, block_idx, CASE p % 14 WHEN 0 THEN concat('Chapter ', n, '  on rings') WHEN 1 THEN concat(n, '.2 Methods') WHEN 2 THEN concat('Table ', n, '. Growth of rings') WHEN 3 THEN concat('Figure ', n, ': Growth of plates') WHEN 4 THEN concat('As Table ', n, ' and Table ', o, ' show, figure ', n, ' holds.')
+        WHEN 5 THEN concat('See Tables ', n, ', 2 and ', o, '; also Fig. ', o, '.') WHEN 6 THEN concat('Figs. ', n, '–', o, ' are below, as is Table A', n, '.') WHEN 7 THEN concat('Table ', n, ' shows it.') WHEN 8 THEN CASE WHEN p % 3 = 0 THEN 'List of Tables' ELSE concat('Fig. ', n, ' A view') END
+        WHEN 9 THEN concat('Table ', n, '.', o, ' Growth') WHEN 10 THEN concat('table ', n) WHEN 11 THEN concat('TABLE  A', n, ' - Sums') WHEN 12 THEN '' ELSE 'Plain body text.' END AS text, CASE WHEN p % 5 = 0 THEN 'Caption' WHEN p % 5 = 1 THEN 'Normal' END AS style, p % 14 = 12 AS is_table, p % 17 = 3 AS is_graphic
+        FROM (SELECT l_orderkey AS doc_id, l_linenumber AS block_idx, min(l_partkey) AS p, CAST(min(l_suppkey) % 3 + 1 AS STRING) AS n, CAST(max(l_suppkey) % 4 + 2 AS STRING) AS o FROM {lineitem} GROUP BY l_orderkey, l_linenumber)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -29,13 +29,13 @@ _MEANT = r"""WITH c AS (SELECT *, lower(regexp_replace(regexp_replace(trim(citat
     UNION ALL SELECT e.doc_id, cite_idx, 2, ref_idx, ref_idx FROM e JOIN t ON t.doc_id = e.doc_id AND author <> '' AND year <> '' AND contains(substr(low, 1, 180), author) AND contains(low, year)
     UNION ALL SELECT e.doc_id, cite_idx, 3, ref_idx, ref_idx FROM e JOIN t ON t.doc_id = e.doc_id AND number = num UNION ALL SELECT e.doc_id, cite_idx, 4, ref_idx, ref_idx FROM e JOIN t ON t.doc_id = e.doc_id AND place = num),
   best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY doc_id, cite_idx ORDER BY tier, o, ref_idx) = 1)
-  SELECT doc_id, cite_idx, coalesce(ref_idx, default_ref) AS ref_idx, CASE WHEN coalesce(ref_idx, default_ref) IS NULL THEN 'none' ELSE ['known_match', 'first_author_year', 'author_year_inside', 'number', 'position', 'default'][coalesce(tier, 5) + 1] END AS tier
+  SELECT doc_id, cite_idx, coalesce(ref_idx, default_ref, -1) AS ref_idx, CASE WHEN coalesce(ref_idx, default_ref) IS NULL THEN 'none' ELSE ['known_match', 'first_author_year', 'author_year_inside', 'number', 'position', 'default'][coalesce(tier, 5) + 1] END AS tier
   FROM e LEFT JOIN best USING (doc_id, cite_idx)"""
 
 
 @query(_MEANT)
 def citation_references(t):
-    return V.resolve_citations(t.mentions, t.marked_refs, t.known_matches)
+    return V.resolve_citations(t.mentions, t.marked_refs, t.known_matches).na.fill(-1, ["ref_idx"])
 
 
 def _parsed(t):

@@ -5,6 +5,7 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.operators import extract as T
 from marginalia.operators import lists as X
 
 
@@ -74,3 +75,43 @@ def test_other_extractors(spark):
         (3, "tail"): ["Ama, K. 2001. One of very few works on rings."],
         (4, "block"): [f"Ama, K. {2001 + i}. A work on the rings of {i} trees." for i in range(6)],
     }
+
+
+# --- tables and figures
+def audited(spark, rows):
+    blocks = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id int, block_idx int, text string, style string, is_table boolean, is_graphic boolean")
+    found = sorted((r["type"], r["block_idx"], r["kind"], r["number"]) for r in T.audit_findings(blocks).collect())
+    return found, T.table_audit(blocks).first().asDict()
+
+
+def plain(*texts):
+    return [(t, None, False, False) for t in texts]
+
+
+def test_kinds_are_two_and_every_callout_counts(spark):
+    found, sums = audited(spark, [*plain("As Table 1 shows, Figure 3 is discussed below.", "Table 1. Growth"), ("", None, True, False), *plain("Figure 2. A view")])
+    assert found == [("missing_target", 0, "figure", "3"), ("unreferenced", 3, "figure", "2")] and (sums["tables"], sums["figures"], sums["unreferenced"], sums["missing_targets"]) == (1, 1, 1, 1)
+    found, sums = audited(spark, plain("Tables 1 and 2 show it; Figures 1–3 as well.", "Table 1. A", "Table 2: B", "Figure 1 - C", "Fig. 2. D", "Figure 3. E"))
+    assert found == [] and (sums["tables"], sums["figures"]) == (2, 3)
+    # the number of a table under the label of a figure; a caption and a callout of two kinds are no pair
+    found, _ = audited(spark, plain("See Figure 1.", "Table 1. A"))
+    assert found == [("label_mismatch", 0, "figure", "1"), ("unreferenced", 1, "table", "1")]
+
+
+def test_numbers_lists_and_captions(spark):
+    got = spark.createDataFrame([("Tables 1, 2 and A3; fig. 2, Figs. 2–4 & 7; Table 5–3; Figure 1.2; table b; Tables 4-6/9",)], "t string").select(T.mentioned(F.col("t")).alias("m")).first()["m"]
+    assert [(m["kind"][0], m["number"]) for m in got] == [*[("t", n) for n in ("1", "2", "A3")], *[("f", n) for n in ("2", "2", "3", "4", "7")], ("t", "5"), ("f", "1.2"), ("t", "B"), *[("t", n) for n in ("4", "5", "6", "9")]]
+    rows = [*plain("Table 1 shows growth.", "Table 2 Growth of rings", "Table 1. One", "Table 1: Again", "Table 3. Three"), ("Table 4", "Caption", False, False), ("Growth of things", "Caption", False, False), ("", None, True, False), *plain("x", "y", "List of figures", "Figure 9. Listed", "1 Results", "Figure 1. Seen"), ("", None, True, False)]
+    found, sums = audited(spark, rows)
+    assert found == [
+        ("duplicate_number", 2, "table", "1"), ("duplicate_number", 3, "table", "1"), ("missing_caption", 7, "table", None), ("missing_caption", 14, "table", None), ("missing_caption_number", 6, None, None), ("missing_caption_title", 5, None, None),
+        ("missing_target", 1, "table", "2"), ("missing_target", 5, "table", "4"), ("numbering_sequence", None, "table", None), ("unreferenced", 4, "table", "3"), ("unreferenced", 13, "figure", "1"),
+    ] and sums["numbering_or_caption"] == 7
+
+
+def test_sections(spark):
+    texts = ["Plain", "chapter  one", "text", "2.1 Methods", "SECTION 4", "3 " + "long " * 30, None]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "block_idx int, text string").withColumn("doc_id", F.lit(1))
+    assert [r["section"] for r in T.section_blocks(blocks).orderBy("block_idx").collect()] == ["Document body", "chapter one", "chapter one", "2.1 Methods", "2.1 Methods", "2.1 Methods", "2.1 Methods"]
+    styled = blocks.withColumn("style", F.when(F.col("block_idx").isin(2, 6), "Heading 1"))
+    assert [r["section"] for r in T.section_blocks(styled).orderBy("block_idx").collect()][2:4] == ["text", "2.1 Methods"]

@@ -6,8 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from marginalia.plans import list_queries as _lists  # noqa: F401
 from marginalia.plans import more_queries as _more  # noqa: F401
 from marginalia.plans import queries as _registered  # noqa: F401
+from marginalia.plans import verify_queries as _verify  # noqa: F401
 from marginalia.plans.registry import BASE, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
