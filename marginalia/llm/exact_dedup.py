@@ -111,8 +111,8 @@ def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _best():
-    # the greatest: most code points, then the smallest id (null last), then the first row
-    return F.max(F.named_struct(F.lit("n"), F.col("__n"), F.lit("has"), F.col("__id").isNotNull(), F.lit("id"), -F.col("__id"), F.lit("row"), -F.col("__row")))
+    # the least: most code points, then the smallest id (null last), then the first row
+    return F.min(F.named_struct(F.lit("fewer"), -F.col("__n"), F.lit("none"), F.col("__id").isNull(), F.lit("id"), F.col("__id"), F.lit("row"), F.col("__row")))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -191,8 +191,8 @@ def stacked(batches: list[DataFrame]) -> DataFrame:
     if not again:
         return facts
     # new digests stand as they are; those that later batches held again take their increments
-    more = reduce(DataFrame.unionByName, again).groupBy("__digest").agg(F.sum("__size").alias("__more"), F.max("__best").alias("__other"))
-    size, best = F.col("__size") + F.coalesce("__more", F.lit(0)), F.greatest("__best", F.coalesce("__other", "__best"))
+    more = reduce(DataFrame.unionByName, again).groupBy("__digest").agg(F.sum("__size").alias("__more"), F.min("__best").alias("__other"))
+    size, best = F.col("__size") + F.coalesce("__more", F.lit(0)), F.least("__best", F.coalesce("__other", "__best"))
     return facts.join(more, "__digest", "left").select("__digest", size.alias("__size"), best.alias("__best"))
 
 
@@ -211,7 +211,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     batch = F.pmod(F.crc32(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")), F.lit(batches))
     groups = materialise(stacked([rows.filter(batch == b) for b in range(batches)]), "groups")
     joined = split_join(rows, groups.withColumn("__held", F.col("__size")), "__digest", "__held", rows.count()).withColumn("__of", F.lit(0))
-    joined = materialise(joined.withColumn("__kept", (F.col("__best.row") == -F.col("__row"))), "classes")
+    joined = materialise(joined.withColumn("__kept", (F.col("__best.row") == F.col("__row"))), "classes")
     wrong = _unequal(docs, joined, id_col, text_col)
     if not wrong.isEmpty():  # two texts of one digest: their text itself parts them
         joined = _parted(docs, joined, wrong, id_col, text_col)
@@ -220,7 +220,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
 
 
 def _key(column):
-    return F.coalesce(column.cast("bigint"), F.lit(-(2**63)))
+    """An id to join by; null is the empty text, which no number is."""
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
 def _unequal(docs: DataFrame, joined: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -245,13 +246,13 @@ def _parted(docs: DataFrame, joined: DataFrame, wrong: DataFrame, id_col: str, t
     marked = materialise(marked, "parted")
     groups = marked.groupBy("__digest", F.coalesce("__text", F.lit("")).alias("__of")).agg(F.count(F.lit(1)).alias("__size"), _best().alias("__best"))
     out = marked.withColumn("__of", F.coalesce("__text", F.lit(""))).drop("__text").join(groups, ["__digest", "__of"])
-    return materialise(out.withColumn("__kept", (F.col("__best.row") == -F.col("__row"))), "classes")
+    return materialise(out.withColumn("__kept", (F.col("__best.row") == F.col("__row"))), "classes")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     return classes(docs, id_col, text_col, batches).select(
-        F.col("__id").alias(id_col), (-F.col("__best.id")).alias("keep_id"), F.col("__size").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256")
+        F.col("__id").alias(id_col), F.col("__best.id").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256")
     )
 
 

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import without
+from marginalia.llm.common import discard, without
 from marginalia.llm.textkernel import LETTER, classes_of, code_points, pieces, slices, spare
-from marginalia.llm.training import balanced_ids, remainder, sigmoid
+from marginalia.llm.training import balanced_ids, labelled_texts, remainder, sample_table, sigmoid
 
 #: Documents that the classifier is fitted on, at most: the bound of its sample.
 TRAIN_DOCS = 1600
@@ -51,14 +51,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = np.where(classes_of(points) == LETTER, points, 32).astype(np.uint32) if len(points) else points
     gap = np.zeros(len(letters), bool)
     gap[1:] = (letters[1:] == 32) & (letters[:-1] == 32)
+    gap[off[:-1][off[:-1] < len(gap)]] = False  # a text does not depend on the one before it in the batch
     keep = ~gap
     place = np.concatenate([[0], np.cumsum(keep)])
     x, off = letters[keep].astype(np.uint64), place[off]
-    out, h = np.zeros((ORDERS, len(x)), np.int64), np.zeros(len(x), np.uint64)
+    out, h, left = np.zeros((ORDERS, len(x)), np.int64), np.zeros(len(x), np.uint64), np.repeat(off[1:], np.diff(off)) - np.arange(len(x))
     with np.errstate(over="ignore"):
         for k in range(ORDERS):
             ahead = np.full(len(x), 32, np.uint64)
             ahead[: len(x) - k] = x[k:]
+            ahead[left <= k] = 32  # nor on the one after it
             h = (h + ahead + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
             out[k] = (h & np.uint64(BUCKETS - 1)).astype(np.int64) + k * BUCKETS
@@ -178,8 +180,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_
     if not chosen:
         return None
     langs = sorted({y for _, y in chosen})
-    ids = docs.sparkSession.createDataFrame([(i, langs.index(y)) for i, y in chosen], f"__i {docs.schema[id_col].dataType.simpleString()}, y int")
-    sample = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("text"), F.col(lang_col).alias("__lang")).join(F.broadcast(ids), "__i").select("y", "text")
+    sample = sample_table(labelled_texts(docs, [(i, langs.index(y)) for i, y in chosen], id_col, text_col, docs.schema[id_col].dataType.simpleString()), most)
 
     def rows(batches):
         import pyarrow as pa
@@ -191,7 +192,8 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_
                 own = np.unique(grams([(t or "").lower()])[2]).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([x[at].tobytes()]), pa.array([own.tobytes()])], ["y", "at", "x", "letters"])
 
-    found = sorted((r["y"], bytes(r["at"]), bytes(r["x"]), bytes(r["letters"])) for r in sample.mapInArrow(rows, "y int, at binary, x binary, letters binary").limit(2 * most).collect())
+    found = sorted((r["y"], bytes(r["at"]), bytes(r["x"]), bytes(r["letters"])) for r in sample.mapInArrow(rows, "y int, at binary, x binary, letters binary").collect())
+    discard(sample)
     letters = np.unique(np.concatenate([np.frombuffer(r[3], np.uint32) for r in found])).astype(np.uint64) if found else np.zeros(0, np.uint64)
     x = np.zeros((len(found), ORDERS * BUCKETS), np.float32)
     for i, (_, at, v, _) in enumerate(found):

@@ -5,8 +5,8 @@ and from shares of character kinds; gated attention, learned from document label
 passages, and the weighted representation of the whole document is scored.
 
 Defined results: null text counts as empty; a text without words is one empty passage and gets a score like any other.
-Training uses at most TRAIN_DOCS documents with non-null labels, as many of each label as there are up to half of them, and of
-each at most TRAIN_PASSAGES passages of PASSAGE_BYTES bytes, spread evenly; scores always cover every passage. With one
+Training uses at most TRAIN_DOCS documents with non-null labels, as many of each label as there are up to half of them, and whole:
+texts are taken in a fixed order up to TRAIN_BYTES in all, and every passage of them is learned. With one
 label only every score is that label (0 or 1), without any it is 0.5. The balanced sample is weighted half way back (by
 the square root) to the counts of all held-in labels. Null or repeated ids keep a row each; columns beside id and text are not read. An empty table gives no rows.
 """
@@ -17,13 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import discard
 from marginalia.llm.textkernel import ascii_words, buffers, mix, pieces, spare, span_hashes
-from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainder, sigmoid
+from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainder, sample_table, sigmoid
 
 #: Words of a passage.
 PASSAGE = 48
-#: Bounds of the training sample.
-TRAIN_DOCS, TRAIN_PASSAGES, PASSAGE_BYTES = 1600, 24, 8192
+#: Bounds of the training sample: documents, and bytes of their whole texts.
+TRAIN_DOCS, TRAIN_BYTES = 1600, 1 << 24
 BUCKETS, EMBED, HIDDEN, ATTEND = 4096, 12, 12, 8
 #: Bytes of text scored at once.
 CHUNK = 1 << 19
@@ -176,35 +177,35 @@ def score_batch(p: dict, column) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS, held_in=None) -> dict | float:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS, held_in=None, most_bytes: int = TRAIN_BYTES) -> dict | float:
     """Parameters, or the constant score where labels cannot tell. labels(id, label): of repeated ids the lowest label counts."""
     held = labels.filter(remainder(id_col, 5) != 0 if held_in is None else held_in).groupBy(id_col).agg(F.min(label).alias("y"))
     counts = {int(r["y"]): r["count"] for r in held.na.drop().groupBy("y").count().collect()}
     if len(counts) < 2:
         return float(next(iter(counts))) if counts else 0.5
     chosen = balanced_ids(held, "y", most, id_col)
-    found = labelled_texts(docs, chosen, id_col, text_col, docs.schema[id_col].dataType.simpleString())
+    found = sample_table(labelled_texts(docs, chosen, id_col, text_col, docs.schema[id_col].dataType.simpleString()), most, most_bytes)
 
     def rows(batches):
         import pyarrow as pa
 
         for batch in batches:
             raw, off = buffers(batch["text"])
-            for i, y in enumerate(batch["y"].to_pylist()):
+            for i, (key, y) in enumerate(zip(batch["key"].to_pylist(), batch["y"].to_pylist(), strict=True)):
                 data = raw[off[i] : off[i + 1]]
-                begin, end, *_ = passages(raw, off[i : i + 2])
-                use = np.unique(np.linspace(0, len(begin) - 1, min(len(begin), TRAIN_PASSAGES)).astype(int))
-                parts = [data[begin[j] : end[j]][:PASSAGE_BYTES].tobytes() for j in use]
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], ["y", "parts"])
-
-    sample = sorted((r["y"], [bytes(x) for x in r["parts"]]) for r in found.select("y", "text").mapInArrow(rows, "y int, parts array<binary>").limit(2 * most).collect())
-    if len({v for v, _ in sample}) < 2:
-        return float(sample[0][0]) if sample else 0.5
+                begin, end, _, distinct = passages(raw, off[i : i + 2])
+                grams, stats = trigrams(data, begin, end).astype(np.uint16), stats_of(data, begin, end, distinct)
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([y], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (grams, (end - begin).astype(np.int64), stats)]], ["key", "y", "grams", "sizes", "stats"])
+
+    sample = sorted(tuple(r) for r in found.select("key", "y", "text").mapInArrow(rows, "key bigint, y int, grams binary, sizes binary, stats binary").collect())
+    discard(found)
+    if len({v for _, v, *_ in sample}) < 2:
+        return float(sample[0][1]) if sample else 0.5
     bags = []
-    for _, parts in sample:
-        arrays = [np.frombuffer(x, np.uint8) for x in parts]
-        bags.append([(trigrams(a, np.array([0]), np.array([len(a)])), stats_of(a, np.array([0]), np.array([len(a)]), passages(a, np.array([0, len(a)]))[3][:1])[0]) for a in arrays])
-    y = np.array([v for v, _ in sample], np.float32)
+    for _, _, grams, sizes, stats in sample:
+        ends = np.cumsum(np.frombuffer(sizes, np.int64))
+        bags.append(list(zip(np.split(np.frombuffer(grams, np.uint16), ends[:-1]), np.frombuffer(stats, np.float32).reshape(-1, STATS), strict=True)))
+    y = np.array([v for _, v, *_ in sample], np.float32)
     share = {v: (y == v).mean() for v in (0, 1)}
     total = sum(counts.values())
     # half way between the sample's balance and the corpus': rare labels keep a say

@@ -12,8 +12,8 @@ odds; words are left out at random so that characters count; the weights used ar
 of a fifth of the sample, which is never learned, is least; the output's offset is where F1 on that fifth, at the
 labels' rate in the corpus, is greatest.
 
-Defined results: null text counts as empty; a text without words is one empty window. Training uses at most TRAIN_DOCS
-documents with non-null labels, evenly over the labels. Without labels every score is 0; with one label only, that
+Defined results: null text counts as empty; a text without words is one empty window. Training uses at most TRAIN_DOCS whole
+documents of at most TRAIN_BYTES with non-null labels, evenly over the labels. Without labels every score is 0; with one label only, that
 label. Null or repeated ids keep a row each; columns beside id and text are not read. An empty table gives no rows.
 """
 
@@ -23,12 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import discard
 from marginalia.llm.textkernel import HashTable, ascii_words, buffers, pieces, ragged, spare, span_hashes
-from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainder, sigmoid
+from marginalia.llm.training import Adam, balanced_ids, labelled_texts, remainder, sample_table, sigmoid
 
 WINDOW, STEP = 32, 24
-#: Bounds of the training sample (documents, windows of each, bytes of a window) and of the vocabulary.
-TRAIN_DOCS, TRAIN_WINDOWS, WINDOW_BYTES, VOCABULARY, LEAST_DOCS = 1600, 16, 4096, 8192, 3
+#: Bounds of the training sample (documents, windows of each that a phase learns from, bytes of whole texts) and of the vocabulary.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_BYTES, VOCABULARY, LEAST_DOCS = 1600, 16, 1 << 25, 8192, 3
 WORD, CHAR, HIDDEN, ATTEND, GRAM_BITS = 6, 10, 8, 8, 14
 #: Bytes of the character n-grams.
 ORDERS = (3, 6)
@@ -372,8 +373,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     if len({y for _, y in chosen}) < 2:
         return float(chosen[0][1]) if chosen else 0.0
     rate = held.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
-    found = labelled_texts(docs, chosen, id_col, text_col, docs.schema[id_col].dataType.simpleString())
-    found = found.select(F.xxhash64("__i").alias("id"), "y", "text")
+    found = sample_table(labelled_texts(docs, chosen, id_col, text_col, docs.schema[id_col].dataType.simpleString()), most, TRAIN_BYTES)
 
     def sample(model: Model | None) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
         """Windows of the sampled documents: spread evenly, or with a model the highest of all."""
@@ -390,17 +390,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
                         use = np.unique(np.linspace(0, len(first) - 1, min(len(first), TRAIN_WINDOWS)).astype(int))
                     else:
                         use = np.sort(np.argsort(-model.logits(raw, off[i : i + 2])[0], kind="stable")[:TRAIN_WINDOWS])
-                    parts = [data[starts[first[j]] : ends[first[j] + length[j] - 1]][:WINDOW_BYTES].tobytes() if length[j] else b"" for j in use]
+                    parts = [data[starts[first[j]] : ends[first[j] + length[j] - 1]].tobytes() if length[j] else b"" for j in use]
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([y], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], ["id", "y", "parts"])
 
-        found_ = found.mapInArrow(rows, "id bigint, y int, parts array<binary>").limit(2 * most).collect()
-        got = sorted((r["id"], r["y"], [bytes(x) for x in r["parts"]]) for r in found_)
+        got = sorted((r["id"], r["y"], [bytes(x) for x in r["parts"]]) for r in found.mapInArrow(rows, "id bigint, y int, parts array<binary>").collect())
         return [t for _, _, t in got], np.array([y for _, y, _ in got]), np.array([i % 5 == 0 for i, _, _ in got], bool)
 
     texts, y, aside = sample(None)
     if len(set(y)) < 2:
         return float(y[0]) if len(y) else 0.0
-    return fit(texts, y, rate, aside, sample)
+    model = fit(texts, y, rate, aside, sample)
+    discard(found)
+    return model
 
 
 def scores(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import _written, materialise
+
 
 #: Labels that a classifier may have.
 MOST_LABELS = 200
@@ -49,6 +51,26 @@ def labelled_texts(docs: DataFrame, chosen: list[tuple], id_col: str, text_col:
     return docs.select(F.col(id_col).alias("__i"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "__i").select("__i", "y", "text")
 
 
+def sample_table(texts: DataFrame, most: int, most_bytes: int | None = None) -> DataFrame:
+    """key, id (hashes), y, text of texts(__i, y, text) that are learned from: whole texts, written once.
+
+    Rows are taken in the order of a hash of id and text, so whatever the tasks and their order are, the same ones are
+    taken; a row that repeats counts once. At most 2 * most rows, and of each label whole texts of at most its share of
+    most_bytes (a longer one is left out; the shortest is taken where none fits).
+    """
+    rows = materialise(texts.withColumn("key", F.xxhash64("__i", "text")).dropDuplicates(["key"]).select("key", F.xxhash64("__i").alias("id"), "y", "text"), "sample")
+    sizes = rows.select("key", "y", F.octet_length("text").alias("n")).orderBy("key", "y").limit(2 * most).collect()
+    room = {y: (most_bytes or 0) // len({r["y"] for r in sizes}) for y in {r["y"] for r in sizes}}
+    kept, labels = [], set()
+    for r in sizes:
+        if most_bytes is None or r["n"] <= room[r["y"]]:
+            room[r["y"]] -= r["n"]
+            kept.append(r["key"])
+            labels.add(r["y"])
+    kept += [min((r["n"], r["key"]) for r in sizes if r["y"] == y)[1] for y in sorted(set(room) - labels)]
+    return _written(rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in kept], "key bigint")), "key", "left_semi"), rows._written)
+
+
 class Adam:
     """Adam over a dictionary of arrays."""
 

@@ -185,3 +185,48 @@ def test_collocation_scores_are_exact(spark):
     a, left, right = 3_000_000_000, 3_000_000_007, 9_000_000_001
     phrases = spark.createDataFrame([("x", "u v", 2, a), ("x", "u", 1, left), ("x", "v", 1, right)], "lang string, phrase string, size int, n bigint")
     assert collocations.scored(phrases).first()["score"] == 10**6 * a * a // (left * right)
+
+
+# --- training samples
+def test_every_passage_is_learned(spark):
+    """The only telling passage of each long document lies between any 24 evenly spaced ones."""
+    from marginalia.llm import quality
+
+    r = random.Random(8)
+    plain = lambda n: " ".join(r.choice(["the", "of", "rings", "and", "plates", "grow"]) for _ in range(n))
+    place = (set(range(26)) - set(np.linspace(0, 25, 24).astype(int))).pop()
+    telling = lambda y: " ".join(["ZZQX#" if y == 0 else "grow"] * quality.PASSAGE)
+    rows = [(i, f"{plain(place * quality.PASSAGE)} {telling(i % 2)} {plain((25 - place) * quality.PASSAGE)}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = quality.score_quality(docs, labels).filter("held_out").collect()
+    assert len(got) > 50 and sum((x["score"] > 0.5) == (x["doc_id"] % 2 == 1) for x in got) > 0.95 * len(got)
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    from marginalia.llm import language_id, quality, toxicity
+
+    rows = [(i, t or "none", ["en", "de"][i % 2]) for i, t in enumerate(texts(90))]
+    thrice = [(i, f"{t} {k}", lang) for i, t, lang in rows for k in range(3)]
+    labels = spark.createDataFrame([(i, i % 3 % 2, (i // 3) % 2) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    scores = []
+    for order in (thrice, thrice[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(len(scores) + 2).withColumn("n_chars", F.length("text"))
+        scores.append([sorted((x["doc_id"], round(x["score"], 4)) for x in df.collect()) for df in (quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels), language_id.identify(docs))])
+    assert scores[0] == scores[1]
+
+
+def test_samples_keep_whole_texts_within_their_bytes(spark):
+    from marginalia.llm.training import sample_table
+
+    rows = [(i, i % 2, "x" * (10 if i < 8 else 1000)) for i in range(10)] + [(10, 2, "y" * 500)]
+    got = sample_table(spark.createDataFrame(rows, "__i long, y int, text string"), 100, 120).collect()
+    assert sorted((x["y"], len(x["text"])) for x in got) == [(0, 10)] * 4 + [(1, 10)] * 4 + [(2, 500)]
+
+
+def test_exact_dedup_of_the_least_id(spark):
+    from marginalia.llm import exact_dedup
+
+    rows = [(-(2**63), "a"), (None, "a"), (5, " a"), (2**63 - 1, "b"), (-(2**63), "b")]
+    got = {(x["doc_id"], x["text_sha256"][:2]): (x["keep_id"], x["kept"]) for x in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k[0], v) for k, v in got.items()} == {(-(2**63), (5, False)), (None, (5, False)), (5, (5, True)), (2**63 - 1, (-(2**63), False)), (-(2**63), (-(2**63), True))}
