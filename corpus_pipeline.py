@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialise
+from marginalia.llm.common import discard, materialise
 from marginalia.llm.exact_dedup import deduplicated
 from marginalia.llm.language_id import UNKNOWN, annotate, train
 from marginalia.llm.mixing import mix_sources
@@ -28,14 +28,14 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 #: Rows of an Arrow batch: executors hold a few batches of whole texts beside their heap, so they are kept small.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded(stage):
-    """A stage whose Arrow batches are small, whatever the session had."""
+    """A stage whose Arrow batches are small, whatever the session had; its result is lazy, so run() puts the setting back."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -87,7 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    had = spark.conf.get(BATCH_SETTING)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    try:
+        for name, stage in STAGES:
+            kept = materialise(stage(spark, docs, sf_dir), name)
+            discard(docs)
+            docs = kept
+    finally:
+        spark.conf.set(BATCH_SETTING, had)
     return docs
