@@ -49,8 +49,12 @@ def needed_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(high).alias("high"), F.count_if(~high & ~low).alias("medium"), F.count_if(low).alias("low"))
 
 
-def certificates(scores: DataFrame, lists: DataFrame, verification: DataFrame, claims: DataFrame, needed: DataFrame) -> DataFrame:
-    """Risks and decision per document of scores(doc_id, score, recency) and lists(doc_id, missing, uncited); absent counts are 0."""
+def certificates(scores: DataFrame, lists: DataFrame, verification: DataFrame, claims: DataFrame, needed: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """Risks and decision per document of scores(doc_id, score, recency) and lists(doc_id, missing, uncited); absent counts are 0.
+
+    plan(doc_id, critical, important, optional, evidence) counts what is pending in the correction plan: risks are raised to it, a
+    pending critical item asks for a revision, and pending evidence lowers the two best decisions.
+    """
     v, c, n = verification_counts(verification), claim_counts(claims), needed_counts(needed)
     pick = lambda df, prefix: df.select("doc_id", *[F.col(x).alias(f"{prefix}_{x}") for x in df.columns if x != "doc_id"])
     j = scores.join(lists, "doc_id", "left").join(pick(v, "v"), "doc_id", "left").join(pick(c, "c"), "doc_id", "left").join(pick(n, "n"), "doc_id", "left").na.fill(0)
@@ -60,5 +64,13 @@ def certificates(scores: DataFrame, lists: DataFrame, verification: DataFrame, c
         "moderate": total("v_needs_review", "v_not_indexed_but_plausible", "v_keep_needs_review", "c_moderate", "n_medium"),
         "minor": total("v_likely", "uncited", "n_low"),
     })
+    if plan is not None:
+        j = j.join(pick(plan.select("doc_id", "critical", "important", "optional", "evidence"), "p"), "doc_id", "left").na.fill(0)
     clean: Column = (F.col("uncited") == 0) & (F.col("missing") == 0) & (F.col("v_manual_unresolved") == 0)
-    return j.select("doc_id", "critical", "moderate", "minor", clearance(F.col("score"), F.col("critical"), F.col("moderate"), F.col("recency"), clean).alias("clearance"))
+    decision = clearance(F.col("score"), F.col("critical"), F.col("moderate"), F.col("recency"), clean)
+    if plan is None:
+        return j.select("doc_id", "critical", "moderate", "minor", decision.alias("clearance"))
+    best = decision.isin("Provisional clearance", "Clearance Recommended")
+    decision = F.when(F.col("p_critical") > 0, "Revision Required").when((F.col("p_evidence") > 0) & best, "Conditional Clearance").otherwise(decision)
+    raised = [F.greatest(a, f"p_{b}").alias(a) for a, b in (("critical", "critical"), ("moderate", "important"), ("minor", "optional"))]
+    return j.select("doc_id", *raised, decision.alias("clearance"))

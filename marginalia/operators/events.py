@@ -101,7 +101,12 @@ LINK_FINE = ("200", "201", "202", "204")
 
 
 def source_risks(rows: DataFrame, current_year: int, review_list: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, risk, priority, n: every rule over verification rows, exploded and counted.
+    """doc_id, risk, priority, n: the risks of verification rows, counted."""
+    return risk_rows(rows, current_year, review_list).groupBy("doc_id", "risk", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def risk_rows(rows: DataFrame, current_year: int, review_list: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ref_idx, risk, priority: every rule over verification rows, exploded.
 
     review_list: journal names (lower case) that the institution wants looked at. A row gets one risk of its publication
     status at most; all other rules stand by themselves. A DOI counts as repeated from its second reference on.
@@ -130,4 +135,4 @@ def source_risks(rows: DataFrame, current_year: int, review_list: tuple[str, ...
             rule((text("link_status") != "") & ~text("link_status").isin(*LINK_FINE), "reference_link_unavailable", "optional"),
         )
     )
-    return rows.withColumn("__rules", rules).select("doc_id", F.inline("__rules")).groupBy("doc_id", "risk", "priority").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("__rules", rules).select("doc_id", "ref_idx", F.inline("__rules"))

@@ -37,21 +37,6 @@ def suggestion_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(c >= 0.85).alias("high"), F.count_if((c >= 0.70) & (c < 0.85)).alias("medium"), F.count_if(c < 0.70).alias("low"))
 
 
-def correction_items(rows: DataFrame, missing: DataFrame, uncited: DataFrame) -> DataFrame:
-    """doc_id, category, priority, n: findings of all kinds as plan items, counted."""
-    item = lambda df, category, priority: df.select("doc_id", F.lit(category).alias("category"), F.lit(priority).alias("priority"))
-    parts = [
-        item(missing, "missing_reference", "critical"),
-        item(uncited, "uncited_reference", "important"),
-        item(rows.filter(F.col("status").isin("needs_review", "not_found", "offline")), "source_verification", "important"),
-        item(rows.filter("publication_status = 'retracted'"), "retracted_source", "critical"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id", "category", "priority").agg(F.count(F.lit(1)).alias("n"))
-
-
 #: Priorities of claims by their canonical support, reasons that mark a guess, and kinds of fixes that have items of their own.
 CLAIM_PRIORITY = {"mapping_incomplete": "critical", "weak_or_unclear": "important", "insufficient_evidence": "critical"}
 GUESSES = ("may be a typo", "possible author-name variation", "unique reference year", "review before changing", "citation was not matched", "similar author")
@@ -107,18 +92,86 @@ def finding_items(findings: DataFrame) -> DataFrame:
     return named.select("doc_id", F.lit("table_figure").alias("category"), F.coalesce(F.nullif("priority", F.lit("")), F.lit("important")).alias("priority"))
 
 
-def counted(*parts: DataFrame) -> DataFrame:
-    """Items of several kinds, counted by document, category and priority."""
-    return functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "category", "priority").agg(F.count(F.lit(1)).alias("n"))
+#: Items of a kind that are listed, signals of the writing review that are listed and those that other checks cover.
+MOST_ITEMS, MOST_SIGNALS, OTHER_CHECKS = 200, 12, ("claim_without_nearby_citation", "possible_claim_needing_source_review")
+#: Risks that only add to an item of the same reference, kinds of such items, and decisions that settle an item.
+MERGED_RISKS, MERGED_INTO, DECIDED = ("metadata_not_found", "publication_status_unchecked"), ("source_verification", "reference_incomplete"), ("accepted", "rejected", "ignored", "resolved")
+#: Kinds of items that are evidence to be resolved.
+EVIDENCE_KINDS = (
+    "missing_reference", "citation_needed", "source_verification", "claim_support", "reference_incomplete", "reference_identity_conflict", "uncited_reference",
+    "source_risk", "table_figure", "reference_metadata", "reference_style", "citation_formatting", "citation_coach",
+)
+
+
+def numbered_items(rows: DataFrame, category: str, priority: Column | str, order: list, prefix: str = "", most: int | None = MOST_ITEMS) -> DataFrame:
+    """doc_id, item_id, category, priority, ref_idx of the first rows of each document, numbered from 1 in their order."""
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy(*order))
+    ref = F.col("ref_idx").cast("bigint") if "ref_idx" in rows.columns else F.lit(None).cast("bigint")
+    made = rows.withColumn("__n", n)
+    made = made if most is None else made.filter(F.col("__n") <= most)
+    return made.select("doc_id", F.concat_ws("-", F.lit(prefix or category), F.col("__n").cast("string")).alias("item_id"), F.lit(category).alias("category"), (F.lit(priority) if isinstance(priority, str) else priority).alias("priority"), ref.alias("ref_idx"))
+
+
+def claim_list(claims: DataFrame) -> DataFrame:
+    """Items of claims(doc_id, idx, support), a list of its own for each kind of support that asks for work."""
+    prefix = {"mapping_incomplete": "claim-mapping-incomplete", "weak_or_unclear": "claim-weak-support", "insufficient_evidence": "claim-insufficient-evidence"}
+    return functools.reduce(DataFrame.unionByName, [numbered_items(claims.filter(F.col("support") == k), "claim_support", CLAIM_PRIORITY[k], ["idx"], name) for k, name in prefix.items()])
+
+
+def verification_list(rows: DataFrame) -> DataFrame:
+    """Items of rows(doc_id, ref_idx, canonical) that are not verified: critical where the identity is in conflict, all of them."""
+    open_ = rows.filter(~F.col("canonical").isin("verified", "valid_but_not_digitally_indexed"))
+    return numbered_items(open_, "source_verification", F.when(F.col("canonical") == "serious_identity_conflict", "critical").otherwise("important"), ["ref_idx"], most=None)
+
+
+def audit_list(audits: DataFrame) -> DataFrame:
+    """Items of audit_items with their references, named after them."""
+    made = audits.select("ref_idx", F.col("doc_id").alias("__d"), F.struct("doc_id", "ref_idx").alias("doc_id"), "accepted", "title_similarity", "missing", "needs_formatting")
+    items = audit_items(made)
+    prefix = F.when(F.col("category") == "reference_identity_conflict", "reference-identity-conflict").when(F.col("category") == "reference_incomplete", "reference-incomplete").otherwise("reference-style")
+    return items.select(F.col("doc_id.doc_id").alias("doc_id"), F.concat_ws("-", prefix, F.col("doc_id.ref_idx").cast("string")).alias("item_id"), "category", "priority", F.col("doc_id.ref_idx").cast("bigint").alias("ref_idx"))
 
 
-def readiness(items: DataFrame) -> DataFrame:
-    """Critical, important and optional items of a document; ready without critical and with two important ones at most."""
-    n = lambda p: F.coalesce(F.sum(F.when(F.col("priority") == p, F.col("n"))), F.lit(0)).cast("bigint")
-    out = items.groupBy("doc_id").agg(n("critical").alias("critical"), n("important").alias("important"), n("optional").alias("optional"))
+def risk_list(risks: DataFrame, others: DataFrame) -> DataFrame:
+    """Items of risks(doc_id, ref_idx, risk, priority), but for those that only add to an item of the same reference among others."""
+    here = others.filter(F.col("category").isin(*MERGED_INTO) & F.col("ref_idx").isNotNull()).select("doc_id", "ref_idx", F.lit(True).alias("there")).distinct()
+    left = risks.withColumn("ref_idx", F.col("ref_idx").cast("bigint")).join(here, ["doc_id", "ref_idx"], "left").filter(~(F.col("risk").isin(*MERGED_RISKS) & F.coalesce("there", F.lit(False))))
+    key = F.substring(F.sha2(F.concat_ws("|", "risk", F.col("ref_idx").cast("string")), 256), 1, 16)
+    return left.select("doc_id", F.concat(F.lit("source-risk-"), key).alias("item_id"), F.lit("source_risk").alias("category"), "priority", "ref_idx")
+
+
+def voice_list(signals: DataFrame) -> DataFrame:
+    """Items of the first signals(doc_id, idx, signal) of the writing review that no other check covers, named by their place among all."""
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("idx"))
+    rows = signals.withColumn("__place", place).filter(~F.col("signal").isin(*OTHER_CHECKS))
+    kept = rows.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("idx"))).filter(F.col("__n") <= MOST_SIGNALS)
+    return kept.select("doc_id", F.concat(F.lit("voice-"), F.col("__place").cast("string")).alias("item_id"), F.lit("academic_voice").alias("category"), F.lit("optional").alias("priority"), F.lit(None).cast("bigint").alias("ref_idx"))
+
+
+def decided(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """items with the decision recorded for each, pending where there is none."""
+    return items.join(decisions.select("doc_id", "item_id", "decision"), ["doc_id", "item_id"], "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
+
+
+def listed(items: DataFrame) -> DataFrame:
+    """items with their place in the plan: critical, important, optional, then by kind."""
+    rank = F.coalesce(*[F.when(F.col("priority") == p, i) for i, p in enumerate(("critical", "important", "optional"))], F.lit(9))
+    return items.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(rank, "category", "item_id")).cast("bigint"))
+
+
+def pending(items: DataFrame) -> DataFrame:
+    """doc_id, critical, important, optional, total, decided, evidence, ready: what of the items is still to do."""
+    todo = ~F.col("decision").isin(*DECIDED)
+    of = lambda p: F.count_if(todo & (F.col("priority") == p)).alias(p)
+    out = items.groupBy("doc_id").agg(of("critical"), of("important"), of("optional"), F.count_if(todo).alias("total"), F.count_if(~todo).alias("decided"), F.count_if(todo & F.col("category").isin(*EVIDENCE_KINDS)).alias("evidence"))
     return out.withColumn("ready", (F.col("critical") == 0) & (F.col("important") <= 2))
 
 
+def counted(*parts: DataFrame) -> DataFrame:
+    """Items of several kinds, counted by document, category and priority."""
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "category", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
 def compare_revisions(before: DataFrame, after: DataFrame) -> DataFrame:
     """Items resolved and new between two versions, never negative."""
     j = before.select("doc_id", "category", F.col("n").alias("b")).join(after.select("doc_id", "category", F.col("n").alias("a")), ["doc_id", "category"], "full").na.fill(0, ["a", "b"])

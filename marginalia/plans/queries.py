@@ -18,6 +18,7 @@ from marginalia.operators import ledger as L
 from marginalia.operators import plan as P
 from marginalia.operators import reconcile as R
 from marginalia.operators import resolve as S
+from marginalia.operators import review as V
 from marginalia.operators import voice as VO
 from marginalia.plans.registry import Tables, query
 
@@ -128,8 +129,12 @@ def author_year_possible(t):
 
 @query()
 def author_year_extract(t):
-    """Citations in whole documents."""
-    return AY.extract(t.documents)
+    """Citations in running texts: the narrative and the bracketed ones of each part of a document."""
+    name = F.concat(F.upper(F.substring("author", 1, 1)), F.substring("author", 2, 40))
+    form = F.when(F.col("pos") % 3 == 0, F.concat(name, F.lit(" ("), F.col("year"), F.lit(") finds growth"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("Growth is slow ("), name, F.lit(" & Boadu, "), F.col("year"), F.lit(")"))).otherwise(F.concat(F.lit("It holds ("), name, F.lit(" et al., "), F.col("year"), F.lit("; Kock, 2015)")))
+    parts = t.ay_cites.groupBy("doc_id", F.floor(F.col("pos") / 200).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", form.alias("s")))), lambda x: x["s"]), ". ").alias("text"))
+    found = AY.extract(parts.select(F.concat_ws(":", "doc_id", "part").alias("doc_id"), "text"))
+    return found.select(F.col("doc_id").alias("part_id"), "cite_idx", "citation")
 
 
 @query("""SELECT doc_id, alias, coalesce(max(ref_idx) FILTER (prefer), min(ref_idx)) AS ref_idx FROM (SELECT doc_id, ref_idx, author || '|' || year AS alias, false AS prefer FROM {fields} UNION ALL SELECT doc_id, ref_idx, 'boadu|' || year, false FROM {fields} WHERE ref_idx % 3 = 0
@@ -370,13 +375,46 @@ def suggestion_stats(t):
     return P.suggestion_stats(t.lineitem.select((F.col("l_partkey") % 100 / 100.0).alias("confidence")))
 
 
-_ITEMS = """SELECT doc_id, category, priority, count(*) AS n FROM (SELECT DISTINCT doc_id, num, 'missing_reference' AS category, 'critical' AS priority FROM {cites} c WHERE NOT EXISTS (SELECT 1 FROM {refs} r WHERE r.doc_id = c.doc_id AND r.num = c.num)
-  UNION ALL SELECT doc_id, num, 'uncited_reference', 'important' FROM {refs} r WHERE NOT EXISTS (SELECT 1 FROM {cites} c WHERE r.doc_id = c.doc_id AND r.num = c.num)
-  UNION ALL SELECT doc_id, '', 'source_verification', 'important' FROM {verification} WHERE status IN ('needs_review', 'not_found', 'offline') UNION ALL SELECT doc_id, '', 'retracted_source', 'critical' FROM {verification} WHERE publication_status = 'retracted') GROUP BY 1, 2, 3"""
+_PLAN = f"""v AS (SELECT *, coalesce(lower(doi), replace(lower(ref_doi), 'https://doi.org/', '')) AS k, replace(lower(coalesce(ref_doi, '')), 'https://doi.org/', '') AS own FROM {{verification}}), w AS (SELECT *, min(ref_idx) OVER (PARTITION BY doc_id, k) AS first_idx FROM v),
+  risks AS (SELECT doc_id, ref_idx, 'metadata_not_found' AS risk, 'important' AS priority FROM w WHERE status = 'not_found'
+  UNION ALL SELECT doc_id, ref_idx, CASE WHEN publication_status = 'unchecked' THEN 'publication_status_unchecked' ELSE 'other' END, CASE WHEN publication_status IN ('retracted', 'withdrawn', 'expression_of_concern') THEN 'critical' WHEN publication_status IN ('corrected', 'unchecked') THEN 'important' ELSE 'optional' END FROM w WHERE publication_status <> 'clear' OR event_count > 0
+  UNION ALL SELECT doc_id, ref_idx, 'other', 'important' FROM w WHERE update_type = 'Erratum' AND publication_status NOT IN ('corrected', 'reinstated', 'publication_notice')
+  UNION ALL SELECT doc_id, ref_idx, 'other', 'optional' FROM w WHERE {YEAR} - year > 10 UNION ALL SELECT doc_id, ref_idx, 'other', 'important' FROM w WHERE source_type = 'Blog' UNION ALL SELECT doc_id, ref_idx, 'other', 'critical' FROM w WHERE own <> '' AND own <> doi
+  UNION ALL SELECT doc_id, ref_idx, 'other', 'important' FROM w WHERE ref_idx > first_idx UNION ALL SELECT doc_id, ref_idx, 'other', 'optional' FROM w WHERE link_status = '404'),
+  open_ AS (SELECT doc_id, ref_idx FROM {{verification}} WHERE status <> 'verified' UNION SELECT doc_id, ref_idx FROM {{verification}} WHERE ref_doi IS NULL),
+  lost AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos, num) AS n FROM (SELECT doc_id, num, min(pos) AS first_pos FROM {{cites}} c WHERE NOT EXISTS (SELECT 1 FROM {{refs}} r WHERE r.doc_id = c.doc_id AND r.num = c.num) GROUP BY 1, 2)),
+  idle AS (SELECT doc_id, ref_idx, row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) AS n FROM {{refs}} r WHERE NOT EXISTS (SELECT 1 FROM {{cites}} c WHERE r.doc_id = c.doc_id AND r.num = c.num)),
+  items AS (SELECT doc_id, 'missing_reference-' || n AS item_id, 'missing_reference' AS category, 'critical' AS priority FROM lost WHERE n <= 200 UNION ALL SELECT doc_id, 'uncited_reference-' || n, 'uncited_reference', 'important' FROM idle WHERE n <= 200
+  UNION ALL SELECT doc_id, '', 'source_verification', 'important' FROM {{verification}} WHERE status <> 'verified'
+  UNION ALL SELECT doc_id, '', 'claim_support', CASE support_status WHEN 'weak_or_unclear' THEN 'important' ELSE 'critical' END FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, support_status ORDER BY ref_idx) AS n FROM {{verification}} WHERE support_status IN ('weak_or_unclear', 'insufficient_evidence')) WHERE n <= 200
+  UNION ALL SELECT doc_id, '', 'citation_needed', 'critical' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) AS n FROM {{verification}} WHERE priority = 'High') WHERE n <= 200
+  UNION ALL SELECT doc_id, '', 'reference_identity_conflict', CASE WHEN score < 70 THEN 'critical' ELSE 'important' END FROM {{verification}} WHERE score BETWEEN 1 AND 79 UNION ALL SELECT doc_id, '', 'reference_incomplete', 'important' FROM {{verification}} WHERE ref_doi IS NULL
+  UNION ALL SELECT doc_id, '', 'reference_style', 'important' FROM {{verification}} WHERE ref_doi IS NOT NULL AND status = 'likely'
+  UNION ALL SELECT doc_id, '', 'source_risk', priority FROM risks r WHERE risk = 'other' OR NOT EXISTS (SELECT 1 FROM open_ o WHERE o.doc_id = r.doc_id AND o.ref_idx = r.ref_idx)
+  UNION ALL SELECT doc_id, '', 'academic_voice', 'optional' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM {{signals}} WHERE signal IN ('long_sentence', 'repeated_opening')) WHERE n <= 12)"""
+_ITEMS = f"WITH {_PLAN} SELECT doc_id, category, priority, count(*) AS n FROM items GROUP BY 1, 2, 3"
+_READY = f"""WITH {_PLAN}, t AS (SELECT i.*, coalesce(d.decision, 'pending') NOT IN ('accepted', 'rejected', 'ignored', 'resolved') AS todo FROM items i LEFT JOIN {{decisions}} d ON d.doc_id = i.doc_id AND d.item_id = i.item_id)
+  SELECT doc_id, count(*) FILTER (todo AND priority = 'critical') AS critical, count(*) FILTER (todo AND priority = 'important') AS important, count(*) FILTER (todo AND priority = 'optional') AS optional, count(*) FILTER (todo) AS total, count(*) FILTER (NOT todo) AS decided,
+  count(*) FILTER (todo AND category <> 'academic_voice') AS evidence, count(*) FILTER (todo AND priority = 'critical') = 0 AND count(*) FILTER (todo AND priority = 'important') <= 2 AS ready FROM t GROUP BY 1"""
+
+
+def _listed(t):
+    """The correction plan's items: missing and uncited references, sources, claims, sentences without a source, audits, risks, writing."""
+    v = t.verification
+    audits = v.select("doc_id", "ref_idx", (F.col("score") >= 80).alias("accepted"), (F.col("score") / 100.0).alias("title_similarity"), F.array_compact(F.array(F.when(F.col("ref_doi").isNull(), "doi"))).alias("missing"), (F.col("status") == "likely").alias("needs_formatting"))
+    items = [
+        P.numbered_items(R.missing_citations(t.cites, t.refs), "missing_reference", "critical", ["first_pos", "num"]), P.numbered_items(R.uncited_references(t.cites, t.refs), "uncited_reference", "important", ["ref_idx"]),
+        P.verification_list(v.select("doc_id", "ref_idx", V.canonical_status(F.col("status")).alias("canonical"))), P.claim_list(v.select("doc_id", F.col("ref_idx").alias("idx"), V.canonical_support(F.col("support_status")).alias("support"))),
+        P.numbered_items(v.filter("priority = 'High'"), "citation_needed", "critical", ["ref_idx"]), P.audit_list(audits), P.voice_list(t.signals),
+    ]
+    base = items[0]
+    for i in items[1:]:
+        base = base.unionByName(i)
+    return P.decided(base.unionByName(P.risk_list(E.risk_rows(v, YEAR), base)), t.decisions)
 
 
 def _items(t):
-    return P.correction_items(t.verification, R.missing_citations(t.cites, t.refs), R.uncited_references(t.cites, t.refs))
+    return P.counted(_listed(t).select("doc_id", "category", "priority"))
 
 
 @query(_ITEMS)
@@ -384,19 +422,18 @@ def correction_plan(t):
     return _items(t)
 
 
-_READY = f"""SELECT doc_id, coalesce(sum(n) FILTER (priority = 'critical'), 0)::BIGINT AS critical, coalesce(sum(n) FILTER (priority = 'important'), 0)::BIGINT AS important, coalesce(sum(n) FILTER (priority = 'optional'), 0)::BIGINT AS optional,
-  coalesce(sum(n) FILTER (priority = 'critical'), 0) = 0 AND coalesce(sum(n) FILTER (priority = 'important'), 0) <= 2 AS ready FROM ({_ITEMS}) GROUP BY 1"""
-
-
 @query(_READY)
 def plan_readiness(t):
-    return P.readiness(_items(t))
+    return P.pending(_listed(t))
 
 
-@query(f"""SELECT doc_id, category, greatest(0, n - n // 2) AS resolved, greatest(0, n // 2 - n) AS added FROM ({_ITEMS})""")
+@query(f"SELECT doc_id, category, priority, greatest(0, n - n // 2) AS resolved, greatest(0, n // 2 - n) AS added FROM ({_ITEMS})")
 def revision_comparison(t):
-    before = _items(t)
-    return P.compare_revisions(before, before.withColumn("n", F.floor(F.col("n") / 2).cast("bigint")))
+    before = _items(t).withColumn("kind", F.concat_ws("|", "category", "priority"))
+    counts = before.select("doc_id", F.col("kind").alias("category"), "n")
+    out = P.compare_revisions(counts, counts.withColumn("n", F.floor(F.col("n") / 2).cast("bigint")))
+    parts = F.split("category", r"\|")
+    return out.select("doc_id", parts[0].alias("category"), parts[1].alias("priority"), "resolved", "added")
 
 
 _VERIFIED = """SELECT *, FROM (SELECT doc_id, count(*) AS rows, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'likely') AS likely, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'not_found') AS not_found, count(*) FILTER (status = 'offline') AS offline,
@@ -428,10 +465,23 @@ def citation_needed_counts(t):
     return CE.needed_counts(t.verification)
 
 
-@query(f"""SELECT doc_id, critical, moderate, minor, CASE WHEN uncited = 0 AND missing = 0 AND manual_unresolved = 0 AND recency >= 60 THEN 'Provisional clearance' WHEN raw_index >= 85 AND critical = 0 AND moderate <= 5 THEN 'Clearance Recommended' WHEN raw_index >= 70 AND critical <= 5 THEN 'Conditional Clearance'
+_CLEARED = f"""SELECT doc_id, critical, moderate, minor, CASE WHEN uncited = 0 AND missing = 0 AND manual_unresolved = 0 AND recency >= 60 THEN 'Provisional clearance' WHEN raw_index >= 85 AND critical = 0 AND moderate <= 5 THEN 'Clearance Recommended' WHEN raw_index >= 70 AND critical <= 5 THEN 'Conditional Clearance'
   WHEN raw_index >= 55 OR moderate > 0 THEN 'Limited Clearance' ELSE 'Revision Required' END AS clearance FROM (SELECT i.doc_id, raw_index, recency, uncited, missing, manual_unresolved, not_found + offline + manual_not_verified + missing + c.critical + high AS critical,
-  needs_review + not_indexed_but_plausible + keep_needs_review + c.moderate + medium AS moderate, likely + uncited + low AS minor FROM ({_INTEGRITY}) i JOIN ({_TEMP}) r ON r.doc_id = i.doc_id JOIN ({_LISTS}) l ON l.doc_id = i.doc_id JOIN ({_VERIFIED}) v ON v.doc_id = i.doc_id JOIN ({_CLAIMED}) c ON c.doc_id = i.doc_id JOIN ({_NEEDS}) n ON n.doc_id = i.doc_id)""")
+  needs_review + not_indexed_but_plausible + keep_needs_review + c.moderate + medium AS moderate, likely + uncited + low AS minor FROM ({_INTEGRITY}) i JOIN ({_TEMP}) r ON r.doc_id = i.doc_id JOIN ({_LISTS}) l ON l.doc_id = i.doc_id JOIN ({_VERIFIED}) v ON v.doc_id = i.doc_id JOIN ({_CLAIMED}) c ON c.doc_id = i.doc_id JOIN ({_NEEDS}) n ON n.doc_id = i.doc_id)"""
+
+
+@query(f"""SELECT c.doc_id, greatest(c.critical, coalesce(p.critical, 0)) AS critical, greatest(moderate, coalesce(important, 0)) AS moderate, greatest(minor, coalesce(optional, 0)) AS minor,
+  CASE WHEN p.critical > 0 THEN 'Revision Required' WHEN evidence > 0 AND clearance IN ('Provisional clearance', 'Clearance Recommended') THEN 'Conditional Clearance' ELSE clearance END AS clearance FROM ({_CLEARED}) c LEFT JOIN ({_READY}) p ON p.doc_id = c.doc_id""")
 def certificate_clearance(t):
+    """Decisions with the correction plan's pending items."""
+    scores = I.integrity_index(t.verification, YEAR).select("doc_id", F.col("raw_index").alias("score")).join(I.temporal(t.verification, YEAR).select("doc_id", "recency"), "doc_id")
+    lists = R.match_summary(t.cites, t.refs).select("doc_id", "missing", "uncited")
+    return CE.certificates(scores, lists, _keyed_rows(t), t.verification, t.verification, P.pending(_listed(t)))
+
+
+@query(_CLEARED)
+def certificate_risks(t):
+    """Risks and decisions by the counts alone."""
     scores = I.integrity_index(t.verification, YEAR).select("doc_id", F.col("raw_index").alias("score")).join(I.temporal(t.verification, YEAR).select("doc_id", "recency"), "doc_id")
     lists = R.match_summary(t.cites, t.refs).select("doc_id", "missing", "uncited")
     return CE.certificates(scores, lists, _keyed_rows(t), t.verification, t.verification)
@@ -501,9 +551,22 @@ def keyword_overlap(t):
     return t.claims.select("doc_id", "ref_idx", C.keyword_overlap(F.col("claim"), F.col("source_title")).alias("score"))
 
 
-@query()
+_RE = lambda patterns: "|".join(p.replace("'", "''") for p in patterns).replace("{", "{{").replace("}", "}}")
+_HAS = [p if "(?<=" not in p else r"[A-Za-z\)\]]\s*[⁰¹²³⁴⁵⁶⁷⁸⁹]+" for p in C.CITES]
+_LOW_VALUE = (
+    r"length(s) < 55 OR length(s) > 520 OR len(regexp_extract_all(s, '[A-Za-zÀ-ÖØ-öø-ÿ'']+')) < 9 OR ends_with(s, '?') OR regexp_matches(low, '^(" + _RE(C.SKIP_STARTS).replace(".", r"\.") + r")') OR regexp_matches(low, '^(hypothesis|objective|research question)\s*\d*[:.]') OR regexp_matches(low, '"
+    + _RE([C.LIST_RESIDUE]) + "') OR regexp_matches(low, '" + _RE([C.OWN_RESULTS]) + r"') OR regexp_matches(s, '\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[-+]?\d') OR regexp_matches(s, '[=+*/^]\s*[-+]?\d+(?:\.\d+)?') OR (contains(s, '=') AND len(regexp_extract_all(s, '\d')) >= 2)"
+    + r" OR len(regexp_extract_all(s, '\b\d+(?:\.\d+)?\b')) / greatest(len(string_split(s, ' ')), 1)::DOUBLE >= 0.22"
+)
+_NEEDED_SCORE = "0.15 + " + " + ".join(f"CASE WHEN regexp_matches(low, '{_RE(patterns)}') THEN {weight} ELSE 0 END" for weight, patterns in C.NEEDED)
+
+
+@query((r"""WITH l AS (SELECT text_id, string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?]) ([A-Z0-9(])', '\1␞\2', 'g'), '␞') AS l FROM {claim_texts}), s AS (SELECT text_id, unnest(range(len(l))) AS sent_idx, trim(unnest(l)) AS s FROM l), t AS (SELECT *, lower(s) AS low FROM s),
+  z AS (SELECT text_id, sent_idx, low, CASE WHEN regexp_matches(s, '@HAS@') OR @LOW@ THEN 0 ELSE round(least(0.95, (@SCORE@)::DOUBLE), 2) END::DOUBLE AS score FROM t)
+  SELECT text_id, min(sent_idx) AS sent_idx, max(score) AS score FROM z WHERE score >= 0.55 GROUP BY text_id, low""").replace("@HAS@", _RE(_HAS)).replace("@LOW@", _LOW_VALUE).replace("@SCORE@", _NEEDED_SCORE))
 def citation_needed(t):
-    return C.citation_needed(t.documents, "doc_id", "text")
+    """Sentences that need a source, over texts with claims, citations, own results, questions and repeats."""
+    return C.citation_needed(t.claim_texts, "text_id", "text")
 
 
 _SENT = r"""SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?]) ([A-Z0-9(])', '\1␞\2', 'g'), '␞')) AS s FROM {documents}"""

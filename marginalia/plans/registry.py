@@ -54,6 +54,12 @@ DERIVED = {
     "cite_texts": """SELECT l_orderkey AS doc_id, concat('As shown [', CAST(min(l_linenumber) AS STRING), ',', CAST(max(l_linenumber) AS STRING), '-', CAST(max(l_linenumber) + min(l_partkey) % 4 AS STRING), '] and (', CAST(max(l_suppkey) % 90 AS STRING),
         ', ', CAST(min(l_suppkey) % 90 AS STRING), ') by Smith', CAST(min(l_partkey) % 5 AS STRING), ' (', CAST(1990 + min(l_partkey) % 30 AS STRING), '). See Table ', CAST(min(l_linenumber) AS STRING), ' and doi:10.1000/x', CAST(min(l_partkey) AS STRING), '.') AS text
         FROM {lineitem} GROUP BY l_orderkey""",
+    "signals": "SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS idx, min(CASE l_partkey % 5 WHEN 0 THEN 'claim_without_nearby_citation' WHEN 1 THEN 'long_sentence' WHEN 2 THEN 'possible_claim_needing_source_review' ELSE 'repeated_opening' END) AS signal FROM {lineitem} WHERE l_linenumber = 3 GROUP BY l_suppkey, l_orderkey * 10 + l_linenumber",
+    "decisions": """SELECT doc_id, concat('uncited_reference-', CAST(rn AS STRING)) AS item_id, CASE WHEN rn % 2 = 0 THEN 'accepted' ELSE 'deferred' END AS decision FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) AS rn FROM {refs}) WHERE rn % 3 = 0""",
+    "claim_texts": """SELECT doc_id * 100000 + ref_idx AS text_id, concat('Growth matters to all. ', CASE ref_idx % 9 WHEN 0 THEN concat('Previous studies show that ', title, ' adoption significantly affects the performance of many firms and banks in the region.') WHEN 1 THEN concat('Trust in ', title, ' is defined as the willingness of most households to rely on the government for it.')
+        WHEN 2 THEN concat('Previous studies [', CAST(ref_idx AS STRING), '] show that ', title, ' adoption significantly affects the performance of many firms.') WHEN 3 THEN concat('The results show that ', title, ' adoption leads to a large and lasting effect of trust on many firms.') WHEN 4 THEN concat('About 45 percent of students in ', title, ' say that inflation is a major problem, as scholars argue, for most of them.')
+        WHEN 5 THEN concat('Table 3 shows that the relationship between ', title, ' and trust is commonly known to be a central factor in growth.') WHEN 6 THEN concat('The literature on ', title, ' results in several critical drivers of growth, and research suggests that it contributes to trust (Ama, 2001).')
+        WHEN 7 THEN concat('Is the impact of ', title, ' on many firms and banks a major barrier that previous studies show to be widely known?') ELSE concat('It is well established that the influence of ', title, ' on economy and procurement often drives the growth of small firms.') END, ' ', CASE WHEN ref_idx % 4 = 0 THEN 'It is well established that the influence of rings on economy and procurement often drives the growth of small firms. It is well established that the influence of rings on economy and procurement often drives the growth of small firms.' ELSE 'No.' END) AS text FROM {fields}""",
     "blocks": """SELECT doc_id, block_idx, CASE p % 14 WHEN 0 THEN concat('Chapter ', n, '  on rings') WHEN 1 THEN concat(n, '.2 Methods') WHEN 2 THEN concat('Table ', n, '. Growth of rings') WHEN 3 THEN concat('Figure ', n, ': Growth of plates') WHEN 4 THEN concat('As Table ', n, ' and Table ', o, ' show, figure ', n, ' holds.')
         WHEN 5 THEN concat('See Tables ', n, ', 2 and ', o, '; also Fig. ', o, '.') WHEN 6 THEN concat('Figs. ', n, '–', o, ' are below, as is Table A', n, '.') WHEN 7 THEN concat('Table ', n, ' shows it.') WHEN 8 THEN CASE WHEN p % 3 = 0 THEN 'List of Tables' ELSE concat('Fig. ', n, ' A view') END
         WHEN 9 THEN concat('Table ', n, '.', o, ' Growth') WHEN 10 THEN concat('table ', n) WHEN 11 THEN concat('TABLE  A', n, ' - Sums') WHEN 12 THEN '' ELSE 'Plain body text.' END AS text, CASE WHEN p % 5 = 0 THEN 'Caption' WHEN p % 5 = 1 THEN 'Normal' END AS style, p % 14 = 12 AS is_table, p % 17 = 3 AS is_graphic

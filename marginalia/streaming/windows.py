@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -143,6 +143,31 @@ def status_stream(events: DataFrame, late: str = "2 days", keep: str = "3650 day
     return events.withWatermark("ts", late).groupBy("doi").applyInPandasWithState(step, "doi string, publication_status string, events bigint", "dates array<string>, types array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def run_chunks(stream: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> None:
+    """Work through what a stream has, a chunk at a time, so that it can be killed and started again.
+
+    A chunk's results replace the folder of its number, so a chunk that was written but not committed when the run died
+    is written again, with the same rows (the checkpoint has its files), and counts once.
+    """
+
+    def keep(chunk: DataFrame, number: int) -> None:
+        work(chunk).write.mode("overwrite").parquet(f"{folder}/chunk={number}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def chunk_results(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Rows of all chunks so far, each with the number of its chunk; the schema is that of the work."""
+    return spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/chunk=*").withColumn("chunk", F.regexp_extract(F.input_file_name(), r"chunk=([0-9]+)", 1).cast("bigint"))
+
+
+def chunk_progress(results: DataFrame, done: str, total: int) -> DataFrame:
+    """chunks, done (the sum of a column), percentage (whole, 100 only when all is done) and state of a run of so many rows."""
+    sums = results.agg(F.countDistinct("chunk").alias("chunks"), F.coalesce(F.sum(done), F.lit(0)).cast("bigint").alias("done"))
+    share = F.floor(F.least(F.col("done"), F.lit(total)) * 100 / F.greatest(F.lit(total), F.lit(1)))
+    return sums.select("chunks", "done", share.cast("bigint").alias("percentage"), F.when(F.col("done") >= total, "completed").otherwise("running").alias("state"))
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into a memory table and return it; for tests and backfills."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

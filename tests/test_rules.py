@@ -185,3 +185,41 @@ def test_kinds_of_plan_items(spark):
         (2, "reference_identity_conflict", "important"): 1, (2, "reference_style", "important"): 1, (2, "reference_incomplete", "important"): 1,
         (3, "citation_formatting", "important"): 1, (3, "reference_metadata", "optional"): 1, (4, "table_figure", "optional"): 1, (4, "table_figure", "important"): 1,
     }
+
+
+def test_correction_list(spark):
+    """Items with ids, decisions, places and what is pending, worked out by hand."""
+    rows = spark.createDataFrame([(1, 4, "verified"), (1, 5, "not_found"), (1, 6, "serious_identity_conflict"), (1, 7, "valid_but_not_digitally_indexed"), (2, 1, "lookup_failed")], "doc_id int, ref_idx int, canonical string")
+    sources = P.verification_list(rows)
+    audits = P.audit_list(spark.createDataFrame([(1, 5, False, 0.5, [], True), (1, 8, True, 1.0, ["year"], True)], "doc_id int, ref_idx int, accepted boolean, title_similarity double, missing array<string>, needs_formatting boolean"))
+    claims = P.claim_list(spark.createDataFrame([(1, 3, "weak_or_unclear"), (1, 1, "weak_or_unclear"), (1, 2, "direct_support"), (1, 9, "mapping_incomplete")], "doc_id int, idx int, support string"))
+    risks = spark.createDataFrame([(1, 5, "metadata_not_found", "important"), (1, 8, "publication_status_unchecked", "important"), (1, 4, "metadata_not_found", "important"), (1, 5, "doi_mismatch", "critical")], "doc_id int, ref_idx int, risk string, priority string")
+    signals = spark.createDataFrame([(1, i, "claim_without_nearby_citation" if i % 2 else "long_sentence") for i in range(40)], "doc_id int, idx int, signal string")
+    base = sources.unionByName(audits).unionByName(claims).unionByName(P.voice_list(signals))
+    items = base.unionByName(P.risk_list(risks, base))
+    ids = {(r["doc_id"], r["item_id"]): r["priority"] for r in items.collect()}
+    voice = {(1, f"voice-{n}"): "optional" for n in range(1, 25, 2)}
+    risk = {k: v for k, v in ids.items() if k[1].startswith("source-risk-")}
+    assert sorted(risk.values()) == ["critical", "important"]  # the others are said by items of the same reference
+    assert {k: v for k, v in ids.items() if k not in risk} == {
+        (1, "source_verification-1"): "important", (1, "source_verification-2"): "critical", (2, "source_verification-1"): "important", (1, "reference-identity-conflict-5"): "critical", (1, "reference-style-5"): "important",
+        (1, "reference-incomplete-8"): "important", (1, "claim-weak-support-1"): "important", (1, "claim-weak-support-2"): "important", (1, "claim-mapping-incomplete-1"): "critical", **voice,
+    }
+    decisions = spark.createDataFrame([(1, "source_verification-2", "accepted"), (1, "voice-1", "deferred"), (2, "source_verification-1", "ignored")], "doc_id int, item_id string, decision string")
+    done = P.decided(items, decisions)
+    got = {r["doc_id"]: tuple(r)[1:] for r in P.pending(done).collect()}
+    assert got == {1: (3, 6, 12, 21, 1, 9, False), 2: (0, 0, 0, 0, 1, 0, True)}
+    order = [r["priority"] for r in P.listed(done).filter("doc_id = 1").orderBy("place").collect()]
+    assert order == sorted(order, key=("critical", "important", "optional").index)
+
+
+def test_certificate_with_a_plan(spark):
+    from marginalia.operators import certificate as C
+
+    docs = [1, 2, 3]
+    scores = spark.createDataFrame([(d, 90.0, 80.0) for d in docs], "doc_id int, score double, recency double")
+    lists = spark.createDataFrame([(d, 0, 0) for d in docs], "doc_id int, missing int, uncited int")
+    checked = spark.createDataFrame([(d, "k", "verified", "", "", "strong_support", "low") for d in docs], "doc_id int, key string, status string, manual_decision string, evidence_url string, support_status string, priority string")
+    plan = spark.createDataFrame([(1, 2, 3, 4, 5), (2, 0, 1, 0, 1)], "doc_id int, critical int, important int, optional int, evidence int")
+    got = {r["doc_id"]: tuple(r)[1:] for r in C.certificates(scores, lists, checked, checked, checked, plan).collect()}
+    assert got == {1: (2, 3, 4, "Revision Required"), 2: (0, 1, 1, "Conditional Clearance"), 3: (0, 0, 1, "Provisional clearance")}

@@ -85,3 +85,32 @@ def test_status_stream_matches_the_batch_fold(spark, tmp_path):
     batch = spark.createDataFrame([x for b in rows for x in b], schema).withColumn("event_date", F.coalesce(F.nullif("event_date", F.lit("")), F.lit("9999")))
     folded = batch.select("doi", "event_type", "event_date").distinct().groupBy("doi").agg(F.collect_list(F.struct(F.col("event_type").alias("type"), F.col("event_date").alias("date"))).alias("e"))
     assert got == {x["doi"]: (x["s"], x["n"]) for x in folded.select("doi", E.fold_status(F.col("e"), F.lit(False)).alias("s"), F.size("e").alias("n")).collect()}
+
+
+def test_chunks_survive_a_kill(spark, tmp_path):
+    """The run dies after a chunk is written and before it is committed; the second run goes on from there and counts nothing twice."""
+    batch = spark.read.parquet(SF)
+    folder, out, marks = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")
+    batch.repartition(4).write.parquet(folder)
+    work = lambda df: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    tries = []
+
+    def dying(df):
+        tries.append(df.count())
+        if len(tries) == 3:  # the second chunk is written, the third one dies while it is worked on
+            raise RuntimeError("killed")
+        return work(df)
+
+    total = batch.count()
+    with pytest.raises(Exception, match="killed"):
+        S.run_chunks(S.read_events(spark, folder, batch.schema), dying, out, marks)
+    half = S.chunk_progress(S.chunk_results(spark, out, "user_id bigint, rows bigint"), "rows", total).first()
+    assert half["chunks"] == 2 and half["state"] == "running" and half["done"] == sum(tries[:2]) and half["percentage"] == half["done"] * 100 // total
+    # the last commit is lost too, as if the run had died between the writing of a chunk and its commit
+    for name in ("1", ".1.crc"):
+        os.remove(f"{marks}/commits/{name}")
+    S.run_chunks(S.read_events(spark, folder, batch.schema), work, out, marks)
+    results = S.chunk_results(spark, out, "user_id bigint, rows bigint")
+    end = S.chunk_progress(results, "rows", total).first()
+    assert (end["chunks"], end["done"], end["percentage"], end["state"]) == (4, total, 100, "completed")
+    assert sorted(map(tuple, results.groupBy("user_id").agg(F.sum("rows")).collect())) == sorted(map(tuple, work(batch).collect()))

@@ -135,5 +135,19 @@ def test_citation_needed_scans_documents(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {(d, i): score for d, text in texts.items() for i, score in brute_needed(text).items()}
     assert (9, 5_000) in want
-    got = {(r["doc_id"], r["sent_idx"]): r["score"] for r in QUERIES["citation_needed"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["sent_idx"]): r["score"] for r in C.citation_needed(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text").collect()}
+    assert got == want
+
+
+def test_author_year_citations_of_running_texts(spark):
+    """Each form that the texts hold is found, in order."""
+    made = {}
+    for c in Tables(spark, SF).ay_cites.collect():
+        name, year = c["author"].capitalize(), c["year"]
+        form = ([f"{name}, {year}"], [f"{name} & Boadu, {year}"], [f"{name} et al., {year}", "Kock, 2015"])[c["pos"] % 3]
+        made.setdefault(f"{c['doc_id']}:{c['pos'] // 200}", []).append((c["pos"], form))
+    got = {}
+    for r in QUERIES["author_year_extract"](spark, SF).collect():
+        got.setdefault(r["part_id"], set()).add((r["citation"].replace("(", "").replace(")", "")))
+    want = {k: {f.replace("(", "").replace(")", "") for _, fs in v for f in fs} for k, v in made.items()}
     assert got == want
