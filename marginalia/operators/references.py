@@ -80,27 +80,60 @@ def initials(given: Column) -> Column:
 
 
 def author_list(authors: Column, style: Column) -> Column:
-    """An array of ``Surname, I.`` as its style joins it: APA 7 names up to 20 authors, APA 6 up to 7, Harvard up to 3."""
-    n = F.size(authors)
-    last = F.element_at(authors, -1)
+    """An array of ``Surname, I.`` as its style joins it: APA 7 names up to 20 authors, APA 6 up to 7, Harvard up to 3, numbered styles all."""
+    authors = F.filter(authors, lambda a: F.trim(a) != "")
+    n, last = F.size(authors), F.element_at(authors, -1)
     head = lambda k: F.array_join(F.slice(authors, 1, k), ", ")
-    amp = lambda sign: F.when(n == 1, F.element_at(authors, 1)).otherwise(F.concat(F.array_join(F.slice(authors, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(sign), last))
-    apa7 = F.when(n <= 20, amp(", & ")).otherwise(F.concat(head(19), F.lit(", ... "), last))
-    apa6 = F.when(n <= 7, amp(", & ")).otherwise(F.concat(head(6), F.lit(", ... "), last))
-    harvard = F.when(n <= 3, amp(" and ")).otherwise(F.concat(F.element_at(authors, 1), F.lit(" et al.")))
-    numeric = F.when(n <= 6, head(6)).otherwise(F.concat(head(6), F.lit(", et al.")))
-    return F.when(n < 1, "").when(style == "apa7", apa7).when(style == "apa6", apa6).when(style == "harvard", harvard).otherwise(numeric)
-
-
-def formatted(style: Column, authors: Column, year: Column, title: Column, journal: Column, doi: Column) -> Column:
-    """A reference in its style; absent parts leave no marks behind."""
-    names, y = author_list(authors, style), F.coalesce(year.cast("string"), F.lit("n.d."))
-    link = F.when(doi.isNotNull() & (doi != ""), F.concat(F.lit(" https://doi.org/"), doi)).otherwise("")
-    j = F.when(journal.isNotNull() & (journal != ""), F.concat(F.lit(" "), journal, F.lit("."))).otherwise("")
-    apa = F.concat(names, F.lit(" ("), y, F.lit("). "), title, F.lit("."), j, link)
-    harvard = F.concat(names, F.lit(" ("), y, F.lit(") '"), title, F.lit("',"), j, link)
-    numeric = F.concat(names, F.lit(". "), title, F.lit("."), j, F.lit(" "), y, F.lit("."), link)
-    return F.trim(F.when(style.isin("apa7", "apa6"), apa).when(style == "harvard", harvard).otherwise(numeric))
+    joined = lambda sign: F.when(n == 1, F.element_at(authors, 1)).otherwise(F.concat(F.array_join(F.slice(authors, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(sign), last))
+    apa = lambda most: F.when(n <= most, joined(", & ")).otherwise(F.concat(head(most - 1), F.lit(", … "), last))
+    harvard = F.when(n > 3, F.concat(F.element_at(authors, 1), F.lit(" et al."))).when(n == 2, joined(" and ")).otherwise(joined(", and "))
+    numeric = F.array_join(F.transform(authors, lambda a: F.replace(a, F.lit(", "), F.lit(" "))), ", ")
+    return F.when(n < 1, "").when(style == "apa7", apa(20)).when(style == "apa6", apa(7)).when(style == "harvard", harvard).otherwise(numeric)
+
+
+def sentence_case(text: Column) -> Column:
+    """A title with single blanks whose first letter, and the first after each colon, is a capital; nothing else changes."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    lead = F.regexp_extract(t, r"^([^A-Za-zÀ-ÖØ-öø-ÿ]*)", 1)
+    n = F.length(lead)
+    t = F.concat(lead, F.upper(F.substr(t, n + 1, F.lit(1))), F.substr(t, n + 2))
+    parts = F.split(t, r":\s*(?=[A-Za-zÀ-ÖØ-öø-ÿ])", -1)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substr(p, F.lit(1), F.lit(1))), F.substr(p, F.lit(2))))), ": ")
+
+
+def formatted(refs: DataFrame) -> DataFrame:
+    """refs with reference, written in its style (apa7, apa6, harvard, or any numbered one); absent parts leave no marks behind.
+
+    refs(style, authors, year, title, source, volume, issue, pages, doi, publisher, edition): authors an array, all else text. With a
+    publisher and no source it is a book, whose edition is named and whose publisher is not, if it is the author. Without
+    authors and title it is incomplete. What print sets in italics stands between asterisks.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    part = lambda cond, *cs: F.when(cond, F.concat(*[F.lit(c) if isinstance(c, str) else c for c in cs])).otherwise("")
+    joined = lambda *cs: F.array_join(F.filter(F.array(*cs), lambda c: c != ""), " ")
+    bare = lambda c: F.regexp_replace(c, r"\.+$", "")
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    doi = F.regexp_replace(F.regexp_replace(text("doi"), r"^https?://(?:dx\.)?doi\.org/", ""), r"(?i)^doi:", "")
+    names, year, volume, issue, pages, source, publisher, edition = F.col("__names"), text("year"), text("volume"), text("issue"), text("pages"), text("source"), text("publisher"), text("edition")
+    title = F.when(text("title") == "", "[No title]").otherwise(sentence_case(F.col("title")))
+    lead = F.trim(F.concat(names, F.lit(" ("), F.when(year == "", "n.d.").otherwise(year), F.lit(").")))
+    book, link, colon = (publisher != "") & (source == ""), part(doi != "", "https://doi.org/", doi), part(doi != "", "doi:", doi)
+    apa_place = part(volume != "", ", *", volume, "*", part((issue != "") & (issue != volume), "(", issue, ")"), part(pages != "", ", ", pages))
+    harvard_place = part(volume != "", ", ", volume, part(issue != "", "(", issue, ")"), part(pages != "", ", pp. ", pages))
+    journal = lambda place: part(source != "", "*", source, "*", place, ".")
+    named = F.when(edition.rlike(r"(?i)\bed\.?$"), edition).otherwise(F.concat(edition, F.lit(" ed.")))
+    apa_book = F.concat(F.lit("*"), sentence_case(F.col("title")), F.lit("*"), part(edition != "", " (", named, ")"), part(key(names) != key(publisher), ". ", publisher), F.lit("."))
+    stopped = F.concat(title, F.lit("."))
+    apa7 = F.when(book, joined(lead, apa_book, link)).otherwise(joined(lead, stopped, journal(apa_place), link))
+    harvard_book = joined(lead, F.concat(F.lit("*"), title, F.lit("*"), part(edition != "", " (", edition, ")"), F.lit(".")), F.concat(publisher, F.lit(".")), colon)
+    harvard = F.when(book, harvard_book).otherwise(joined(lead, F.concat(F.lit("'"), title, F.lit("'.")), journal(harvard_place), colon))
+    home = bare(F.when(source != "", source).otherwise(publisher))
+    where = F.concat(home, part(year != "", F.when(home != "", ". ").otherwise(""), year), part(volume != "", ";", volume), part(issue != "", "(", issue, ")"), part(pages != "", ":", pages))
+    numeric = joined(part(names != "", bare(names), "."), part(text("title") != "", bare(text("title")), "."), part(edition != "", bare(edition), "."), part(where != "", bare(where), "."), colon)
+    style = F.col("style")
+    nothing = style.isin("apa7", "apa6", "harvard") & (names == "") & (text("title") == "")
+    out = F.when(nothing, "[Incomplete reference]").when(style == "apa7", apa7).when(style == "apa6", joined(lead, stopped, journal(apa_place), colon)).when(style == "harvard", harvard).otherwise(numeric)
+    return refs.withColumn("__names", author_list(F.coalesce("authors", F.array().cast("array<string>")), F.col("style"))).withColumn("reference", out).drop("__names")
 
 
 def in_text(surnames: Column, year: Column, narrative: Column) -> Column:

@@ -105,14 +105,28 @@ def reference_list_format(t):
     return R.list_format(t.ref_lines)
 
 
-@query("""SELECT doc_id, ref_idx, CASE ref_idx % 4 WHEN 0 THEN 'Doe, J. (' || year || '). ' || title || '. ' || journal || '. https://doi.org/' || doi WHEN 1 THEN 'Doe, J., & Roe, R. (' || year || '). ' || title || '. ' || journal || '. https://doi.org/' || doi
-  WHEN 2 THEN 'Doe, J. et al. (' || year || ') ''' || title || ''', ' || journal || '. https://doi.org/' || doi ELSE 'Doe, J., Roe, R., Poe, E., Moe, M., Loe, L., Koe, K., et al.. ' || title || '. ' || journal || '. ' || year || '. https://doi.org/' || doi END AS reference FROM {fields}""")
+DERIVED |= {
+    "styled": """SELECT doc_id, ref_idx, CASE ref_idx % 4 WHEN 0 THEN 'apa7' WHEN 1 THEN 'apa6' WHEN 2 THEN 'harvard' ELSE 'ieee' END AS style, ref_idx % 24 AS n, concat(upper(substr(author, 1, 1)), substr(author, 2)) AS name, CASE WHEN ref_idx % 13 = 0 THEN '' ELSE CAST(year AS STRING) END AS year,
+        CASE ref_idx % 11 WHEN 0 THEN NULL WHEN 1 THEN concat(title, ':  a view of ', author) ELSE title END AS title, CASE WHEN ref_idx % 5 = 0 THEN '' ELSE journal END AS source, CASE WHEN ref_idx % 7 = 0 THEN NULL ELSE CAST(1 + ref_idx % 9 AS STRING) END AS volume, CASE ref_idx % 3 WHEN 0 THEN '2' ELSE '' END AS issue,
+        CASE WHEN ref_idx % 8 < 5 THEN '1–9' END AS pages, CASE WHEN ref_idx % 6 < 4 THEN doi END AS doi, CASE WHEN ref_idx % 10 = 0 THEN 'Big Press' END AS publisher, CASE ref_idx % 20 WHEN 0 THEN '2nd ed.' WHEN 10 THEN '3rd' END AS edition FROM {fields}""",
+}
+
+
+@query(r"""WITH a AS (SELECT *, list_transform(range(1, n + 1), lambda i: name || chr((96 + i)::INT) || ', A.') AS l, upper(substr(title, 1, 1)) || substr(title, 2) AS t0, coalesce(volume, '') AS v, coalesce(pages, '') AS p, coalesce(doi, '') AS d, coalesce(publisher, '') AS pub, coalesce(edition, '') AS ed FROM {styled}),
+  b AS (SELECT *, coalesce(CASE WHEN contains(t0, ':  ') THEN split_part(t0, ':  ', 1) || ': A' || substr(split_part(t0, ':  ', 2), 2) ELSE t0 END, '') AS t, CASE WHEN year = '' THEN '(n.d.).' ELSE '(' || year || ').' END AS y,
+    CASE WHEN n = 0 THEN '' WHEN style = 'ieee' THEN array_to_string(list_transform(l, lambda x: replace(x, ', ', ' ')), ', ') WHEN n = 1 THEN l[1] WHEN style = 'harvard' THEN CASE WHEN n > 3 THEN l[1] || ' et al.' WHEN n = 2 THEN l[1] || ' and ' || l[2] ELSE l[1] || ', ' || l[2] || ', and ' || l[3] END
+      WHEN (style = 'apa7' AND n > 20) OR (style = 'apa6' AND n > 7) THEN array_to_string(l[1:CASE WHEN style = 'apa7' THEN 19 ELSE 6 END], ', ') || ', … ' || l[n] ELSE array_to_string(l[1:n - 1], ', ') || ', & ' || l[n] END AS names FROM a),
+  c AS (SELECT *, CASE WHEN source <> '' THEN '*' || source || '*' || CASE WHEN v = '' THEN '' WHEN style = 'harvard' THEN ', ' || v || CASE WHEN issue <> '' THEN '(' || issue || ')' ELSE '' END || CASE WHEN p <> '' THEN ', pp. ' || p ELSE '' END
+      ELSE ', *' || v || '*' || CASE WHEN issue <> '' AND issue <> v THEN '(' || issue || ')' ELSE '' END || CASE WHEN p <> '' THEN ', ' || p ELSE '' END END || '.' END AS j, trim(names || ' ' || y) AS lead_, CASE WHEN t = '' THEN '[No title]' ELSE t END AS tt, pub <> '' AND source = '' AS book FROM b),
+  e AS (SELECT *, (CASE WHEN source <> '' THEN source ELSE pub END) || CASE WHEN year <> '' THEN CASE WHEN source <> '' OR pub <> '' THEN '. ' ELSE '' END || year ELSE '' END || CASE WHEN v <> '' THEN ';' || v ELSE '' END || CASE WHEN issue <> '' THEN '(' || issue || ')' ELSE '' END || CASE WHEN p <> '' THEN ':' || p ELSE '' END AS w FROM c)
+  SELECT doc_id, ref_idx, CASE WHEN style <> 'ieee' AND names = '' AND t = '' THEN '[Incomplete reference]' WHEN style = 'ieee' THEN concat_ws(' ', CASE WHEN names <> '' THEN regexp_replace(names, '\.+$', '') || '.' END, CASE WHEN title <> '' THEN title || '.' END, CASE WHEN ed <> '' THEN regexp_replace(ed, '\.+$', '') || '.' END, CASE WHEN w <> '' THEN w || '.' END, CASE WHEN d <> '' THEN 'doi:' || d END)
+    WHEN style = 'apa7' THEN concat_ws(' ', lead_, CASE WHEN book THEN '*' || t || '*' || CASE ed WHEN '' THEN '' WHEN '2nd ed.' THEN ' (2nd ed.)' ELSE ' (3rd ed.)' END || '. ' || pub || '.' ELSE tt || '.' END, CASE WHEN NOT book THEN j END, CASE WHEN d <> '' THEN 'https://doi.org/' || d END)
+    WHEN style = 'harvard' AND book THEN concat_ws(' ', lead_, '*' || tt || '*' || CASE WHEN ed <> '' THEN ' (' || ed || ')' ELSE '' END || '.', pub || '.', CASE WHEN d <> '' THEN 'doi:' || d END)
+    WHEN style = 'harvard' THEN concat_ws(' ', lead_, chr(39) || tt || chr(39) || '.', j, CASE WHEN d <> '' THEN 'doi:' || d END) ELSE concat_ws(' ', lead_, tt || '.', j, CASE WHEN d <> '' THEN 'doi:' || d END) END AS reference FROM e""")
 def formatted_references(t):
-    names = ["Doe, J.", "Roe, R.", "Poe, E.", "Moe, M.", "Loe, L.", "Koe, K.", "Hoe, H."]
-    kind = F.col("ref_idx") % 4
-    style = F.when(kind == 0, "apa7").when(kind == 1, "apa6").when(kind == 2, "harvard").otherwise("numeric")
-    authors = F.slice(F.array(*[F.lit(n) for n in names]), 1, F.when(kind == 0, 1).when(kind == 1, 2).when(kind == 2, 4).otherwise(7))
-    return t.fields.select("doc_id", "ref_idx", R.formatted(style, authors, F.col("year"), F.col("title"), F.col("journal"), F.col("doi")).alias("reference"))
+    """References in four styles, with up to 23 authors and any part absent."""
+    authors = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.concat(F.col("name"), F.chr(i + 96), F.lit(", A.")))).otherwise(F.array().cast("array<string>"))
+    return R.formatted(t.styled.withColumn("authors", authors)).select("doc_id", "ref_idx", "reference")
 
 
 @query("""SELECT doc_id, ref_idx, CASE WHEN doc_id % 2 = 0 THEN CASE ref_idx % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'A and B' ELSE 'A et al.' END || ' (' || year || ')' ELSE '(' || CASE ref_idx % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'A & B' ELSE 'A et al.' END || ', ' || year || ')' END AS citation FROM {fields}""")

@@ -95,3 +95,25 @@ def test_context_fit(spark):
     assert got[4][0] == 54 and "relationship_differs" in got[4][4]
     row = spark.range(1).select(X.title_relevance(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a"), F.lit("c"), F.lit("d")), F.lit(1)).alias("r"), X.required_evidence(F.lit("A policy on firms")).alias("e"), X.required_evidence(F.lit("About 12 % of firms")).alias("q")).first()
     assert row["r"] == 22 + 8 and row["e"].startswith("primary legal") and row["q"].startswith("population-based")
+
+
+def test_references_in_their_styles(spark):
+    from marginalia.operators import references as R
+
+    many = [f"A{i}, B." for i in range(1, 24)]
+    rows = [
+        ("apa7", ["Ama, K.", "Boadu, L."], "2001", "on rings: a view of iPads", "Ring Letters", "3", "1", "1–9", "doi:10.1/x", None, None), ("apa7", many, "", "On rings", "", "", "", "", None, "Big Press", "2nd"), ("apa7", ["World Bank"], "2020", "Doing", None, None, None, None, None, "World  Bank", "3rd ed."),
+        ("apa6", many[:8], "2001", "T", "J", "3", "3", None, "https://doi.org/10.1/y", None, None), ("harvard", many[:3], "2001", "T", "J", "3", "3", "4", "10.1/z", None, None), ("harvard", many[:4], None, "a book", "", None, None, None, None, "Press", "2nd ed."),
+        ("vancouver", many[:2], "2001", "T.", "J.", "3", "1", "4", "10.1/z", None, None), ("ieee", None, None, None, None, None, None, None, None, None, None), ("apa6", [], None, "", "J", None, None, None, None, None, None), ("apa7", [" "], None, None, "J", "4", None, "9", None, None, None),
+    ]
+    refs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, style string, authors array<string>, year string, title string, source string, volume string, issue string, pages string, doi string, publisher string, edition string")
+    assert [r["reference"] for r in R.formatted(refs).orderBy("i").collect()] == [
+        "Ama, K., & Boadu, L. (2001). On rings: A view of iPads. *Ring Letters*, *3*(1), 1–9. https://doi.org/10.1/x",
+        ", ".join(many[:19]) + ", … A23, B. (n.d.). *On rings* (2nd ed.). Big Press.",
+        "World Bank (2020). *Doing* (3rd ed.).",
+        ", ".join(many[:6]) + ", … A8, B. (2001). T. *J*, *3*. doi:10.1/y",
+        "A1, B., A2, B., and A3, B. (2001). 'T'. *J*, 3(3), pp. 4. doi:10.1/z",
+        "A1, B. et al. (n.d.). *A book* (2nd ed.). Press.",
+        "A1 B., A2 B. T. J. 2001;3(1):4. doi:10.1/z",
+        "", "[Incomplete reference]", "[Incomplete reference]",
+    ]
