@@ -136,6 +136,49 @@ def formatted(refs: DataFrame) -> DataFrame:
     return refs.withColumn("__names", author_list(F.coalesce("authors", F.array().cast("array<string>")), F.col("style"))).withColumn("reference", out).drop("__names")
 
 
+#: Fields that a record may add to or replace, what a missing one costs, and its issue.
+REBUILT = ("authors", "year", "title", "source", "volume", "issue", "pages", "publisher")
+LACKS = (("authors", 20, "Missing author(s)"), ("year", 20, "Missing publication year"), ("title", 25, "Missing title"), ("source", 15, "Missing journal/book title"))
+
+
+def rebuilt(refs: DataFrame, catalog: DataFrame, sources: tuple[str, ...]) -> DataFrame:
+    """refs with fields rebuilt from catalog records: doi, doi_source, enhanced (field:source), confidence, issues, needs_review, retracted.
+
+    refs(doc_id, ref_idx, REBUILT, doi, url, messiness), catalog(REBUILT, doi, source_api, is_retracted), all text but the last ones. A
+    reference without a DOI takes that of the record with its title and year, by the first source that has one. The record of a DOI, of the first source
+    again, then fills every field that is empty and replaces every one that is shorter than its own, if it has a title.
+    Confidence starts at 100, less for what is missing and up to 20 for a messy text, and 5 more for a DOI.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    low = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    rank = F.coalesce(*[F.when(F.col("source_api") == s, i) for i, s in enumerate(sources)], F.lit(len(sources)))
+    c = catalog.withColumns({"rank": rank, "d": F.lower(text("doi"))}).filter("d <> ''")
+    by_title = c.groupBy(low(F.col("title")).alias("t"), text("year").alias("y")).agg(F.min(F.struct("rank", "d")).alias("f")).filter("t <> '' and y <> ''").select("t", "y", F.col("f.d").alias("found"))
+    records = c.groupBy("d").agg(F.min(F.struct("rank", "source_api", *[text(f).alias(f) for f in REBUILT], F.coalesce("is_retracted", F.lit(False)).alias("retracted"))).alias("m"))
+    r = refs.withColumns({"own": F.lower(text("doi")), "t": low(F.col("title")), "y": text("year")}).join(by_title, ["t", "y"], "left")
+    r = r.withColumn("doi", F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("found", F.lit("")))).withColumn("doi_source", F.when(F.col("own") != "", "original").when(F.col("doi") != "", "found").otherwise("missing"))
+    r = r.join(records, r["doi"] == records["d"], "left").drop("d", "t", "y", "own", "found")
+    titled = F.coalesce(F.col("m.title"), F.lit("")) != ""
+    better = {f: titled & (F.col(f"m.{f}") != "") & ((text(f) == "") | (F.length(F.col(f"m.{f}")) > F.length(text(f)))) for f in REBUILT}
+    r = r.withColumn("enhanced", F.array_compact(F.array(*[F.when(better[f], F.concat(F.lit(f"{f}:"), F.col("m.source_api"))) for f in REBUILT])))
+    r = r.withColumns({f: F.when(better[f], F.col(f"m.{f}")).otherwise(text(f)) for f in REBUILT}).withColumn("retracted", F.coalesce("m.retracted", F.lit(False))).drop("m")
+    linked, messy = (F.col("doi") != "") | (text("url") != ""), F.coalesce("messiness", F.lit(0))
+    score = F.lit(100) - F.when(~linked, 10).otherwise(0) - F.least(F.lit(20), F.floor(messy / 5)) + F.when(F.col("doi") != "", 5).otherwise(0)
+    for f, points, _ in LACKS:
+        score = score - F.when(F.col(f) == "", points).otherwise(0)
+    issues = [F.when(F.col(f) == "", name) for f, _, name in LACKS] + [F.when(~linked, "No DOI or URL found"), F.when(messy > 0, "Original had messy formatting"), F.when(F.col("retracted"), "Retracted")]
+    r = r.withColumns({"confidence": F.least(F.lit(100), F.greatest(F.lit(0), score)).cast("bigint"), "issues": F.array_compact(F.array(*issues))})
+    return r.withColumn("needs_review", (F.col("confidence") < 70) | (F.size("issues") > 2) | F.col("retracted"))
+
+
+def rebuild_stats(rows: DataFrame) -> DataFrame:
+    """Per document: references, mean confidence, those with a DOI, DOIs found, retracted ones, those to review."""
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("total"), F.round(F.avg("confidence"), 4).alias("average_confidence"), F.count_if(F.col("doi") != "").alias("with_doi"), F.count_if(F.col("doi_source") == "found").alias("dois_found"),
+        F.count_if("retracted").alias("retracted"), F.count_if("needs_review").alias("to_review"),
+    )
+
+
 def in_text(surnames: Column, year: Column, narrative: Column) -> Column:
     """Citation of one, two or more authors, in brackets or as part of the sentence."""
     n = F.size(surnames)

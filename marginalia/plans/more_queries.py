@@ -129,6 +129,39 @@ def formatted_references(t):
     return R.formatted(t.styled.withColumn("authors", authors)).select("doc_id", "ref_idx", "reference")
 
 
+DERIVED |= {
+    "sketches": """SELECT doc_id, ref_idx, CASE WHEN ref_idx % 9 = 0 THEN '' ELSE author END AS authors, CASE WHEN ref_idx % 11 = 0 THEN NULL ELSE CAST(year AS STRING) END AS year, CASE WHEN ref_idx % 8 = 0 THEN '' ELSE title END AS title, CASE WHEN ref_idx % 4 = 0 THEN 'J.' WHEN ref_idx % 4 = 1 THEN NULL ELSE journal END AS source,
+        CASE WHEN ref_idx % 3 = 0 THEN '1' END AS volume, '' AS issue, CAST(NULL AS STRING) AS pages, '' AS publisher, CASE WHEN ref_idx % 5 < 2 THEN upper(doi) END AS doi, CASE WHEN ref_idx % 13 = 0 THEN 'https://e.org/1' ELSE '' END AS url, CASE WHEN ref_idx % 7 = 0 THEN ref_idx % 120 ELSE 0 END AS messiness FROM {fields}""",
+    "works": """SELECT source_api, concat(name, CASE source_api WHEN 'crossref' THEN '' ELSE ', A.' END) AS authors, year, CASE WHEN k % 19 = 0 AND source_api = 'crossref' THEN '' ELSE title END AS title, journal AS source, CASE WHEN k % 2 = 0 THEN '12' ELSE '' END AS volume, CASE source_api WHEN 'openalex' THEN '3' ELSE '' END AS issue,
+        '1-9' AS pages, CASE source_api WHEN 'datacite' THEN 'Big Press' ELSE '' END AS publisher, doi, k % 47 = 0 AS is_retracted FROM (SELECT min(p_partkey) AS k, min(p_name) AS title, min(translate(lower(replace(p_brand, '#', '')), '0123456789', 'abcdefghij')) AS name, CAST(min(1970 + p_size) AS STRING) AS year, min(p_type) AS journal,
+        concat('10.1000/', CAST(p_partkey % 700 AS STRING)) AS doi, CASE p_partkey % 3 WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' ELSE 'datacite' END AS source_api FROM {part} GROUP BY p_partkey % 700, p_partkey % 3)""",
+}
+_REBUILT = r"""WITH c AS (SELECT *, CASE source_api WHEN 'crossref' THEN 0 WHEN 'openalex' THEN 1 ELSE 2 END AS rank FROM {works}), bt AS (SELECT lower(title) AS t, year AS y, arg_min(doi, (rank, doi)) AS found FROM c WHERE title <> '' GROUP BY 1, 2),
+  m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doi ORDER BY rank) = 1),
+  r AS (SELECT s.* REPLACE (coalesce(authors, '') AS authors, coalesce(s.year, '') AS year, coalesce(title, '') AS title, coalesce(source, '') AS source, coalesce(volume, '') AS volume, coalesce(pages, '') AS pages), CASE WHEN doi IS NOT NULL THEN lower(doi) ELSE coalesce(found, '') END AS d, CASE WHEN doi IS NOT NULL THEN 'original' WHEN found IS NOT NULL THEN 'found' ELSE 'missing' END AS doi_source FROM {sketches} s LEFT JOIN bt ON t = lower(title) AND y = s.year),
+  j AS (SELECT r.*, m.source_api AS api, coalesce(m.is_retracted, false) AS retracted, @BETTER@ FROM r LEFT JOIN m ON m.doi = r.d),
+  k AS (SELECT doc_id, ref_idx, d AS doi, doi_source, retracted, url, messiness, @FIELDS@, array_to_string(list_filter([@NAMES@], lambda x: x IS NOT NULL), ',') AS enhanced FROM j),
+  z AS (SELECT *, d_ OR url <> '' AS linked, (authors = '')::INT + (year = '')::INT + (title = '')::INT + (source = '')::INT + (NOT (d_ OR url <> ''))::INT + (messiness > 0)::INT + retracted::INT AS n_issues FROM (SELECT *, doi <> '' AS d_ FROM k)),
+  s AS (SELECT *, greatest(0, least(100, 100 - CASE WHEN authors = '' THEN 20 ELSE 0 END - CASE WHEN year = '' THEN 20 ELSE 0 END - CASE WHEN title = '' THEN 25 ELSE 0 END - CASE WHEN source = '' THEN 15 ELSE 0 END - CASE WHEN linked THEN 0 ELSE 10 END - least(20, messiness // 5) + CASE WHEN d_ THEN 5 ELSE 0 END))::BIGINT AS confidence FROM z)"""
+_B = ("authors", "year", "title", "source", "volume", "issue", "pages", "publisher")
+_REBUILT = _REBUILT.replace("@BETTER@", ", ".join(f"coalesce(m.title <> '' AND m.{f} <> '' AND (r.{f} = '' OR length(m.{f}) > length(r.{f})), false) AS b_{f}, m.{f} AS m_{f}" for f in _B)).replace("@FIELDS@", ", ".join(f"CASE WHEN b_{f} THEN m_{f} ELSE {f} END AS {f}" for f in _B)).replace("@NAMES@", ", ".join(f"CASE WHEN b_{f} THEN '{f}:' || api END" for f in _B))
+
+
+def _rebuilt(t):
+    return R.rebuilt(t.sketches, t.works, ("crossref", "openalex", "datacite"))
+
+
+@query(_REBUILT + " SELECT doc_id, ref_idx, authors, year, title, source, volume, issue, pages, publisher, doi, doi_source, enhanced, confidence, n_issues::INT AS n_issues, confidence < 70 OR n_issues > 2 OR retracted AS needs_review FROM s")
+def rebuilt_references(t):
+    """References whose fields are filled from the records of three sources, with the source of each."""
+    return _rebuilt(t).select("doc_id", "ref_idx", *R.REBUILT, "doi", "doi_source", F.array_join("enhanced", ",").alias("enhanced"), "confidence", F.size("issues").alias("n_issues"), "needs_review")
+
+
+@query(_REBUILT + " SELECT doc_id, count(*) AS total, round(avg(confidence), 4) AS average_confidence, count(*) FILTER (doi <> '') AS with_doi, count(*) FILTER (doi_source = 'found') AS dois_found, count(*) FILTER (retracted) AS retracted, count(*) FILTER (confidence < 70 OR n_issues > 2 OR retracted) AS to_review FROM s GROUP BY 1")
+def rebuild_stats(t):
+    return R.rebuild_stats(_rebuilt(t))
+
+
 @query("""SELECT doc_id, ref_idx, CASE WHEN doc_id % 2 = 0 THEN CASE ref_idx % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'A and B' ELSE 'A et al.' END || ' (' || year || ')' ELSE '(' || CASE ref_idx % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'A & B' ELSE 'A et al.' END || ', ' || year || ')' END AS citation FROM {fields}""")
 def in_text_citations(t):
     names = F.slice(F.array(F.lit("A"), F.lit("B"), F.lit("C")), 1, (F.col("ref_idx") % 3 + 1).cast("int"))
