@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from marginalia.operators.references import column_order
+
 _NAME = r"\p{L}+(?:[-’']\p{L}+)*"
 _PERSON = rf"{_NAME}(?: {_NAME}){{0,4}}, ?(?:\p{{Lu}}\.[ -]?)+"
 _PEOPLE = rf"{_PERSON}(?:(?:, ?|,? ?(?:&|and) |, ?(?:&|and) ?){_PERSON})*"
@@ -143,3 +145,55 @@ def reference_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = W.partitionBy(id_col).orderBy("f.place")
     return first.select(id_col, (F.row_number().over(order) - 1).cast("bigint").alias("ref_idx"), F.col("f.reference").alias("reference"), "extractor")
 
+
+
+# --- numbered lists on pages
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """boxes with place: their order in the document, page by page and column by column."""
+    placed = column_order(boxes)
+    return placed.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "place")))
+
+
+def longest_chain(numbers: list[int]) -> list[int]:
+    """Places of the longest run of markers n, n + 1, n + 2 and so on in their order; of equally long ones the one that ends first, made of the earliest markers."""
+    best: dict[int, tuple[int, int]] = {}  # of each number: length of the longest chain that ends with it, and where
+    before, length, end = [-1] * len(numbers), 0, -1
+    for i, n in enumerate(numbers):
+        size, at = best.get(n - 1, (0, -1))
+        before[i] = at
+        if size + 1 > best.get(n, (0, -1))[0]:
+            best[n] = (size + 1, i)
+        if size + 1 > length:
+            length, end = size + 1, i
+    out = []
+    while end >= 0:
+        out.append(end)
+        end = before[end]
+    return out[::-1]
+
+
+def numbered_references(boxes: DataFrame) -> DataFrame:
+    """doc_id, number, reference of numbered lists set in boxes(doc_id, page, width, x0, y0, text), over pages and columns.
+
+    A box may open an entry with ``[n]``, ``n.`` or ``n)``. Of these markers the longest chain of consecutive numbers is the list, so
+    years, pages and numbers of tables that only look like markers go on with the entry that they stand in; what
+    stands before the first marker is not part of it. Only the markers of a document meet in one place, not its boxes.
+    """
+    b = reading_order(boxes)
+    number = F.coalesce(F.nullif(F.regexp_extract("text", r"^\s*\[([0-9]{1,4})\]", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"^\s*([0-9]{1,4})[.)]\s", 1), F.lit(""))).try_cast("int")
+    b = b.select("doc_id", F.col("place").cast("bigint").alias("place"), "text", number.alias("number"))
+    kind = b.schema["doc_id"].dataType.simpleString()
+
+    def chain(table):
+        import pyarrow as pa
+
+        order = table.sort_by("place")
+        chosen = longest_chain(order["number"].to_pylist())
+        return order.take(pa.array(chosen, pa.int64())).select(["doc_id", "place", "number"])
+
+    starts = b.filter("number is not null").select("doc_id", "place", "number").groupBy("doc_id").applyInArrow(chain, f"doc_id {kind}, place bigint, number int")
+    marked = b.drop("number").join(starts, ["doc_id", "place"], "left")
+    owner = F.last("number", ignorenulls=True).over(W.partitionBy("doc_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    rows = marked.withColumn("entry", owner).filter("entry is not null")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: F.trim(x["text"])), " ")
+    return rows.groupBy("doc_id", F.col("entry").alias("number")).agg(parts.alias("reference"))

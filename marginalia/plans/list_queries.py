@@ -130,3 +130,14 @@ def passage_places(t):
     pairs = seeds.join(items, "seed").select("doc_id", "item_id", "passage").distinct()
     docs = t.documents.select("doc_id", F.expr(_SPACED).alias("text")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     return FX.located(pairs, docs).na.fill(0, ["page", "paragraph", "sentence"])
+
+
+def _boxes(t):
+    """lineitem as boxes of text on the pages of a supplier's document: some begin with a number, in brackets or bare."""
+    text = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("["), (1 + F.col("l_partkey") % 40).cast("string"), F.lit("] work "), F.col("l_orderkey").cast("string"))).when(F.col("l_partkey") % 3 == 1, F.concat((1 + F.col("l_partkey") % 60).cast("string"), F.lit(". of "), F.col("l_orderkey").cast("string"))).otherwise(F.concat(F.lit("goes on "), F.col("l_orderkey").cast("string")))
+    return t.lineitem.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 5).cast("int").alias("page"), F.lit(50.0).alias("width"), F.col("l_quantity").cast("double").alias("x0"), F.col("l_extendedprice").cast("double").alias("y0"), text.alias("text"))
+
+
+@query()
+def boxed_references(t):
+    return LI.numbered_references(_boxes(t))

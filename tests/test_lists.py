@@ -115,3 +115,62 @@ def test_sections(spark):
     assert [r["section"] for r in T.section_blocks(blocks).orderBy("block_idx").collect()] == ["Document body", "chapter one", "chapter one", "2.1 Methods", "2.1 Methods", "2.1 Methods", "2.1 Methods"]
     styled = blocks.withColumn("style", F.when(F.col("block_idx").isin(2, 6), "Heading 1"))
     assert [r["section"] for r in T.section_blocks(styled).orderBy("block_idx").collect()][2:4] == ["text", "2.1 Methods"]
+
+
+# --- numbered lists on pages
+def chain_of(numbers):
+    """All chains, the plain way: quadratic."""
+    size, before = [1] * len(numbers), [-1] * len(numbers)
+    for i, n in enumerate(numbers):
+        for j in range(i):
+            if numbers[j] == n - 1 and size[j] + 1 > size[i]:
+                size[i], before[i] = size[j] + 1, j
+    if not numbers:
+        return []
+    at, out = size.index(max(size)), []
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
+def test_longest_chain():
+    import random
+
+    r = random.Random(5)
+    assert X.longest_chain([]) == [] and X.longest_chain([7, 1, 2019, 2, 1, 3, 12]) == [1, 3, 5] and X.longest_chain([3, 9]) == [0]
+    for _ in range(300):
+        numbers = [r.randint(1, 8) for _ in range(r.randint(0, 30))]
+        assert X.longest_chain(numbers) == chain_of(numbers)
+
+
+def test_numbered_references_on_pages(spark):
+    left, right = 10.0, 320.0
+    rows = [
+        (1, 1, left, 1.0, "Body text [1] here"), (1, 1, left, 2.0, "[1] Ama, K. One."), (1, 1, left, 3.0, "12. 22–33."), (1, 1, right, 1.0, "[2] Boadu, L. Two"), (1, 1, right, 2.0, "2001) goes on"), (1, 2, left, 1.0, "of it."), (1, 2, left, 2.0, "3. Kock. Three."),
+        (1, 2, right, 5.0, " "), (2, 1, left, 1.0, "no list"), (3, 1, left, 1.0, "4) Four"),
+    ]
+    boxes = spark.createDataFrame(rows, "doc_id int, page int, x0 double, y0 double, text string").withColumn("width", F.lit(600.0))
+    got = {(r["doc_id"], r["number"]): r["reference"] for r in X.numbered_references(boxes).collect()}
+    assert got == {(1, 1): "[1] Ama, K. One. 12. 22–33.", (1, 2): "[2] Boadu, L. Two 2001) goes on of it.", (1, 3): "3. Kock. Three.", (3, 4): "4) Four"}
+
+
+def test_numbered_references_equal_a_loop(spark):
+    import re
+    from collections import defaultdict
+
+    from marginalia.plans import list_queries as Q
+    from marginalia.plans.registry import QUERIES, Tables
+
+    sf = "/root/testdata/sf0.001"
+    docs = defaultdict(list)
+    for b in Q._boxes(Tables(spark, sf)).collect():
+        docs[b["doc_id"]].append((b["page"], 0 if b["x0"] < 25 else 1, b["y0"], b["x0"], b["text"]))
+    want = {}
+    for doc, boxes in docs.items():
+        texts = [b[-1] for b in sorted(boxes)]
+        marks = [(i, int(m[1] or m[2])) for i, t in enumerate(texts) if (m := re.match(r"\s*(?:\[(\d{1,4})\]|(\d{1,4})[.)]\s)", t))]
+        chosen = [marks[k] for k in chain_of([n for _, n in marks])]
+        for (i, n), (j, _) in zip(chosen, [*chosen[1:], (len(texts), 0)], strict=True):
+            want[doc, n] = " ".join(texts[i:j])
+    assert {(r["doc_id"], r["number"]): r["reference"] for r in QUERIES["boxed_references"](spark, sf).collect()} == want and len(want) > 30
