@@ -20,16 +20,31 @@ from marginalia.functions.similarity import similarity
 YEAR = r"(?:1[6-9]\d{2}|20\d{2})[a-z]?"
 _YEAR = re.compile(rf"\b({YEAR})\b", re.I)
 _NAME = r"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’\-]+"
-#: Words that lead into a citation and are no authors.
+#: Words and phrases that lead into a citation and are no authors.
 LEADS = (
-    "according to", "as in", "also", "and", "but", "by", "cf", "compare", "e.g.", "finally", "first", "following", "for example", "for instance", "hence", "however", "i.e.", "in", "lastly", "later", "likely", "likewise",
-    "meanwhile", "moreover", "next", "or", "second", "see", "see also", "similarly", "since", "then", "therefore", "third", "thus", "when", "while",
+    "see", "e.g", "eg", "i.e", "ie", "as", "in", "for", "from", "to", "at", "on", "by", "with", "within", "according", "adapted", "based", "cited", "citing", "reported", "like",
+    "however", "similarly", "regrettably", "traditionally", "notably", "therefore", "thus", "hence", "consequently", "moreover", "furthermore", "additionally", "meanwhile", "nonetheless", "nevertheless", "overall",
+    "generally", "specifically", "particularly", "importantly", "indeed", "likely", "likewise", "uncertainty", "firstly", "lastly", "finally", "also", "then", "next", "again", "still", "subsequently",
+    "previously", "earlier", "later", "recently", "currently", "today", "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "last", "initially", "subsequent",
+    "comparatively", "conversely", "alternatively", "accordingly", "interestingly", "relatedly", "moreso", "state", "for instance", "instance", "for example", "example", "more so",
 )
-#: Words that are never the key of an author.
-NOT_AUTHORS = frozenset("available chapter data field figure journal press questionnaire sample section ssrn survey table the this university".split()) | {x for x in LEADS if " " not in x}
+#: Further words that lead into one, in running texts.
+MORE_LEADS = ("according to", "as in", "and", "but", "cf", "compare", "e.g.", "following", "i.e.", "or", "see also", "since", "when", "while")
+#: Words of data, methods and documents that are never the key of an author.
+DOCUMENT_WORDS = (
+    "survey", "field", "work", "fieldwork", "data", "dataset", "sample", "sampling", "questionnaire", "respondent", "respondents", "interview", "interviews", "observation", "observations", "experiment", "experiments", "variable", "variables",
+    "table", "tables", "figure", "fig", "figures", "chapter", "section", "appendix", "appendices", "annex", "equation", "eq", "model", "models", "analysis", "analyses", "results", "result", "finding", "findings",
+    "method", "methods", "methodology", "discussion", "introduction", "conclusion", "study", "studies", "paper", "thesis", "dissertation", "report", "policy", "policies", "source", "sources", "author", "authors",
+    "construct", "constructs", "estimation", "estimated", "estimate", "estimates", "trend", "trends", "state", "states", "census", "surveys",
+)
+BLOCKED = frozenset(DOCUMENT_WORDS) | {x for x in LEADS if " " not in x}
+#: These and a few more are no author by themselves.
+NOT_AUTHORS = BLOCKED | {x for x in MORE_LEADS if " " not in x} | {"available", "journal", "press", "ssrn", "the", "this", "university"}
+#: Words that make a phrase no author where it begins or ends with one of them.
+EDGE_WORDS = ("field", "survey", "data", "sample", "questionnaire")
 #: Small words that an organisation's acronym leaves out.
 SMALL = frozenset("a an and at by department for from in limited ministry of on press the to with".split())
-_LEADING = re.compile(r"^\s*(?:" + "|".join(re.escape(x) for x in sorted(LEADS, key=len, reverse=True)) + r")(?:\s*,\s*|\s+|[,:;.\-]+\s*|$)", re.I)
+_LEADING = re.compile(r"^\s*(?:" + "|".join(re.escape(x) for x in sorted((*LEADS, *MORE_LEADS), key=len, reverse=True)) + r")(?:\s*,\s*|\s+|[,:;.\-]+\s*|$)", re.I)
 
 
 # --- strings
@@ -53,9 +68,9 @@ def without_leads(s: str) -> str:
 
 
 def no_author(s: str) -> bool:
-    """Whether words name no author: none, only blocked ones, or a survey, data or a sample."""
+    """Whether words name no author: none, only blocked ones, three at most of which the last is one, or a phrase of a survey, data or a sample."""
     words = key_form(s).split()
-    return not words or all(w in NOT_AUTHORS for w in words)
+    return not words or " ".join(words) in LEADS or all(w in NOT_AUTHORS for w in words) or (len(words) <= 3 and words[-1] in BLOCKED) or (len(words) > 1 and (words[0] in EDGE_WORDS or words[-1] in EDGE_WORDS))
 
 
 def surnames(left: str) -> list[str]:

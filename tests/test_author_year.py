@@ -145,3 +145,10 @@ def test_possible_matches(spark):
     cites = A.parsed_citations(spark.createDataFrame([(1, 0, "Boatengs, 2015"), (1, 1, "Mensah, 2017"), (1, 2, "Mensah, 2010"), (1, 3, "WBA, 2018"), (1, 4, "Zulu, 2015")], "doc_id int, cite_idx int, citation string"))
     got = {r["cite_idx"]: (r["ref_idx"], r["score"], r["kind"]) for r in A.possible_matches(cites, refs).collect()}
     assert got == {0: (0, 88.0, "name_variation"), 1: (1, 92.0, "year_variation")}
+
+
+def test_words_that_are_no_authors():
+    no = ["", "However", "Field survey", "survey Ghana", "The study", "likely similarly", "First results", "more so", "Ghana census", "Table"]
+    yes = ["Oxford University", "Boadu", "World Bank", "National Census Bureau of Ghana", "Kofi Mensah"]
+    assert [A.no_author(x) for x in no] == [True] * len(no) and [A.no_author(x) for x in yes] == [False] * len(yes)
+    assert [A.without_leads(x) for x in ("Firstly, Ama", "For instance Ama", "Instance: Ama", "Subsequently, see also Ama", "Ama")] == ["Ama"] * 5

@@ -152,9 +152,10 @@ def test_schedule_follows_the_anchor(spark):
 
 
 def test_table_audit(spark):
-    texts = ["As Table 1 shows it.", "Table 1. caption", "Figure 3 is discussed below.", "Table 2. caption"]
-    got = X.table_audit(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id int, block_idx int, text string")).first()
-    assert (got["captions"], got["unreferenced"], got["missing_targets"], got["late_mentions"]) == (2, 1, 1, 0)
+    blocks = spark.createDataFrame([(1, 1, "Table 1. a"), (1, 2, "As Table 1 shows"), (1, 3, "As Table 4 shows"), (1, 4, "Table 3. b"), (1, 5, "Table 7: c")], "doc_id int, block_idx int, text string")
+    row = X.table_audit(blocks).first()
+    assert (row["tables"], row["unreferenced"], row["missing_targets"], row["numbering_or_caption"]) == (3, 2, 1, 1)
+    assert sorted(map(tuple, X.caption_gaps(blocks).collect())) == [(1, "table", 4, 1, 3), (1, "table", 5, 3, 7)]
 
 
 def test_title_clusters_join_the_first_seed(spark):
