@@ -212,12 +212,17 @@ def messiness(text: Column) -> Column:
 
 
 def page_quality(text: Column) -> Column:
-    """Worth of a page's text: length, words, years, author-year citations and DOIs, each up to a bound, less blanks and letters set apart."""
+    """Worth of a page's text: length, words, years, author-year citations and DOIs, each up to a bound, less blanks and letters set apart.
+
+    Only A-Z, a-z, digits and ``_`` make words, so that an accented letter bounds one as a blank does; Java's own boundaries take it for a part.
+    """
     count = lambda p: F.regexp_count(text, F.lit(p))
     up = lambda c, bound: F.least(c, F.lit(bound))
-    cites = count(r"\([^)]{1,180}\b(?:19|20)[0-9]{2}[a-z]?\b[^)]{0,180}\)")
-    good = up(F.length(text) / 500.0, 10.0) + up(count(r"[A-Za-z0-9_]['A-Za-z0-9_-]*") / 100.0, 10.0) + up(count(r"\b(?:19|20)[0-9]{2}[a-z]?\b") * 0.5, 5.0) + up(cites * 1.0, 5.0) + up(count(r"\b10\.[0-9]{4,9}/\S+") * 1.5, 5.0)
-    bad = up(count(" ") * 0.5, 5.0) + up(count(r"\b[A-Za-z]\s+[A-Za-z]\s+[A-Za-z]\b") * 0.35, 6.0)
+    begin, end, space = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])", r"[\t\n\f\r ]"
+    year = rf"{begin}(?:19|20)[0-9]{{2}}[a-z]?{end}"
+    cites = count(rf"\([^)]{{1,180}}{year}[^)]{{0,180}}\)")
+    good = up(F.length(text) / 500.0, 10.0) + up(count(r"[A-Za-z0-9_]['A-Za-z0-9_-]*") / 100.0, 10.0) + up(count(year) * 0.5, 5.0) + up(cites * 1.0, 5.0) + up(count(rf"{begin}10\.[0-9]{{4,9}}/[^\t\n\f\r ]+") * 1.5, 5.0)
+    bad = up(count(" ") * 0.5, 5.0) + up(count(rf"{begin}[A-Za-z]{space}+[A-Za-z]{space}+[A-Za-z]{end}") * 0.35, 6.0)
     return F.when(F.length(text) == 0, 0.0).otherwise(F.round(F.greatest(good - bad, F.lit(0.0)) + 1e-9, 3))
 
 
