@@ -6,7 +6,6 @@ A citation is counted once a document, however often its string stands there.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marginalia.functions.similarity import similarity
+from marginalia.functions.tables import kept
 
 YEAR = r"(?:1[6-9]\d{2}|20\d{2})[a-z]?"
 _YEAR = re.compile(rf"\b({YEAR})\b", re.I)
@@ -233,22 +233,15 @@ def entries(text: str) -> list[str]:
 
 
 # --- on Spark
-@functools.lru_cache(1 << 16)
-def _remembered(function, text: str) -> dict | None:
-    """What a parser made of a text, kept by the worker: several branches of a plan parse the same texts."""
-    return function(text)
-
-
 def _parsed(function, fields: str, column: Column) -> Column:
-    """A parser of this module over a text column, as a struct (null where it finds nothing); each distinct text of a batch is parsed once."""
+    """A parser of this module over a column of distinct texts, as a struct (null where it finds nothing)."""
     types = {"array<string>": pa.list_(pa.string()), "string": pa.string(), "boolean": pa.bool_()}
     kind = pa.struct([(name, types[t]) for name, t in (f.split(" ") for f in fields.split(", "))])
 
     @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>")
     def run(texts: pa.Array) -> pa.Array:
-        coded = texts.cast(pa.string()).dictionary_encode()
-        found = [_remembered(function, t) for t in coded.dictionary.to_pylist()]
-        return pa.array([None if x is None else {f.name: x[f.name] for f in kind} for x in found], kind).take(coded.indices)
+        found = [function(t) for t in texts.cast(pa.string()).to_pylist()]
+        return pa.array([None if x is None else {f.name: x[f.name] for f in kind} for x in found], kind)
 
     return run(column)
 
@@ -273,15 +266,36 @@ def reference_entries(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", F.posexplode(found(F.col("text"))).alias("ref_idx", "reference"))
 
 
+#: Distinct texts, and pairs of distinct names, that are sent to every task.
+BROADCAST, PRODUCT = 1 << 17, 1 << 20
+
+
+def _with_parts(rows: DataFrame, column: str, function, fields: str) -> DataFrame:
+    """rows with p, what a parser makes of a text; each distinct text of the table is parsed once, and rows without a result go."""
+    made = kept(rows.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("p", _parsed(function, fields, F.col(column))))
+    made = F.broadcast(made) if made.count() <= BROADCAST else made
+    return rows.join(made.filter("p is not null"), column)  # not before made is kept: the parser would be pushed below the distinct
+
+
 def parsed_citations(cites: DataFrame) -> DataFrame:
     """cites(doc_id, cite_idx, citation) with key, year, names, keys and bare; strings that are no citations go."""
-    return cites.withColumn("p", _parsed(parse_citation, "key string, year string, names array<string>, keys array<string>, bare boolean", F.col("citation"))).filter("p is not null").select("doc_id", "cite_idx", "citation", "p.*")
+    fields = "key string, year string, names array<string>, keys array<string>, bare boolean"
+    return _with_parts(cites, "citation", parse_citation, fields).select("doc_id", "cite_idx", "citation", "p.*")
 
 
 def parsed_references(refs: DataFrame) -> DataFrame:
     """refs(doc_id, ref_idx, reference) with key, year, names, left and both kinds of aliases; implausible lines go."""
     fields = "key string, year string, names array<string>, left string, plain array<string>, preferred array<string>"
-    return refs.withColumn("p", _parsed(parse_reference, fields, F.col("reference"))).filter("p is not null").select("doc_id", "ref_idx", "reference", "p.*")
+    return _with_parts(refs, "reference", parse_reference, fields).select("doc_id", "ref_idx", "reference", "p.*")
+
+
+def _alike(a: DataFrame, b: DataFrame, score: Column) -> DataFrame | None:
+    """All pairs of the values of two columns with their score, above 0, where few enough values are in use to try them all; else None.
+
+    So names that recur in many documents are compared once, and documents meet by names that are known to be alike.
+    """
+    a, b = kept(a.distinct()), kept(b.distinct())
+    return F.broadcast(kept(a.crossJoin(b).withColumn("score", score)).filter("score > 0")) if a.count() * b.count() <= PRODUCT else None
 
 
 def aliases(refs: DataFrame) -> DataFrame:
@@ -298,20 +312,26 @@ def reconcile(cites: DataFrame, refs: DataFrame, least: int = 74) -> DataFrame:
     of its keys that is an alias decides; else the likeliest reference of the year, if its names are like enough.
     """
     years = lambda c: F.array_distinct(F.array(c, F.substring(c, 1, 4)))
-    shared = refs.select("doc_id", "ref_idx", "key", F.explode(years(F.col("year"))).alias("y")).groupBy("doc_id", "key", "y").agg(F.min("ref_idx").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    groups = cites.filter("bare").select("doc_id", "cite_idx", "key", F.substring("year", 1, 4).alias("y")).join(shared, ["doc_id", "key", "y"])
-    ambiguous = groups.select("doc_id", "cite_idx", F.col("first").alias("ref_idx"), F.concat(F.lit("ambiguous_same_author_year:"), "key", F.lit("|"), "y", F.lit(";candidates="), F.col("k").cast("string")).alias("flag"))
-    keyed = cites.select("doc_id", "cite_idx", F.posexplode("keys").alias("place", "alias")).join(aliases(refs), ["doc_id", "alias"])
-    best = keyed.groupBy("doc_id", "cite_idx").agg(F.min(F.struct("place", "alias", "ref_idx")).alias("b")).select("doc_id", "cite_idx", F.col("b.ref_idx").alias("ref_idx"), F.concat(F.lit("alias:"), "b.alias").alias("flag"))
-    exact = ambiguous.unionByName(best.join(ambiguous, ["doc_id", "cite_idx"], "left_anti"))
-    rest = cites.join(exact, ["doc_id", "cite_idx"], "left_anti").select("doc_id", "cite_idx", "names", F.substring("year", 1, 4).alias("y"))
-    pairs = rest.join(refs.select("doc_id", "ref_idx", F.col("names").alias("other"), F.substring("year", 1, 4).alias("y")), ["doc_id", "y"])
+    shared = refs.select("doc_id", "ref_idx", F.explode(F.transform(years(F.col("year")), lambda y: F.concat("key", F.lit("|"), y))).alias("alias")).groupBy("doc_id", "alias").agg(F.min("ref_idx").alias("ref_idx"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    offered = aliases(refs).withColumn("k", F.lit(0).cast("bigint")).unionByName(shared).withColumn("shared", F.col("k") > 0)
+    ask = lambda k, is_shared: F.struct(F.lit(is_shared).alias("shared"), k.alias("alias"))
+    first = F.when(F.col("bare"), F.array(ask(F.concat("key", F.lit("|"), F.substring("year", 1, 4)), True))).otherwise(F.slice(F.array(ask(F.lit(""), True)), 1, 0))
+    asked = cites.select("doc_id", "cite_idx", F.posexplode(F.concat(first, F.transform("keys", lambda k: ask(k, False)))).alias("place", "a")).select("doc_id", "cite_idx", "place", "a.*")
+    best = asked.join(offered, ["doc_id", "shared", "alias"]).groupBy("doc_id", "cite_idx").agg(F.min(F.struct("place", "alias", "ref_idx", "k")).alias("b"))
+    found = cites.select("doc_id", "cite_idx", "citation", "names", F.substring("year", 1, 4).alias("y")).join(best, ["doc_id", "cite_idx"], "left")
     joined = lambda c: F.array_join(c, " ")
     overlap = F.bround(F.size(F.array_intersect("names", "other")) * 100.0 / F.greatest(F.size("names"), F.lit(1)), 0)
     fuzzy = F.when((F.size("names") > 0) & (F.size("other") > 0), F.bround(similarity("token_set", joined("names"), joined("other")) * 0.6 + similarity("partial", joined("names"), joined("other")) * 0.4, 0)).otherwise(0.0)
-    scored = pairs.withColumn("score", F.greatest(overlap, fuzzy).cast("int")).filter(F.col("score") >= least)
-    near = scored.groupBy("doc_id", "cite_idx").agg(F.max(F.struct("score", (-F.col("ref_idx")).alias("r"))).alias("b")).select("doc_id", "cite_idx", (-F.col("b.r")).alias("ref_idx"), F.concat(F.lit("fuzzy:"), F.col("b.score").cast("string")).alias("flag"))
-    return cites.select("doc_id", "cite_idx", "citation").join(exact.unionByName(near), ["doc_id", "cite_idx"], "left").withColumn("flag", F.coalesce("flag", F.lit("missing")))
+    score = F.greatest(overlap, fuzzy).cast("int")
+    score = F.when(score >= least, score)
+    others = refs.filter(F.size("names") > 0).groupBy("doc_id", F.substring("year", 1, 4).alias("y"), F.col("names").alias("other")).agg(F.min("ref_idx").alias("ref_idx"))
+    rest = found.filter("b is null").filter(F.size("names") > 0).select("doc_id", "cite_idx", "names", "y")
+    alike = _alike(cites.filter(F.size("names") > 0).select("names"), others.select("other"), score)
+    scored = rest.join(others, ["doc_id", "y"]).withColumn("score", score).filter("score > 0") if alike is None else rest.join(others, ["doc_id", "y"]).join(alike, ["names", "other"])
+    near = scored.groupBy("doc_id", "cite_idx").agg(F.max(F.struct("score", (-F.col("ref_idx")).alias("r"))).alias("n"))
+    several = F.concat(F.lit("ambiguous_same_author_year:"), "b.alias", F.lit(";candidates="), F.col("b.k").cast("string"))
+    flag = F.when(F.col("b.k") > 0, several).when(F.col("b").isNotNull(), F.concat(F.lit("alias:"), "b.alias")).when(F.col("n").isNotNull(), F.concat(F.lit("fuzzy:"), F.col("n.score").cast("string"))).otherwise("missing")
+    return found.join(near, ["doc_id", "cite_idx"], "left").select("doc_id", "cite_idx", "citation", F.coalesce("b.ref_idx", -F.col("n.r")).alias("ref_idx"), flag.alias("flag"))
 
 
 def reference_counts(edges: DataFrame, cites: DataFrame, refs: DataFrame) -> DataFrame:
@@ -331,15 +351,21 @@ def possible_matches(missing: DataFrame, refs: DataFrame, span: int = 5) -> Data
     """
     names = F.array_distinct(F.concat(F.array("key"), F.transform("plain", lambda a: F.substring_index(a, "|", 1))))
     other = refs.select("doc_id", "ref_idx", F.substring("year", 1, 4).cast("int").alias("ry"), F.explode(names).alias("alias"))
-    near = F.explode(F.sequence(F.substring("year", 1, 4).cast("int") - span, F.substring("year", 1, 4).cast("int") + span)).alias("ry")
     acronym = F.col("citation").rlike(r"^[A-Z]{2,8}[^A-Za-z]*$")
-    asked = missing.select("doc_id", "cite_idx", "key", F.substring("year", 1, 4).cast("int").alias("cy"), acronym.alias("short"), near)
-    pairs = asked.join(other, ["doc_id", "ry"])
+    asked = missing.select("doc_id", "cite_idx", "key", F.substring("year", 1, 4).cast("int").alias("cy"), acronym.alias("short"))
     within = (F.length("key") >= 5) & (F.length("alias") >= 5) & (F.col("alias").contains(F.col("key")) | F.col("key").contains(F.col("alias")))
     like = F.greatest(similarity("ratio", F.col("key"), F.col("alias")), similarity("token_set", F.col("key"), F.col("alias")))
-    score = F.when(F.col("key") == F.col("alias"), 100.0).when(F.col("short"), 0.0).when(within, 88.0).otherwise(like)
+    score = F.when(F.col("key") == F.col("alias"), 100.0).when(within, 88.0).otherwise(like)
+    score = F.when(score >= 84, score)
+    alike = _alike(missing.select("key"), other.select("alias"), score)
+    if alike is None:
+        near = F.explode(F.sequence(F.col("cy") - span, F.col("cy") + span)).alias("ry")
+        pairs = asked.select("*", near).join(other, ["doc_id", "ry"]).withColumn("author", score).filter("author > 0")
+    else:
+        pairs = asked.join(alike, "key").join(other, ["doc_id", "alias"]).filter(F.abs(F.col("cy") - F.col("ry")) <= span).withColumnRenamed("score", "author")
+    pairs = pairs.filter(~F.col("short") | (F.col("key") == F.col("alias")))
     gap = F.abs(F.col("cy") - F.col("ry"))
-    good = pairs.withColumn("author", score).withColumn("gap", gap).filter(F.col("author") >= F.when(F.col("gap") == 0, 84).otherwise(92))
+    good = pairs.withColumn("gap", gap).filter(F.col("author") >= F.when(F.col("gap") == 0, 84).otherwise(92))
     good = good.withColumn("score", F.col("author") - F.least(F.col("gap") * 4, F.lit(24)))
     best = good.groupBy("doc_id", "cite_idx").agg(F.max(F.struct("score", (-F.col("ref_idx")).alias("r"), "gap", "author")).alias("b"))
     kind = F.when((F.col("b.gap") == 0) & (F.col("b.author") < 100), "name_variation").when((F.col("b.gap") > 0) & (F.col("b.author") >= 90), "year_variation").otherwise("name_year_variation")
