@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.functions.tables import kept
+from marginalia.functions.tables import kept, made_once
 from marginalia.functions.text import SUPERSCRIPTS, expand_numbers, hmac_sha256, ngrams, unicode_words
 
 #: Opening and closing of the numeric forms.
@@ -199,8 +199,17 @@ def fingerprint(text: Column) -> Column:
 
 def signature(text: Column, key: str, k: int = 128) -> Column:
     """The k least keyed hashes of five-word shingles; null below twenty words."""
-    w = unicode_words(text)
-    return F.when(F.size(w) >= 20, F.slice(F.array_sort(F.array_distinct(F.transform(ngrams(w, 5), lambda g: F.substring(hmac_sha256(key, g), 1, 24)))), 1, k))
+    return _least_hashes(unicode_words(text), key, k)
+
+
+def _least_hashes(w: Column, key: str, k: int) -> Column:
+    return F.when(F.size(w) >= 20, F.slice(F.sort_array(F.transform(F.array_distinct(ngrams(w, 5)), lambda g: F.substring(hmac_sha256(key, g), 1, 24))), 1, k))
+
+
+def signatures(texts: DataFrame, key: str, text_col: str = "text", k: int = 128) -> DataFrame:
+    """texts of twenty words or more with their signature; words and hashes are made once a text."""
+    rows = made_once(texts, "__w", unicode_words(F.col(text_col))).filter(F.size("__w") >= 20)
+    return rows.withColumn("signature", _least_hashes(F.col("__w"), key, k)).drop("__w")
 
 
 def signatures_match(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
