@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
+from marginalia.functions.tables import dealt, kept, made_once
 from marginalia.operators import fixes as FX
 from marginalia.operators import lists as LI
 from marginalia.plans.registry import DERIVED, query
@@ -125,9 +127,9 @@ def passage_places(t):
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     items = t.benchmark.select("item_id", F.col("text").alias("passage"), F.split(flat("text"), " ").alias("w")).filter(F.size("w") > SEED)
     items = items.select("item_id", "passage", F.array_join(F.slice("w", 2, SEED), " ").alias("seed"))
-    words = t.documents.select("doc_id", F.split(flat("text"), " ").alias("w")).filter(F.size("w") >= SEED)
-    seeds = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - SEED + 1), lambda i: F.array_join(F.slice("w", i, SEED), " ")))).alias("seed"))
-    pairs = seeds.join(items, "seed").select("doc_id", "item_id", "passage").distinct()
+    words = made_once(dealt(t.documents.select("doc_id", "text"), "doc_id"), "w", F.split(flat("text"), " "))
+    seeds = words.select("doc_id", F.explode(T.ngrams(F.col("w"), SEED)).alias("seed"))
+    pairs = kept(seeds.join(items, "seed").select("doc_id", "item_id", "passage").distinct())  # read by three branches
     docs = t.documents.select("doc_id", F.expr(_SPACED).alias("text")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     return FX.located(pairs, docs).na.fill(0, ["page", "paragraph", "sentence"])
 
