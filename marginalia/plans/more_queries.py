@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.functions.tables import dealt, made_once
 from marginalia.operators import access as A
 from marginalia.operators import references as R
 from marginalia.operators import plan as P
@@ -78,8 +79,8 @@ def repeated_openings(t):
   b AS (SELECT doc_id AS b_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS h FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM {documents}))
   SELECT a_id, b_id, count(*) AS shared FROM a JOIN b USING (h) GROUP BY 1, 2""")
 def signature_overlap(t):
-    grams = lambda c: T.ngrams(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), 5)
-    hashed = lambda df, i, o: df.select(F.col(i).alias(o), F.transform(grams("text"), lambda g: F.md5(g)).alias("hashes"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    hashed = lambda df, i, o: made_once(dealt(df.select(F.col(i).alias(o), "text"), o), "w", words).select(o, T.ngrams(F.col("w"), 5).alias("hashes"))
     return A.shared_hashes(hashed(t.benchmark, "item_id", "a_id"), hashed(t.documents, "doc_id", "b_id"))
 
 
