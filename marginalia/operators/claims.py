@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.tables import made_once
 from marginalia.functions.text import STOPWORDS, sentences, word_count
 
 #: Concept of each word.
@@ -187,6 +190,8 @@ SKIP_STARTS = (
     "the purpose of this study", "the research question", "the hypothesis",
     "in this study", "in this chapter", "the next section",
 )
+#: Characters of a sentence that is looked at.
+SHORTEST, LONGEST = 55, 520
 LIST_RESIDUE = r"\bdoi\b|https?://|retrieved from|journal of|vol\.|pp\."
 OWN_RESULTS = (
     r"\b(table\s*\d+|as shown in table|the results? (?:show|indicate|reveal|demonstrate)|"
@@ -195,6 +200,21 @@ OWN_RESULTS = (
 )
 
 
+def pieces(pattern: str) -> list[str]:
+    """A text for each alternative of the last group of a pattern of NEEDED, or for the rest of its only one: what matches holds one of them."""
+    inside = re.fullmatch(r".*?\(((?:\?:)?[^()]*)\)(?:\\b)?", pattern)[1].removeprefix("?:")
+    found = [max(re.findall(r"(?:[a-z%0 -]|\\\.)+", re.sub(r"\\[sdw]|\[[^]]*\]|[*+?]", "\n", a)), key=len).replace("\\", "") for a in inside.split("|")]
+    return [f for f in found if not any(o != f and o in f for o in found)]
+
+
+def found_in(low: Column, pattern: str) -> Column:
+    """Whether a pattern of NEEDED matches; the engine is asked only where one of its texts stands in the sentence."""
+    there = F.lit(False)
+    for p in pieces(pattern):
+        there = there | low.contains(p)
+    return there & low.rlike(pattern)
+
+
 def cites(sentence: Column) -> Column:
     """Whether a sentence has a citation in some form."""
     found = F.lit(False)
@@ -213,28 +233,40 @@ def low_value(sentence: Column) -> Column:
     equation = sentence.rlike(r"\b[A-Za-z][A-Za-z0-9_]*\s*=\s*[-+]?\d") | sentence.rlike(r"[=+*/^]\s*[-+]?\d+(?:\.\d+)?") | (sentence.contains("=") & (F.regexp_count(sentence, F.lit(r"\d")) >= 2))
     density = F.regexp_count(sentence, F.lit(r"\b\d+(?:\.\d+)?\b")) / F.greatest(word_count(sentence), F.lit(1))
     return (
-        (F.length(sentence) < 55) | (F.length(sentence) > 520) | (n_words < 9) | F.endswith(sentence, F.lit("?")) | start
+        (F.length(sentence) < SHORTEST) | (F.length(sentence) > LONGEST) | (n_words < 9) | F.endswith(sentence, F.lit("?")) | start
         | low.rlike(r"^(hypothesis|objective|research question)\s*\d*[:.]") | low.rlike(LIST_RESIDUE) | low.rlike(OWN_RESULTS) | equation | (density >= 0.22)
     )
 
 
-def needed_score(sentence: Column) -> Column:
-    """0.15 and the weights of the families found, 0.95 at most; 0 for a sentence that cites or makes no claim."""
-    text = F.trim(F.regexp_replace(sentence, r"\s+", " "))
-    low, score = F.lower(text), F.lit(0.15)
+def needed_points(low: Column) -> Column:
+    """0.15 and the weights of the families found in a sentence in lower case, 0.95 at most."""
+    score = F.lit(0.15)
     for weight, patterns in NEEDED:
-        hit = low.rlike(patterns[0])
+        hit = found_in(low, patterns[0])
         for p in patterns[1:]:
-            hit = hit | low.rlike(p)
+            hit = hit | found_in(low, p)
         score = score + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
-    return F.round(F.when(cites(text) | low_value(text), F.lit(0.0)).otherwise(F.least(score, F.lit(0.95))), 2)
+    return F.round(F.least(score, F.lit(0.95)), 2)
+
+
+def needed_score(sentence: Column) -> Column:
+    """needed_points of a sentence; 0 for one that cites or makes no claim."""
+    text = F.trim(F.regexp_replace(sentence, r"\s+", " "))
+    return F.when(low_value(text) | cites(text), F.lit(0.0)).otherwise(needed_points(F.lower(text)))
 
 
 def citation_needed(texts: DataFrame, id_col: str, text_col: str, least: float = 0.55) -> DataFrame:
-    """id, sent_idx, score of sentences that need a citation, the first of equal sentences of a document."""
-    s = texts.select(F.col(id_col), F.posexplode(sentences(F.col(text_col))).alias("sent_idx", "sentence"))
-    s = s.withColumn("score", needed_score(F.col("sentence"))).filter(F.col("score") >= least)
-    return s.groupBy(id_col, F.lower("sentence").alias("key")).agg(F.min("sent_idx").cast("bigint").alias("sent_idx"), F.max("score").alias("score")).drop("key")
+    """id, sent_idx, score of sentences that need a citation, the first of equal sentences of a document.
+
+    Cheap tests come first, and each column is made once a sentence: most sentences are too short, or have too few points, to be looked
+    at for citations.
+    """
+    s = texts.select(F.col(id_col), F.posexplode(sentences(F.col(text_col))).alias("sent_idx", "sentence"))  # with single blanks, trimmed
+    if least > 0:
+        s = s.filter((F.length("sentence") >= SHORTEST) & (F.length("sentence") <= LONGEST))
+    s = made_once(made_once(s, "key", F.lower("sentence")), "points", needed_points(F.col("key"))).filter(F.col("points") >= least)
+    s = made_once(s, "score", F.when(low_value(F.col("sentence")) | cites(F.col("sentence")), F.lit(0.0)).otherwise(F.col("points"))).filter(F.col("score") >= least)
+    return s.groupBy(id_col, "key").agg(F.min("sent_idx").cast("bigint").alias("sent_idx"), F.max("score").alias("score")).drop("key")
 
 
 def coach(paras: DataFrame) -> DataFrame:
