@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,7 +61,8 @@ def base_year(year: str) -> str:
 
 def without_leads(s: str) -> str:
     for _ in range(5):
-        cut = _LEADING.sub("", s, count=1).strip(" ,;:()[]{}")
+        m = _LEADING.match(s)  # a search would try the pattern at every place
+        cut = (s[m.end() :] if m else s).strip(" ,;:()[]{}")
         if cut == s:
             break
         s = cut
@@ -169,17 +171,36 @@ def parse_citation(text: str) -> dict | None:
     return {"key": key, "year": year, "names": names, "keys": list(dict.fromkeys(keys)), "bare": not (initials or two or etal)}
 
 
+#: Distinct pieces of texts whose parse a worker keeps.
+MEMO = 1 << 16
+
+
+@lru_cache(MEMO)
+def _chunk(chunk: str) -> tuple[str, ...]:
+    return tuple(split_chunk(chunk))
+
+
+@lru_cache(MEMO)
+def _cleaned(text: str) -> str:
+    return clean_citation(text)
+
+
+@lru_cache(MEMO)
+def _is_citation(text: str) -> bool:
+    return bool(text) and parse_citation(text) is not None
+
+
 def citations_of(text: str) -> list[str]:
     """Distinct citations of a text, in brackets and in the sentence, in their order."""
     t = re.sub(r"\s*(?:&|＆)\s*", " & ", text.replace("’", "'"))
     found = []
     for m in re.finditer(rf"\(([^()]{{0,260}}?\b(?:19|20)\d{{2}}[a-z]?\b[^()]{{0,260}}?)\)", t):
         if not re.fullmatch(rf"\s*{YEAR}\s*", m[1]):
-            found += [(m.start(), c) for chunk in m[1].split(";") if _YEAR.search(chunk) for c in split_chunk(chunk)]
+            found += [(m.start(), c) for chunk in m[1].split(";") if _YEAR.search(chunk) for c in _chunk(chunk)]
     authors = rf"{_NAME}(?:\s+et\s+al\.?|(?:\s*,\s*{_NAME}){{0,10}}(?:\s*,?\s*(?:&|and)\s+{_NAME})?)"
     for m in re.finditer(rf"\b({authors})(?:'s?)?\s*\(\s*((?:19|20)\d{{2}}[a-z]?(?:\s*[,;]\s*(?:19|20)\d{{2}}[a-z]?)*)\s*\)", t):
-        found += [(m.start(), clean_citation(f"{m[1]}, {y.strip()}")) for y in re.split("[,;]", m[2])]
-    return [c for c in dict.fromkeys(c for _, c in sorted(found, key=lambda x: x[0])) if c and parse_citation(c)]
+        found += [(m.start(), _cleaned(f"{m[1]}, {y.strip()}")) for y in re.split("[,;]", m[2])]
+    return [c for c in dict.fromkeys(c for _, c in sorted(found, key=lambda x: x[0])) if _is_citation(c)]
 
 
 def plausible(text: str) -> bool:
