@@ -30,7 +30,8 @@ def vancouver_counts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "
     """id, num, n: single and list forms scanned apart, so that a number in both counts twice."""
     single = F.regexp_extract_all(F.col(text_col), F.lit(r"[\[(]([0-9]+)[\])]"), F.lit(1))
     several = F.regexp_extract_all(F.col(text_col), F.lit(r"[\[(]([0-9]+(?:\s*,\s*[0-9]+)+)[\])]"), F.lit(1))
-    nums = F.concat(F.transform(single, lambda x: x.try_cast("int")), F.flatten(F.transform(several, lambda p: expand_numbers(p))))
+    listed = F.transform(several, lambda p: F.array_compact(F.transform(F.split(F.regexp_replace(p, r"\s", ""), ","), lambda x: x.try_cast("int"))))  # lists have no ranges
+    nums = F.concat(F.transform(single, lambda x: x.try_cast("int")), F.flatten(listed))
     return texts.select(id_col, F.explode(nums).alias("num")).groupBy(id_col, "num").agg(F.count(F.lit(1)).alias("n"))
 
 
