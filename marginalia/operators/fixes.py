@@ -118,7 +118,8 @@ def citation_edits(paragraphs: DataFrame, changes: DataFrame, peers: DataFrame,
     p = paragraphs.withColumn("copies", F.count(F.lit(1)).over(twice)).filter("copies = 1").drop("copies")
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_'’-]+)"), F.lit(1))))
     last = F.element_at(F.split("first", r"[^\p{L}\p{N}_'’-]+"), -1)  # a paragraph is looked at for a change only where it has the last word of its first name
-    near = p.select("doc_id", "para_idx", words.alias("key")).join(ch.withColumn("key", last), ["doc_id", "key"]).join(p, ["doc_id", "para_idx"])
+    years = F.array_distinct(F.regexp_extract_all("text", F.lit("(?=((?:19|20)[0-9]{2}))"), F.lit(1)))  # and the digits of its year
+    near = p.select("doc_id", "para_idx", years.alias("years"), words.alias("key")).join(ch.withColumn("key", last), ["doc_id", "key"]).filter(F.array_contains("years", F.substring("old", 1, 4))).drop("years").join(p, ["doc_id", "para_idx"])
     found = near.select("doc_id", "para_idx", "text", "ref_idx", "new_names", "new_year", F.explode(F.array_distinct(F.regexp_extract_all("text", "pattern", F.lit(1)))).alias("original"))
     narrative, close = F.regexp_extract("original", r"(\()", 1) != "", F.regexp_extract("original", r"(\s*\))$", 1)
     new = F.when(n("new_names") == 1, F.col("new_names")[0]).when(n("new_names") == 2, F.when(narrative | F.lit(style == "harvard"), F.array_join("new_names", " and ")).otherwise(F.array_join("new_names", " & "))).otherwise(F.concat(F.col("new_names")[0], F.lit(" et al.")))
