@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.functions.similarity import similarity
+from marginalia.functions.similarity import most_alike
 from marginalia.functions.text import word_count
 
 #: Years that a year of one, two or three digits may stand for, as sums; differences of a mistaken year in the order tried.
@@ -14,6 +14,8 @@ SHORT_YEARS = {3: (2000, 2010, 2020, 1900), 2: (2000, 1900), 1: (2000, 2010, 202
 OFFSETS = (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5)
 #: Least likeness of an author's name, and the most that a suggestion by it is trusted.
 LEAST_LIKENESS, MOST_TRUST = 75, 0.74
+#: References of a list that a citation meets at once.
+PIECE = 64
 
 
 # --- uncited references
@@ -49,50 +51,55 @@ def suggestions(cites: DataFrame, refs: DataFrame) -> DataFrame:
     cites(doc_id, cite_idx, citation, author, year), refs(doc_id, ref_idx, author, year, et_al), years as text. In this order: a year cut
     short, completed to one that the author has; a year within five of the author's; an author's name like one of
     a reference within two years; "et al." that is missing. Years are only changed where the author has one year and no reference
-    has the cited one. All are equi-joins by document with author or year.
+    has the cited one. Authors meet by document and name; the references of a document that a year may mean are gathered, and of each
+    such list (in pieces of PIECE) a citation takes the one most alike, so that no pair of names is a row.
     """
     low = lambda c: F.lower(F.trim(c))
     r = refs.select("doc_id", "ref_idx", low(F.col("author")).alias("r_author"), F.col("author").alias("r_name"), F.substring("year", 1, 4).alias("r_year"), "et_al")
-    c = cites.withColumns({"a": low(F.col("author")), "digits": F.length("year")}).filter(F.col("year").rlike("^[0-9]{1,4}[a-z]?$"))
-    c = c.withColumn("base", F.regexp_replace("year", "[a-z]$", "")).withColumn("digits", F.length("base"))
-    one = r.groupBy("doc_id", F.col("r_author").alias("name")).agg(F.min("r_year").alias("y"), F.max("r_year").alias("y2"), F.count_if(F.col("et_al")).alias("with_et_al")).withColumn("single", F.col("y") == F.col("y2"))
-    # the author as it stands, then the parts of a pair
-    names = F.filter(F.transform(F.array_distinct(F.concat(F.array("a"), F.split("a", " & "), F.split("a", " and "))), F.trim), lambda n: n != "")
-    tried = c.select("doc_id", "cite_idx", "citation", "a", "base", "digits", F.posexplode(names).alias("n", "name")).join(one.filter("single"), ["doc_id", "name"])
+    c = cites.filter(F.col("year").rlike("^[0-9]{1,4}[a-z]?$")).withColumns({"a": low(F.col("author")), "base": F.regexp_replace("year", "[a-z]$", "")}).withColumn("digits", F.length("base"))
     number = F.col("base").cast("int")
+    # one row for each of: the author as it stands, the parts of a pair, the first word; n is the place of a name among those whose year counts
+    names = F.filter(F.transform(F.array_distinct(F.concat(F.array("a"), F.split("a", " & "), F.split("a", " and "))), F.trim), lambda n: n != "")
+    simple, first = ~F.col("a").contains(" "), F.split_part("a", F.lit(" "), F.lit(1))
+    asked = c.withColumn("name", F.explode(F.when(simple, F.array("a")).otherwise(F.array_distinct(F.concat(names, F.array("a"), F.array(first))))))
+    asked = asked.withColumn("n", F.when(simple, (F.col("a") != "").cast("bigint")).otherwise(F.array_position(names, F.col("name"))))
+    one = r.groupBy("doc_id", F.col("r_author").alias("name")).agg(F.collect_set("r_year").alias("years"), F.max("et_al").alias("with_et_al"))
+    tried = asked.join(one, ["doc_id", "name"], "left").withColumn("y", F.when((F.size("years") == 1) & (F.col("n") > 0), F.col("years")[0]))
     short = F.coalesce(*[F.when(F.col("digits") == d, F.array_position(F.transform(F.array(*[F.lit(s) for s in sums]), lambda s: (s + number).cast("string")), F.col("y"))) for d, sums in SHORT_YEARS.items()])
-    cut = F.when(F.col("digits") < 4, F.nullif(short, F.lit(0)))
+    cut = F.when(F.col("y").isNotNull() & (F.col("digits") < 4), F.nullif(short, F.lit(0)))
     gap = F.col("y").cast("int") - number
-    step = F.when((F.col("digits") == 4) & (F.col("n") == 0), F.nullif(F.array_position(F.array(*[F.lit(o) for o in OFFSETS]), gap), F.lit(0)))
-    # regular expressions find whole words; the texts hold no backslash or dollar sign but as themselves
-    word = lambda text, old, new: F.regexp_replace(text, F.concat(F.lit(r"(?i)\b\Q"), old, F.lit(r"\E\b")), F.regexp_replace(new, r"([\\$])", r"\\$1"))
-    by_year = tried.withColumns({"cut": cut, "step": step}).filter("cut is not null or step is not null").groupBy("doc_id", "cite_idx").agg(
-        F.min(F.struct(F.coalesce("cut", "step").alias("order"), "n", "y", "base", "citation", F.col("cut").isNotNull().alias("malformed"), gap.alias("gap"))).alias("b")
-    )
-    by_year = by_year.select(
-        "doc_id", "cite_idx", F.when(F.col("b.malformed"), word(F.col("b.citation"), F.col("b.base"), F.col("b.y"))).otherwise(F.replace("b.citation", "b.base", "b.y")).alias("suggested"),
-        F.when(F.col("b.malformed"), "year_malformed").otherwise("year_typo").alias("fix_type"), F.when(F.col("b.malformed") | (F.abs("b.gap") <= 2), 0.90).otherwise(0.72).alias("confidence"), F.lit(1).alias("rule"),
+    step = F.when((F.col("digits") == 4) & (F.col("n") == 1), F.nullif(F.array_position(F.array(*[F.lit(o) for o in OFFSETS]), gap), F.lit(0)))
+    several = ~F.lower("citation").contains("et al") & (F.size(F.split(F.trim(F.split_part("citation", F.lit(","), F.lit(1))), r"\s+")) > 2)
+    by_facts = tried.withColumns({"cut": cut, "step": step}).select(
+        "doc_id", "cite_idx", F.struct("citation", "author", "year", "a", "base").alias("cite"), ((F.col("name") == F.col("a")) & F.array_contains("years", F.col("base"))).alias("known"),
+        F.when(F.coalesce("cut", "step").isNotNull(), F.struct(F.coalesce("cut", "step").alias("order"), "n", "y", F.col("cut").isNotNull().alias("malformed"), gap.alias("gap"))).alias("by_year"),
+        F.when(F.col("with_et_al"), (F.col("name") == first) & several).alias("et_al"),
     )
     # names: references offer themselves under each year within two
-    full = c.withColumn("target", F.explode(F.when(F.col("digits") == 4, F.array("base")).otherwise(F.transform(F.array(*[F.lit(s) for s in SHORT_YEARS[3]]), lambda s: (s + number).cast("string")))))
-    offered = r.filter("r_author <> ''").select("doc_id", "ref_idx", "r_author", "r_name", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda o: (F.col("r_year").cast("int") + o).cast("string"))).alias("target"))
-    pairs = full.select("doc_id", "cite_idx", "citation", "author", "a", "target").join(offered, ["doc_id", "target"]).withColumn("plain", F.trim(F.regexp_replace("a", r"[^\p{L}\p{N}_\s]", "")))
-    like = pairs.select("plain", "r_author").distinct().withColumn("like", similarity("ratio", F.col("plain"), F.col("r_author"))).filter(F.col("like") >= LEAST_LIKENESS)
-    best = pairs.join(like, ["plain", "r_author"]).groupBy("doc_id", "cite_idx").agg(F.min(F.struct((-F.col("like")).alias("worst"), "ref_idx", "r_author", "r_name", "a", "author", "citation")).alias("b"))
-    first_word = F.concat(F.lit(r"(?i)^(.*?)\b\Q"), F.col("b.author"), F.lit(r"\E\b"))
-    by_name = best.filter("b.r_author <> b.a").select(
-        "doc_id", "cite_idx", F.regexp_replace("b.citation", first_word, F.concat(F.lit("$1"), F.regexp_replace("b.r_name", r"([\\$])", r"\\$1"))).alias("suggested"), F.lit("author_normalization_review").alias("fix_type"),
-        F.least(-F.col("b.worst") / 100, F.lit(MOST_TRUST)).alias("confidence"), F.lit(2).alias("rule"),
-    )
-    several = c.filter(~F.lower("citation").contains("et al") & (F.size(F.split(F.trim(F.split_part("citation", F.lit(","), F.lit(1))), r"\s+")) > 2)).withColumn("name", F.split("a", " ")[0])
-    by_et_al = several.join(one.filter("with_et_al > 0").select("doc_id", "name"), ["doc_id", "name"]).select(
-        "doc_id", "cite_idx", F.concat(F.split("author", " ")[0], F.lit(" et al., "), F.col("year")).alias("suggested"), F.lit("add_et_al").alias("fix_type"), F.lit(0.70).alias("confidence"), F.lit(3).alias("rule")
+    full = c.select("doc_id", "cite_idx", F.trim(F.regexp_replace("a", r"[^\p{L}\p{N}_\s]", "")).alias("plain"), F.explode(F.when(F.col("digits") == 4, F.array("base")).otherwise(F.transform(F.array(*[F.lit(s) for s in SHORT_YEARS[3]]), lambda s: (s + number).cast("string")))).alias("target"))
+    of_year = r.filter("r_author <> ''").groupBy("doc_id", "r_year").agg(F.collect_list(F.struct("ref_idx", "r_author", "r_name")).alias("offers"))
+    offered = of_year.select("doc_id", "offers", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda o: (F.col("r_year").cast("int") + o).cast("string"))).alias("target"))
+    offered = offered.groupBy("doc_id", "target").agg(F.sort_array(F.flatten(F.collect_list("offers"))).alias("offers"))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("offers"), F.lit(PIECE)), lambda i: F.slice("offers", i, PIECE))
+    offered = offered.withColumn("offers", F.explode(F.when(F.size("offers") <= PIECE, F.array("offers")).otherwise(pieces)))
+    met = full.join(offered, ["doc_id", "target"]).withColumn("like", most_alike("ratio", F.col("plain"), F.col("offers.r_author"))).filter(F.col("like.score") >= LEAST_LIKENESS)
+    chosen = F.get("offers", F.col("like.place"))
+    by_name = met.select("doc_id", "cite_idx", F.struct((-F.col("like.score")).alias("worst"), chosen["ref_idx"].alias("ref_idx"), chosen["r_author"].alias("r_author"), chosen["r_name"].alias("r_name")).alias("by_name"))
+    every = by_facts.unionByName(by_name, allowMissingColumns=True).groupBy("doc_id", "cite_idx").agg(
+        F.max("cite").alias("cite"), F.max("known").alias("known"), F.min("by_year").alias("t"), F.min("by_name").alias("b"), F.max("et_al").alias("et_al")
     )
-    every = by_year.unionByName(by_name).unionByName(by_et_al)
-    known = r.select("doc_id", F.col("r_author").alias("a"), F.col("r_year").alias("base")).distinct()
-    here = c.join(known, ["doc_id", "a", "base"], "left_anti").select("doc_id", "cite_idx")
-    chosen = every.groupBy("doc_id", "cite_idx").agg(F.min(F.struct("rule", "suggested", "fix_type", "confidence")).alias("s"))
-    return here.join(chosen, ["doc_id", "cite_idx"]).select("doc_id", "cite_idx", "s.suggested", "s.fix_type", F.round("s.confidence", 4).alias("confidence"))
+    # regular expressions find whole words; the texts hold no backslash or dollar sign but as themselves
+    literal = lambda text: F.regexp_replace(text, r"([\\$])", r"\\$1")
+    in_year = F.when(F.col("t.malformed"), F.regexp_replace("cite.citation", F.concat(F.lit(r"(?i)\b\Q"), F.col("cite.base"), F.lit(r"\E\b")), literal(F.col("t.y")))).otherwise(F.replace("cite.citation", "cite.base", "t.y"))
+    first_word = F.concat(F.lit(r"(?i)^(.*?)\b\Q"), F.col("cite.author"), F.lit(r"\E\b"))
+    in_name = F.regexp_replace("cite.citation", first_word, F.concat(F.lit("$1"), literal(F.col("b.r_name"))))
+    with_et_al = F.concat(F.split("cite.author", " ")[0], F.lit(" et al., "), F.col("cite.year"))
+    year, name = F.col("t").isNotNull(), F.col("b.r_author") != F.col("cite.a")
+    found = every.filter(~F.coalesce("known", F.lit(False)) & (year | F.coalesce(name, F.lit(False)) | F.coalesce("et_al", F.lit(False))))
+    rule = lambda y, n, e: F.when(year, y).when(name, n).otherwise(e)
+    kind = rule(F.when(F.col("t.malformed"), "year_malformed").otherwise("year_typo"), F.lit("author_normalization_review"), F.lit("add_et_al"))
+    trust = rule(F.when(F.col("t.malformed") | (F.abs("t.gap") <= 2), 0.90).otherwise(0.72), F.least(-F.col("b.worst") / 100, F.lit(MOST_TRUST)), F.lit(0.70))
+    return found.select("doc_id", "cite_idx", rule(in_year, in_name, with_et_al).alias("suggested"), kind.alias("fix_type"), F.round(trust, 4).alias("confidence"))
 
 
 # --- tracked edits
