@@ -84,6 +84,11 @@ def marked_blocks(blocks: DataFrame) -> DataFrame:
 
     Lists of contents and references are left out, up to the next numbered heading. style, is_table and is_graphic may be absent.
     """
+    return _marked(blocks).filter(~F.col("skipped")).drop("skipped")
+
+
+def _marked(blocks: DataFrame) -> DataFrame:
+    """All blocks, those in lists as skipped and no captions."""
     has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in blocks.columns else F.lit(False)
     b = section_blocks(blocks).withColumn("text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
     b = b.withColumns({"item": has("is_table") | has("is_graphic"), "is_table": has("is_table"), "styled": F.coalesce(F.lower("style").contains("caption"), F.lit(False)) if "style" in blocks.columns else F.lit(False)})
@@ -92,8 +97,8 @@ def marked_blocks(blocks: DataFrame) -> DataFrame:
     b = b.withColumns({"skipped": F.coalesce(F.last(stop, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(False)), "near": F.max("item").over(order.rowsBetween(-AROUND, AROUND)), "place": F.row_number().over(order)})
     title = F.regexp_extract("text", CAPTION, 3)
     is_caption = (title != "") & ~title.rlike(TITLE_VERBS) & (F.col("styled") | F.col("near") | F.col("text").rlike(PLAIN_CAPTION))
-    b = b.filter(~F.col("skipped")).withColumn("is_caption", is_caption)
-    return b.withColumns({"kind": F.when(F.col("is_caption"), _kind(F.regexp_extract("text", CAPTION, 1))), "number": F.when(F.col("is_caption"), F.upper(F.regexp_extract("text", CAPTION, 2)))}).drop("skipped")
+    b = b.withColumn("is_caption", ~F.col("skipped") & is_caption)
+    return b.withColumns({"kind": F.when(F.col("is_caption"), _kind(F.regexp_extract("text", CAPTION, 1))), "number": F.when(F.col("is_caption"), F.upper(F.regexp_extract("text", CAPTION, 2)))})
 
 
 def mentioned(text: Column) -> Column:
@@ -112,8 +117,9 @@ def mentioned(text: Column) -> Column:
             more = F.when((low < high) & (high - low <= MOST_RANGE), F.transform(F.sequence(low + 1, F.greatest(high, low + 1)), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
             return F.concat(done, F.when(run, more).otherwise(F.array(F.upper(n))))
 
-        numbers = F.aggregate(links, F.array(F.upper(F.regexp_extract(span, LABEL, 2))), step)
-        return F.transform(numbers, lambda n: F.struct(_kind(F.regexp_extract(span, LABEL, 1)).alias("kind"), n.alias("number")))
+        first, alone = F.array(F.upper(F.regexp_extract(span, LABEL, 2))), F.length(F.regexp_extract(span, LABEL, 0)) == F.length(span)
+        numbers = F.when(alone, first).otherwise(F.aggregate(links, first, step))  # most have no list
+        return F.transform(numbers, lambda n: F.struct(_kind(span).alias("kind"), n.alias("number")))
 
     return F.flatten(F.transform(spans, expanded))
 
@@ -128,53 +134,73 @@ def _split(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return caps, b.filter("not is_caption").select("doc_id", "block_idx", "section", F.inline(mentioned(F.col("text"))))
 
 
+#: Kinds, and types of findings of a caption, of a mention and of a block.
+KINDS = ("table", "figure")
+OF_CAPTIONS, OF_MENTIONS, OF_BLOCKS = ("duplicate_number", "unreferenced", "first_mention_after"), ("label_mismatch", "missing_target"), ("missing_caption", "missing_caption_title", "missing_caption_number")
+
+
+def _judged(blocks: DataFrame) -> DataFrame:
+    """A row for each caption and mention, at least one a block, skipped ones too, with kind and number, and a column for each type of finding that says whether it has it.
+
+    All of a document meets in windows, so that blocks are dealt by document once and neither joined nor read again. What a block is
+    found to be, or a step of its kind that does not follow (odd_table and odd_figure, the first of a document also jump_table and
+    jump_figure), stands in its first row.
+    """
+    order = W.partitionBy("doc_id").orderBy("block_idx")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    step = lambda kind: F.when((F.col("kind") == kind) & F.col("number").rlike(r"^\d+$"), F.col("number").cast("bigint"))
+    b = _marked(blocks).withColumns({f"step_{k}": step(k) for k in KINDS})
+    b = b.withColumns({**{f"odd_{k}": F.coalesce(F.col(f"step_{k}") != F.last(f"step_{k}", ignorenulls=True).over(before) + 1, F.lit(False)) for k in KINDS}, "captioned": F.max(F.coalesce(F.col("kind") == "table", F.lit(False))).over(order.rowsBetween(-AROUND, AROUND))})
+    b = b.withColumns({f"jump_{k}": F.col(f"odd_{k}") & (F.count_if(F.col(f"odd_{k}")).over(upto) == 1) for k in KINDS})
+    read = ~F.col("skipped")
+    plain = read & ~F.col("is_caption")
+    b = b.withColumns({
+        "missing_caption": read & F.col("is_table") & ~F.col("captioned"), "missing_caption_title": plain & (F.col("styled") | F.col("near")) & F.col("text").rlike(BARE_CAPTION),
+        "missing_caption_number": plain & F.col("styled") & (F.col("text") != "") & ~F.col("text").rlike(LABEL.replace(r"(?i)\b", "(?i)^")),
+    })
+    low = F.lower("text")
+    mentions = F.when(read & (low.contains("table") | low.contains("fig")), mentioned(F.col("text")))  # others have no label
+    entries = F.when(F.col("is_caption"), F.array(F.struct("kind", "number"))).otherwise(mentions)
+    of_block = [*OF_BLOCKS, *[f"{c}_{k}" for c in ("odd", "jump") for k in KINDS]]
+    rows = b.select("doc_id", F.col("block_idx").cast("bigint").alias("block_idx"), "section", "is_caption", *of_block, F.posexplode_outer(entries).alias("at", "entry"))
+    rows = rows.select("doc_id", "block_idx", "section", "is_caption", "entry.kind", "entry.number", *[(F.col(c) & (F.coalesce("at", F.lit(0)) == 0)).alias(c) for c in of_block])
+    # what has a number of one document, by kind; a block without a document has no peers
+    peers, here = W.partitionBy("doc_id", "number"), F.col("doc_id").isNotNull()
+    is_mention = F.col("kind").isNotNull() & ~F.col("is_caption")
+    rows = rows.withColumns({**{f"captions_{k}": F.count_if(here & F.col("is_caption") & (F.col("kind") == k)).over(peers) for k in KINDS}, **{f"first_{k}": F.min(F.when(~F.col("is_caption") & (F.col("kind") == k), F.col("block_idx"))).over(peers) for k in KINDS}})
+    of = lambda name: F.when(F.col("kind") == "table", F.col(f"{name}_table")).otherwise(F.col(f"{name}_figure"))
+    others = F.when(F.col("kind") == "table", F.col("captions_figure")).otherwise(F.col("captions_table"))
+    caption, lost = here & F.col("is_caption"), is_mention & (of("captions") == 0)
+    return rows.withColumns({
+        "duplicate_number": caption & (of("captions") > 1), "unreferenced": caption & of("first").isNull(), "first_mention_after": caption & F.coalesce(of("first") > F.col("block_idx"), F.lit(False)),
+        "label_mismatch": lost & (others > 0), "missing_target": lost & (others == 0),
+    })
+
+
 def audit_findings(blocks: DataFrame) -> DataFrame:
     """doc_id, block_idx, type, priority, kind, number, section of everything amiss with tables, figures and what is said of them.
 
     Keys are kind and number, so Table 1 and Figure 1 are two; a mention whose number only the other kind has is a mismatch of labels.
     """
-    return _findings(kept(marked_blocks(blocks)))
-
-
-def _findings(b: DataFrame) -> DataFrame:
-    """Findings of marked blocks that are written: they are read by nine rules."""
-    caps, calls = _split(b)
-    calls = kept(calls)
-    row = lambda df, kind, priority="important": df.select("doc_id", "block_idx", F.lit(kind).alias("type"), F.lit(priority).alias("priority"), "kind", "number", "section")
-    key = ["doc_id", "kind", "number"]
-    counted = caps.groupBy(*key).agg(F.count(F.lit(1)).alias("captions"))
-    first = calls.groupBy(*key).agg(F.min("block_idx").alias("first"))
-    c = caps.join(counted, key).join(first, key, "left")
-    other = counted.select("doc_id", F.when(F.col("kind") == "table", "figure").otherwise("table").alias("kind"), "number", F.lit(True).alias("other"))
-    lost = calls.join(counted, key, "left_anti").join(other, key, "left")
-    by_kind = W.partitionBy("doc_id", "kind").orderBy("block_idx")
-    steps = caps.filter(F.col("number").rlike(r"^\d+$")).withColumn("before", F.lag(F.col("number").cast("bigint")).over(by_kind))
-    jumps = steps.groupBy("doc_id", "kind").agg(F.max(F.col("number").cast("bigint") != F.col("before") + 1).alias("odd")).filter("odd").select("doc_id", F.lit(None).cast("bigint").alias("block_idx"), "kind", F.lit(None).cast("string").alias("number"), F.lit("Document body").alias("section"))
-    plain = b.filter("not is_caption").withColumns({"kind": F.lit(None).cast("string"), "number": F.lit(None).cast("string")})
-    order = W.partitionBy("doc_id").orderBy("place").rangeBetween(-AROUND, AROUND)
-    beside = b.withColumn("captioned", F.max(F.coalesce(F.col("is_caption") & (F.col("kind") == "table"), F.lit(False))).over(order))
-    bare = beside.filter("is_table and not captioned").withColumns({"kind": F.lit("table"), "number": F.lit(None).cast("string")})
-    found = [
-        row(c.filter("captions > 1"), "duplicate_number"), row(c.filter("first is null"), "unreferenced"), row(c.filter("first > block_idx"), "first_mention_after", "optional"), row(lost.filter("other"), "label_mismatch"),
-        row(lost.filter("other is null"), "missing_target"), row(jumps, "numbering_sequence"), row(bare, "missing_caption"), row(plain.filter(F.col("text").rlike(BARE_CAPTION) & (F.col("styled") | F.col("near"))), "missing_caption_title"),
-        row(plain.filter(F.col("styled") & ~F.col("text").rlike(LABEL.replace(r"(?i)\b", "(?i)^")) & (F.col("text") != "")), "missing_caption_number"),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    text, block = F.lit(None).cast("string"), F.col("block_idx")
+    row = lambda name, kind, number, at=block, section=F.col("section"): F.struct(at.alias("block_idx"), F.lit(name).alias("type"), F.lit("optional" if name == "first_mention_after" else "important").alias("priority"), kind.alias("kind"), number.alias("number"), section.alias("section"))
+    found = [F.when(F.col(c), row(c, F.col("kind"), F.col("number"))) for c in (*OF_CAPTIONS, *OF_MENTIONS)]
+    found += [F.when(F.col(c), row(c, F.lit("table") if c == "missing_caption" else text, text)) for c in OF_BLOCKS]
+    found += [F.when(F.col(f"jump_{k}"), row("numbering_sequence", F.lit(k), text, F.lit(None).cast("bigint"), F.lit("Document body"))) for k in KINDS]
+    return _judged(blocks).select("doc_id", F.inline(F.array_compact(F.array(*found))))
 
 
 def table_audit(blocks: DataFrame) -> DataFrame:
     """Per document: tables, figures, unreferenced captions, missing targets (mismatches of labels too), faults of numbers or captions, all findings."""
-    kinds = ("duplicate_number", "numbering_sequence", "missing_caption", "missing_caption_title", "missing_caption_number")
-    b = kept(marked_blocks(blocks))
-    counts = b.filter("is_caption").groupBy("doc_id").agg(F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "figure").alias("figures"))
-    t = F.col("type")
-    faults = _findings(b).groupBy("doc_id").agg(
-        F.count_if(t == "unreferenced").alias("unreferenced"), F.count_if(t.isin("missing_target", "label_mismatch")).alias("missing_targets"), F.count_if(t.isin(*kinds)).alias("numbering_or_caption"), F.count(F.lit(1)).alias("needs_review")
-    )
-    return blocks.select("doc_id").distinct().join(counts, "doc_id", "left").join(faults, "doc_id", "left").na.fill(0)
+    here, steps = F.col("doc_id").isNotNull(), [f"odd_{k}" for k in KINDS]
+    n = {c: F.count_if(here & F.col(c)) for c in (*OF_CAPTIONS, *OF_MENTIONS, *OF_BLOCKS)} | {c: F.max(here & F.col(c)).cast("bigint") for c in steps}
+    n |= {f"captions_{k}": F.count_if(here & F.col("is_caption") & (F.col("kind") == k)) for k in KINDS}
+    total = lambda *names: sum((F.col(f"n_{c}") for c in names), F.lit(0).cast("bigint"))
+    sums = _judged(blocks).groupBy("doc_id").agg(*[c.alias(f"n_{name}") for name, c in n.items()])
+    return sums.select(
+        "doc_id", total("captions_table").alias("tables"), total("captions_figure").alias("figures"), total("unreferenced").alias("unreferenced"), total(*OF_MENTIONS).alias("missing_targets"),
+        total("duplicate_number", *OF_BLOCKS, *steps).alias("numbering_or_caption"), total(*OF_CAPTIONS, *OF_MENTIONS, *OF_BLOCKS, *steps).alias("needs_review"),
+    )
 
 
 def caption_gaps(blocks: DataFrame) -> DataFrame:
