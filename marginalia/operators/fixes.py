@@ -56,7 +56,8 @@ def suggestions(cites: DataFrame, refs: DataFrame) -> DataFrame:
     """
     low = lambda c: F.lower(F.trim(c))
     r = refs.select("doc_id", "ref_idx", low(F.col("author")).alias("r_author"), F.col("author").alias("r_name"), F.substring("year", 1, 4).alias("r_year"), "et_al")
-    c = cites.filter(F.col("year").rlike("^[0-9]{1,4}[a-z]?$")).withColumns({"a": low(F.col("author")), "base": F.regexp_replace("year", "[a-z]$", "")}).withColumn("digits", F.length("base"))
+    # a citation of no document has no references; said here, so that the tables of both joins are one exchange
+    c = cites.filter(F.col("year").rlike("^[0-9]{1,4}[a-z]?$") & F.col("doc_id").isNotNull()).withColumns({"a": low(F.col("author")), "base": F.regexp_replace("year", "[a-z]$", "")}).withColumn("digits", F.length("base"))
     number = F.col("base").cast("int")
     # one row for each of: the author as it stands, the parts of a pair, the first word; n is the place of a name among those whose year counts
     names = F.filter(F.transform(F.array_distinct(F.concat(F.array("a"), F.split("a", " & "), F.split("a", " and "))), F.trim), lambda n: n != "")
@@ -85,7 +86,8 @@ def suggestions(cites: DataFrame, refs: DataFrame) -> DataFrame:
     met = full.join(offered, ["doc_id", "target"]).withColumn("like", most_alike("ratio", F.col("plain"), F.col("offers.r_author"))).filter(F.col("like.score") >= LEAST_LIKENESS)
     chosen = F.get("offers", F.col("like.place"))
     by_name = met.select("doc_id", "cite_idx", F.struct((-F.col("like.score")).alias("worst"), chosen["ref_idx"].alias("ref_idx"), chosen["r_author"].alias("r_author"), chosen["r_name"].alias("r_name")).alias("by_name"))
-    every = by_facts.unionByName(by_name, allowMissingColumns=True).groupBy("doc_id", "cite_idx").agg(
+    # dealt by citation before they are sorted for it: there is next to nothing to sum up ahead
+    every = by_facts.unionByName(by_name, allowMissingColumns=True).repartition("doc_id", "cite_idx").groupBy("doc_id", "cite_idx").agg(
         F.max("cite").alias("cite"), F.max("known").alias("known"), F.min("by_year").alias("t"), F.min("by_name").alias("b"), F.max("et_al").alias("et_al")
     )
     # regular expressions find whole words; the texts hold no backslash or dollar sign but as themselves
